@@ -6,7 +6,9 @@ hashing words are a few numpy passes and no Python object is made per word.
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,6 +35,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spanwise-checkpoint-"))
 
 
+def worker_state() -> dict:
+    """What a Python worker keeps between tasks (functions come with each task, so their globals don't last)."""
+    module = sys.modules.setdefault("_spanwise_worker_state", types.ModuleType("_spanwise_worker_state"))
+    return module.__dict__.setdefault("kept", {})
+
+
 def text_slices(batch: pa.RecordBatch | pa.Table, text: str = "text") -> Iterator[pa.Table]:
     """Cut a batch into row ranges of about SLICE_BYTES of text, never cutting a text."""
     table = pa.table(batch) if isinstance(batch, pa.Table) else pa.Table.from_batches([batch])

@@ -22,12 +22,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import hash_ranges, read_table, split_words, text_buffer, text_slices
+from .common import hash_ranges, read_table, split_words, text_buffer, text_slices, worker_state
 
 #: Documents that one shard packs together.
 SHARD_DOCUMENTS = 65_536
 #: Distinct words whose ids a worker remembers before it starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -86,10 +86,17 @@ class WordEncoder:
 
 
 def encode_texts(encoder: WordEncoder, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in a row, each closed by end_id, and the place where each text ends."""
+    """Ids of all texts in a row, each closed by end_id, and the place where each text ends.
+
+    The tokenizer folds case; folding ASCII first saves it words, unless a text may hold
+    a special token, which is case-sensitive.
+    """
+    raw = data.tobytes()
+    if b"<|" not in raw:
+        raw = raw.lower()
+        data = np.frombuffer(raw, np.uint8)
     words = split_words(data, offsets)
     _, first, which = np.unique(hash_ranges(data, words.start, words.end), return_index=True, return_inverse=True)
-    raw = data.tobytes()
     numbers = encoder.numbers([raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)])
     ends = np.concatenate([encoder.ends, [len(encoder.ids) + 1]])  # the last entry is end_id
     flat = np.concatenate([encoder.ids, np.array([end_id], np.uint32)])
@@ -106,7 +113,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
     """Tokenise whole texts, close each by end_id and cut those longer than capacity into pieces of it."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path, separator)
+        kept, key = worker_state(), ("word encoder", tokenizer_path, separator)
+        if key not in kept:
+            kept[key] = WordEncoder(tokenizer_path, separator)
+        encoder = kept[key]
         for batch in batches:
             for part in text_slices(batch):
                 data, offsets = text_buffer(part["text"])
