@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import chat, html_text, mixing, packing, search, toxicity
 
 QUERIES = {
     "op3_best_fit_packing": packing.query,
+    "op4_norm_bucketed_search": search.query,
+    "op5_prefix_target_chat": chat.query,
     "op7_pareto_mixing": mixing.query,
+    "op8_convolutional_toxicity": toxicity.query,
+    "op9_minimum_cut_html": html_text.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op4_norm_bucketed_search": search.ORACLE_SQL,
+    "op5_prefix_target_chat": chat.ORACLE_SQL,
+}
