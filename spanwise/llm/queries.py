@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, html_text, mixing, packing, search, toxicity
+from . import chat, html_text, mixing, packing, recompression, search, toxicity
 
 QUERIES = {
+    "op1_recompression_dedup": recompression.query,
     "op3_best_fit_packing": packing.query,
     "op4_norm_bucketed_search": search.query,
     "op5_prefix_target_chat": chat.query,
