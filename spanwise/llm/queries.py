@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, html_text, mixing, packing, recompression, search, toxicity
+from . import chat, html_text, mixing, packing, quality, recompression, search, toxicity
 
 QUERIES = {
     "op1_recompression_dedup": recompression.query,
     "op3_best_fit_packing": packing.query,
+    "op2_divergence_quality": quality.query,
     "op4_norm_bucketed_search": search.query,
     "op5_prefix_target_chat": chat.query,
     "op7_pareto_mixing": mixing.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_divergence_quality": quality.query,
     "op4_norm_bucketed_search": search.ORACLE_SQL,
     "op5_prefix_target_chat": chat.ORACLE_SQL,
 }

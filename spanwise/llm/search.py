@@ -133,13 +133,12 @@ def retrieve(q: np.ndarray, q_ids: np.ndarray, theta: np.ndarray, p: np.ndarray,
         some, upto = rows[at : at + 128], int(reach[at : at + 128].max())
         scores = products(q[some], p[:upto])
         for i, row in enumerate(some):
-            s = scores[i]
-            if len(s) > 8 * k:  # only those that reach the k-th score (and one more for the query itself) are sorted
-                at_least = max(theta[row], np.partition(s, len(s) - k - 1)[len(s) - k - 1])
-                near = np.flatnonzero(s >= at_least)
-                best(row, p_ids[near], s[near])
-            else:
-                best(row, p_ids[:upto], s)
+            others = np.flatnonzero(p_ids[:upto] != q_ids[row])
+            s = scores[i][others]
+            if len(s) > 8 * k:  # only those that reach the k-th score are sorted
+                near = s >= np.partition(s, len(s) - k)[len(s) - k]
+                s, others = s[near], others[near]
+            best(row, p_ids[others], s)
     return found
 
 
@@ -197,7 +196,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
         if at is None or at["count"] < min(r["count"], BLOCK_VECTORS // 4):
             first[r["dim"]] = r
     sizes = spark.createDataFrame([(d, b, n) for (d, b), n in parts.items()], "dim int, bucket int, parts int")
-    dealt = points.join(sizes, ["dim", "bucket"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    dealt = points.join(F.broadcast(sizes), ["dim", "bucket"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
     blocks = dealt.select("dim", "bucket", "part", "vec_id", "norm", "vector").groupBy("dim", "bucket", "part").applyInArrow(_block, BLOCK).checkpoint()
     query_parts = max(1, -(-asked.count() // BLOCK_QUERIES))
     query_blocks = (
