@@ -41,14 +41,14 @@ def worker_state() -> dict:
     return module.__dict__.setdefault("kept", {})
 
 
-def text_slices(batch: pa.RecordBatch | pa.Table, text: str = "text") -> Iterator[pa.Table]:
-    """Cut a batch into row ranges of about SLICE_BYTES of text, never cutting a text."""
+def text_slices(batch: pa.RecordBatch | pa.Table, text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.Table]:
+    """Cut a batch into row ranges of about size bytes of text, never cutting a text."""
     table = pa.table(batch) if isinstance(batch, pa.Table) else pa.Table.from_batches([batch])
     table = table.combine_chunks()
     if not table.num_rows:
         return
     lengths = pa.compute.fill_null(pa.compute.binary_length(table[text]), 0).to_numpy()
-    group = (np.cumsum(lengths.astype(np.int64)) - lengths) // SLICE_BYTES
+    group = (np.cumsum(lengths.astype(np.int64)) - lengths) // size
     cuts = np.flatnonzero(np.diff(group)) + 1
     for start, end in zip([0, *cuts], [*cuts, table.num_rows], strict=True):
         yield table.slice(start, end - start).combine_chunks()

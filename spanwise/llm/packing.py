@@ -22,12 +22,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import hash_ranges, read_table, split_words, text_buffer, text_slices, worker_state
+from .common import Words, hash_ranges, read_table, split_words, text_buffer, text_slices, worker_state
 
 #: Documents that one shard packs together.
 SHARD_DOCUMENTS = 65_536
 #: Distinct words whose ids a worker remembers before it starts anew.
 CACHED_WORDS = 1_000_000
+#: Bytes of text whose distinct words are looked up together.
+SLICE_BYTES = 6_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -57,7 +59,7 @@ class WordEncoder:
         texts = [w.decode("utf-8") for w in words]
         odd = [i for i, t in enumerate(texts) if "<|" in t]
         plain = self.separator.join("" if "<|" in t else t for t in texts)
-        ids = np.array(self.tokenizer.encode(plain, add_special_tokens=False).ids, np.uint32)
+        ids = np.array(self.tokenizer.encode_batch_fast([plain], add_special_tokens=False)[0].ids, np.uint32)
         cut = ids == self.separator_id
         counts = np.bincount(np.cumsum(cut)[~cut], minlength=len(words))
         ids = ids[~cut]
@@ -85,27 +87,54 @@ class WordEncoder:
         return np.fromiter((known[w] for w in words), np.int64, len(words))
 
 
+_PUNCTUATION = np.zeros(256, bool)
+_PUNCTUATION[list(b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+def part_marks(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Byte ranges of words, with ASCII marks that follow a word's last letter parted from it.
+
+    The tokenizer cuts between a letter and a mark in any case, so the ids stay the same and
+    far fewer words are distinct.  Letters are those of ASCII, and of U+00C0 to U+024F but
+    for the two signs there; any other word stays whole.  Also gives the first range of each text.
+    """
+    data, place = words.data, np.arange(len(words.data))
+    before = np.maximum.accumulate(np.where(_PUNCTUATION[data], -1, place))[words.end - 1] if len(words.end) else words.end
+    at = np.maximum(before, 0)
+    lead, last = data[np.maximum(at - 1, 0)] if len(data) else at, data[at] if len(data) else at
+    wide = (at > words.start) & (last >= 0x80) & (last < 0xC0) & (((lead == 0xC3) & (last != 0x97) & (last != 0xB7)) | ((lead >= 0xC4) & (lead <= 0xC9)))
+    cut = (before >= words.start) & (before < words.end - 1) & (_LETTER[last] | wide)
+    places = np.flatnonzero(cut)
+    start, end = np.insert(words.start, places + 1, before[places] + 1), np.insert(words.end, places, before[places] + 1)
+    return start, end, words.first + np.concatenate([[0], np.cumsum(cut)])[words.first]
+
+
 def encode_texts(encoder: WordEncoder, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in a row, each closed by end_id, and the place where each text ends.
 
-    The tokenizer folds case; folding ASCII first saves it words, unless a text may hold
-    a special token, which is case-sensitive.
+    The tokenizer folds case; folding ASCII first and parting marks leaves fewer words,
+    unless a text may hold a special token, which would be changed or cut.
     """
     raw = data.tobytes()
-    if b"<|" not in raw:
+    if b"<|" in raw:
+        words = split_words(data, offsets)
+        start, end, begins_at = words.start, words.end, words.first
+    else:
         raw = raw.lower()
+        start, end, begins_at = part_marks(split_words(np.frombuffer(raw, np.uint8), offsets))
         data = np.frombuffer(raw, np.uint8)
-    words = split_words(data, offsets)
-    _, first, which = np.unique(hash_ranges(data, words.start, words.end), return_index=True, return_inverse=True)
-    numbers = encoder.numbers([raw[a:b] for a, b in zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)])
+    _, first, which = np.unique(hash_ranges(data, start, end), return_index=True, return_inverse=True)
+    numbers = encoder.numbers([raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
     ends = np.concatenate([encoder.ends, [len(encoder.ids) + 1]])  # the last entry is end_id
     flat = np.concatenate([encoder.ids, np.array([end_id], np.uint32)])
     begins = np.concatenate([[0], ends[:-1]])
-    sequence = np.insert(numbers[which], words.first[1:], len(ends) - 1)
+    sequence = np.insert(numbers[which], begins_at[1:], len(ends) - 1)
     counts = (ends - begins)[sequence]
     out_end = np.cumsum(counts)
     ids = flat[np.repeat(begins[sequence] - (out_end - counts), counts) + np.arange(out_end[-1] if len(out_end) else 0)]
-    closes = words.first[1:] + np.arange(len(words.first) - 1)
+    closes = begins_at[1:] + np.arange(len(begins_at) - 1)
     return ids, out_end[closes]
 
 
@@ -118,7 +147,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
             kept[key] = WordEncoder(tokenizer_path, separator)
         encoder = kept[key]
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, size=SLICE_BYTES):
                 data, offsets = text_buffer(part["text"])
                 ids, ends = encode_texts(encoder, data, offsets, end_id)
                 lengths = np.diff(np.concatenate([[0], ends]))
