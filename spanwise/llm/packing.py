@@ -98,13 +98,13 @@ def part_marks(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     The tokenizer cuts between a letter and a mark in any case, so the ids stay the same and
     far fewer words are distinct.  Letters are those of ASCII, and of U+00C0 to U+024F but
-    for the two signs there; any other word stays whole.  Also gives the first range of each text.
+    for the two signs there and U+0130, whose small form ends in a mark; any other word stays whole.  Also gives the first range of each text.
     """
     data, place = words.data, np.arange(len(words.data))
     before = np.maximum.accumulate(np.where(_PUNCTUATION[data], -1, place))[words.end - 1] if len(words.end) else words.end
     at = np.maximum(before, 0)
     lead, last = data[np.maximum(at - 1, 0)] if len(data) else at, data[at] if len(data) else at
-    wide = (at > words.start) & (last >= 0x80) & (last < 0xC0) & (((lead == 0xC3) & (last != 0x97) & (last != 0xB7)) | ((lead >= 0xC4) & (lead <= 0xC9)))
+    wide = (at > words.start) & (last >= 0x80) & (last < 0xC0) & (((lead == 0xC3) & (last != 0x97) & (last != 0xB7)) | ((lead >= 0xC4) & (lead <= 0xC9) & ((lead != 0xC4) | (last != 0xB0))))
     cut = (before >= words.start) & (before < words.end - 1) & (_LETTER[last] | wide)
     places = np.flatnonzero(cut)
     start, end = np.insert(words.start, places + 1, before[places] + 1), np.insert(words.end, places, before[places] + 1)
