@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, html_text, mixing, packing, quality, recompression, search, toxicity
+from . import chat, html_text, mixing, near_dedup, packing, quality, recompression, search, toxicity
 
 QUERIES = {
     "op1_recompression_dedup": recompression.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_best_fit_packing": packing.query,
     "op4_norm_bucketed_search": search.query,
     "op5_prefix_target_chat": chat.query,
+    "op6_setsketch_near_dedup": near_dedup.query,
     "op7_pareto_mixing": mixing.query,
     "op8_convolutional_toxicity": toxicity.query,
     "op9_minimum_cut_html": html_text.query,
