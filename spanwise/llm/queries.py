@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, html_text, mixing, near_dedup, packing, quality, recompression, search, toxicity
+from . import chat, html_text, mixing, near_dedup, packing, quality, recompression, search, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_recompression_dedup": recompression.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_pareto_mixing": mixing.query,
     "op8_convolutional_toxicity": toxicity.query,
     "op9_minimum_cut_html": html_text.query,
+    "op10_suffix_array_dedup": suffix_dedup.query,
 }
 
 ORACLE_SQL = {

@@ -285,18 +285,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int =
 def score_documents(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
     """The given columns of docs (doc_id by default), score and predicted."""
     columns = columns or ["doc_id"]
+    text = "text" if "text" in columns else "_text"
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
         table = fitted.responses()
         for batch in batches:
-            for part in text_slices(batch, "_text"):
-                s = score(fitted, tokenise(*text_buffer(part["_text"])), table)
+            for part in text_slices(batch, text):
+                s = score(fitted, tokenise(*text_buffer(part[text])), table)
                 kept = [part[c].combine_chunks() for c in columns]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype("int32"))], names=[*columns, "score", "predicted"])
 
-    rows = docs.select(*[docs[c] for c in columns], docs["text"].alias("_text"))
+    rows = docs.select(*[docs[c] for c in columns], *([] if text == "text" else [docs["text"].alias(text)]))
     schema = rows.select(*columns).schema.add("score", "double").add("predicted", "integer")
     return rows.mapInArrow(run, schema)
 
