@@ -6,17 +6,16 @@ an exponentially spaced, truncated scale.  Sketches of parts merge by maximum, a
 registers are equal about as often as the sets are similar.
 
 1. documents with one set are one class; only its smallest doc_id goes on;
-2. bands of register values are keys; per key one member, another for each key, is the
-   centre, and every member pairs with it (a star instead of all pairs);
-3. pairs are estimated jointly, by the likelihood of their registers above, below and
-   equal given both set sizes; what could still reach the threshold within six deviations
-   stays;
-4. each member's best pair is confirmed on the full sets, components are joined, then the
-   remaining pairs between different components, and last the pairs of a key's members
-   that are still in different components, so no link within a key is lost.
+2. bands of register values are keys; per key one member is the centre, and every member
+   pairs with it (a star instead of all pairs).  What the stars join is a candidate group:
+   any two members of one key are in one group;
+3. a group's texts meet once, a large group's in pairs of blocks of bounded size.  Members
+   of different components are estimated jointly, by the likelihood of their registers
+   above, below and equal given both set sizes; what may reach the threshold within six
+   deviations is confirmed on the full sets.  Only links that join components come out;
+4. links are joined to components.
 
 With 32 bands of 4 registers a pair of similarity 0.8 shares no band once in ten million.
-Texts are shuffled once, to write those of classes that share a key to the shared folder.
 
 Nulls: a null text or one without words has an empty set and is linked with nothing.  A
 null doc_id is smaller than all others.  Rows that share a doc_id are one document: each
@@ -26,7 +25,6 @@ set among them is linked under it.  Extra columns are ignored; an empty table gi
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +37,8 @@ BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 #: SetSketch scale: base, rate and the largest register value (two bytes).
 BASE, RATE, LARGEST = 1.001, 20.0, (1 << 16) - 1
+#: Shingles of one block of a candidate group; two blocks meet in one task.
+BLOCK_SHINGLES = 2_000_000
 _ODD = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix(np.arange(1001, REGISTERS + 1001, dtype=np.uint64))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -115,43 +115,58 @@ def sketch(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, SKETCHES)
 
 
-def _likely(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of classes that may reach the similarity, with the estimate."""
-    least = similarity - 6 * math.sqrt(similarity * (1 - similarity) / REGISTERS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            u, v = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in ("r_a", "r_b"))
-            value = estimate(u, v, *(batch.column(c).to_numpy().astype(np.float64) for c in ("n_a", "n_b")))
-            keep = np.flatnonzero(value >= least)
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(keep)), batch.column("b").take(pa.array(keep)), pa.array(value[keep])], names=["a", "b", "estimate"])
-
-    of = [sketches.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}")) for x in ("a", "b")]
-    size = F.least("n_a", "n_b") >= F.floor(F.greatest("n_a", "n_b") * similarity - 1e-6)
-    return pairs.join(of[0], "a").join(of[1], "b").filter(size).mapInArrow(run, "a long, b long, estimate double")
-
+def _flat(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    total = np.cumsum(count)
+    return np.repeat(begin - (total - count), count) + np.arange(int(total[-1]) if len(total) else 0)
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs whose full sets reach the similarity."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int | None, np.ndarray | None] = (None, None)
-        for batch in batches:
-            kept = []
-            for a, b, t_a, t_b in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "t_a", "t_b")), strict=True):
-                if held[0] != b:
-                    held = (b, shingle_sets(*text_buffer(pa.chunked_array([pa.array([t_b])])), size)[0])
-                mine = shingle_sets(*text_buffer(pa.chunked_array([pa.array([t_a])])), size)[0]
-                common = len(np.intersect1d(mine, held[1], assume_unique=True))
-                if 100 * common >= percent * (len(mine) + len(held[1]) - common):
-                    kept.append((a, b))
-            if kept:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.int64()), pa.array([x[1] for x in kept], pa.int64())], names=["a", "b"])
+def links_among(sets: np.ndarray, first: np.ndarray, sketches: np.ndarray, block: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links that join the members' components: (later, earlier) pairs confirmed on full sets.
 
-    joined = pairs.select("a", "b").join(texts.select(F.col("doc").alias("a"), F.col("text").alias("t_a")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("t_b")), "b")
-    return joined.mapInArrow(run, "a long, b long")
+    Members come in one by one.  Registers estimate each one's similarity to the members
+    before it that are in other components yet; if any may reach the threshold, an index
+    from shingles to members counts what it shares with all.  Between two blocks only pairs
+    across them are looked at.
+    """
+    similarity = percent / 100
+    least = similarity - 6 * math.sqrt(similarity * (1 - similarity) / REGISTERS)
+    n, size = len(first) - 1, np.diff(first)
+    order = np.argsort(sets, kind="stable")
+    values, owner = sets[order], np.repeat(np.arange(n), size)[order]
+    component, found = np.arange(n), []
+    across = block.min() != block.max()
+    for x in range(1, n):
+        open_ = np.flatnonzero(component[:x] != component[x])
+        if across:
+            open_ = open_[block[open_] != block[x]]
+        open_ = open_[100 * np.minimum(size[open_], size[x]) >= percent * np.maximum(size[open_], size[x])]
+        equal = (sketches[open_] == sketches[x]).sum(axis=1)
+        open_ = open_[equal >= REGISTERS * least * 0.8]
+        if not len(open_):
+            continue
+        open_ = open_[estimate(np.broadcast_to(sketches[x], (len(open_), REGISTERS)), sketches[open_], np.full(len(open_), float(size[x])), size[open_].astype(np.float64)) >= least]
+        if not len(open_):
+            continue
+        mine = sets[first[x] : first[x + 1]]
+        low, high = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
+        common = np.bincount(owner[_flat(low, high - low)], minlength=n)[open_]
+        for y in open_[100 * common >= percent * (size[x] + size[open_] - common)]:
+            if component[x] != component[y]:
+                found.append((x, int(y)))
+                component[component == component[x]] = component[y]
+    return found
+
+
+def _confirmed(size: int, percent: int):
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("rep")
+        sets, first = shingle_sets(*text_buffer(rows["text"]), size)
+        full = np.flatnonzero(np.diff(first))  # a row without words under a shared doc_id has no set
+        first, rep, block = np.append(first[:-1][full], first[-1]), rows["rep"].to_numpy()[full], rows["block"].to_numpy()[full]
+        found = links_among(sets, first, registers(sets, first), block, percent)
+        return pa.table({"a": pa.array([int(rep[x]) for x, _ in found], pa.int64()), "b": pa.array([int(rep[y]) for _, y in found], pa.int64())})
+
+    return run
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -181,7 +196,6 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     """doc_id, n_shingles and component_id of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
-    similarity = percent / 100
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), "text")
     sketches = sketch(keyed, size).checkpoint()
     set_key = ["one", "two", "n_shingles"]
@@ -191,30 +205,18 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     centres = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key"), "rep")).alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("c.rep").alias("centre"))
     shared = bands.join(centres, "key").checkpoint()
     stars = shared.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    likely = _likely(stars, classes, similarity).checkpoint()
-    involved = shared.select(F.col("rep").alias("doc")).distinct()
-    folder = f"{spark.sparkContext.getCheckpointDir()}/near-dedup-{uuid.uuid4().hex}"
-    keyed.join(involved, "doc", "left_semi").write.parquet(folder)
-    texts = spark.read.parquet(folder)
-    best = likely.groupBy("a").agg(F.max_by("b", F.struct("estimate", "b")).alias("b"))
-    links = _confirmed(best, texts, size, percent).checkpoint()
-    labels = components(involved.select(F.col("doc").alias("node"), F.col("doc").alias("component")), links)
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        of = [labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}")) for x in ("a", "b")]
-        return pairs.join(of[0], "a").join(of[1], "b").filter("c_a <> c_b")
-
-    rest = apart(likely.select("a", "b"))
-    links = _confirmed(rest, texts, size, percent).checkpoint()
-    labels = components(labels, links)
-    member = shared.join(labels.select(F.col("node").alias("rep"), "component"), "rep")
-    split = member.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    open_ = member.join(split, "key").select("key", "rep", "centre", "component").checkpoint()
-    left = open_.select("key", F.col("rep").alias("a"), F.col("component").alias("c_a"), "centre")
-    right = open_.select("key", F.col("rep").alias("b"), F.col("component").alias("c_b"))
-    others = left.join(right, "key").filter("c_a < c_b and a <> centre and b <> centre").select("a", "b").distinct()
-    links = _confirmed(_likely(others, classes, similarity), texts, size, percent).checkpoint()
-    labels = components(labels, links)
+    members = shared.select(F.col("rep").alias("node")).distinct()
+    groups = components(members.withColumn("component", F.col("node")), stars).withColumnsRenamed({"node": "rep", "component": "group"})
+    groups = groups.join(classes.select("rep", "n_shingles"), "rep")
+    blocks = groups.groupBy("group").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = groups.join(blocks, "group").select("rep", "group", block.alias("block"), other.alias("other"))
+    dealt = dealt.select("rep", "group", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    texts = keyed.filter("text is not null").join(dealt, keyed["doc"] == dealt["rep"]).select("group", "low", "high", "rep", "block", "text")
+    links = texts.groupBy("group", "low", "high").applyInArrow(_confirmed(size, percent), "a long, b long").checkpoint()
+    linked = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    labels = components(linked.withColumn("component", F.col("node")), links)
     of_class = classes.select(*set_key, "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*set_key, F.coalesce("component", "rep").alias("component_id"))
     found = sketches.select("doc", *set_key).join(of_class, set_key, "left").select("doc", "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
     null_id = F.lit(-(1 << 63))
