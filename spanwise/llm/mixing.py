@@ -95,9 +95,9 @@ def decide(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
         .withColumn("p", expected - F.col("sure"))
         .withColumn("rest", F.col("target") - F.col("sure") * F.col("source_size"))
         .withColumn("bins", F.least(F.lit(MOST_BINS), F.ceil(F.col("n_docs") / BIN_DOCUMENTS)).cast("int"))
-        .select("source", "source_size", "target", "sure", "p", "rest", "bins")
+        .select(F.col("source").alias("_source"), "source_size", "target", "sure", "p", "rest", "bins")
     )
-    rows = slim.join(sources, slim["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    rows = slim.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = (
         rows.withColumn("rank_odds", (F.col("u") / (1 - F.col("u"))) / F.when(F.col("p") > 0, F.col("p") / (1 - F.col("p"))).otherwise(1e-300))
         .withColumn("bin", F.least(F.floor(F.col("u") * F.col("bins")), F.col("bins") - 1).cast("int"))
@@ -107,9 +107,9 @@ def decide(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
     cut = (
         summed.withColumn("before", before)
         .filter((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
-        .groupBy("source").agg(F.max("bin").alias("cut"), F.max(F.col("rest") - F.col("before")).alias("room"))
+        .groupBy(F.col("source").alias("_source")).agg(F.max("bin").alias("cut"), F.max(F.col("rest") - F.col("before")).alias("room"))
     )
-    rows = rows.join(cut, rows["source"].eqNullSafe(cut["source"]), "left").drop(cut["source"])
+    rows = rows.join(cut, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     taken = (F.col("p") > 0) & (F.col("cut").isNull() | (F.col("bin") < F.col("cut")))
     rows = rows.withColumn("copies", F.col("sure") + taken.cast("int"))
     columns = ["doc_id", "source", "size", "source_size", "target", "copies"]
@@ -122,9 +122,9 @@ def decide(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float =
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed table: rows of docs, each as often as it is taken."""
     copies = decide(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copies").dropDuplicates(["_id", "_source", "_size"])
-    kept = docs.withColumn("_words", word_count(F.col("text")))
-    on = kept["doc_id"].cast("long").eqNullSafe(copies["_id"]) & kept["source"].eqNullSafe(copies["_source"]) & (kept["_words"] == copies["_size"])
-    return kept.join(copies, on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select([kept[c] for c in docs.columns])
+    kept = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_source"), word_count(F.col("text")).alias("_size"))
+    on = kept["_id"].eqNullSafe(copies["_id"]) & kept["_source"].eqNullSafe(copies["_source"]) & (kept["_size"] == copies["_size"])
+    return kept.join(copies, on).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
