@@ -1,0 +1,130 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from spanwise.functions import geometry as geo, text as tx
+from spanwise.operators import facts, graph, reads, score, state, vectors as vec
+
+
+def test_predicates_of_two_elements(spark):
+    motions = spark.createDataFrame([("m1", "translation", 0, 20, 1.0, 0.0, 100.0, 20), ("m2", "rotation", 30, 40, None, None, 45.0, 10)], "id string, type string, start int, end int, dx double, dy double, mag double, dur int")
+    boxes = spark.createDataFrame([("e1", 59, 0.0, 0.0, 20.0, 20.0), ("e2", 59, 50.0, 0.0, 70.0, 20.0)], "id string, frame int, x0 double, y0 double, x1 double, y1 double")
+    wanted = {
+        "before(m1, m2)": True, "after(m1, m2)": False, "while(m1,m2)": False, "left(e1,e2)": True, "right(e1,e2)": False, "intersect(e1, e2)@59": False,
+        "type(m1,'translation')": True, "dir(m1,[2, 0.1])": True, "dir(m2,[1,0])": False, "mag(m1,109)": True, "mag(m1,120)": False, "dur(m2,12)": True, "before(m9,m1)": False, "nothing(m1)": None,
+    }
+    rows = facts.parsed(spark.createDataFrame([(p,) for p in wanted], "pred string"))
+    assert {r.pred: r.holds for r in facts.evaluated(rows, motions, boxes, 59).collect()} == wanted
+
+
+def test_presets_and_carried_flags(spark):
+    rows = spark.createDataFrame([("left(a,b)", False), ("mag(m,1.0)", True)], "pred string, keep boolean")
+    assert [r.keep for r in facts.with_preset(rows, "content_only").orderBy("pred").collect()] == [True, False]
+    assert [r.keep for r in facts.with_preset(rows, "all").collect()] == [True, True]
+    assert [r.keep for r in facts.with_preset(rows, "none").collect()] == [False, False]
+    old = spark.createDataFrame([("left(a,b)", True)], "pred string, keep boolean")
+    assert [r.keep for r in facts.carried(rows, old, ["pred"]).orderBy("pred").collect()] == [True, True]
+
+
+def test_gate_fails_on_null_and_nan(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", None), ("b", 1.0), ("b", 2.0), ("c", float("nan"))], "g string, v double")
+    got = {r.g: (r.failed, r.passed, r.worst) for r in score.gate(rows, ["g"], "v", "le", 2.0).collect()}
+    assert got == {"a": (1, False, 1.0), "b": (0, True, 2.0), "c": (1, False, None)}
+    assert score.gate(rows, ["g"], "v", "lt", 2.0).filter("g = 'b'").first()["passed"] is False
+
+
+def test_overall_needs_a_gate(spark):
+    gates = spark.createDataFrame([(True,), (None,)], "passed boolean")
+    assert score.overall(gates, "passed", strict=False).first()[0] is True
+    assert score.overall(gates, "passed", strict=True).first()[0] is False
+    assert score.overall(gates.limit(0), "passed", strict=False).first()[0] is False
+
+
+def test_auc_counts_ties_as_losses_and_misses_classes(spark):
+    rows = spark.createDataFrame([("a", 1.0, 0), ("a", 2.0, 1), ("a", 3.0, 0), ("a", 3.0, 1), ("b", 1.0, 1)], "g string, s double, y int")
+    got = {r.g: r.auc for r in score.rank_auc(rows, ["g"], "s", "y").collect()}
+    assert got == {"a": 0.5, "b": None}
+
+
+def test_weights_sum_to_rows(spark):
+    rows = spark.createDataFrame([("a", 0), ("a", 0), ("a", 1), ("b", 0), ("b", 1)], "s string, y int")
+    assert sum(r["_n"] * r.weight for r in score.balanced_weights(rows, "s", "y").collect()) == pytest.approx(5)
+
+
+def test_weighted_median(spark):
+    rows = spark.createDataFrame([("a", 1.0, 1.0), ("a", 5.0, 3.0), ("a", None, 9.0), ("a", 7.0, 1.0)], "g string, v double, w double")
+    assert score.weighted_median(rows, ["g"], "v", "w").first()["median"] == 5.0
+
+
+def test_correlation_of_tracks(spark):
+    def track(name, points):
+        return [(name, i, float(x), float(y)) for i, (x, y) in enumerate(points)]
+
+    line = [(10 * i, 0) for i in range(5)]
+    rows = spark.createDataFrame(track("a", line) + track("same", line) + track("back", [(-10 * i, 0) for i in range(5)]) + track("half", [(5 * i, 0) for i in range(5)]) + track("still", [(0, 0)] * 5), "e string, i long, x double, y double")
+    steps = score.tracklets(rows, "e", "i", "x", "y")
+    pairs = spark.createDataFrame([("a", b) for b in ("same", "back", "half", "still")] + [("still", "still")], "a string, b string")
+    got = {(r.a, r.b): r.score for r in score.correlation(steps, steps, pairs, "e", "i").collect()}
+    assert got == {("a", "same"): 1.0, ("a", "back"): -1.0, ("a", "half"): 0.5, ("a", "still"): 0.0, ("still", "still"): 1.0}
+
+
+def test_bootstrap_covers_mean_and_repeats(spark):
+    rows = spark.createDataFrame([(f"c{i % 7}", float(i % 5)) for i in range(70)], "c string, d double")
+    first, again = (score.paired_bootstrap(rows, "c", "d", 500, 1).first() for _ in range(2))
+    assert first == again and first.low <= first["mean"] <= first.high and first.clusters == 7
+
+
+def test_components_and_cascade(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 102), (7, 7)], "a long, b long")
+    got = {r.node: r.component for r in graph.components(links, "a", "b").collect()}
+    assert {got[i] for i in range(1, 41)} == {1} and {got[i] for i in (100, 101, 102)} == {100}
+    failed = spark.createDataFrame([(3,)], "k long")
+    assert graph.cascade(links.filter("a < 40 and a <> b"), "b", "a", failed, "k").count() == 38
+    assert graph.components(links.limit(0), "a", "b").count() == 0
+
+
+def test_colour_and_boxes(spark):
+    row = spark.range(1).select(
+        geo.hex_to_channels(F.lit("#0f8")).alias("rgb"), geo.hex_to_channels(F.lit("red")).alias("bad"), geo.channels_to_hex(F.lit(1), F.lit(255), F.lit(16)).alias("hex"),
+        *[v.alias(n) for n, v in zip("lab", geo.lab(F.lit(255), F.lit(255), F.lit(255)))], geo.bezier_ease(F.lit(0.5), F.lit(0.42), F.lit(0.0), F.lit(0.58), F.lit(1.0)).alias("half"),
+        geo.direction_word(F.lit(-3.0), F.lit(1.0)).alias("way"),
+    ).first()
+    assert row.rgb == [0, 255, 136] and row.bad is None and row.hex == "#01ff10" and row.way == "left"
+    assert row.l == pytest.approx(100, abs=1e-3) and abs(row.a) < 0.02 and abs(row.b) < 0.02 and row.half == pytest.approx(0.5)
+    box = lambda *v: F.struct(*[F.lit(float(x)).alias(n) for n, x in zip(("x0", "y0", "x1", "y1"), v)])
+    row = spark.range(1).select(geo.iou(box(0, 0, 2, 2), box(1, 0, 3, 2)).alias("iou"), geo.containment(box(0, 0, 2, 2), box(0, 0, 4, 4)).alias("inside"), geo.iou(box(0, 0, 0, 0), box(0, 0, 0, 0)).alias("none")).first()
+    assert row.iou == pytest.approx(1 / 3) and row.inside == 1.0 and row.none == 0.0
+
+
+def test_best_read_prefers_cover_then_spacing(spark):
+    seen = ["New Arriv", "NewArrivals", "New Arrivals", "NewArrivals", "New Arrivals", "xx"]
+    rows = spark.createDataFrame([("t", i, s) for i, s in enumerate(seen)], "t string, i long, s string")
+    assert reads.best_read(rows, ["t"], "i", "s").first()["read"] == "New Arrivals"
+    carets = spark.createDataFrame([("t", s) for s in ("Shipl", "Ship cl", "Hel")], "t string, s string").withColumn("full", F.lit("Ship code l"))
+    assert reads.caret_marks(carets, ["t"], "s", "full").first()["carets"] == 2
+
+
+def test_text_functions(spark):
+    row = spark.range(1).select(tx.scrub_paths(F.lit("see /home/a/b.txt and http://x.org/y/z on 2024/01/02")).alias("p"), tx.word_prefix(F.lit("Buy now"), F.lit("Buy now  today")).alias("w"), tx.folded(F.lit("  ﬁne\tSTRASSE ")).alias("f")).first()
+    assert row.p == "see b.txt and http://x.org/y/z on 2024/01/02" and row.w is True and row.f == "fine strasse"
+    assert tx.page_text("<head><title>t</title></head><h2>Top</h2><p>a <a href='/x'>b</a></p><script>no</script>") == "## Top\na [b](/x)"
+
+
+def test_state_folds(spark):
+    events = spark.createDataFrame([("a", 1, "finish"), ("a", 2, "start"), ("a", 3, "finish"), ("a", 4, "fail"), ("b", 1, "start"), ("c", 1, "note")], "job string, t long, kind string")
+    got = {r.job: r.state for r in state.folded_jobs(events, ["job"], ["t"], "kind", ("start",), ("finish", "fail")).collect()}
+    assert got == {"a": "finish", "b": "running", "c": "queued"}
+    beats = spark.createDataFrame([("d", 0.0), ("d", 40.0), ("e", 39.0)], "device string, at double")
+    assert [r.device for r in state.silent(beats, "device", "at", F.lit(100.0)).collect()] == ["e"]  # exactly 60 s is in time
+    turns = spark.createDataFrame([("c", i, 10) for i in range(5)], "c string, i long, size long")
+    assert sorted(r.i for r in state.within_budget(turns, ["c"], ["i"], F.col("size"), 20, 35).collect()) == [2, 3, 4]
+
+
+def test_network_and_centres(spark):
+    rows = spark.createDataFrame([([1.0, 2.0],), ([1.0],)], "v array<double>")
+    score_ = vec.network_score(F.col("v"), [0.0, 0.0], [1.0, 1.0], [([[1.0, -1.0]], [0.5]), ([[2.0]], [0.0])])
+    assert [r[0] for r in rows.select(score_).collect()] == [0.5, None]
+    assert vec.nearest_centre(rows.limit(1), "v", [[5.0, 5.0], [1.0, 1.0]]).first()["centre"] == 1
+    same = spark.range(1).select(vec.correlation(F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)), F.array(F.lit(2.0), F.lit(4.0), F.lit(6.0))).alias("c")).first()["c"]
+    assert math.isclose(same, 1.0)
