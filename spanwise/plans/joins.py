@@ -155,3 +155,75 @@ def symmetric_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.state import key_difference
 
     return key_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("side", F.col("doc_id").alias("id"))
+
+
+def _typed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of the lines of an order; the widest lines of each order act as holders."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("i"),
+        F.struct((F.col("l_discount") * 100).alias("x0"), (F.col("l_discount") * 100 + F.col("l_quantity")).alias("x1"), F.lit(0.0).alias("y0"), F.col("l_quantity").alias("y1")).alias("box"),
+    )
+
+
+@query("""
+WITH b AS (SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s, l_linenumber AS i, l_discount * 100 AS x0, l_discount * 100 + l_quantity AS x1, 0.0 AS y0, l_quantity AS y1 FROM lineitem),
+h AS (SELECT a.o, a.p, b.p AS holder, row_number() OVER (PARTITION BY a.o, a.p ORDER BY (b.x1 - b.x0) * (b.y1 - b.y0), b.p) AS n
+      FROM b a JOIN b ON b.o = a.o WHERE a.i <= 3 AND b.i > 3 AND a.y1 > 0
+        AND greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) >= 0.6 * ((a.x1 - a.x0) * (a.y1 - a.y0)))
+SELECT o, p, holder FROM h WHERE n = 1
+""")
+def smallest_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.tracks import smallest_holder
+
+    boxes = _typed_boxes(spark, sf_dir)
+    return smallest_holder(boxes.filter("i <= 3").select("o", "p", "box"), boxes.filter("i > 3").select("o", F.col("p").alias("holder"), "box"), ["o"], "p", "holder")
+
+
+@query()
+def succession_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.tracks import successions
+
+    spans = _spans(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("w")), "id")
+    boxed = spans.select("cust", "id", F.col("a").alias("first"), F.col("z").alias("last"), F.struct(F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.col("w").alias("x1"), F.lit(1.0).alias("y1")).alias("box"))
+    return successions(boxed, ["cust"], "id", gap=30, least=0.5)
+
+
+@query("""
+WITH p AS (SELECT user_id, event_type, k, value >= 50 AS hit FROM (SELECT *, CAST(props->>'$.k' AS INTEGER) % 7 AS k FROM events)),
+s AS (SELECT user_id AS owner, k AS item, avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS share FROM p GROUP BY 1, 2)
+SELECT min(owner) AS owner, item, round(arg_min(share, owner), 6) AS share FROM s WHERE share >= 0.5 GROUP BY item
+""")
+def first_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.tracks import claims
+
+    pairs = observations(spark, sf_dir).select(F.col("user_id").alias("owner"), (F.col("k") % 7).alias("item"), "value")
+    return claims(pairs, "owner", "item", F.col("value") >= 50, 0.5).withColumn("share", F.round("share", 6))
+
+
+@query("""
+WITH e AS (SELECT l_orderkey AS o, l_linenumber AS i, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2), p AS (SELECT o, i, q + (o % 3) * 0.5 AS g FROM e WHERE (o + i) % 50 <> 0)
+SELECT round(max(abs(e.q - p.g)), 6) AS error, CAST(sum(CASE WHEN p.g IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing, count(*) AS expected, max(abs(e.q - p.g)) <= 2 AND sum(CASE WHEN p.g IS NULL THEN 1 ELSE 0 END) = 0 AS passed
+FROM e LEFT JOIN p ON p.o = e.o AND p.i = e.i
+""")
+def verified_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.tracks import verified
+
+    want = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("i")).agg(F.max("l_quantity").alias("q"))
+
+    def boxed(shift):
+        return F.struct(*[(F.col("q") + (shift if c == "x1" else F.lit(0.0))).alias(c) for c in ("x0", "y0", "x1", "y1")]).alias("box")
+
+    got = want.filter("(o + i) % 50 <> 0").select("o", "i", boxed((F.col("o") % 3) * 0.5))
+    return verified(want.select("o", "i", boxed(F.lit(0.0))), got, ["o", "i"], 2.0).withColumn("error", F.round("error", 6))
+
+
+@query("""
+WITH r AS (SELECT l_orderkey AS o, l_partkey AS p, l_suppkey AS s, l_extendedprice AS e, CASE WHEN NOT l_quantity >= 20 THEN 0 WHEN NOT l_discount <= 0.05 THEN 1 ELSE 2 END AS level FROM lineitem),
+b AS (SELECT *, max(level) OVER (PARTITION BY o) AS best FROM r)
+SELECT o, p, level, rank FROM (SELECT *, row_number() OVER (PARTITION BY o ORDER BY e DESC, p, s) AS rank FROM b WHERE level = best) WHERE rank <= 2
+""")
+def relaxed_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.tracks import relaxed_top
+
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), "l_extendedprice", "l_quantity", "l_discount")
+    return relaxed_top(rows, ["o"], [F.col("l_quantity") >= 20, F.col("l_discount") <= 0.05], F.col("l_extendedprice"), ["p", "s"], 2).select("o", "p", "level", "rank")

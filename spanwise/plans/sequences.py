@@ -206,3 +206,46 @@ def evenly_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reduced_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = seq.indexed(observations(spark, sf_dir), ENTITY, ORDER)
     return seq.keyed_curve(rows, ENTITY, "idx", "value", bound=60.0)
+
+
+@query(f"""
+WITH {CHANGED}, s AS (SELECT user_id, string_agg('[' || idx || ',' || k || ']', ',' ORDER BY idx) AS t FROM o WHERE event_type = 'signup' GROUP BY user_id)
+SELECT user_id, sha256('[' || t || ']') AS digest FROM s
+""")
+def boundary_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _changed(spark, sf_dir).filter("event_type = 'signup'")
+    pairs = F.transform(F.array_sort(F.collect_list(F.struct("idx", "k"))), lambda p: F.array(p["idx"], p["k"].cast("long")))
+    return rows.groupBy("user_id").agg(F.sha2(F.to_json(pairs), 256).alias("digest"))
+
+
+@query(f"""
+WITH {CHANGED}, n AS (SELECT user_id, idx, value, lead(idx) OVER w AS i2, lead(value) OVER w AS v2 FROM o WHERE k % 4 = 0 WINDOW w AS (PARTITION BY user_id ORDER BY idx))
+SELECT user_id, idx, round((v2 - value) / (i2 - idx) * 30, 4) + 0.0 AS speed, round(0.42 * 100, 4) AS influence FROM n WHERE v2 IS NOT NULL
+""")
+def key_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("idx")
+    rows = _changed(spark, sf_dir).filter("k % 4 = 0").withColumns({"i2": F.lead("idx").over(w), "v2": F.lead("value").over(w)}).filter("v2 is not null")
+    return rows.select("user_id", "idx", (F.round((F.col("v2") - F.col("value")) / (F.col("i2") - F.col("idx")) * 30, 4) + 0.0).alias("speed"), F.round(F.lit(0.42) * 100, 4).alias("influence"))
+
+
+@query(f"""
+WITH {CHANGED}, t AS (SELECT DISTINCT user_id, idx FROM o WHERE k % 5 = 0 OR k % 7 = 0),
+a AS (SELECT t.*, last_value(CASE WHEN k % 5 = 0 THEN value END IGNORE NULLS) OVER w AS x, last_value(CASE WHEN k % 7 = 0 THEN value END IGNORE NULLS) OVER w AS y
+      FROM t JOIN o USING (user_id, idx) WINDOW w AS (PARTITION BY user_id ORDER BY idx ROWS UNBOUNDED PRECEDING))
+SELECT user_id, idx, x, y FROM a
+""")
+def merged_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _changed(spark, sf_dir).filter("k % 5 = 0 or k % 7 = 0")
+    one = rows.withColumn("_x", F.when(F.col("k") % 5 == 0, F.col("value"))).withColumn("_y", F.when(F.col("k") % 7 == 0, F.col("value")))
+    both = seq.held(seq.held(one, ENTITY, "idx", "_x", "x"), ENTITY, "idx", "_y", "y")
+    return both.select("user_id", "idx", "x", "y")
+
+
+@query()
+def label_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.tracks import regions
+
+    cells = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 2000).alias("scene"), (F.col("p_partkey") % 50).alias("x"), F.floor(F.col("p_partkey") % 2000 / 50).alias("y"), (F.col("p_size") % 3).alias("label"))
+    return regions(cells, ["scene"], "x", "y", "label", least=3).select("region", "label", "area", "x0", "y0", "x1", "y1")

@@ -130,3 +130,56 @@ def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = F.from_json("props", "struct<k:int>")
     return table(spark, sf_dir, "events").select("event_id", "event_type", parsed["k"].alias("k"), (parsed["k"] * 2).alias("twice"))
+
+
+@query("""
+WITH c AS (SELECT user_id, event_id, epoch(ts) AS made, (SELECT max(epoch(ts)) FROM events) AS now FROM events WHERE event_type = 'signup'),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY made DESC, event_id DESC) AS n FROM c WHERE now - made <= 600000)
+SELECT user_id, event_id FROM r WHERE n <= 5
+""")
+def pairing_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = observations(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp").cast("double"))
+    now = rows.agg(F.max("at").alias("now"))
+    live = rows.filter("event_type = 'signup'").crossJoin(F.broadcast(now)).filter(F.col("now") - F.col("at") <= 600000)  # one row
+    newest = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("at"), F.desc("event_id")))
+    return live.withColumn("n", newest).filter("n <= 5").select("user_id", "event_id")
+
+
+@query("""
+WITH q AS (SELECT user_id AS device, event_id AS job, CAST(props->>'$.k' AS INTEGER) % 9 AS scene, row_number() OVER (PARTITION BY user_id, CAST(props->>'$.k' AS INTEGER) % 9 ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE event_type IN ('view', 'click'))
+SELECT device, job, scene, CASE WHEN n = 1 THEN 'queued' ELSE 'superseded' END AS state FROM q
+""")
+def superseded_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = observations(spark, sf_dir).filter(F.col("event_type").isin("view", "click"))
+    newest = F.row_number().over(Window.partitionBy("user_id", F.col("k") % 9).orderBy(F.desc("ts"), F.desc("event_id")))
+    return rows.select(F.col("user_id").alias("device"), F.col("event_id").alias("job"), (F.col("k") % 9).alias("scene"), F.when(newest == 1, "queued").otherwise("superseded").alias("state"))
+
+
+@query("""
+WITH d AS (SELECT event_id AS job, user_id AS device, event_type, event_id - 3 AS needs FROM events), p AS (SELECT event_id, event_type FROM events),
+r AS (SELECT d.job, d.device, row_number() OVER (PARTITION BY d.device ORDER BY d.job) AS n FROM d LEFT JOIN p ON p.event_id = d.needs WHERE d.event_type = 'view' AND (p.event_id IS NULL OR p.event_type = 'purchase')),
+b AS (SELECT DISTINCT user_id AS device FROM events WHERE event_type = 'error' AND event_id % 11 = 0)
+SELECT device, job FROM r WHERE n = 1 AND device NOT IN (SELECT device FROM b)
+""")
+def next_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = observations(spark, sf_dir).select(F.col("event_id").alias("job"), F.col("user_id").alias("device"), "event_type")
+    needed = rows.select((F.col("job") + 3).alias("job"), F.col("event_type").alias("before"))
+    ready = rows.filter("event_type = 'view'").join(needed, "job", "left").filter("before is null or before = 'purchase'")
+    busy = rows.filter("event_type = 'error' and job % 11 = 0").select("device").distinct()
+    first = F.row_number().over(Window.partitionBy("device").orderBy("job"))
+    return ready.join(busy, "device", "left_anti").withColumn("n", first).filter("n = 1").select("device", "job")
+
+
+@query("""
+SELECT event_id, greatest(0, 4 - CAST(props->>'$.k' AS INTEGER) % 7) AS retries_left, greatest(0, least(CAST(props->>'$.k' AS INTEGER), 80)) AS first_frame,
+       CASE event_type WHEN 'view' THEN 600 WHEN 'click' THEN 420 WHEN 'signup' THEN 300 WHEN 'purchase' THEN 60 ELSE 0 END AS eta FROM events
+""")
+def job_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    eta = F.create_map(*[F.lit(x) for pair in (("view", 600), ("click", 420), ("signup", 300), ("purchase", 60)) for x in pair])
+    return observations(spark, sf_dir).select("event_id", F.greatest(F.lit(0), 4 - F.col("k") % 7).alias("retries_left"), F.greatest(F.lit(0), F.least("k", F.lit(80))).alias("first_frame"), F.coalesce(F.try_element_at(eta, F.col("event_type")), F.lit(0)).alias("eta"))

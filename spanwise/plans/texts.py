@@ -97,3 +97,49 @@ def word_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, substr(text, 101, 200) AS slice, CASE WHEN length(text) > 300 THEN 300 END AS next_start FROM documents")
 def page_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 101, 200).alias("slice"), F.when(F.length("text") > 300, 300).alias("next_start"))
+
+
+@query("""
+WITH t AS (SELECT source, lang, left(text, 3) AS r, doc_id, n_chars FROM documents), c AS (SELECT source, lang, r, count(*) AS n, min(doc_id) AS seen FROM t GROUP BY 1, 2, 3),
+m AS (SELECT source, lang, arg_max(r, (n, -seen)) AS mode, CAST(max(n) AS BIGINT) AS n, CAST(sum(n) AS BIGINT) AS rows FROM c GROUP BY 1, 2),
+k AS (SELECT source, lang, avg(CASE WHEN n_chars > 500 THEN 1.0 ELSE 0.5 END) AS confidence FROM t GROUP BY 1, 2)
+SELECT source, lang, mode, n, rows, rows >= 3 AND (length(regexp_replace(mode, '[^\\p{L}\\p{N}]', '', 'g')) >= 2 OR (length(regexp_replace(mode, '[^\\p{L}\\p{N}]', '', 'g')) = 1 AND confidence >= 0.9)) AS kept
+FROM m JOIN k USING (source, lang)
+""")
+def kept_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.tracks import kept_texts as kept
+
+    rows = table(spark, sf_dir, "documents").select("source", "lang", "doc_id", F.substring("text", 1, 3).alias("r"), F.when(F.col("n_chars") > 500, 1.0).otherwise(0.5).alias("sure"))
+    return kept(rows, ["source", "lang"], "r", "doc_id", "sure").select("source", "lang", "mode", "n", "rows", "kept")
+
+
+@query("""
+WITH t AS (SELECT doc_id, source, left(text, 4 + CAST(doc_id % 5 AS INTEGER)) AS text, doc_id AS first FROM documents)
+SELECT source, count(*) AS tracks, min(first) AS first FROM t WHERE contains(lower(source || ' ' || doc_id), 'c1') GROUP BY source
+""")
+def library_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").filter(F.contains(F.lower(F.concat_ws(" ", "source", F.col("doc_id").cast("string"))), F.lit("c1")))
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("tracks"), F.min("doc_id").alias("first"))
+
+
+@query()
+def reveal_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.tracks import reveals
+
+    turns = table(spark, sf_dir, "conversations").filter("turn < 3")
+    # a typed line: the first words of a turn, more of them at each step
+    step = F.explode(F.sequence(F.lit(1), F.lit(4))).alias("step")
+    rows = turns.select("conv_id", "turn", "text", step).select("conv_id", (F.col("conv_id") * 100 + F.col("turn") * 10 + F.col("step")).alias("id"), F.substring("text", F.lit(1), F.col("step") * 6).alias("text"), (F.col("turn") * 100 + F.col("step") * 5).alias("first"))
+    return reveals(rows.withColumn("last", F.col("first") + 3), ["conv_id"], "id", "text", gap=3)
+
+
+@query("""
+SELECT doc_id, CASE WHEN label IN ('en', 'de', 'fr', 'es') THEN label END AS label, left(note, 120) AS note
+FROM (SELECT doc_id, json_extract_string(j, '$.label') AS label, json_extract_string(j, '$.note') AS note
+      FROM (SELECT doc_id, regexp_extract('Sure: {"label": "' || lang || '", "note": "' || source || '"} done', '\\{.*\\}') AS j FROM documents))
+""")
+def captions_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    answer = F.concat(F.lit('Sure: {"label": "'), "lang", F.lit('", "note": "'), "source", F.lit('"} done'))
+    parsed = F.from_json(F.regexp_extract(answer, r"\{.*\}", 0), "struct<label:string,note:string>")
+    rows = table(spark, sf_dir, "documents").select("doc_id", parsed.alias("j"))
+    return rows.select("doc_id", F.when(F.col("j.label").isin("en", "de", "fr", "es"), F.col("j.label")).alias("label"), F.substring("j.note", 1, 120).alias("note"))
