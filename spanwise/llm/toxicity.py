@@ -1,7 +1,8 @@
 """Toxicity by a small convolutional text classifier, trained here in numpy.
 
 Tokens are lower-cased runs of letters, digits and non-ASCII bytes.  A token's vector is
-the sum of hashed embeddings of the whole token and of its first four and six bytes;
+the sum of hashed embeddings of the whole token and, as far as it is longer, of its first
+four to seven bytes (endings vary more than stems);
 filters of width 1, 2 and 3 run over the vectors, each is max-pooled over the whole text,
 and a logistic layer reads the pools.  Buckets seen in fewer than three training texts
 stay zero, so unknown words are silent.  Thresholds are calibrated by language, where the
@@ -27,9 +28,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import eight_bytes, hash_ranges, mix, read_table, text_buffer, text_slices
 
-BUCKETS, DIM, FILTERS, WIDTHS = 1 << 15, 12, 8, (1, 2, 3)
+BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 8, (1, 2, 3)
+#: Bytes of the word beginnings that are features of longer words.
+BEGINNINGS = (4, 5, 6, 7)
+FEATURES = 1 + len(BEGINNINGS)
 #: Bounds of the training sample: texts of each class, characters of a text.
 SAMPLE, LONGEST = 3000, 200_000
+#: How many clean texts there are to a toxic one: what a false alarm costs, against a miss.
+COMMON_CLEAN = 4
 SLOTS = [(w, j) for w in WIDTHS for j in range(w)]
 
 # Function words that tell the languages apart.
@@ -48,7 +54,7 @@ _LOWER[65:91] += 32
 
 @dataclass
 class Tokens:
-    buckets: np.ndarray  # (tokens, 3)
+    buckets: np.ndarray  # (tokens, FEATURES); 0 for none
     words: np.ndarray  # hash of each whole token
     first: np.ndarray  # where each text's tokens begin; one more at the end
 
@@ -66,12 +72,11 @@ def tokenise(data: np.ndarray, offsets: np.ndarray) -> Tokens:
         start, end = np.sort(np.concatenate([start, cut[over]])), np.sort(np.concatenate([end, cut[over]]))
     words = hash_ranges(data, start, end)
     view, length = eight_bytes(data), end - start
-    buckets = np.empty((len(start), 3), np.int32)
-    buckets[:, 0] = words >> np.uint64(49)
-    for column, n in ((1, 4), (2, 6)):
-        bits = (np.minimum(length, n) * 8).astype(np.uint64)
-        head = view[start] & ((np.uint64(1) << bits) - np.uint64(1))
-        buckets[:, column] = mix(head + np.uint64(n)) >> np.uint64(49)
+    buckets = np.empty((len(start), FEATURES), np.int32)
+    buckets[:, 0] = np.maximum(words >> np.uint64(48), np.uint64(1))
+    for column, n in enumerate(BEGINNINGS, 1):
+        head = view[start] & np.uint64((1 << 8 * n) - 1)
+        buckets[:, column] = np.where(length > n, np.maximum(mix(head + np.uint64(n)) >> np.uint64(48), np.uint64(1)), 0)
     return Tokens(buckets, words, np.searchsorted(start, offsets))
 
 
@@ -95,6 +100,12 @@ def languages(tokens: Tokens) -> np.ndarray:
     return np.where(counts.max(axis=1, initial=0) > 0, counts.argmax(axis=1), n) if len(counts) else np.zeros(0, np.int64)
 
 
+def _joined(parts: list[Tokens]) -> Tokens:
+    ends = np.cumsum([0] + [len(p.words) for p in parts])
+    first = [p.first[:-1] + e for p, e in zip(parts, ends, strict=False)]
+    return Tokens(np.concatenate([p.buckets for p in parts]), np.concatenate([p.words for p in parts]), np.concatenate([*first, ends[-1:]]))
+
+
 @dataclass
 class Model:
     embedding: np.ndarray
@@ -133,7 +144,9 @@ def pooled(response: np.ndarray, first: np.ndarray, bias: np.ndarray) -> np.ndar
 
 
 def _forward(model: Model, tokens: Tokens, table: np.ndarray) -> np.ndarray:
-    response = table[tokens.buckets[:, 0]] + table[tokens.buckets[:, 1]] + table[tokens.buckets[:, 2]]
+    response = table[tokens.buckets[:, 0]]
+    for column in range(1, FEATURES):
+        response += table[tokens.buckets[:, column]]
     return (pooled(response, tokens.first, model.bias) * model.out).sum(axis=(1, 2)) + model.out_bias
 
 
@@ -145,17 +158,21 @@ def train(texts: pa.ChunkedArray, labels: np.ndarray, epochs: int = 6, batch: in
     if not len(labels) or labels.min() == labels.max():
         model.out_bias, model.trained = -20.0, False
         return model
-    tokens = tokenise(*text_buffer(texts))
+    tokens = _joined([tokenise(*text_buffer(part["text"])) for part in text_slices(pa.table({"text": texts}))])
     counts = np.diff(tokens.first)
-    text = np.repeat(np.arange(len(labels)), counts)
     held = rng.random(len(labels)) < 0.2
     learn = np.flatnonzero(~held)
-    seen = np.unique(np.concatenate([text * BUCKETS + tokens.buckets[:, c] for c in range(3)]))
-    seen_text, seen_bucket = seen // BUCKETS, seen % BUCKETS
-    ours = ~held[seen_text]
-    share = [np.bincount(seen_bucket[ours & (labels[seen_text] == y)], minlength=BUCKETS) for y in (0, 1)]
+    text = np.repeat(np.arange(len(labels)), counts)
+    share = np.zeros((2, BUCKETS), np.int64)
+    for column in range(FEATURES):
+        seen = np.unique(text * BUCKETS + tokens.buckets[:, column])
+        seen = seen[~held[seen // BUCKETS]]
+        np.add.at(share, (labels[seen // BUCKETS], seen % BUCKETS), 1)
+        del seen
+    del text
     n = [max(1, int((labels[learn] == y).sum())) for y in (0, 1)]
     frequent = share[0] + share[1] >= 3
+    frequent[0] = False
     odds = np.log((share[1] + 0.5) / (n[1] + 1)) - np.log((share[0] + 0.5) / (n[0] + 1))
     model.embedding[frequent] = rng.normal(0, 0.05, (int(frequent.sum()), DIM))
     model.embedding[frequent, 0] = np.clip(odds[frequent], -3, 6) / 3  # a warm start on one coordinate
@@ -208,7 +225,7 @@ def train(texts: pa.ChunkedArray, labels: np.ndarray, epochs: int = 6, batch: in
                         continue
                     s = SLOTS.index((w, j))
                     grads["kernel"][s] += np.einsum("bf,bfd->df", gj, vector[t])
-                    touched.append(buckets[t].reshape(-1, 3))
+                    touched.append(buckets[t].reshape(-1, FEATURES))
                     change.append((gj[:, :, None] * model.kernel[s].T[None]).reshape(-1, DIM))
             for k, v in params.items():
                 m, q = moment[k]
@@ -220,7 +237,7 @@ def train(texts: pa.ChunkedArray, labels: np.ndarray, epochs: int = 6, batch: in
             model.out_bias -= rate * float(delta.sum()) * 5
             if touched:
                 b3, c = np.concatenate(touched), np.concatenate(change)
-                for column in range(3):
+                for column in range(FEATURES):
                     b = b3[:, column]
                     keep = frequent[b]
                     np.add.at(squares, b[keep], (c[keep] ** 2).mean(axis=1))
@@ -230,7 +247,7 @@ def train(texts: pa.ChunkedArray, labels: np.ndarray, epochs: int = 6, batch: in
 
 
 def _calibrate(model: Model, tokens: Tokens, labels: np.ndarray, held: np.ndarray) -> None:
-    """Choose each language's threshold for the best balanced accuracy; few texts lean on the common one."""
+    """Choose each language's threshold for the fewest errors at common rates; few texts take the common one."""
     logits = np.concatenate([_forward(model, part, model.responses()) for part in _parts(tokens)])
     lang = languages(tokens)
 
@@ -240,7 +257,7 @@ def _calibrate(model: Model, tokens: Tokens, labels: np.ndarray, held: np.ndarra
         x, y = x[order], y[order]
         missed = np.concatenate([[0], np.cumsum(y)]) / y.sum()
         false = 1 - np.concatenate([[0], np.cumsum(1 - y)]) / (1 - y).sum()
-        cost = missed + 2 * false  # a clean text flagged costs more than a toxic one passed
+        cost = missed + COMMON_CLEAN * false
         ends = np.concatenate([[x[0] - 1], x, [x[-1] + 1]])
         at = np.flatnonzero(cost <= cost.min() + 1e-12)
         return float((ends[at] + ends[at + 1]).mean() / 2)  # the middle of the best gap
@@ -282,8 +299,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int =
     return train(rows["text"], rows["toxic"].to_numpy().astype(np.int64))
 
 
-def score_documents(docs: DataFrame, model: Model, columns: list[str] | None = None) -> DataFrame:
-    """The given columns of docs (doc_id by default), score and predicted."""
+def score_documents(docs: DataFrame, model: Model, columns: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """The given columns of docs (doc_id by default), score and predicted (or what names calls them)."""
     columns = columns or ["doc_id"]
     text = "text" if "text" in columns else "_text"
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
@@ -295,10 +312,10 @@ def score_documents(docs: DataFrame, model: Model, columns: list[str] | None = N
             for part in text_slices(batch, text):
                 s = score(fitted, tokenise(*text_buffer(part[text])), table)
                 kept = [part[c].combine_chunks() for c in columns]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype("int32"))], names=[*columns, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype("int32"))], names=[*columns, *names])
 
     rows = docs.select(*[docs[c] for c in columns], *([] if text == "text" else [docs["text"].alias(text)]))
-    schema = rows.select(*columns).schema.add("score", "double").add("predicted", "integer")
+    schema = rows.select(*columns).schema.add(names[0], "double").add(names[1], "integer")
     return rows.mapInArrow(run, schema)
 
 
