@@ -18,6 +18,9 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_recompression_dedup": recompression.ORACLE_SQL,
     "op4_norm_bucketed_search": search.ORACLE_SQL,
     "op5_prefix_target_chat": chat.ORACLE_SQL,
+    "op6_setsketch_near_dedup": near_dedup.ORACLE_SQL,
+    "op10_suffix_array_dedup": suffix_dedup.ORACLE_SQL,
 }
