@@ -303,10 +303,10 @@ def score_documents(docs: DataFrame, model: Model, columns: list[str] | None = N
     """The given columns of docs (doc_id by default), score and predicted (or what names calls them)."""
     columns = columns or ["doc_id"]
     text = "text" if "text" in columns else "_text"
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain arrays of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fitted = shared.value
+        fitted = Model(**shared.value)
         table = fitted.responses()
         for batch in batches:
             for part in text_slices(batch, text):
