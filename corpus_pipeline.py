@@ -17,7 +17,8 @@ from spanwise.llm.common import ensure_checkpoint_dir, read_table
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model, docs.columns).filter("predicted = 0").select(*docs.columns)
+    scored = toxicity.score_documents(docs, model, docs.columns, names=("_toxicity", "_toxic"))
+    return scored.filter("_toxic = 0").select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,8 +28,10 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = suffix_dedup.remove_repeats(docs, whole_characters=True).withColumn("text", F.col("kept").cast("string"))
-    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    others = F.struct(*[c for c in docs.columns if c not in ("text", "n_chars")]).alias("_row")
+    kept = suffix_dedup.remove_repeats(docs.select("doc_id", "text", others), whole_characters=True)
+    text = F.col("kept").cast("string")
+    return kept.select("_row.*", text.alias("text"), F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
