@@ -15,9 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: Bytes of text that one slice of an Arrow batch holds (a single longer text makes a slice of its own).
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +42,16 @@ def worker_state() -> dict:
     return module.__dict__.setdefault("kept", {})
 
 
+def _lean() -> None:
+    """Let a worker's Arrow buffers go back to the system when they are freed, not to a pool."""
+    if not worker_state().get("lean"):
+        pa.set_memory_pool(pa.system_memory_pool())
+        worker_state()["lean"] = True
+
+
 def text_slices(batch: pa.RecordBatch | pa.Table, text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.Table]:
     """Cut a batch into row ranges of about size bytes of text, never cutting a text."""
+    _lean()
     table = pa.table(batch) if isinstance(batch, pa.Table) else pa.Table.from_batches([batch])
     table = table.combine_chunks()
     if not table.num_rows:
@@ -54,6 +63,35 @@ def text_slices(batch: pa.RecordBatch | pa.Table, text: str = "text", size: int
         yield table.slice(start, end - start).combine_chunks()
 
 
+def pack_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Texts compressed one by one (length, then zstd), for a shuffle that carries them; read by unpacked_slices."""
+    schema = StructType([StructField(f.name, BinaryType() if f.name == text else f.dataType, f.nullable) for f in docs.schema])
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = batch.column(at).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
+            packed = [None if x is None else len(x).to_bytes(8, "little") + (pa.compress(x, codec="zstd", asbytes=True) if x else b"") for x in raw]
+            yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def unpacked_slices(batch: pa.RecordBatch, text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.Table]:
+    """Row ranges of about size bytes of text, with packed texts unpacked as bytes."""
+    _lean()
+    table = pa.Table.from_batches([batch])
+    packed = table[text].to_pylist()
+    lengths = np.array([0 if x is None else int.from_bytes(x[:8], "little") for x in packed], np.int64)
+    cuts = np.flatnonzero(np.diff((np.cumsum(lengths) - lengths) // size)) + 1
+    at = table.schema.get_field_index(text)
+    for start, end in zip([0, *cuts], [*cuts, len(packed)], strict=True):
+        if start == end:
+            return
+        raw = [None if x is None else pa.decompress(memoryview(x)[8:], decompressed_size=int(n), codec="zstd", asbytes=True) if n else b"" for x, n in zip(packed[start:end], lengths[start:end], strict=True)]
+        yield table.slice(start, end - start).set_column(at, text, pa.array(raw, pa.large_binary())).combine_chunks()
+
+
 def text_buffer(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all the column's texts and the offsets of each (nulls are empty)."""
     array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -15,7 +15,7 @@ rows are packed as often as they occur.  Rows with a null doc_id are packed as w
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,9 +27,9 @@ from .common import Words, hash_ranges, read_table, split_words, text_buffer, te
 #: Documents that one shard packs together.
 SHARD_DOCUMENTS = 65_536
 #: Distinct words whose ids a worker remembers before it starts anew.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 1_500_000
 #: Bytes of text whose distinct words are looked up together.
-SLICE_BYTES = 6_000_000
+SLICE_BYTES = 3_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
@@ -52,7 +52,7 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.hashes, self.checks, self.places = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -71,20 +71,26 @@ class WordEncoder:
             ids = np.concatenate(parts).astype(np.uint32)
         return ids, counts
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        """A number for each word, to look its ids up by."""
-        if len(self.known) > CACHED_WORDS:
+    def numbers(self, hashes: np.ndarray, checks: np.ndarray, word: Callable[[int], bytes]) -> np.ndarray:
+        """A number for each word, to look its ids up by; words are known by two 64-bit hashes (hashes ascend)."""
+        if len(self.hashes) > CACHED_WORDS:
             self.forget()
-        known = self.known
-        new = [w for w in words if w not in known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            ids, counts = self._encode(part)
-            base = len(self.ids)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        same = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        known = same & (self.checks[at] == checks) if len(self.hashes) else same
+        numbers = np.zeros(len(hashes), np.int64)
+        numbers[known] = self.places[at[known]]
+        new = np.flatnonzero(~known)
+        for begin in range(0, len(new), 20_000):
+            part = new[begin : begin + 20_000]
+            ids, counts = self._encode([word(i) for i in part.tolist()])
+            numbers[part] = len(self.ends) + np.arange(len(part))
+            self.ends = np.concatenate([self.ends, len(self.ids) + np.cumsum(counts)])
             self.ids = np.concatenate([self.ids, ids])
-            self.ends = np.concatenate([self.ends, base + np.cumsum(counts)])
-            known.update(zip(part, range(len(known), len(known) + len(part)), strict=True))
-        return np.fromiter((known[w] for w in words), np.int64, len(words))
+        keep = np.flatnonzero(~same)  # of two words with one first hash only one is remembered
+        place = np.searchsorted(self.hashes, hashes[keep])
+        self.hashes, self.checks, self.places = (np.insert(old, place, more[keep]) for old, more in ((self.hashes, hashes), (self.checks, checks), (self.places, numbers)))
+        return numbers
 
 
 _PUNCTUATION = np.zeros(256, bool)
@@ -125,8 +131,9 @@ def encode_texts(encoder: WordEncoder, data: np.ndarray, offsets: np.ndarray, en
         raw = raw.lower()
         start, end, begins_at = part_marks(split_words(np.frombuffer(raw, np.uint8), offsets))
         data = np.frombuffer(raw, np.uint8)
-    _, first, which = np.unique(hash_ranges(data, start, end), return_index=True, return_inverse=True)
-    numbers = encoder.numbers([raw[a:b] for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+    hashes, first, which = np.unique(hash_ranges(data, start, end), return_index=True, return_inverse=True)
+    begin, stop = start[first].tolist(), end[first].tolist()
+    numbers = encoder.numbers(hashes, hash_ranges(data, start[first], end[first], 1), lambda i: raw[begin[i] : stop[i]])
     ends = np.concatenate([encoder.ends, [len(encoder.ids) + 1]])  # the last entry is end_id
     flat = np.concatenate([encoder.ids, np.array([end_id], np.uint32)])
     begins = np.concatenate([[0], ends[:-1]])
