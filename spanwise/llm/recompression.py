@@ -17,12 +17,12 @@ that a row is shuffled for about four words instead of one per window:
 2. only their windows are compared one by one, by 128-bit digests;
 3. what repeats goes back to its document by doc_id, where words are removed.
 
-A task keeps one row of each stretch for 2 MB of text and passes on the others as repeats,
+A task keeps one row of each stretch for 1 MB of text and passes on the others as repeats,
 so a passage in a third of all documents gives few rows of one name.
 
 Windows are judged on the input.  Null text: no words.  A null doc_id is smaller than all
 others.  Rows that share a doc_id count as one document, whose windows repeat each other
-only at different starts.  Extra columns stay.  An empty table gives an empty one.
+only at different starts.  Extra columns stay, but for those named as the new ones.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import mix, read_table, signed, split_words, text_buffer, text_slices, word_hashes
+from .common import mix, pack_texts, read_table, signed, split_words, text_buffer, unpacked_slices, word_hashes
 
 ROUNDS = 5
 #: Place of a context that runs past its document: never inside a window.
@@ -198,7 +198,7 @@ _ROWS = ["name", "digest", "doc", "span"]
 def _rows_of(window: int, turns: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in unpacked_slices(batch):
                 words = split_words(*text_buffer(part["text"]))
                 word = word_hashes(words)
                 digest = RangeDigest(word)
@@ -222,7 +222,7 @@ def _windows_of(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in unpacked_slices(batch):
                 words = split_words(*text_buffer(part["text"]))
                 word = word_hashes(words)
                 spans = part["spans"].combine_chunks()
@@ -246,9 +246,9 @@ def _removed(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in unpacked_slices(batch):
                 kept, total, gone = [], [], []
-                for text, spans, starts in zip(part["text"].cast(pa.binary()).to_pylist(), part["spans"], part["starts"], strict=True):
+                for text, spans, starts in zip(part["text"].to_pylist(), part["spans"], part["starts"], strict=True):
                     words = (text or b"").split()
                     change = np.zeros(len(words) + window + 1, np.int64)
                     if spans.is_valid:
@@ -266,9 +266,7 @@ def _removed(window: int):
                     kept.append(b" ".join(compress(words, ~removed) if n else words))
                     total.append(len(words))
                     gone.append(n)
-                extra = [part[c].combine_chunks() for c in part.column_names if c not in ("doc", "text", "spans", "starts")]
-                names = [c for c in part.column_names if c not in ("doc", "text", "spans", "starts")]
-                yield pa.RecordBatch.from_arrays([*extra, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*names, "text", "n_words", "n_removed"])
+                yield pa.RecordBatch.from_arrays([part["row"].combine_chunks(), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=["row", "text", "n_words", "n_removed"])
 
     return run
 
@@ -297,9 +295,10 @@ def repeats_by_name(rows: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, window: int = 20, turns: int = ROUNDS) -> DataFrame:
     """docs with text reduced to its kept words, joined by one space, and columns n_words and n_removed."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_words", "n_removed")]
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), "text", "doc_id", *others)
-    dealt = keyed.repartition("doc")  # all its columns go everywhere, so that one shuffle serves all three uses
+    others = [c for c in docs.columns if c not in ("text", "n_words", "n_removed")]
+    # the other columns travel as one, so that their names can't clash with those used here
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), "text", F.struct(*others).alias("row"))
+    dealt = pack_texts(keyed).repartition("doc")  # all its columns go everywhere, so that one shuffle serves all three uses
     rows = dealt.mapInArrow(_rows_of(window, turns), ROWS)
     spans = repeats_by_name(rows).hint("shuffle_hash")
     to_compare = dealt.join(spans.filter(F.exists("spans", lambda s: s.bitwiseAND(F.lit(1)) == 1)), "doc")
@@ -311,13 +310,23 @@ def remove_repeats(docs: DataFrame, window: int = 20, turns: int = ROUNDS) -> Da
         .filter("later").groupBy("doc").agg(F.collect_set("start").alias("starts")).hint("shuffle_hash")
     )
     joined = dealt.join(spans, "doc", "left").join(starts, "doc", "left")
-    result = joined.select(*docs.select("doc_id", *others).columns, "doc", "text", "spans", "starts")
-    schema = docs.select("doc_id", *others).schema
+    schema = keyed.select("row").schema
     for name, kind in (("text", "string"), ("n_words", "long"), ("n_removed", "long")):
         schema = schema.add(name, kind)
-    return result.mapInArrow(_removed(window), schema)
+    return joined.select("row", "doc", "text", "spans", "starts").mapInArrow(_removed(window), schema).select("row.*", "text", "n_words", "n_removed")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS n FROM g) WHERE n > 1),
+d AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS i FROM r),
+t AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
+k AS (SELECT t.doc_id, count(d.i) AS gone, coalesce(string_agg(word, ' ' ORDER BY t.i) FILTER (WHERE d.i IS NULL), '') AS kept FROM t LEFT JOIN d ON d.doc_id = t.doc_id AND d.i = t.i GROUP BY t.doc_id)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.doc_id = w.doc_id
+"""
