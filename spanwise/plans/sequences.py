@@ -220,7 +220,7 @@ def boundary_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {CHANGED}, n AS (SELECT user_id, idx, value, lead(idx) OVER w AS i2, lead(value) OVER w AS v2 FROM o WHERE k % 4 = 0 WINDOW w AS (PARTITION BY user_id ORDER BY idx))
-SELECT user_id, idx, round((v2 - value) / (i2 - idx) * 30, 4) + 0.0 AS speed, round(0.42 * 100, 4) AS influence FROM n WHERE v2 IS NOT NULL
+SELECT user_id, idx, round((v2 - value) / (i2 - idx) * 30, 4) + 0.0 AS speed, CAST(round(0.42 * 100, 4) AS DOUBLE) AS influence FROM n WHERE v2 IS NOT NULL
 """)
 def key_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
