@@ -90,6 +90,8 @@ def chosen_pairs(pairs: DataFrame, group: list[str], left: str, right: str, cost
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def solve(rows: pd.DataFrame) -> pd.DataFrame:
+            if not len(rows):
+                return rows
             keys = rows[group]
             edges = np.flatnonzero((keys.ne(keys.shift())).any(axis=1).to_numpy())
             a, b, c = rows[left].to_numpy(), rows[right].to_numpy(), rows[cost].to_numpy()

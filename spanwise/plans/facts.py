@@ -134,3 +134,12 @@ def element_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     corners = geo.affine_corners(F.col("value"), F.col("k").cast("double"), F.lit(2.0), F.lit(1.0), F.col("k") * 3.0, F.lit(10.0), F.lit(10.0))
     box = geo.bounding_box(corners)
     return rows.withColumn("box", box).select("event_id", *[F.round(F.col(f"box.{c}"), 4).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+@query()
+def merged_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.greedy import merged_points
+
+    rows = table(spark, sf_dir, "part").withColumn("scene", F.col("p_partkey") % 40)
+    lab = geo.lab(*[(F.col("p_size") * n + F.col("p_partkey") % 7) % 256 for n in (5, 11, 3)])
+    return merged_points(rows.select("scene", "p_partkey", *[v.alias(n) for n, v in zip("lab", lab, strict=True)]), ["scene"], "p_partkey", ["l", "a", "b"], 3.0)

@@ -227,3 +227,11 @@ def relaxed_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), "l_extendedprice", "l_quantity", "l_discount")
     return relaxed_top(rows, ["o"], [F.col("l_quantity") >= 20, F.col("l_discount") <= 0.05], F.col("l_extendedprice"), ["p", "s"], 2).select("o", "p", "level", "rank")
+
+
+@query()
+def boundary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.greedy import boundary_scores as scores
+
+    rows = seq.indexed(observations(spark, sf_dir), ["user_id"], ["ts", "event_id"])
+    return scores(rows.filter("event_type = 'signup'"), rows.filter("event_type = 'error'"), ["user_id"], "idx", 1)

@@ -249,3 +249,18 @@ def label_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     cells = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 2000).alias("scene"), (F.col("p_partkey") % 50).alias("x"), F.floor(F.col("p_partkey") % 2000 / 50).alias("y"), (F.col("p_size") % 3).alias("label"))
     return regions(cells, ["scene"], "x", "y", "label", least=3).select("region", "label", "area", "x0", "y0", "x1", "y1")
+
+
+@query()
+def spaced_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.greedy import spaced
+
+    return spaced(_changed(spark, sf_dir).filter("change >= 40").select("user_id", "idx", "event_id"), ENTITY, "idx", gap=6, most=24)
+
+
+@query()
+def view_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.greedy import fit_in_budget
+
+    rows = _changed(spark, sf_dir).select("user_id", "idx", (F.col("k") * 10).alias("full"), F.col("k").alias("small"))
+    return fit_in_budget(rows, ENTITY, ["idx"], "full", "small", 6000)
