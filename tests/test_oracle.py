@@ -2,6 +2,8 @@
 
 import os
 
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -23,11 +25,11 @@ def duck():
 
 def _rows(frame):
     def plain(v):
-        if v is None or v != v:
+        if v is None or pd.isna(v):
             return "null"
-        if isinstance(v, float):
+        if isinstance(v, float) and not v.is_integer():
             return f"{v:.6g}"
-        return str(int(v)) if isinstance(v, bool) or hasattr(v, "bit_count") else str(v)
+        return str(int(v)) if isinstance(v, (bool, float, np.bool_, np.integer)) else str(v)
 
     return sorted(tuple(plain(v) for v in row) for row in frame[sorted(frame.columns)].astype(object).itertuples(index=False))
 
