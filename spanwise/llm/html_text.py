@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import read_table, text_slices
 
 # Element and class names.
-RAW = "script style noscript template iframe svg math canvas object head title textarea select".split()
+RAW = "script style title textarea iframe noscript".split()  # text to the end tag, or to the page's end
+SKIPPED = "template svg math canvas object select".split()  # left out where they are closed
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 OUTSIDE = {"nav": -9.0, "footer": -9.0, "aside": -9.0, "form": -9.0, "header": -6.0, "menu": -9.0, "dialog": -9.0, "button": -9.0, "label": -4.0, "fieldset": -9.0}
@@ -42,7 +43,7 @@ GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|content|entry|post|story|body|ma
 BAD_ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
 
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<({'|'.join(RAW)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<({'|'.join(RAW)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<({'|'.join(SKIPPED)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?</\2\s*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z:-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -96,7 +97,7 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 links += m.start() - at
         at = m.end()
-        tag = (m[3] or "").lower()
+        tag = (m[4] or "").lower()
         if not tag:
             continue
         if tag == "br":
@@ -104,20 +105,20 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCK:
             close()
-        if m[2]:
+        if m[3]:
             if any(t == tag for t, _, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
             in_link = sum(t == "a" for t, _, _ in stack)
             continue
-        if tag in VOID or m[4].endswith("/"):
+        if tag in VOID or m[5].endswith("/"):
             continue
         if tag in ("p", "li", "dd", "dt", "tr", "td", "th", "option"):  # these close an open one of their kind
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if depth is not None and not any(t in ("ul", "ol", "table", "dl") for t, _, _ in stack[depth + 1 :]):
                 del stack[depth:]
         number += 1
-        stack.append((tag, number, (stack[-1][2] if stack else 0.0) + _element_prior(tag, m[4])))
+        stack.append((tag, number, (stack[-1][2] if stack else 0.0) + _element_prior(tag, m[5])))
         in_link = sum(t == "a" for t, _, _ in stack)
     if at < len(page):
         parts.append(page[at:])
