@@ -7,9 +7,9 @@ those that were not, by how many of the group they lead to, and their known pref
 by so many of the group's prefixes.  At the end each group holds the suffixes with one
 Lyndon prefix, and groups stand in the order of those prefixes.
 
-The second phase walks the suffix array upwards.  A suffix ends the Lyndon prefix of each
-suffix just before it, and those take the next free place of their groups.  No suffix is
-renamed again.
+The second phase walks the suffix array upwards, as far as places are filled at a time.  A
+suffix ends the Lyndon prefixes of some suffixes before it in the text, and those take the
+next free places of their groups.  No suffix is renamed again.
 
 All texts take their steps together: one numpy pass handles the highest open group of
 every text.  A text is a row of bytes plus one, with zeros (which are smallest, and whose
@@ -117,20 +117,27 @@ def suffix_array(symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
     order = np.argsort(ends, kind="stable")
     inner, ends = inner[order], ends[order]
     begins = np.searchsorted(ends, np.arange(n + 1))
-    free = group.copy()  # indexed by group start: its next free place
-    free[:] = np.arange(n)
+    free = np.arange(n)  # the next free place of the group that starts there
+    filled = out >= 0
     at, stop = first[:-1].copy(), first[1:]
-    live = at < stop
-    at, stop = at[live], stop[live]
-    while len(at):
-        s = out[at]
-        count = begins[s + 1] - begins[s]
-        i = inner[_flat(begins[s], count)]
-        g = group[i]
-        place = free[g]
-        out[place] = i
-        free[g] = place + 1
-        at = at + 1
+    while True:
         live = at < stop
         at, stop = at[live], stop[live]
-    return out
+        if not len(at):
+            return out
+        # all places filled without a gap are final: they are walked at once, in order
+        gaps = np.append(np.flatnonzero(~filled), n)
+        upto = np.minimum(gaps[np.searchsorted(gaps, at)], stop)
+        s = out[_flat(at, upto - at)]
+        i = inner[_flat(begins[s], begins[s + 1] - begins[s])]
+        g = group[i]
+        order = np.argsort(g, kind="stable")
+        i, g = i[order], g[order]
+        lead = np.ones(len(g), bool)
+        lead[1:] = g[1:] != g[:-1]
+        heads = np.flatnonzero(lead)
+        count = np.diff(np.append(heads, len(g)))
+        place = _flat(free[g[heads]], count)
+        out[place], filled[place] = i, True
+        free[g[heads]] += count
+        at = upto
