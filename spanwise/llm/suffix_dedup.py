@@ -5,22 +5,26 @@ doc_id are removed.  Equal strings must meet in one task, so each string is deal
 anchor: of the byte grams inside it the one with the least hash, the first of equals.
 Neighbouring strings with one anchor make one row, about one row for sixteen bytes:
 
-1. rows are dealt by the hash of their anchor.  A gram that only one document has needs
-   nothing more.  Rows whose whole stretch of bytes is equal (96 bits of digests) are one
-   string of the suffix array, owned by its smallest document; all others repeat it;
-2. where several stretches share a gram, the suffixes of each are sorted by linear
-   grouping (``suffix_groups``), many grams side by side.  Neighbours in the suffix array
+1. a text that a smaller document has as a whole repeats from end to end and goes no
+   further; the rows of all others are dealt by the hash of their anchor.  A gram that only
+   one document has needs nothing more.  Rows whose whole stretch of bytes is equal (96 bits
+   of digests) are one string of the suffix array, owned by its smallest document; all
+   others repeat it;
+2. where several stretches share a gram, and go on alike for half a string's rest on one
+   side of it, their suffixes are sorted by linear grouping (``suffix_groups``), the
+   stretches of many such longer grams side by side.  Neighbours in the suffix array
    that agree in ``width`` bytes form runs, and a suffix repeats if its run has a smaller
    document;
 3. what repeats goes back to its document by doc_id, where bytes are removed.
 
-A task keeps one row of each stretch for 2 MB of text and passes on the others as repeats,
+A task keeps one row of each stretch for 1 MB of text and passes on the others as repeats,
 so a text in a third of all documents gives few rows of one gram.  Grams of one task are
 sorted in portions of bounded size; a single gram makes a portion of its own if it must.
 
 Strings are judged on the input and never cross documents.  Null text: no bytes.  A null
 doc_id is smaller than all others.  Rows that share a doc_id are one document, which does
-not repeat itself.  Extra columns stay.  An empty table gives an empty one.
+not repeat itself.  Extra columns stay, but for those named as the new ones.  An empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,13 +35,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import eight_bytes, hash_ranges, mix, read_table, signed, text_buffer, text_slices
+from .common import eight_bytes, hash_ranges, mix, pack_texts, read_table, signed, text_buffer, unpacked_slices
 from .recompression import pack_span, unpack_span
 from .suffix_groups import suffix_array
 
-#: Bytes of a gram, and bytes of stretches whose suffixes are sorted side by side.
+#: Bytes of a gram (17 to 24), and bytes of stretches whose suffixes are sorted side by side.
 GRAM, PORTION = 20, 1_500_000
-_A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _ROWS = ["name", "digest", "doc", "span"]
 
 
@@ -51,8 +55,7 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     h *= _B
     h ^= h >> np.uint64(29)
     h ^= view[16 : n + 16] & np.uint64((1 << 8 * (GRAM - 16)) - 1)
-    h *= _C
-    return h ^ (h >> np.uint64(32))
+    return mix(h)
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -83,7 +86,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nda
 def _rows_of(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in unpacked_slices(batch):
                 data, offsets = text_buffer(part["text"])
                 name, begin, last, text = stretches(data, offsets, width)
                 doc = part["doc"].to_numpy()[text]
@@ -118,7 +121,7 @@ def _bytes_of(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in unpacked_slices(batch):
                 data, offsets = text_buffer(part["text"])
                 spans = part["spans"].combine_chunks()
                 counts = spans.value_lengths().fill_null(0).to_numpy()
@@ -134,13 +137,40 @@ def _bytes_of(width: int):
                 name = found[np.arange(len(at)), best]
                 raw = data.tobytes()
                 pieces = [raw[a:b] for a, b in zip(at.tolist(), (at + more + width).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(part["doc"].to_numpy()[text]), pa.array(begin, pa.int64()), pa.array(pieces, pa.binary())], names=["name", "doc", "start", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(part["doc"].to_numpy()[text]), pa.array(begin, pa.int64()), pa.array(best, pa.int32()), pa.array(pieces, pa.binary())], names=["name", "doc", "start", "gram_at", "bytes"])
 
     return run
 
 
+def _halves(table: pa.Table, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]]:
+    """Parts of the pieces whose strings may repeat: key, document, start and bytes, ordered by key.
+
+    A string has its rest on both sides of the gram, half of it on one side at least.  So it
+    can only equal strings whose gram goes on alike for half the rest on that side; pieces
+    that share this longer gram are sorted together, those that share it with none not at all.
+    """
+    name, doc, start = (table[c].to_numpy() for c in ("name", "doc", "start"))
+    data, offsets = text_buffer(table["bytes"])
+    half = (width - GRAM + 1) // 2
+    at = offsets[:-1] + table["gram_at"].to_numpy()
+    raw = data.tobytes()
+    sides = (
+        (at - half, at + GRAM, offsets[:-1], np.minimum(offsets[1:], at - half + width)),  # strings from at - half or before
+        (at, at + GRAM + half, np.maximum(offsets[:-1], at - half + 1), offsets[1:]),  # strings from after that
+    )
+    for side, (key_begin, key_end, begin, end) in enumerate(sides):
+        rows = np.flatnonzero((key_begin >= offsets[:-1]) & (key_end <= offsets[1:]) & (end - begin >= width))
+        key = mix(hash_ranges(data, key_begin[rows], key_end[rows], side) ^ mix(name[rows].view(np.uint64)))
+        _, which, counts = np.unique(key, return_inverse=True, return_counts=True)
+        keep = np.flatnonzero(counts[which] > 1) if len(rows) else rows
+        keep = keep[np.argsort(which[keep], kind="stable")]
+        rows, which = rows[keep], which[keep]
+        if len(rows):
+            yield which, doc[rows], (start + begin - offsets[:-1])[rows], pa.array([raw[i:j] for i, j in zip(begin[rows].tolist(), end[rows].tolist(), strict=True)], pa.binary())
+
+
 def _repeated_suffixes(name: np.ndarray, doc: np.ndarray, start: np.ndarray, pieces: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, span) of suffixes that agree in width bytes with one of a smaller document under the same gram."""
+    """(doc, span) of suffixes that agree in width bytes with one of a smaller document under the same name."""
     data, offsets = text_buffer(pieces)
     lengths = np.diff(offsets)
     lead = np.ones(len(name), bool)
@@ -205,8 +235,9 @@ def _sort_suffixes(width: int):
                 yield pa.Table.from_batches(held)
 
         for table in portions():
-            doc, span = _repeated_suffixes(table["name"].to_numpy(), table["doc"].to_numpy(), table["start"].to_numpy(), table["bytes"].combine_chunks(), width)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(span, pa.int64())], names=["doc", "span"])
+            for key, doc, start, pieces in _halves(table, width):
+                found, span = _repeated_suffixes(key, doc, start, pieces, width)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(span, pa.int64())], names=["doc", "span"])
 
     return run
 
@@ -214,11 +245,11 @@ def _sort_suffixes(width: int):
 def _removed(width: int, whole_characters: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in unpacked_slices(batch):
                 data, offsets = text_buffer(part["text"])
                 n = len(data)
                 change = np.zeros(n + 1, np.int64)
-                for column, flagged in (("spans", True), ("sorted", False)):
+                for column in ("spans", "sorted"):
                     lists = part[column].combine_chunks()
                     counts = lists.value_lengths().fill_null(0).to_numpy()
                     begin, more, flag = unpack_span(lists.flatten().to_numpy())
@@ -227,6 +258,9 @@ def _removed(width: int, whole_characters: bool):
                     ok = (flag == 0) & (at + more + width <= offsets[text + 1])
                     np.add.at(change, at[ok], 1)
                     np.add.at(change, (at + more + width)[ok], -1)
+                whole = part["copy"].combine_chunks().fill_null(False).to_numpy(zero_copy_only=False) & (np.diff(offsets) >= width)
+                change[offsets[:-1][whole]] += 1
+                np.add.at(change, offsets[1:][whole], -1)
                 gone = np.cumsum(change)[:n] > 0
                 if whole_characters and n:
                     begins = np.flatnonzero((data & 0xC0) != 0x80)
@@ -240,33 +274,58 @@ def _removed(width: int, whole_characters: bool):
                 left = np.ascontiguousarray(data[~gone]) if n else data
                 ends = np.cumsum(np.diff(offsets) - removed)
                 kept = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64).tobytes()), pa.py_buffer(left.tobytes())])
-                names = [c for c in part.column_names if c not in ("doc", "text", "spans", "sorted")]
-                yield pa.RecordBatch.from_arrays([*(part[c].combine_chunks() for c in names), kept.cast(pa.binary()), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
+                yield pa.RecordBatch.from_arrays([part["row"].combine_chunks(), kept.cast(pa.binary()), pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names=["row", "kept", "n_bytes", "n_removed", "n_spans"])
 
     return run
 
 
+def exact_copies(keyed: DataFrame, width: int) -> DataFrame:
+    """doc and the digests of its texts that a smaller document has too (copies of less than width bytes do not matter)."""
+    slim = keyed.filter(F.octet_length("text") >= width).select("doc", "whole")
+    owners = slim.groupBy("whole").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last")
+    return slim.join(owners.select("whole", "owner"), "whole").filter("doc > owner").groupBy("doc").agg(F.collect_set("whole").alias("copied"))
+
+
 def remove_repeats(docs: DataFrame, width: int = 50, whole_characters: bool = False) -> DataFrame:
     """docs without text, with its kept bytes and columns n_bytes, n_removed and n_spans.
 
     With whole_characters, a character that loses a byte goes as a whole, so that what is kept is text.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text", "kept", "n_bytes", "n_removed", "n_spans")]
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), "text", "doc_id", *others)
-    dealt = keyed.repartition("doc")  # all its columns go everywhere, so that one shuffle serves all three uses
-    rows = dealt.mapInArrow(_rows_of(width), "name long, digest int, doc long, span long")
+    others = [c for c in docs.columns if c not in ("text", "kept", "n_bytes", "n_removed", "n_spans")]
+    # the other columns travel as one, so that their names can't clash with those used here
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), "text", F.struct(*others).alias("row"), F.unhex(F.sha2("text", 256)).alias("whole"))
+    dealt = pack_texts(keyed).repartition("doc")  # all its columns go everywhere, so that one shuffle serves all three uses
+    copies = exact_copies(keyed, width).hint("shuffle_hash")
+    copy = F.coalesce(F.array_contains("copied", F.col("whole")), F.lit(False))
+    own = dealt.join(copies, "doc", "left").filter(~copy).drop("copied")
+    rows = own.mapInArrow(_rows_of(width), "name long, digest int, doc long, span long")
     spans = repeats_by_gram(rows).hint("shuffle_hash")
     to_sort = dealt.join(spans.filter(F.exists("spans", lambda s: s.bitwiseAND(F.lit(1)) == 1)), "doc")
-    pieces = to_sort.mapInArrow(_bytes_of(width), "name long, doc long, start long, bytes binary")
+    pieces = to_sort.mapInArrow(_bytes_of(width), "name long, doc long, start long, gram_at int, bytes binary")
     found = pieces.repartition("name").sortWithinPartitions("name").mapInArrow(_sort_suffixes(width), "doc long, span long")
     found = found.groupBy("doc").agg(F.collect_list("span").alias("sorted")).hint("shuffle_hash")
-    joined = dealt.join(spans, "doc", "left").join(found, "doc", "left")
-    schema = docs.select("doc_id", *others).schema
+    joined = dealt.join(copies, "doc", "left").join(spans, "doc", "left").join(found, "doc", "left").withColumn("copy", copy)
+    schema = keyed.select("row").schema
     for name, kind in (("kept", "binary"), ("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long")):
         schema = schema.add(name, kind)
-    return joined.select("doc_id", *others, "doc", "text", "spans", "sorted").mapInArrow(_removed(width, whole_characters), schema)
+    result = joined.select("row", "doc", "text", "copy", "spans", "sorted").mapInArrow(_removed(width, whole_characters), schema)
+    return result.select("row.*", "kept", "n_bytes", "n_removed", "n_spans")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
     return remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM h)),
+f AS (SELECT g, min(doc_id) AS o FROM g GROUP BY g HAVING count(DISTINCT doc_id) > 1),
+r AS (SELECT g.doc_id, g.i FROM g JOIN f ON f.g = g.g WHERE g.doc_id > f.o),
+o AS (SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r),
+q AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM o),
+s AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS z FROM q GROUP BY doc_id, k),
+c AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS y FROM s),
+t AS (SELECT c.doc_id, sum(z - a) AS gone, count(*) AS spans, max(z) AS tail, string_agg(substr(h, 2 * y + 1, 2 * (a - y)), '' ORDER BY a) AS head FROM c JOIN h ON h.doc_id = c.doc_id GROUP BY c.doc_id)
+SELECT h.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1))) AS kept_sha256 FROM h LEFT JOIN t ON t.doc_id = h.doc_id
+"""
