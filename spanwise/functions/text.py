@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import difflib
 import html.parser
+import json
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -75,6 +77,28 @@ def scrub_paths(text: Column) -> Column:
     return F.regexp_replace(text, r"(^|[\s\"'(=])(?:~|/[^\s/\"'()]+)(?:/[^\s/\"'()]+)*/([^\s/\"'()]+)", "$1$2")
 
 
+def without_private(value: object, private: re.Pattern[str]) -> object:
+    """Nested values without the keys that match, at any depth."""
+    if isinstance(value, dict):
+        return {k: without_private(v, private) for k, v in value.items() if not private.search(k)}
+    if isinstance(value, list):
+        return [without_private(v, private) for v in value]
+    return value
+
+
+def redacted(pattern: str) -> Callable[[Column | str], Column]:
+    """A column function: JSON texts without the keys that match, ignoring case; what is no JSON becomes null."""
+    private = re.compile(pattern, re.IGNORECASE)
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(without_private(json.loads(text), private), ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return F.pandas_udf(lambda texts: texts.map(one), StringType())
+
+
 class _PageText(html.parser.HTMLParser):
     """Readable text of a page: headings marked, links kept, hidden parts left out."""
 

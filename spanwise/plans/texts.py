@@ -143,3 +143,10 @@ def captions_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = F.from_json(F.regexp_extract(answer, r"\{.*\}", 0), "struct<label:string,note:string>")
     rows = table(spark, sf_dir, "documents").select("doc_id", parsed.alias("j"))
     return rows.select("doc_id", F.when(F.col("j.label").isin("en", "de", "fr", "es"), F.col("j.label")).alias("label"), F.substring("j.note", 1, 120).alias("note"))
+
+
+@query("""SELECT event_id, '{"k": ' || CAST(props->>'$.k' AS INTEGER) || ', "in": [{"n": 1}]}' AS props FROM events""")
+def redacted_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k")
+    nested = F.concat(F.lit('{"k": '), k, F.lit(', "apiToken": "x", "in": [{"n": 1, "user_secret": 2}]}'))
+    return table(spark, sf_dir, "events").select("event_id", tx.redacted("token|secret|password")(nested).alias("props"))

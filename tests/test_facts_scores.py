@@ -128,3 +128,8 @@ def test_network_and_centres(spark):
     assert vec.nearest_centre(rows.limit(1), "v", [[5.0, 5.0], [1.0, 1.0]]).first()["centre"] == 1
     same = spark.range(1).select(vec.correlation(F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0)), F.array(F.lit(2.0), F.lit(4.0), F.lit(6.0))).alias("c")).first()["c"]
     assert math.isclose(same, 1.0)
+
+
+def test_redaction_is_deep_and_total(spark):
+    rows = spark.createDataFrame([('{"a": [{"Token": 1, "b": 2}], "secretKey": 3}',), ("no json",), (None,)], "s string")
+    assert [r[0] for r in rows.select(tx.redacted("token|secret")("s")).collect()] == ['{"a": [{"b": 2}]}', None, None]
