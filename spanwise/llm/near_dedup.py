@@ -192,7 +192,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         labels = labels.join(hooks, "component", "left").select("node", F.coalesce("to", "component").alias("component")).checkpoint()
 
 
-def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"), size=4)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -164,7 +164,7 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
             words[rng.randrange(len(words))] = f"new{rng.randrange(9)}"
         texts.append(" ".join(words))
     texts += [None, "", "one two", "ONE two", "one two three", base[0].upper(), base[1], "  "]
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(_table(spark, texts)).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(_table(spark, texts), size=4).collect()}
     assert got == _brute_components(list(enumerate(texts)), 4, 80)
 
 
