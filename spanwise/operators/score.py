@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -158,8 +156,3 @@ def paired_bootstrap(differences: DataFrame, cluster: str, value: str, draws: in
     interval = means.agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
     centre = sums.agg((F.sum("total") / F.sum("n")).alias("mean"), F.count(F.lit(1)).alias("clusters"), F.sum("n").alias("n"))
     return centre.crossJoin(interval).select("mean", "low", "high", "clusters", "n")  # one row each
-
-
-def fold(functions: list, start: DataFrame) -> DataFrame:
-    """Apply DataFrame functions one after another."""
-    return functools.reduce(lambda df, f: f(df), functions, start)

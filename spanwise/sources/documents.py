@@ -50,12 +50,11 @@ def keys(elements_: DataFrame) -> DataFrame:
 
 def element_faults(elements_: DataFrame) -> DataFrame:
     """Elements that break an invariant, with a code for the first one broken."""
-    times = F.flatten(F.transform(F.map_values("tracks"), lambda k: F.array(F.col("id"))))
     unordered = F.exists(F.map_values("tracks"), lambda k: F.exists(F.sequence(F.lit(1), F.greatest(F.size(k) - 1, F.lit(1))), lambda i: (F.size(k) > 1) & (F.element_at(k, i + 1)["t"] <= F.element_at(k, i)["t"])))
     unknown = F.exists(F.map_keys("tracks"), lambda p: ~p.isin(*KNOWN_TRACKS))
     empty = F.exists(F.map_values("tracks"), lambda k: F.size(k) == 0)
     code = (
-        F.when(F.col("id").isNull() | times.isNull() & F.lit(False), "no id").when(F.col("first") > F.col("last"), "range").when(~F.col("kind").isin("text", "sprite", "ui", "3d", "group"), "kind")
+        F.when(F.col("id").isNull(), "no id").when(F.col("first") > F.col("last"), "range").when(~F.col("kind").isin("text", "sprite", "ui", "3d", "group"), "kind")
         .when(unknown, "track name").when(empty, "empty track").when(unordered, "key order")
     )
     return elements_.withColumn("fault", code).filter("fault is not null").select("scene", "id", "fault")
