@@ -81,7 +81,7 @@ class _Silence(StatefulProcessor):
                 self.handle.deleteTimer(timer)
         self.seen.update((last.to_pydatetime(),))
         self.handle.registerTimer(int(last.timestamp() * 1000) + 1000 * self.seconds)
-        yield pd.DataFrame({self.device: [], "lost_after": []}).astype({"lost_after": "datetime64[ns]"})
+        yield from ()  # a sign itself gives no row
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         last = pd.Timestamp(self.seen.get()[0])

@@ -88,3 +88,15 @@ def test_stream_of_runs(spark, tmp_path):
     events = _stream(spark, tmp_path, [[("a", i, float(v)) for i, v in enumerate(values)]], "e string, i long, v double")
     rows = _collect(states.motion_runs(events, "e", "i", "v", 5.0), "runs", "append", tmp_path, spark)
     assert sorted((r["first"], r["last"], r.n) for r in rows) == [(1, 2, 2), (6, 7, 2)]
+
+
+def test_stream_of_silence_and_sessions(spark, tmp_path):
+    states.use_rocksdb(spark)
+    beats = _stream(spark, tmp_path, [[("a", 1000), ("b", 1000)], [("b", 1050)], [("b", 1400)], [("b", 1420)]], "device string, s long").withColumn("at", F.timestamp_seconds("s"))
+    rows = _collect(states.lost_devices(beats, "device", "at", 60, "0 seconds"), "lost", "append", tmp_path, spark)
+    lost = {(r.device, int(r.lost_after.timestamp())) for r in rows}
+    assert ("a", 1000) in lost and ("b", 1420) not in lost
+    (tmp_path / "two").mkdir()
+    spans = states.sessions(beats, "device", "at", "60 seconds", "0 seconds")
+    rows = _collect(spans, "spans", "append", tmp_path / "two", spark)
+    assert ("a", 1) in {(r.device, r.n) for r in rows} and ("b", 2) in {(r.device, r.n) for r in rows}
