@@ -183,13 +183,15 @@ def tracks(observed: DataFrame, scene: list[str], frame: str, obs_id: str, x: st
         rows = rows.sort_values([frame, obs_id], ignore_index=True)
         place, area = rows[[x, y]].to_numpy(np.float64), np.maximum(rows[size].to_numpy(np.float64), 1e-9)
         label = np.full(len(rows), -1)
-        history: list[list[int]] = []
-        for f, index in rows.groupby(frame, sort=True).indices.items():
-            live = [t for t, h in enumerate(history) if f - rows[frame].iat[h[-1]] <= idle + 1]
+        history: list[tuple[int, int]] = []  # the last row of each track, and the one before it
+        live: list[int] = []
+        frames = rows[frame].to_numpy()
+        edges = np.flatnonzero(np.diff(frames, prepend=frames[0] - 1)) if len(rows) else np.zeros(0, np.int64)
+        for begin, end in zip(edges, np.append(edges[1:], len(rows)), strict=False):
+            f, index = frames[begin], np.arange(begin, end)
+            live = [t for t in live if f - frames[history[t][0]] <= idle + 1]
             if live:
-                last = np.array([history[t][-1] for t in live])
-                before = np.array([history[t][-2] if len(history[t]) > 1 else history[t][-1] for t in live])
-                frames = rows[frame].to_numpy()
+                last, before = np.array([history[t] for t in live]).T
                 span = np.maximum(frames[last] - frames[before], 1)
                 ahead = place[last] + (place[last] - place[before]) * ((f - frames[last]) / span)[:, None]
                 far = np.linalg.norm(ahead[:, None] - place[index][None], axis=2) / reach
@@ -199,10 +201,11 @@ def tracks(observed: DataFrame, scene: list[str], frame: str, obs_id: str, x: st
                 for t, c in zip(live, assignment(wide), strict=True):
                     if c < len(index):
                         label[index[c]] = t
-                        history[t].append(int(index[c]))
+                        history[t] = (int(index[c]), history[t][0])
             for i in index[label[index] < 0]:
                 label[i] = len(history)
-                history.append([int(i)])
+                live.append(len(history))
+                history.append((int(i), int(i)))
         return rows[[*scene, frame, obs_id]].assign(track=label)
 
     return observed.select(*scene, F.col(frame).cast("long").alias(frame), F.col(obs_id).cast("long").alias(obs_id), x, y, size).groupBy(*scene).applyInPandas(link, schema)
