@@ -12,8 +12,8 @@ without any stand for themselves.  Neighbouring windows with one anchor make one
 that a row is shuffled for about four words instead of one per window:
 
 1. rows are dealt by anchor name.  A name that occurs once has no repeat.  Rows whose whole
-   stretch of words is equal are repeats of the first of them, verified by 96 bits of
-   digests; the first rows of different stretches under one name go on;
+   stretch of words is equal are repeats of the first of them, verified by 64 bits that do
+   not depend on the name's 64; the first rows of different stretches under one name go on;
 2. only their windows are compared one by one, by 128-bit digests;
 3. what repeats goes back to its document by doc_id, where words are removed.
 
@@ -191,7 +191,7 @@ def unpack_span(span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return span >> 17, (span >> 1) & 0xFFFF, span & 1
 
 
-ROWS = "name long, digest int, doc long, span long"
+ROWS = "name long, digest long, doc long, span long"
 _ROWS = ["name", "digest", "doc", "span"]
 
 
@@ -205,7 +205,7 @@ def _rows_of(window: int, turns: int):
                 name, begin, last = anchored(recompress(word, words.first, turns), words.first, window, digest)
                 text = words.of_text()[begin] if len(begin) else np.zeros(0, np.int64)
                 doc = part["doc"].to_numpy()[text]
-                stretch = (digest(begin, last + window) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                stretch = signed(RangeDigest(mix(word), _BASE2)(begin, last + window))
                 local = begin - words.first[text]
                 order = np.lexsort((local, doc, stretch, name))
                 name, stretch, doc, local, more = name[order], stretch[order], doc[order], local[order], (last - begin)[order]

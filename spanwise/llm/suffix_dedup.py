@@ -7,9 +7,9 @@ Neighbouring strings with one anchor make one row, about one row for sixteen byt
 
 1. a text that a smaller document has as a whole repeats from end to end and goes no
    further; the rows of all others are dealt by the hash of their anchor.  A gram that only
-   one document has needs nothing more.  Rows whose whole stretch of bytes is equal (96 bits
-   of digests) are one string of the suffix array, owned by its smallest document; all
-   others repeat it;
+   one document has needs nothing more.  Rows of one gram whose whole stretch of bytes is
+   equal (64 bits of digest besides the gram's own 64) are one string of the suffix array,
+   owned by its smallest document; all others repeat it;
 2. where several stretches share a gram, and go on alike for half a string's rest on one
    side of it, their suffixes are sorted by linear grouping (``suffix_groups``), the
    stretches of many such longer grams side by side.  Neighbours in the suffix array
@@ -90,7 +90,7 @@ def _rows_of(width: int):
                 data, offsets = text_buffer(part["text"])
                 name, begin, last, text = stretches(data, offsets, width)
                 doc = part["doc"].to_numpy()[text]
-                digest = hash_ranges(data, begin, last + width, 3).astype(np.uint32).view(np.int32)
+                digest = signed(hash_ranges(data, begin, last + width, 3))
                 local, more = begin - offsets[text], last - begin
                 order = np.lexsort((doc, digest, name))
                 name, digest, doc, local, more = name[order], digest[order], doc[order], local[order], more[order]
@@ -298,7 +298,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, whole_characters: bool = Fa
     copies = exact_copies(keyed, width).hint("shuffle_hash")
     copy = F.coalesce(F.array_contains("copied", F.col("whole")), F.lit(False))
     own = dealt.join(copies, "doc", "left").filter(~copy).drop("copied")
-    rows = own.mapInArrow(_rows_of(width), "name long, digest int, doc long, span long")
+    rows = own.mapInArrow(_rows_of(width), "name long, digest long, doc long, span long")
     spans = repeats_by_gram(rows).hint("shuffle_hash")
     to_sort = dealt.join(spans.filter(F.exists("spans", lambda s: s.bitwiseAND(F.lit(1)) == 1)), "doc")
     pieces = to_sort.mapInArrow(_bytes_of(width), "name long, doc long, start long, gram_at int, bytes binary")
