@@ -120,7 +120,10 @@ def retrieve(q: np.ndarray, q_ids: np.ndarray, theta: np.ndarray, p: np.ndarray,
         keep = p_norm >= need[row] * (1 - slack)
         for f in np.argsort(-np.abs(x))[:FOCUS]:
             wide = math.sqrt(max(0.0, (1 - t * t) * (1 - x[f] * x[f]))) + slack
-            keep &= np.abs(unit[:, f] - x[f] * t) <= wide
+            if x[f] < t:  # else the axis itself is near enough: no upper bound
+                keep &= unit[:, f] <= x[f] * t + wide
+            if x[f] > -t:  # else its opposite is: no lower bound
+                keep &= unit[:, f] >= x[f] * t - wide
         at = np.flatnonzero(keep)
         if len(at):
             best(row, p_ids[at], products(q[row : row + 1], p[at])[0])

@@ -1,6 +1,8 @@
 """Cases where a cut, a bound or a guard of the training-data operators once gave less than the whole job."""
 
-from spanwise.llm import recompression, suffix_dedup
+import numpy as np
+
+from spanwise.llm import recompression, search, suffix_dedup
 
 
 def test_stretches_that_agree_in_32_bits_of_digest_are_not_equal(spark):
@@ -11,3 +13,18 @@ def test_stretches_that_agree_in_32_bits_of_digest_are_not_equal(spark):
     head = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
     docs = spark.createDataFrame([(0, head + "w193240"), (1, head + "w305096")], "doc_id long, text string")
     assert [r.n_removed for r in recompression.remove_repeats(docs).collect()] == [0, 0]
+
+
+def test_coordinate_pruning_keeps_vectors_near_a_dominant_coordinate():
+    rng = np.random.default_rng(4)
+    for sign in (1, -1):
+        p = np.round(rng.normal(size=(300, 6)) * 20)
+        p[:, 2] = sign * np.round(rng.uniform(0, 1000, 300))
+        p[0] = [0, 0, sign * 1000, 0, 0, 0]
+        p = p[np.argsort(-np.linalg.norm(p, axis=1), kind="stable")]
+        q = np.array([[436, 0, sign * 900, 0, 0, 0], [0, 0, sign * 1000, 1, 0, 0]], float)
+        exact = search.products(q, p)
+        theta = 0.6 * np.linalg.norm(q, axis=1) * np.linalg.norm(p, axis=1)[0]
+        found = {row: sorted(ids.tolist()) for row, ids, _ in search.retrieve(q, np.array([-1, -2]), theta, p, np.arange(300), 300)}
+        assert found == {row: np.flatnonzero(exact[row] >= theta[row]).tolist() for row in range(2)}
+        assert all(found.values())
