@@ -14,12 +14,13 @@ Neighbouring strings with one anchor make one row, about one row for sixteen byt
    side of it, their suffixes are sorted by linear grouping (``suffix_groups``), the
    stretches of many such longer grams side by side.  Neighbours in the suffix array
    that agree in ``width`` bytes form runs, and a suffix repeats if its run has a smaller
-   document;
+   document.  A gram of more than ``HOT`` such stretches is in no suffix array: its strings
+   are grouped by 128-bit digests, which spreads them over all tasks;
 3. what repeats goes back to its document by doc_id, where bytes are removed.
 
 A task keeps one row of each stretch for 1 MB of text and passes on the others as repeats,
 so a text in a third of all documents gives few rows of one gram.  Grams of one task are
-sorted in portions of bounded size; a single gram makes a portion of its own if it must.
+sorted in portions of bounded size.
 
 Strings are judged on the input and never cross documents.  Null text: no bytes.  A null
 doc_id is smaller than all others.  Rows that share a doc_id are one document, which does
@@ -41,6 +42,8 @@ from .suffix_groups import suffix_array
 
 #: Bytes of a gram (17 to 24), and bytes of stretches whose suffixes are sorted side by side.
 GRAM, PORTION = 20, 1_500_000
+#: Most stretches of one gram whose suffixes are sorted, in one task.
+HOT = 4096
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _ROWS = ["name", "digest", "doc", "span"]
 
@@ -99,21 +102,51 @@ def _rows_of(width: int):
                 owner = doc[np.flatnonzero(lead)][np.cumsum(lead) - 1] if len(name) else doc
                 again = doc > owner  # a repeat within this slice
                 own = mix(doc.astype(np.uint64) * _A + local.astype(np.uint64))
+                digest[again] = 0  # known to repeat: nothing is compared with it
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.where(again, own, name))), pa.array(digest), pa.array(doc), pa.array(pack_span(local, more, again.astype(np.int64)))], names=_ROWS)
 
     return run
 
 
 def repeats_by_gram(rows: DataFrame) -> DataFrame:
-    """Per document the rows that repeat (flag 0), and those whose suffixes must be sorted (flag 1)."""
+    """Per document the rows that repeat (flag 0), those whose suffixes must be sorted (flag 1), and those of hot grams."""
     order = Window.partitionBy("name").orderBy("digest", "doc", "span")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     already = F.col("span").bitwiseAND(F.lit(1)) == 1
     judged = rows.withColumn("several", F.first("digest").over(whole) != F.last("digest").over(whole)).withColumn("owner", F.min("doc").over(Window.partitionBy("name", "digest")))
-    judged = judged.withColumn("shared", F.min("doc").over(whole) != F.max("doc").over(whole))
     repeat = already | (F.col("doc") > F.col("owner"))
+    judged = judged.withColumn("shared", F.min("doc").over(whole) != F.max("doc").over(whole)).withColumn("n", F.count(F.when(~repeat, 1)).over(whole))
     clean = F.col("span") - F.col("span").bitwiseAND(F.lit(1))
-    return judged.filter(already | (F.col("shared") & (repeat | F.col("several")))).select("doc", F.when(repeat, clean).otherwise(clean + 1).alias("span")).groupBy("doc").agg(F.collect_list("span").alias("spans"))
+    hot = ~repeat & (F.col("n") > HOT)
+    judged = judged.filter(already | (F.col("shared") & (repeat | F.col("several")))).select("doc", F.when(repeat, clean).when(~hot, clean + 1).alias("span"), F.when(hot, clean).alias("hot"))
+    return judged.groupBy("doc").agg(F.collect_list("span").alias("spans"), F.collect_list("hot").alias("hot"))
+
+
+def _strings_of(width: int):
+    """128-bit digests of the strings of hot grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in unpacked_slices(batch):
+                data, offsets = text_buffer(part["text"])
+                spans = part["hot"].combine_chunks()
+                begin, more, _ = unpack_span(spans.flatten().to_numpy())
+                text = np.repeat(np.arange(part.num_rows), spans.value_lengths().fill_null(0).to_numpy())
+                text = np.repeat(text, more + 1)
+                local = np.repeat(begin - (np.cumsum(more + 1) - more - 1), more + 1) + np.arange(int((more + 1).sum()))
+                at = offsets[text] + local
+                fits = at + width <= offsets[text + 1]  # rows that share a doc_id may be shorter
+                text, local, at = text[fits], local[fits], at[fits]
+                one, two = (signed(hash_ranges(data, at, at + width, seed)) for seed in (5, 6))
+                yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(two), pa.array(part["doc"].to_numpy()[text]), pa.array(pack_span(local, np.zeros(len(local), np.int64), 0))], names=["one", "two", "doc", "span"])
+
+    return run
+
+
+def repeated_strings(strings: DataFrame) -> DataFrame:
+    """(doc, span) of strings that a smaller document has too; a string that very many have is one row of the groups."""
+    owners = strings.groupBy("one", "two").agg(F.min("doc").alias("owner"), F.max("doc").alias("last")).filter("owner < last")
+    return strings.join(owners.select("one", "two", "owner"), ["one", "two"]).filter("doc > owner").select("doc", "span")
 
 
 def _bytes_of(width: int):
@@ -303,6 +336,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, whole_characters: bool = Fa
     to_sort = dealt.join(spans.filter(F.exists("spans", lambda s: s.bitwiseAND(F.lit(1)) == 1)), "doc")
     pieces = to_sort.mapInArrow(_bytes_of(width), "name long, doc long, start long, gram_at int, bytes binary")
     found = pieces.repartition("name").sortWithinPartitions("name").mapInArrow(_sort_suffixes(width), "doc long, span long")
+    strings = dealt.join(spans.filter(F.size("hot") > 0), "doc").mapInArrow(_strings_of(width), "one long, two long, doc long, span long")
+    found = found.unionByName(repeated_strings(strings))
     found = found.groupBy("doc").agg(F.collect_list("span").alias("sorted")).hint("shuffle_hash")
     joined = dealt.join(copies, "doc", "left").join(spans, "doc", "left").join(found, "doc", "left").withColumn("copy", copy)
     schema = keyed.select("row").schema

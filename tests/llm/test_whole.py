@@ -1,6 +1,9 @@
 """Cases where a cut, a bound or a guard of the training-data operators once gave less than the whole job."""
 
+import random
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from spanwise.llm import recompression, search, suffix_dedup
 
@@ -28,3 +31,23 @@ def test_coordinate_pruning_keeps_vectors_near_a_dominant_coordinate():
         found = {row: sorted(ids.tolist()) for row, ids, _ in search.retrieve(q, np.array([-1, -2]), theta, p, np.arange(300), 300)}
         assert found == {row: np.flatnonzero(exact[row] >= theta[row]).tolist() for row in range(2)}
         assert all(found.values())
+
+
+def test_no_gram_is_sorted_whole_however_many_stretches_it_has(spark, monkeypatch):
+    rows = spark.range(10000).select(F.lit(7).cast("long").alias("name"), F.xxhash64("id").alias("digest"), F.col("id").alias("doc"), F.lit(0).cast("long").alias("span"))
+    flagged = suffix_dedup.repeats_by_gram(rows).agg(F.sum(F.size(F.filter("spans", lambda x: x.bitwiseAND(F.lit(1)) == 1))).alias("sorted"), F.sum(F.size("hot")).alias("hot")).first()
+    assert (flagged["sorted"], flagged["hot"]) == (0, 10000)
+    monkeypatch.setattr(suffix_dedup, "HOT", 8)
+    rng = random.Random(5)
+    noise = lambda: "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(40, 90)))
+    passage = "a passage that many documents hold in surroundings of their own, and no two alike"
+    texts = [noise() + passage + noise() for _ in range(60)] + [passage[:55] + noise(), passage + passage]
+    owner, want = {}, {}
+    for ident, text in enumerate(texts):
+        gone = [False] * len(text)
+        for i in range(len(text) - 49):
+            if owner.setdefault(text[i : i + 50], ident) != ident:
+                gone[i : i + 50] = [True] * 50
+        want[ident] = "".join(c for c, g in zip(text, gone) if not g).encode()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(docs).collect()} == want
