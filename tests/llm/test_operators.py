@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -176,12 +177,61 @@ with words &eacute;.<br>and a break<p>Short.</p><p>The third paragraph has a <a
 def test_main_text_of_a_page(spark):
     want = "A title & more\nFirst paragraph, with words é. and a break\nShort.\nThe third paragraph has a link in it, and goes on for a while."
     assert html_text.main_text(PAGE) == want
-    pages = spark.createDataFrame([(1, "u", PAGE), (2, "v", None), (3, None, ""), (4, "w", "<p>" * 3000 + "x")], "page_id long, url string, html string")
-    got = {r.page_id: (r.text, r.n_chars) for r in html_text.extract(pages).collect()}
-    assert got[1] == (want, len(want)) and got[2] == ("", 0) and got[3] == ("", 0)
+    rows = [(1, "u", PAGE, "x"), (2, "v", None, None), (3, None, "", "y"), (4, "w", "<p>" * 3000 + "x", "z"), (1, "u", PAGE, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, _html string")
+    got = html_text.extract(pages, columns=("page_id", "url", "_html")).collect()
+    assert sorted((r.page_id, r.text, r.n_chars, r._html or "") for r in got if r.page_id < 4) == sorted([(1, want, len(want), "x")] * 2 + [(2, "", 0, ""), (3, "", 0, "y")])
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+PROSE = "A long sentence about things, with a comma. Another one follows here, and it ends too."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<div id="search-algorithms"><p>{PROSE}</p><p>{PROSE} B</p></div>', [PROSE, f"{PROSE} B"]),
+        (f'<div class="side-effects"><p>{PROSE}</p></div>', [PROSE]),
+        (f'<div class="search"><p>{PROSE}</p></div>', [PROSE]),
+        (f'<article><p>{PROSE}</p><div class="side-effects"><p>{PROSE} B</p></div></article><div class="site-sidebar"><p>{PROSE} C</p></div>', [PROSE, f"{PROSE} B"]),
+        (f'<form id="all"><div class="site-header"><a href="x">Home</a></div><div><p>{PROSE}</p></div></form>', [PROSE]),
+        (f'<main><h1>Title</h1><p>{PROSE}</p></main><section class="comments"><article class="comment"><p>I like it.</p></article></section>', ["Title", PROSE]),
+        (f"<article><p>{PROSE} <math><mi>x</mi></math> <noscript>n</noscript><select><option>no</option></select></p></article>", [f"{PROSE} x n"]),
+        (f"<article><title>open<p>{PROSE}</p><p a='>{PROSE} &amp;<p>{PROSE} </nav></article>", ["open", PROSE, f"{PROSE} &", PROSE]),
+        (f"<article><p>{PROSE}</p></article><script>let a = '<p>{PROSE}</p>'", [PROSE]),
+    ],
+)
+def test_names_do_not_overrule_the_page(page, want):
+    assert html_text.main_text(page).split("\n") == want
+
+
+def test_pages_are_read_in_linear_time():
+    rng = random.Random(5)
+    mixed = ["<p>", "</p>", "<div>", "</div>", "<a href=x>", "</a>", "<li>", "<ul>", "word and more, yes. ", "<nav>", "</nav>", "<td>", "<b>", "<"]
+    n = 15_000
+    pages = ["<div>a b" * n, "<a 'x " * n, "<a b='x " * n + ">", "<svg>" * n, "<template>" * n, "<![CDATA[" * n, "</" * 3 * n, "<a " + "= " * n, "<ul><li>" * n, "".join(rng.choice(mixed) for _ in range(2 * n))]
+    begin = time.process_time()
+    for page in pages:
+        html_text.main_text(page)
+    assert time.process_time() - begin < 20  # reading that is not linear takes minutes
+
+
+def test_labels_are_a_minimum_cut_of_the_pages_costs():
+    rng = random.Random(7)
+    parts = ["<p>", "</p>", "<div>", "</div>", '<div class="ad">', "<nav>", "</nav>", "<ul><li>", "</ul>", "One, two. ", "<a href=x>link</a>", "Words and words: yes! "]
+    for _ in range(80):
+        page = html_text.read("".join(rng.choice(parts) for _ in range(rng.randint(1, 25))))
+        odds, edges = html_text.costs(page)
+        if len(odds) > 10:
+            continue
+
+        def cost(sides):
+            return sum(abs(o) for o, s in zip(odds, sides) if (o > 0) != s) + sum(w for a, b, w in edges if sides[a] != sides[b])
+
+        best = min(cost([bool(m >> i & 1) for i in range(len(odds))]) for m in range(1 << len(odds)))
+        assert cost(html_text.label(page)) == pytest.approx(best)
+
+
 def test_cut_is_minimum():
     rng = random.Random(6)
     for _ in range(60):
