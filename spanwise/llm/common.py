@@ -6,10 +6,12 @@ hashing words are a few numpy passes and no Python object is made per word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import sys
 import tempfile
 import types
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -49,6 +51,17 @@ def _lean() -> None:
         worker_state()["lean"] = True
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task whose worker, which waits for further tasks, gives the memory of its arrays back at the end."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        with contextlib.suppress(OSError, AttributeError):  # another C library frees in its own way
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return task
+
+
 def text_slices(batch: pa.RecordBatch | pa.Table, text: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.Table]:
     """Cut a batch into row ranges of about size bytes of text, never cutting a text."""
     _lean()

@@ -1,46 +1,73 @@
 """Best-fit decreasing packing of tokenised documents into fixed-length sequences.
 
 Tokenising runs where the documents are read; only piece rows of a few numbers are
-shuffled.  Pieces are dealt to shards by a hash of document and piece, so neither a
-large source nor a very long document fills one task, and the number of shards follows
-the number of documents.  Each shard packs by best-fit decreasing: a segment tree over
-the remaining capacities finds the tightest open sequence in a logarithm of the capacity.
-A shard leaves at most a few loosely filled sequences, so some ten thousand documents
-a shard keep the loss far below a thousandth.
+shuffled.  All pieces are packed together, not shard by shard: pieces of one length are
+alike to best fit, so the packing needs only how many there are of each length, at most
+``capacity`` numbers.  From these, best-fit decreasing is run by whole ranges: a segment
+tree over the remaining capacities finds the tightest open room in a logarithm of the
+capacity, and all open sequences with that room and a common past take their pieces in one
+step.  The steps are runs (length, first rank, first sequence, offset, pieces a sequence);
+a piece finds its run by its rank among those of its length.  Ranks come from counts by
+length and block of pieces, so neither a common length nor a long document fills one task.
+The packing is that of one best-fit decreasing pass over all pieces, whatever their number
+and however the tasks are dealt.
 
 Nulls: a null text is empty and gives one piece that holds only the end id.  Repeated
-rows are packed as often as they occur.  Rows with a null doc_id are packed as well.
+rows are packed as often as they occur, rows with a null doc_id as well.  Pieces of one
+length are ranked by block, doc_id, piece and checksum; those that agree in all are alike.
+Very long texts are tokenised whole.  Extra columns are ignored, whatever their names; an
+empty table gives none.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import Words, hash_ranges, read_table, split_words, text_buffer, text_slices, worker_state
+from .common import Words, ensure_checkpoint_dir, hash_ranges, read_table, released, split_words, text_buffer, text_slices, worker_state
 
-#: Documents that one shard packs together.
-SHARD_DOCUMENTS = 65_536
-#: Distinct words whose ids a worker remembers before it starts anew.
-CACHED_WORDS = 1_500_000
+#: Distinct words whose ids a worker remembers (about 45 bytes each) before it starts anew.
+CACHED_WORDS = 400_000
 #: Bytes of text whose distinct words are looked up together.
-SLICE_BYTES = 3_000_000
+SLICE_BYTES = 1_000_000
+#: Pieces of one block, the unit of ranking.
+BLOCK_PIECES = 1024
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", sequence_id long, offset long"
 
 
+def folds_and_parts(path: str) -> bool:
+    """Whether a tokenizer file drops white space, folds case, and cuts runs of letters from marks.
+
+    Only then are a text's ids its words' ids in a row, and only then may words be folded
+    and marks parted from them beforehand.
+    """
+    with open(path, encoding="utf-8") as file:
+        told = json.load(file)
+
+    def kinds(part: dict | None, inner: str) -> list[dict]:
+        return [] if not part else [x for y in part[inner] for x in kinds(y, inner)] if part["type"] == "Sequence" else [part]
+
+    folds = any(x["type"] == "Lowercase" for x in kinds(told["normalizer"], "normalizers"))
+    splits = [x for x in kinds(told["pre_tokenizer"], "pretokenizers") if x["type"] == "Split"]
+    parts = any(x["invert"] and x["behavior"] == "Removed" and r"[\p{L}]+" in (rule := x["pattern"].get("Regex", "").split("|")) and r"[^\s\p{L}\p{N}]+" in rule for x in splits)
+    spaced = any(x.get("add_prefix_space") for x in kinds(told["pre_tokenizer"], "pretokenizers"))
+    return folds and parts and not spaced
+
+
 class WordEncoder:
     """Token ids of words by one tokenizer, remembered by word.
 
-    The tokenizer's normaliser and splitter never look across white space, so a text's
-    ids are its words' ids in a row.  New words are encoded together, parted by a special
-    token that the tokenizer cuts at before anything else.
+    The tokenizer's normaliser and splitter never look across white space (folds_and_parts
+    checks that), so a text's ids are its words' ids in a row.  New words are encoded
+    together, parted by a special token that the tokenizer cuts at before anything else.
     """
 
     def __init__(self, path: str, separator: str):
@@ -147,7 +174,10 @@ def encode_texts(encoder: WordEncoder, data: np.ndarray, offsets: np.ndarray, en
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, separator: str = "<|endoftext|>") -> DataFrame:
     """Tokenise whole texts, close each by end_id and cut those longer than capacity into pieces of it."""
+    if not folds_and_parts(tokenizer_path):
+        raise ValueError(f"{tokenizer_path} does not fold case and part letters from marks; its ids can't be looked up word by word")
 
+    @released
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, key = worker_state(), ("word encoder", tokenizer_path, separator)
         if key not in kept:
@@ -175,7 +205,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: i
 
 
 class CapacityTree:
-    """Segment tree over remaining capacities; a leaf tells whether an open bin has just that much room."""
+    """Segment tree over remaining capacities; a leaf tells whether an open sequence has just that much room."""
 
     def __init__(self, capacity: int):
         self.size = 1 << capacity.bit_length()
@@ -206,46 +236,94 @@ class CapacityTree:
         return -1
 
 
-def best_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
-    """Bin and offset of each item; the items come in descending order of length."""
-    tree, stacks = CapacityTree(capacity), [[] for _ in range(capacity + 1)]
-    bins, offsets, made = [], [], 0
-    for need in lengths:
-        room = tree.tightest(need)
-        if room < 0:
-            at, room = made, capacity
-            made += 1
-        else:
-            at = stacks[room].pop()
-            if not stacks[room]:
-                tree.put(room, False)
-        bins.append(at)
-        offsets.append(capacity - room)
-        if left := room - need:
-            if not stacks[left]:
-                tree.put(left, True)
-            stacks[left].append(at)
-    return bins, offsets
-
-
-def pack(items: DataFrame, shards: int, capacity: int = 2048) -> DataFrame:
-    """Place pieces into sequences of at most capacity tokens, shard by shard."""
-
-    def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        bins, offsets = best_fit_decreasing(rows["length"].tolist(), capacity)
-        rows["sequence_id"] = np.array(bins, np.int64) + (int(key[0]) << 40)
-        rows["offset"] = np.array(offsets, np.int64)
-        return rows.drop(columns="shard")
-
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(place, PLACED)
-
-
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, shard_documents: int = SHARD_DOCUMENTS) -> DataFrame:
+@dataclass
+class Run:
+    """Where the pieces of one length from rank ``rank`` on go: ``each`` of them into every sequence from ``first`` on."""
+
+    length: int
+    rank: int
+    first: int
+    offset: int
+    each: int
+
+
+def best_fit_runs(counts: dict[int, int], capacity: int) -> list[Run]:
+    """Best-fit decreasing over so many pieces of each length, by ranges of sequences with one room.
+
+    A piece goes where the room is tightest.  What it leaves there is tighter still, so the
+    next piece of its length follows it as long as it fits: every sequence of a range takes
+    ``room // length`` pieces before the next one gets any.
+    """
+    tree = CapacityTree(capacity)
+    ranges: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # (first sequence, sequences) by room
+    runs, made = [], 0
+
+    def leave(room: int, first: int, n: int) -> None:
+        if room and n:
+            if not ranges[room]:
+                tree.put(room, True)
+            ranges[room].append((first, n))
+
+    for length in sorted(counts, reverse=True):
+        rank, left = 0, counts[length]
+        while left:
+            room = tree.tightest(length)
+            if room < 0:
+                room = capacity
+                first, n = made, -(-left // (capacity // length))
+                made += n
+            else:
+                first, n = ranges[room].pop()
+                if not ranges[room]:
+                    tree.put(room, False)
+            each = room // length
+            taken = min(left, n * each)
+            runs.append(Run(length, rank, first, capacity - room, each))
+            full, rest = divmod(taken, each)
+            leave(room - each * length, first, full)
+            leave(room - rest * length, first + full, 1 if rest else 0)
+            leave(room, first + full + (1 if rest else 0), n - full - (1 if rest else 0))
+            rank, left = rank + taken, left - taken
+    return runs
+
+
+def ranked(items: DataFrame, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """items with ``rank`` among those of their length, and how many there are of each length."""
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)))
+    counts = dealt.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = (F.sum("n").over(Window.partitionBy("length").orderBy("block")) - F.col("n")).alias("before")
+    order = Window.partitionBy("length", "block").orderBy("doc_id", "piece", "ids_crc32")
+    placed = dealt.withColumn("rank", F.row_number().over(order) - 1).join(counts.select("length", "block", before), ["length", "block"])
+    return placed.withColumn("rank", F.col("rank") + F.col("before")).drop("before", "block"), counts.groupBy("length").agg(F.sum("n").alias("n"))
+
+
+def pack(items: DataFrame, capacity: int = 2048, block_pieces: int = BLOCK_PIECES) -> DataFrame:
+    """Place pieces into sequences of at most capacity tokens."""
+    ensure_checkpoint_dir(items.sparkSession)
+    items = items.checkpoint()  # tokenised once; read for counting and for placing
+    placed, counts = ranked(items, max(1, -(-items.count() // block_pieces)))
+    runs = best_fit_runs({r["length"]: r["n"] for r in counts.collect()}, capacity)  # at most capacity rows
+    table = np.array(sorted((r.length, r.rank, r.first, r.offset, r.each) for r in runs), np.int64).reshape(-1, 5)
+    shared = items.sparkSession.sparkContext.broadcast(table)  # its size grows with the capacity alone
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        length, rank, first, offset, each = shared.value.T
+        key = length * (1 << 48) + rank
+        for batch in batches:
+            rows = {c: batch.column(c) for c in batch.schema.names}
+            mine = rows["rank"].to_numpy()
+            run = np.searchsorted(key, rows["length"].to_numpy() * (1 << 48) + mine, side="right") - 1
+            nth = mine - rank[run]
+            rows["sequence_id"], rows["offset"] = pa.array(first[run] + nth // each[run]), pa.array(offset[run] + nth % each[run] * length[run])
+            del rows["rank"]
+            yield pa.RecordBatch.from_arrays(list(rows.values()), names=list(rows))
+
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, PLACED)
+
+
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """Tokenise and pack all documents; one row per piece with its sequence and offset."""
-    shards = max(1, -(-docs.count() // shard_documents))
-    return pack(pieces(docs, tokenizer_path, capacity, end_id), shards, capacity)
+    return pack(pieces(docs, tokenizer_path, capacity, end_id), capacity)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

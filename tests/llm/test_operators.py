@@ -53,22 +53,56 @@ def test_pieces_hold_the_tokenizers_ids(spark):
     assert packing.pack_documents(docs.limit(0), path).count() == 0
 
 
-def test_best_fit_takes_the_tightest_open_bin():
+def _best_fit_decreasing(lengths, capacity):
+    """Piece by piece: how full each sequence gets (which of equally full ones takes a piece does not matter)."""
+    held = []
+    for n in sorted(lengths, reverse=True):
+        fits = [(capacity - sum(x), i) for i, x in enumerate(held) if capacity - sum(x) >= n]
+        if fits:
+            held[min(fits)[1]].append(n)
+        else:
+            held.append([n])
+    return sorted(map(sum, held))
+
+
+def test_runs_are_best_fit_decreasing():
     rng = random.Random(4)
-    for _ in range(30):
-        capacity = rng.randint(5, 60)
-        lengths = sorted((rng.randint(1, capacity) for _ in range(80)), reverse=True)
-        bins, offsets = packing.best_fit_decreasing(lengths, capacity)
-        rooms = []
-        for n, b, o in zip(lengths, bins, offsets):
-            fits = [r for r in rooms if r >= n]
-            assert (b == len(rooms)) == (not fits)
-            if b == len(rooms):
-                rooms.append(capacity)
-            else:
-                assert rooms[b] == min(fits)
-            assert o == capacity - rooms[b]
-            rooms[b] -= n
+    for turn in range(200):
+        capacity = rng.randint(1, 60)
+        lengths = [rng.choice([1, capacity, rng.randint(1, capacity), rng.randint(1, max(1, capacity // 4))]) for _ in range(rng.randint(0, 150))]
+        counts = {n: lengths.count(n) for n in set(lengths)}
+        held, ranks = {}, {}
+        for r in packing.best_fit_runs(counts, capacity):
+            assert ranks.get(r.length, 0) == r.rank
+            after = [x.rank for x in packing.best_fit_runs(counts, capacity) if x.length == r.length and x.rank > r.rank]
+            until = min(after, default=counts[r.length])
+            for k in range(until - r.rank):
+                held.setdefault(r.first + k // r.each, []).append((r.offset + k % r.each * r.length, r.length))
+            ranks[r.length] = until
+        assert ranks == counts
+        for pieces in held.values():
+            pieces.sort()
+            assert all(o == sum(n for _, n in pieces[:i]) for i, (o, _) in enumerate(pieces))
+        assert sorted(sum(n for _, n in p) for p in held.values()) == _best_fit_decreasing(lengths, capacity), turn
+
+
+def test_packing_is_one_best_fit_over_all_pieces(spark):
+    path = _tokenizer()
+    rng = random.Random(14)
+    rows = [(None if i % 40 == 0 else i // 2, " ".join(["word"] * rng.choice([0, 5, 5, 5, rng.randint(1, 90)])), i) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, length long").repartition(5)
+    items = packing.pieces(docs, path, 64)
+    found = packing.pack(items, 64, block_pieces=16).toPandas()
+    assert len(found) == items.count() and found["start"].notna().all()
+    found = found.sort_values(["sequence_id", "offset"])
+    grouped = found.groupby("sequence_id")["length"]
+    assert (grouped.cumsum() - found["length"] == found["offset"]).all()
+    assert sorted(grouped.sum()) == _best_fit_decreasing(found["length"].tolist(), 64)
+
+
+def test_tokenizers_that_do_not_fold_are_refused(tmp_path):
+    tokens = pytest.importorskip("public_tokenizers")
+    assert packing.folds_and_parts(_tokenizer()) and not packing.folds_and_parts(tokens.path("byte_bpe_50k.json"))
 
 
 @pytest.mark.parametrize("spread", [0.0, 1.5])
