@@ -22,5 +22,6 @@ ORACLE_SQL = {
     "op4_norm_bucketed_search": search.ORACLE_SQL,
     "op5_prefix_target_chat": chat.ORACLE_SQL,
     "op6_setsketch_near_dedup": near_dedup.ORACLE_SQL,
+    "op7_pareto_mixing": mixing.ORACLE_SQL,
     "op10_suffix_array_dedup": suffix_dedup.ORACLE_SQL,
 }

@@ -150,8 +150,8 @@ def test_chat_round_trip(spark):
 
 def test_mix_reaches_targets(spark):
     rng = random.Random(7)
-    rows = [(i, "w " * rng.randint(0, 60), rng.choice(["a", "b", "c", "é", None])) for i in range(900)] + [(900, None, "a"), (901, "", "only empty")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("_words", F.lit("x")).repartition(4)
+    rows = [(i, "w " * rng.randint(0, 60), rng.choice(["a", "b", "c", "é", None])) for i in range(900)] + [(900, None, "a"), (901, "", "only empty"), (None, "w w", "b"), (None, "w", "b"), (7, "w", "c"), (7, "w", "c"), (950, "w " * 900, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"_words": F.lit("x"), "copies": F.lit(1), "row": F.lit("y"), "rate": F.lit(2)}).repartition(4)
     found = mixing.decide(docs).toPandas()
     assert len(found) == len(rows) and found["copies"].max() <= 2
     total = found["size"].sum()
@@ -161,8 +161,12 @@ def test_mix_reaches_targets(spark):
     assert (abs(g.taken - g.target) <= 0.02 * g["size"]).all()
     again = mixing.decide(docs.repartition(7)).toPandas()
     key = ["doc_id", "copies"]
-    assert found[key].sort_values(key).to_numpy().tolist() == again[key].sort_values(key).to_numpy().tolist()
-    assert mixing.mix(docs).count() == found["copies"].sum()
+    assert found[key].fillna(-1).sort_values(key).to_numpy().tolist() == again[key].fillna(-1).sort_values(key).to_numpy().tolist()
+    table = mixing.mix(docs)
+    assert table.columns == docs.columns and table.count() == found["copies"].sum()
+    # expected copies fall with the length of a document: no one probability for a whole source
+    part = found[(found.source == "c") & (found["size"] > 0)]
+    assert part[part["size"] < 20].copies.mean() > part[part["size"] > 40].copies.mean()
     assert mixing.decide(docs.limit(0)).count() == 0
 
 
