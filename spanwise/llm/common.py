@@ -81,6 +81,7 @@ def pack_texts(docs: DataFrame, text: str = "text") -> DataFrame:
     schema = StructType([StructField(f.name, BinaryType() if f.name == text else f.dataType, f.nullable) for f in docs.schema])
     at = docs.columns.index(text)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(at).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()

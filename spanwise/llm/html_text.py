@@ -41,7 +41,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import read_table, text_slices
+from .common import read_table, released, text_slices
 
 # Element names.
 HIDDEN = frozenset("script style title textarea template select datalist button".split())  # contents never shown as text
@@ -380,6 +380,7 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, html_column: str = "html", columns: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The given columns, text and n_chars of each page."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names

@@ -9,10 +9,14 @@ registers are equal about as often as the sets are similar.
 2. bands of register values are keys; per key one member is the centre, and every member
    pairs with it (a star instead of all pairs).  What the stars join is a candidate group:
    any two members of one key are in one group;
-3. a group's texts meet once, a large group's in pairs of blocks of bounded size.  Members
-   of different components are estimated jointly, by the likelihood of their registers
-   above, below and equal given both set sizes; what may reach the threshold within six
-   deviations is confirmed on the full sets.  Only links that join components come out;
+3. a group's texts meet once, a large group's in pairs of blocks of bounded size, and those
+   of a group of very many blocks by band key.  There an index of each set's rarest shingles
+   finds the pairs that can reach the threshold at all: sets of similarity s share one of
+   their (1 - s) n + 1 rarest, whatever they have in common otherwise.  Pairs of different
+   components are estimated jointly, by the likelihood of their registers above, below and
+   equal given both set sizes; what may reach the threshold within six deviations is
+   confirmed on the full sets.  Members meet the first of their shingle before all others,
+   so a cluster of copies joins in one pass over it.  Only links that join components come out;
 4. links are joined to components.
 
 With 32 bands of 4 registers a pair of similarity 0.8 shares no band once in ten million.
@@ -31,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import ensure_checkpoint_dir, mix, read_table, signed, split_words, text_buffer, text_slices, word_hashes
+from .common import ensure_checkpoint_dir, mix, read_table, released, signed, split_words, text_buffer, text_slices, word_hashes
 
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
@@ -39,6 +43,8 @@ REGISTERS = BANDS * ROWS
 BASE, RATE, LARGEST = 1.001, 20.0, (1 << 16) - 1
 #: Shingles of one block of a candidate group; two blocks meet in one task.
 BLOCK_SHINGLES = 2_000_000
+#: Blocks of a group from which its members meet by band key: a text has no more keys than that.
+MOST_BLOCKS = BANDS
 _ODD = mix(np.arange(1, REGISTERS + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix(np.arange(1001, REGISTERS + 1001, dtype=np.uint64))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -96,6 +102,7 @@ def estimate(u: np.ndarray, v: np.ndarray, n_u: np.ndarray, n_v: np.ndarray, ste
 
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
@@ -120,41 +127,96 @@ def _flat(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (total - count), count) + np.arange(int(total[-1]) if len(total) else 0)
 
 
+def _ends(begin: np.ndarray, total: int) -> np.ndarray:
+    return np.append(begin[1:], total)[: len(begin)]
+
+
+class Linker:
+    """Links that join the components of some sets: (later, earlier) pairs confirmed on full sets."""
+
+    def __init__(self, sets: np.ndarray, first: np.ndarray, sketches: np.ndarray, percent: int):
+        self.first, self.size, self.sketches, self.percent = first, np.diff(first), sketches, percent
+        similarity = percent / 100
+        self.least = similarity - 6 * math.sqrt(similarity * (1 - similarity) / REGISTERS)
+        n = len(self.size)
+        self.component, self.members = np.arange(n), [[i] for i in range(n)]
+        self.links: list[tuple[int, int]] = []
+        # shingles numbered by how many sets have them, rarest first; each set in that order
+        values, which, counts = np.unique(sets, return_inverse=True, return_counts=True)
+        number = np.empty(len(values), np.int64)
+        by_count = np.lexsort((values, counts))
+        number[by_count] = np.arange(len(values))
+        owner = np.repeat(np.arange(n), self.size)
+        self.shingle = number[which]
+        self.shingle = self.shingle[np.lexsort((self.shingle, owner))]
+        self.mark = np.zeros(len(values), bool)
+        rarest = self.size - -(-percent * self.size // 100) + 1
+        near = np.arange(len(owner)) - first[:-1][owner] < rarest[owner]
+        at = np.flatnonzero(near & (counts[by_count][self.shingle] > 1)) if len(owner) else owner
+        at = at[np.argsort(self.shingle[at], kind="stable")]
+        self.doc = owner[at]  # sets by shared shingle
+        self.begin = np.flatnonzero(np.diff(self.shingle[at], prepend=-1))
+        self.end = _ends(self.begin, len(at))
+
+    def test(self, x: int, others: np.ndarray) -> None:
+        """Link x with those of the others that reach the threshold and are in other components."""
+        others = others[self.component[others] != self.component[x]]
+        others = others[100 * np.minimum(self.size[others], self.size[x]) >= self.percent * np.maximum(self.size[others], self.size[x])]
+        others = others[(self.sketches[others] == self.sketches[x]).sum(axis=1) >= REGISTERS * self.least * 0.8]
+        if not len(others):
+            return
+        n = self.size[others].astype(np.float64)
+        others = others[estimate(np.broadcast_to(self.sketches[x], (len(others), REGISTERS)), self.sketches[others], np.full(len(others), float(self.size[x])), n) >= self.least]
+        if not len(others):
+            return
+        mine = self.shingle[self.first[x] : self.first[x + 1]]
+        self.mark[mine] = True
+        shared = self.mark[self.shingle[_flat(self.first[others], self.size[others])]]
+        self.mark[mine] = False
+        common = np.add.reduceat(shared.astype(np.int64), np.cumsum(self.size[others]) - self.size[others])
+        for y in others[100 * common >= self.percent * (self.size[x] + self.size[others] - common)].tolist():
+            a, b = sorted((int(self.component[x]), int(self.component[y])), key=lambda c: len(self.members[c]))
+            if a != b:
+                self.links.append((max(x, y), min(x, y)))
+                self.component[self.members[a]] = b
+                self.members[b] += self.members[a]
+                self.members[a] = []
+
+
 def links_among(sets: np.ndarray, first: np.ndarray, sketches: np.ndarray, block: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that join the members' components: (later, earlier) pairs confirmed on full sets.
 
-    Members come in one by one.  Registers estimate each one's similarity to the members
-    before it that are in other components yet; if any may reach the threshold, an index
-    from shingles to members counts what it shares with all.  Between two blocks only pairs
-    across them are looked at.
+    First the first set that has a shingle meets the others that have it.  Where these are
+    then in several components, those outside the first one's meet all sets of the shingle.
+    Of two blocks, only pairs across them are looked at in that second turn.
     """
-    similarity = percent / 100
-    least = similarity - 6 * math.sqrt(similarity * (1 - similarity) / REGISTERS)
-    n, size = len(first) - 1, np.diff(first)
-    order = np.argsort(sets, kind="stable")
-    values, owner = sets[order], np.repeat(np.arange(n), size)[order]
-    component, found = np.arange(n), []
+    if len(first) < 3:
+        return []
+    linker = Linker(sets, first, sketches, percent)
+    doc, begin, end = linker.doc, linker.begin, linker.end
+    head = np.repeat(doc[begin], end - begin)
+    pairs = np.unique(head * len(first) + doc)
+    heads, starts = np.unique(pairs // len(first), return_index=True)
+    for x, a, b in zip(heads.tolist(), starts, _ends(starts, len(pairs)), strict=True):
+        linker.test(x, pairs[a:b] % len(first))
     across = block.min() != block.max()
-    for x in range(1, n):
-        open_ = np.flatnonzero(component[:x] != component[x])
-        if across:
-            open_ = open_[block[open_] != block[x]]
-        open_ = open_[100 * np.minimum(size[open_], size[x]) >= percent * np.maximum(size[open_], size[x])]
-        equal = (sketches[open_] == sketches[x]).sum(axis=1)
-        open_ = open_[equal >= REGISTERS * least * 0.8]
-        if not len(open_):
-            continue
-        open_ = open_[estimate(np.broadcast_to(sketches[x], (len(open_), REGISTERS)), sketches[open_], np.full(len(open_), float(size[x])), size[open_].astype(np.float64)) >= least]
-        if not len(open_):
-            continue
-        mine = sets[first[x] : first[x + 1]]
-        low, high = np.searchsorted(values, mine, "left"), np.searchsorted(values, mine, "right")
-        common = np.bincount(owner[_flat(low, high - low)], minlength=n)[open_]
-        for y in open_[100 * common >= percent * (size[x] + size[open_] - common)]:
-            if component[x] != component[y]:
-                found.append((x, int(y)))
-                component[component == component[x]] = component[y]
-    return found
+    of = linker.component[doc]
+    open_ = np.minimum.reduceat(of, begin) != np.maximum.reduceat(of, begin) if len(begin) else np.zeros(0, bool)
+    if across and len(begin):
+        open_ &= np.minimum.reduceat(block[doc], begin) != np.maximum.reduceat(block[doc], begin)
+    begin, end = begin[open_], end[open_]
+    at = _flat(begin, end - begin)
+    which = np.repeat(np.arange(len(begin)), end - begin)
+    outside = of[at] != of[begin[which]]
+    x, which = doc[at][outside], which[outside]
+    order = np.argsort(x, kind="stable")
+    x, which = x[order], which[order]
+    starts = np.flatnonzero(np.diff(x, prepend=-1))
+    for a, b in zip(starts, _ends(starts, len(x)), strict=True):
+        some = which[a:b]
+        others = np.unique(doc[_flat(begin[some], (end - begin)[some])])
+        linker.test(int(x[a]), others[block[others] != block[x[a]]] if across else others)
+    return linker.links
 
 
 def _confirmed(size: int, percent: int):
@@ -172,24 +234,27 @@ def _confirmed(size: int, percent: int):
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable over links (a, b); nodes brings labels to start from.
 
-    Each pass takes the smallest label next to a node, hooks the node's label to it, and
-    follows labels of labels, so the passes grow with the logarithm of a component's width.
+    Each pass takes the smallest label next to a node and hooks the node's label to it, two
+    hooks at a time, so the passes grow with the logarithm of a component's width.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct().checkpoint()
     labels = nodes.select("node", "component").checkpoint()
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        offered = labels.join(near, "node").filter("near < component")
-        hooks = offered.groupBy("component").agg(F.min("near").alias("to")).checkpoint()
+        hooks = labels.join(near, "node").filter("near < component").groupBy("component").agg(F.min("near").alias("to")).checkpoint()
         if hooks.isEmpty():
             return labels
-        # a hook always points to a smaller label, so following them ends
-        while True:
-            further = hooks.join(hooks.select(F.col("component").alias("to"), F.col("to").alias("next")), "to", "left").select("component", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")).checkpoint()
-            hooks = further.select("component", "to")
-            if further.filter("moved").isEmpty():
-                break
-        labels = labels.join(hooks, "component", "left").select("node", F.coalesce("to", "component").alias("component")).checkpoint()
+        # a hook always points to a smaller label
+        further = hooks.join(hooks.select(F.col("component").alias("to"), F.col("to").alias("next")), "to", "left").select("component", F.coalesce("next", "to").alias("to"))
+        labels = labels.join(further, "component", "left").select("node", F.coalesce("to", "component").alias("component")).checkpoint()
+
+
+def _units(groups: DataFrame) -> DataFrame:
+    """Groups (rep, group, n_shingles) as units of bounded size: the group itself, or pairs of its blocks."""
+    blocks = groups.groupBy("group").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    dealt = groups.join(blocks, "group").select("rep", "group", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return dealt.select("rep", "group", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -207,12 +272,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     stars = shared.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
     members = shared.select(F.col("rep").alias("node")).distinct()
     groups = components(members.withColumn("component", F.col("node")), stars).withColumnsRenamed({"node": "rep", "component": "group"})
-    groups = groups.join(classes.select("rep", "n_shingles"), "rep")
-    blocks = groups.groupBy("group").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = groups.join(blocks, "group").select("rep", "group", block.alias("block"), other.alias("other"))
-    dealt = dealt.select("rep", "group", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    groups = groups.join(classes.select("rep", "n_shingles"), "rep").checkpoint()
+    # a group of very many blocks meets by band key instead: its keys are few to a text
+    wide = groups.groupBy("group").agg(F.sum("n_shingles").alias("n")).filter(F.col("n") > MOST_BLOCKS * BLOCK_SHINGLES).select("group")
+    by_key = shared.join(groups.join(wide, "group", "left_semi"), "rep").select("rep", F.col("key").alias("group"), "n_shingles")
+    dealt = _units(groups.join(wide, "group", "left_anti")).unionByName(_units(by_key))
     texts = keyed.filter("text is not null").join(dealt, keyed["doc"] == dealt["rep"]).select("group", "low", "high", "rep", "block", "text")
     links = texts.groupBy("group", "low", "high").applyInArrow(_confirmed(size, percent), "a long, b long").checkpoint()
     linked = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()

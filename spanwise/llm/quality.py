@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Words, hash_ranges, mix, read_table, split_words, text_buffer, text_slices
+from .common import hash_ranges, mix, read_table, released, split_words, text_buffer, text_slices, Words
 
 #: Guards and limits of the divergence rule.
 LEAST_CHARS, LEAST_WORDS, MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 200, 100, 0.2, 0.45
@@ -142,6 +142,7 @@ def jensen_shannon(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
 def language_references(docs: DataFrame, reference_words: int = REFERENCE_WORDS, references: int = REFERENCES) -> dict[str | None, np.ndarray]:
     """Summed histograms (character classes, then words) by language over all documents; None for all together."""
 
+    @released
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch):
@@ -175,6 +176,7 @@ def judge(docs: DataFrame, references: dict[str | None, np.ndarray] | None = Non
     table = np.vstack([references[None], *(references[x] for x in names)])
     number = {x: i + 1 for i, x in enumerate(names)}
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "_text"):

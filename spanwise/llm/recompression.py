@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import mix, pack_texts, read_table, signed, split_words, text_buffer, unpacked_slices, word_hashes
+from .common import mix, pack_texts, read_table, released, signed, split_words, text_buffer, unpacked_slices, word_hashes
 
 ROUNDS = 5
 #: Place of a context that runs past its document: never inside a window.
@@ -196,6 +196,7 @@ _ROWS = ["name", "digest", "doc", "span"]
 
 
 def _rows_of(window: int, turns: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in unpacked_slices(batch):
@@ -220,6 +221,7 @@ def _rows_of(window: int, turns: int):
 def _windows_of(window: int):
     """128-bit digests of the windows of rows that are flagged for it."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in unpacked_slices(batch):
@@ -244,6 +246,7 @@ def _windows_of(window: int):
 def _removed(window: int):
     """Kept words of each document, and counts."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in unpacked_slices(batch):

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import ensure_checkpoint_dir, read_table
+from .common import ensure_checkpoint_dir, read_table, released
 
 #: Vectors of one candidate block, queries of one query block, ratio of norms in a bucket.
 BLOCK_VECTORS, BLOCK_QUERIES, NORM_RATIO = 4096, 1024, 1.02
@@ -148,6 +148,7 @@ def retrieve(q: np.ndarray, q_ids: np.ndarray, theta: np.ndarray, p: np.ndarray,
 def _thresholds(k: int):
     """Give each query block its thresholds from the first vector block."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
@@ -167,6 +168,7 @@ def _thresholds(k: int):
 
 
 def _pairs(k: int, coordinate_from: float):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():

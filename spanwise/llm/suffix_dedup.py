@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .common import eight_bytes, hash_ranges, mix, pack_texts, read_table, signed, text_buffer, unpacked_slices
+from .common import eight_bytes, hash_ranges, mix, pack_texts, read_table, released, signed, text_buffer, unpacked_slices
 from .recompression import pack_span, unpack_span
 from .suffix_groups import suffix_array
 
@@ -87,6 +87,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nda
 
 
 def _rows_of(width: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in unpacked_slices(batch):
@@ -125,6 +126,7 @@ def repeats_by_gram(rows: DataFrame) -> DataFrame:
 def _strings_of(width: int):
     """128-bit digests of the strings of hot grams."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in unpacked_slices(batch):
@@ -152,6 +154,7 @@ def repeated_strings(strings: DataFrame) -> DataFrame:
 def _bytes_of(width: int):
     """The bytes of rows whose suffixes must be sorted, with their gram."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in unpacked_slices(batch):
@@ -246,6 +249,7 @@ def _repeated_suffixes(name: np.ndarray, doc: np.ndarray, start: np.ndarray, pie
 
 
 def _sort_suffixes(width: int):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def portions() -> Iterator[pa.Table]:
             held, size = [], 0
@@ -276,6 +280,7 @@ def _sort_suffixes(width: int):
 
 
 def _removed(width: int, whole_characters: bool):
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in unpacked_slices(batch):

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import eight_bytes, hash_ranges, mix, read_table, text_buffer, text_slices
+from .common import eight_bytes, hash_ranges, mix, read_table, released, text_buffer, text_slices
 
 BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 8, (1, 2, 3)
 #: Bytes of the word beginnings that are features of longer words.
@@ -36,6 +36,8 @@ FEATURES = 1 + len(BEGINNINGS)
 SAMPLE, LONGEST = 3000, 200_000
 #: How many clean texts there are to a toxic one: what a false alarm costs, against a miss.
 COMMON_CLEAN = 4
+#: Bytes of text scored at a time: their filter outputs take some two hundred times as many.
+SLICE_BYTES = 250_000
 SLOTS = [(w, j) for w in WIDTHS for j in range(w)]
 
 # Function words that tell the languages apart.
@@ -305,11 +307,12 @@ def score_documents(docs: DataFrame, model: Model, columns: list[str] | None = N
     text = "text" if "text" in columns else "_text"
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain arrays of fixed size
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = Model(**shared.value)
         table = fitted.responses()
         for batch in batches:
-            for part in text_slices(batch, text):
+            for part in text_slices(batch, text, SLICE_BYTES):
                 s = score(fitted, tokenise(*text_buffer(part[text])), table)
                 kept = [part[c].combine_chunks() for c in columns]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(s, pa.float64()), pa.array((s >= 0.5).astype("int32"))], names=[*columns, *names])

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -184,3 +185,54 @@ def test_estimate_is_close():
     assert abs(value - 2500 / 3500) < 0.15
     merged = np.maximum(r[0], r[1])  # registers of a union are the maxima
     assert (merged == near_dedup.registers(np.sort(pool[:3500]), np.array([0, 3500]))).all()
+
+
+def _packed(sets):
+    return np.concatenate([np.array(sorted(x), np.uint64) for x in sets]), np.cumsum([0] + [len(x) for x in sets])
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_links_join_what_brute_force_joins(across):
+    rng = random.Random(12)
+    for turn in range(40):
+        pool = [rng.getrandbits(64) for _ in range(60)]
+        sets = []
+        for _ in range(rng.randint(1, 40)):
+            if sets and rng.random() < 0.6:
+                base = set(rng.choice(sets))
+                base -= set(rng.sample(sorted(base), min(len(base) - 1, rng.randint(0, 3))))
+                sets.append(base | set(rng.sample(pool, rng.randint(0, 2))))
+            else:
+                sets.append(set(rng.sample(pool, rng.randint(1, 40))))
+        block = np.array([rng.randrange(2) if across else 0 for _ in sets])
+        values, first = _packed(sets)
+        found = near_dedup.links_among(values, first, near_dedup.registers(values, first), block, 80)
+        near = {(x, y) for x in range(len(sets)) for y in range(x) if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y])}
+        assert set(found) <= near
+
+        def joined(pairs):
+            of = list(range(len(sets)))
+            for a, b in pairs:
+                of = [of[b] if c == of[a] else c for c in of]
+            return of
+
+        if across and block.min() != block.max():  # pairs within a block are another unit's work
+            got, want = joined(found), joined(p for p in near if block[p[0]] != block[p[1]])
+            assert all(got[a] == got[b] for a in range(len(sets)) for b in range(a) if want[a] == want[b]), turn
+        else:
+            got, want = joined(found), joined(near)
+            assert all((got[a] == got[b]) == (want[a] == want[b]) for a in range(len(sets)) for b in range(a)), turn
+
+
+def test_boilerplate_and_copies_in_one_group_take_no_pairs():
+    rng = np.random.default_rng(3)
+    n = 20_000
+    common = rng.integers(0, 1 << 63, 14, dtype=np.uint64)
+    own = rng.integers(0, 1 << 63, (n, 6), dtype=np.uint64)
+    alike = np.sort(np.hstack([np.broadcast_to(common, (n, 14)), own]), axis=1)  # all pairs of similarity 0.54
+    copies = rng.integers(0, 1 << 63, 100, dtype=np.uint64)
+    some = np.sort(np.where(rng.random((3000, 100)) < 0.02, rng.integers(0, 1 << 63, (3000, 100), dtype=np.uint64), copies), axis=1)
+    sets, first = np.concatenate([alike.ravel(), some.ravel()]), np.cumsum([0] + [20] * n + [100] * 3000)
+    begin = time.process_time()
+    found = near_dedup.links_among(sets, first, near_dedup.registers(sets, first), np.zeros(n + 3000, int), 80)
+    assert time.process_time() - begin < 60 and len(found) == 2999
