@@ -1,15 +1,19 @@
 """Quality rules: base counts, and divergence from language references.
 
 A document's histogram of character classes and its histogram of common words are compared
-with those of its language by the Jensen-Shannon distance (base 2, from 0 to 1).  The
-references are sums over all documents of the language; a language with less than
-``reference_words`` words in all, and rows without one, use the sum over all documents.
-At most ``references`` languages, the largest, have their own.  A document shorter than
-``least_chars`` characters or ``least_words`` words is not judged by its characters or
-words: short histograms are far from any reference by chance.
+with those of its language by the Jensen-Shannon distance (base 2, from 0 to 1).  Every
+language has its own reference, the sum over all its documents, however few they are: the
+references are a table that joins the documents, broadcast only if it is found small.
+They are not smoothed towards each other, as a script of its own would then be far from
+its own language.  Rows without a language (null or empty) use the sum over all documents.
+A document shorter than ``least_chars`` characters or ``least_words`` words is not judged
+by its characters or words: short histograms are far from any reference by chance.
 
 Base counts are those of whole texts.  Nulls: a null text has no words and fails the base
-rule; a null lang is judged by the common reference.  Repeated rows are judged alike.
+rule; null doc_ids stay.  Repeated rows are judged alike, and count as often in references.
+A distance or share just at its limit passes.  Very long texts are read whole.  Extra
+columns stay if asked for, but for those named as the new ones, whatever their names; an
+empty table gives none.
 """
 
 from __future__ import annotations
@@ -20,11 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import hash_ranges, mix, read_table, released, split_words, text_buffer, text_slices, Words
+from .common import Words, ensure_checkpoint_dir, hash_ranges, mix, read_table, released, split_words, text_buffer, text_slices
 
 #: Guards and limits of the divergence rule.
 LEAST_CHARS, LEAST_WORDS, MOST_CHAR_DISTANCE, MOST_WORD_DISTANCE = 200, 100, 0.2, 0.45
-REFERENCE_WORDS, REFERENCES = 2000, 64
+#: Languages up to which their references (under a kilobyte each) are broadcast.
+BROADCAST_LANGUAGES = 4096
 #: Base rule: least words, and percent of words in repeated windows.
 BASE_WORDS, BASE_REPEATED, REPEAT_WINDOW = 10, 20, 5
 
@@ -139,8 +144,9 @@ def jensen_shannon(counts: np.ndarray, reference: np.ndarray) -> np.ndarray:
     return np.where(total[:, 0] > 0, np.sqrt(np.clip(bits.sum(axis=1) / 2, 0, 1)), 0.0)
 
 
-def language_references(docs: DataFrame, reference_words: int = REFERENCE_WORDS, references: int = REFERENCES) -> dict[str | None, np.ndarray]:
-    """Summed histograms (character classes, then words) by language over all documents; None for all together."""
+def language_references(docs: DataFrame) -> DataFrame:
+    """Summed histograms (character classes, then words) of each language over all documents; lang "" has those of all together."""
+    ensure_checkpoint_dir(docs.sparkSession)
 
     @released
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,59 +154,56 @@ def language_references(docs: DataFrame, reference_words: int = REFERENCE_WORDS,
             for part in text_slices(batch):
                 data, offsets = text_buffer(part["text"])
                 both = np.hstack([char_histogram(data, offsets), word_histogram(split_words(data, offsets))])
-                langs, which = np.unique(np.array(part["lang"].fill_null("").to_pylist(), object).astype(str), return_inverse=True)
+                langs, which = np.unique(np.array(part["lang"].to_pylist(), object).astype(str), return_inverse=True)
                 total = np.zeros((len(langs), both.shape[1]), np.int64)
                 np.add.at(total, which, both)
                 yield pa.RecordBatch.from_arrays([pa.array(langs.tolist(), pa.string()), pa.array(list(total), pa.list_(pa.int64()))], names=["lang", "counts"])
 
-    parts = docs.select(F.col("lang").cast("string").alias("lang"), "text").mapInArrow(sums, "lang string, counts array<long>")
+    parts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text").mapInArrow(sums, "lang string, counts array<long>")
     width = len(CLASSES) + len(set(COMMON_WORDS)) + 1
-    added = parts.groupBy("lang").agg(F.array(*[F.sum(F.col("counts")[i]) for i in range(width)]).alias("counts"))
-    words = F.aggregate(F.slice("counts", len(CLASSES) + 1, width), F.lit(0).cast("long"), lambda a, x: a + x)
-    added = added.withColumn("words", words)
-    overall = added.agg(*[F.sum(F.col("counts")[i]) for i in range(width)]).first()
-    out: dict[str | None, np.ndarray] = {None: np.array([x or 0 for x in overall], np.float64)}
-    for r in added.filter((F.col("words") >= reference_words) & (F.col("lang") != "")).orderBy(F.desc("words"), "lang").limit(references).collect():
-        out[r["lang"]] = np.array(r["counts"], np.float64)
-    return out
+    added = F.array(*[F.sum(F.col("counts")[i]) for i in range(width)]).alias("counts")
+    by_language = parts.groupBy("lang").agg(added).checkpoint()
+    together = by_language.groupBy(F.lit("").alias("lang")).agg(added)
+    return by_language.filter("lang <> ''").unionByName(together)
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+JUDGED = ("base_failed", "kept", "char_distance", "word_distance")
 
 
-def judge(docs: DataFrame, references: dict[str | None, np.ndarray] | None = None, columns: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, references: DataFrame | None = None, columns: list[str] | None = None) -> DataFrame:
     """The given columns (doc_id by default), base counts, distances and verdicts of each document."""
-    columns = columns or ["doc_id"]
-    references = references or language_references(docs)
-    names = [x for x in references if x is not None]
-    table = np.vstack([references[None], *(references[x] for x in names)])
-    number = {x: i + 1 for i, x in enumerate(names)}
+    columns = [c for c in columns or ["doc_id"] if c not in (*BASE, *JUDGED)]
+    references = (language_references(docs) if references is None else references).select("lang", "counts").checkpoint()
+    if references.count() <= BROADCAST_LANGUAGES:
+        references = F.broadcast(references)
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "_text"):
-                data, offsets = text_buffer(part["_text"])
+            for part in text_slices(batch):
+                data, offsets = text_buffer(part["text"])
                 base = base_counts(data, offsets)
                 words = word_histogram(split_words(data, offsets))
                 chars = char_histogram(data, offsets)
-                reference = table[[number.get(x, 0) for x in part["_lang"].to_pylist()]]
+                reference = part["counts"].combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1).astype(np.float64)
                 char_distance = jensen_shannon(chars, reference[:, : len(CLASSES)])
                 word_distance = jensen_shannon(words, reference[:, len(CLASSES) :])
                 failed = (base["n_words"] < BASE_WORDS) | (100 * base["n_repeat_words"] > BASE_REPEATED * base["n_words"])
                 far = ((chars.sum(axis=1) >= LEAST_CHARS) & (char_distance > MOST_CHAR_DISTANCE)) | ((base["n_words"] >= LEAST_WORDS) & (word_distance > MOST_WORD_DISTANCE))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part[c].combine_chunks() for c in columns), *(pa.array(base[k].astype(np.int64)) for k in BASE), pa.array(failed), pa.array(~failed & ~far), pa.array(char_distance), pa.array(word_distance)],
-                    names=[*columns, *BASE, "base_failed", "kept", "char_distance", "word_distance"],
+                    [part["row"].combine_chunks(), *(pa.array(base[k].astype(np.int64)) for k in BASE), pa.array(failed), pa.array(~failed & ~far), pa.array(char_distance), pa.array(word_distance)],
+                    names=["row", *BASE, *JUDGED],
                 )
 
-    rows = docs.select(*[docs[c] for c in columns], docs["text"].alias("_text"), docs["lang"].cast("string").alias("_lang"))
-    schema = rows.select(*columns).schema
+    # the given columns travel as one, so that their names can't clash with those used here
+    rows = docs.select(F.struct(*columns).alias("row"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text").join(references, "lang")
+    schema = rows.select("row").schema
     for name in BASE:
         schema = schema.add(name, "long")
-    for name, kind in (("base_failed", "boolean"), ("kept", "boolean"), ("char_distance", "double"), ("word_distance", "double")):
+    for name, kind in zip(JUDGED, ("boolean", "boolean", "double", "double"), strict=True):
         schema = schema.add(name, kind)
-    return rows.mapInArrow(run, schema)
+    return rows.select("row", "text", "counts").mapInArrow(run, schema).select("row.*", *BASE, *JUDGED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

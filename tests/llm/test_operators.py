@@ -309,6 +309,36 @@ def test_quality_rejects_what_is_far_from_its_language(spark):
     docs = spark.createDataFrame([(i, t, None if i % 7 == 0 else "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(2)
     kept = {r.doc_id: r.kept for r in quality.judge(docs).collect()}
     assert all(kept[i] for i in range(60)) and not any(kept[i] for i in range(60, 65))
+    # a small language of another script is near itself, whatever else there is
+    wide = "".join(chr(0x0420 + rng.randrange(32)) + " " * (rng.random() < 0.2) for _ in range(900))
+    extra = spark.createDataFrame([(100, wide, "xx"), (101, wide, "xx"), (None, plain(), ""), (60, texts[60], "en")], docs.schema)
+    more = docs.unionByName(extra).withColumns({"counts": F.lit(1), "row": F.lit("r"), "kept": F.lit(9)})
+    found = quality.judge(more, columns=more.columns).collect()
+    assert len(found) == 69 and {r.kept for r in found if r.lang == "xx"} == {True} and all(r.counts == 1 and r.row == "r" for r in found)
+    assert [r.kept for r in found if r.doc_id == 60] == [False, False] and [r.kept for r in found if r.doc_id is None] == [True]
+    assert quality.judge(docs.limit(0)).count() == 0
+    # the distances by their definition
+    reference = {r.lang: np.array(r.counts, float) for r in quality.language_references(docs).collect()}
+    assert set(reference) == {"", "en"}
+    for r in quality.judge(docs, columns=["doc_id", "lang", "text"]).collect():
+        chars = np.array([sum(_char_class(c) == k for c in r.text or "") for k in quality.CLASSES], float)
+        other = reference[r.lang or ""][: len(chars)]
+        assert r.char_distance == pytest.approx(_jensen_shannon(chars, other), abs=1e-9)
+
+
+def _char_class(c):
+    for name, chars in {"lower": "abcdefghijklmnopqrstuvwxyz", "upper": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": "0123456789", "space": " \t", "line": "\n\r", "stop": ".?", "inner": ",;:", "quote": "\"'()[]{}-", "bar": "|/\\_", "mark": "!", "symbol": "#*$%&<>+=@^~`"}.items():
+        if c in chars:
+            return name
+    return "wide" if ord(c) > 127 else "control"
+
+
+def _jensen_shannon(a, b):
+    if not a.sum():
+        return 0.0
+    p, q = a / a.sum(), b / b.sum()
+    entropy = lambda x: -sum(v * np.log2(v) for v in x if v > 0)
+    return np.sqrt(max(0.0, entropy((p + q) / 2) - (entropy(p) + entropy(q)) / 2))
     assert quality.judge(docs.limit(0)).count() == 0
 
 
