@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geometry import spatial_relations
+from .match import nearest_earlier
 
 # Tolerances of predicates.
 PIXELS, COSINE, MAG_SHARE, MAG_LEAST, DURATION = 2.0, 0.9, 0.1, 2.0, 2
 
-# Which predicate heads each preset keeps (an empty tuple keeps none, None keeps all).
+# Which predicate heads each preset keeps.
 PRESETS = {
-    "content_only": ("left", "right", "top", "bottom", "intersect"),
-    "motion_shape": ("type", "dir", "mag", "dur", "before", "after", "while"),
-    "all": None,
+    "content_only": ("type", "dir", "mag", "dur", "before", "after", "while"),
+    "motion_shape": ("type", "dir", "before", "after"),
+    "all": ("type", "dir", "mag", "dur", "before", "after", "while", "left", "right", "top", "bottom", "intersect"),
     "none": (),
 }
 
@@ -34,10 +35,11 @@ def parsed(predicates: DataFrame, column: str = "pred") -> DataFrame:
     })
 
 
-def evaluated(predicates: DataFrame, motions: DataFrame, boxes: DataFrame, last_frame: int) -> DataFrame:
+def evaluated(predicates: DataFrame, motions: DataFrame, boxes: DataFrame, last_frame: int, strict: bool = True) -> DataFrame:
     """Truth of parsed predicates about motions (id, type, start, end, dx, dy, mag, dur) and boxes (id, frame, x0..y1).
 
-    A predicate about something unknown is false, and one with an unknown name is null.
+    A predicate about something unknown is false.  One with an unknown name (as bad syntax
+    gives) is an error, or null where not strict.
     """
     args = F.col("args")
     rows = predicates.withColumns({"a": F.element_at(args, 1), "b": F.try_element_at(args, F.lit(2)), "_frame": F.coalesce("frame", F.lit(last_frame))})
@@ -49,7 +51,7 @@ def evaluated(predicates: DataFrame, motions: DataFrame, boxes: DataFrame, last_
         rows = rows.join(box, (F.col(side) == F.col(f"_{side}")) & (F.col("_frame") == F.col(f"_f{side}")), "left").drop(f"_{side}", f"_f{side}")
     wanted = F.transform(F.split(F.regexp_replace("b", r"[\[\]\s]", ""), ","), lambda v: v.try_cast("double"))
     wx, wy = F.try_element_at(wanted, F.lit(1)), F.try_element_at(wanted, F.lit(2))
-    along = (F.col("dx_1") * wx + F.col("dy_1") * wy) / F.sqrt(wx * wx + wy * wy)
+    along = F.try_divide(F.col("dx_1") * wx + F.col("dy_1") * wy, F.sqrt(wx * wx + wy * wy))
     number = F.col("b").try_cast("double")
     time = temporal_relations(F.col("start_1"), F.col("end_1"), F.col("start_2"), F.col("end_2"))
     space = spatial_relations(F.col("box_a"), F.col("box_b"), PIXELS)
@@ -60,22 +62,34 @@ def evaluated(predicates: DataFrame, motions: DataFrame, boxes: DataFrame, last_
     for name, value in {**time, **space}.items():
         truth = truth.when(F.col("name") == name, value)
     known = F.col("name").isin("type", "dir", "mag", "dur", *time, *space)
-    return rows.withColumn("holds", F.when(known, F.coalesce(truth, F.lit(False)))).select(*predicates.columns, "holds")
+    other = F.raise_error(F.concat(F.lit("unknown predicate: "), F.coalesce("name", F.lit("")))).cast("boolean") if strict else F.lit(None).cast("boolean")
+    return rows.withColumn("holds", F.when(known, F.coalesce(truth, F.lit(False))).otherwise(other)).select(*predicates.columns, "holds")
 
 
 def earliest_later(motions: DataFrame, scene: list[str]) -> DataFrame:
-    """``before`` facts: each motion with the motions of other elements that start first after its end."""
-    later = motions.select(*scene, F.col("id").alias("later"), F.col("element").alias("later_element"), F.col("start").alias("later_start"))
-    pairs = motions.join(later, scene).filter((F.col("later_element") != F.col("element")) & (F.col("later_start") >= F.col("end")))
-    first = F.min("later_start").over(Window.partitionBy(*scene, "id"))
-    return pairs.withColumn("_first", first).filter(F.col("later_start") == F.col("_first")).select(*scene, "id", "later")
+    """``before`` facts: each motion with the motions of other elements that start first after its end.
+
+    No motion meets all later ones: it takes the next start after its end, or, where only its
+    own element starts there, the next start of the scene at which another one does.
+    """
+    starts = motions.groupBy(*scene, "start").agg(F.min("element").alias("_one"), F.max("element").alias("_most"))
+    starts = starts.select(*scene, F.col("start").alias("_start"), F.when(F.col("_one") == F.col("_most"), F.col("_one")).alias("_only"))
+    backwards = Window.partitionBy(*scene).orderBy(F.desc("_start"))
+    fresh = F.coalesce(F.lag("_only").over(Window.partitionBy(*scene).orderBy("_start")) != F.col("_only"), F.lit(True))
+    starts = starts.withColumn("_fresh", F.when(fresh, F.col("_start"))).withColumn("_other", F.last("_fresh", ignorenulls=True).over(backwards.rowsBetween(Window.unboundedPreceding, -1)))
+    starts = starts.withColumn("_back", -F.col("_start")).select(*scene, "_back", "_start", "_only", "_other")
+    asked = motions.select(*scene, "id", "element", (-F.col("end")).alias("_end"))
+    found = nearest_earlier(asked, starts, scene, "_end", "_back", "id", ["_start"])
+    found = found.select(*scene, "id", "element", F.when(F.col("_only") == F.col("element"), F.col("_other")).otherwise(F.col("_start")).alias("start"))
+    later = motions.select(*scene, "start", F.col("id").alias("later"), F.col("element").alias("_element"))
+    return found.join(later, [*scene, "start"]).filter(F.col("_element") != F.col("element")).select(*scene, "id", "later")
 
 
 def with_preset(constraints: DataFrame, preset: str, column: str = "pred") -> DataFrame:
     """Set keep by the predicate's head."""
-    heads = PRESETS[preset]
-    head = F.substring_index(column, "(", 1)
-    return constraints.withColumn("keep", F.lit(True) if heads is None else head.isin(*heads) if heads else F.lit(False))
+    if preset not in PRESETS:
+        raise ValueError(f"unknown keep preset {preset!r}")
+    return constraints.withColumn("keep", F.trim(F.substring_index(column, "(", 1)).isin(*PRESETS[preset]))
 
 
 def carried(constraints: DataFrame, previous: DataFrame, key: list[str], flag: str = "keep") -> DataFrame:

@@ -88,32 +88,75 @@ def chosen_pairs(pairs: DataFrame, group: list[str], left: str, right: str, cost
     """
     schema = pairs.select(*group, left, right, F.col(cost).cast("double").alias(cost)).schema
 
+    def edges(rows: pd.DataFrame) -> np.ndarray:
+        """Rows whose group is not that of the row before; nulls are one value."""
+        keys, before = rows[group], rows[group].shift()
+        same = (keys == before) | (keys.isna() & before.isna())
+        return np.flatnonzero(~same.fillna(False).all(axis=1).to_numpy())[1:]
+
+    def solve(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        rows = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0].reset_index(drop=True)
+        a, b, c = rows[left].to_numpy(), rows[right].to_numpy(), rows[cost].to_numpy()
+        keep, cuts = np.zeros(len(rows), bool), edges(rows)
+        for begin, end in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+            keep[begin:end] = choose(a[begin:end], b[begin:end], c[begin:end])
+        return rows[keep]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def solve(rows: pd.DataFrame) -> pd.DataFrame:
-            if not len(rows):
-                return rows
-            keys = rows[group]
-            edges = np.flatnonzero((keys.ne(keys.shift())).any(axis=1).to_numpy())
-            a, b, c = rows[left].to_numpy(), rows[right].to_numpy(), rows[cost].to_numpy()
-            keep = np.zeros(len(rows), bool)
-            for begin, end in zip(edges, np.append(edges[1:], len(rows)), strict=True):
-                keep[begin:end] = choose(a[begin:end], b[begin:end], c[begin:end])
-            return rows[keep]
-
-        held = None
+        held: list[pd.DataFrame] = []  # of a group that may go on in the next batch
         for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if not len(rows):
+            if not len(batch):
                 continue
-            last = (rows[group] == rows[group].iloc[-1]).all(axis=1).to_numpy()  # this group may go on in the next batch
-            held = rows[last].reset_index(drop=True)
-            yield solve(rows[~last].reset_index(drop=True))
-        if held is not None:
+            if held and len(edges(pd.concat([held[-1].tail(1), batch.head(1)], ignore_index=True))):
+                yield solve(held)
+                held = []
+            cuts = edges(batch)
+            if len(cuts):
+                yield solve([*held, batch.iloc[: cuts[-1]]])
+                held = []
+            held.append(batch.iloc[cuts[-1] if len(cuts) else 0 :])
+        if held:
             yield solve(held)
 
     return pairs.select(*schema.names).repartition(*group).sortWithinPartitions(*group, left, right).mapInPandas(run, schema)
 
 
+def _parts(i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+    """The links (i, j) by connected part: positions of each part's links."""
+    parent: dict[tuple[bool, int], tuple[bool, int]] = {}
+
+    def root(x: tuple[bool, int]) -> tuple[bool, int]:
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for a, b in zip(i.tolist(), j.tolist(), strict=True):
+        x, y = root((False, a)), root((True, b))
+        parent[x] = y
+    found: dict[tuple[bool, int], list[int]] = {}
+    for n, a in enumerate(i.tolist()):
+        found.setdefault(root((False, a)), []).append(n)
+    return [np.array(x) for x in found.values()]
+
+
+def assigned(left: np.ndarray, right: np.ndarray, cost: np.ndarray, most: float) -> np.ndarray:
+    """Which pairs the one-to-one choice of least total cost takes, leaving a left side alone for ``most``.
+
+    Only pairs of at most ``most`` count, and each connected part of them is a matrix of its own.
+    """
+    keep, fits = np.zeros(len(left), bool), np.flatnonzero(cost <= most)
+    for part in _parts(left[fits], right[fits]):
+        at = fits[part]
+        rows, columns = np.unique(left[at]), np.unique(right[at])
+        matrix = np.full((len(rows), len(columns) + len(rows)), float(most))
+        matrix[:, : len(columns)] = 4.0 * most + 1.0
+        i, j = np.searchsorted(rows, left[at]), np.searchsorted(columns, right[at])
+        matrix[i, j] = cost[at]
+        keep[at] = assignment(matrix)[i] == j
+    return keep
+
+
 def one_to_one(pairs: DataFrame, group: list[str], left: str, right: str, cost: str, most: float) -> DataFrame:
     """Per group the one-to-one pairs of least total cost, where a pair may cost at most ``most``.
 
@@ -121,20 +164,7 @@ def one_to_one(pairs: DataFrame, group: list[str], left: str, right: str, cost:
     pair below the limit is worth it.  A group (a frame, an order) is one unit of work.
     """
 
-    def solve(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        fits = c <= most
-        rows, columns = np.unique(a[fits]), np.unique(b[fits])
-        keep = np.zeros(len(a), bool)
-        if not len(rows):
-            return keep
-        matrix = np.full((len(rows), len(columns) + len(rows)), float(most))
-        matrix[:, : len(columns)] = 4.0 * most + 1.0
-        i, j = np.searchsorted(rows, a[fits]), np.searchsorted(columns, b[fits])
-        matrix[i, j] = c[fits]
-        keep[fits] = assignment(matrix)[i] == j
-        return keep
-
-    return chosen_pairs(pairs, group, left, right, cost, solve)
+    return chosen_pairs(pairs, group, left, right, cost, lambda a, b, c: assigned(a, b, c, most))
 
 
 def greedy_pairs(pairs: DataFrame, group: list[str], left: str, right: str, cost: str, most: float) -> DataFrame:
@@ -196,12 +226,11 @@ def tracks(observed: DataFrame, scene: list[str], frame: str, obs_id: str, x: st
                 ahead = place[last] + (place[last] - place[before]) * ((f - frames[last]) / span)[:, None]
                 far = np.linalg.norm(ahead[:, None] - place[index][None], axis=2) / reach
                 cost = far + np.abs(np.log(area[last][:, None] / area[index][None]))
-                wide = np.full((len(live), len(index) + len(live)), most)
-                wide[:, : len(index)] = np.where(cost <= most, cost, 4 * most + 1)
-                for t, c in zip(live, assignment(wide), strict=True):
-                    if c < len(index):
-                        label[index[c]] = t
-                        history[t] = (int(index[c]), history[t][0])
+                a, b = np.nonzero(cost <= most)
+                for i in np.flatnonzero(assigned(a, b, cost[a, b], most)):
+                    t, c = live[a[i]], int(index[b[i]])
+                    label[c] = t
+                    history[t] = (c, history[t][0])
             for i in index[label[index] < 0]:
                 label[i] = len(history)
                 live.append(len(history))

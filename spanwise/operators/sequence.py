@@ -48,25 +48,73 @@ def merged_runs(found: DataFrame, entity: list[str], apart: int) -> DataFrame:
     return rows.groupBy(*entity, "_group").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.count(F.lit(1)).alias("parts")).drop("_group")
 
 
+# Least change per row of each kind of motion, the change that makes one row a step, and the kinds' order.
+EPS = {"translation": 0.5, "rotation": 0.25, "scale": 0.002, "opacity": 0.005, "reveal": 0.005, "spin": 0.25}
+STEP = {"translation": 2.0, "rotation": 1.0, "scale": 0.01, "opacity": 0.02, "reveal": 0.01, "spin": 1.0}
+KINDS = ("translation", "rotation", "scale", "opacity", "reveal", "spin")
+
+
+def _moving_spans(steps: DataFrame, keys: list[str], index: str) -> DataFrame:
+    """Runs of moving steps (index, now, next, step): start, end, the state at the start and at the end."""
+    order = _order(keys, [index])
+    opened = F.coalesce((F.col(index) - F.lag(index).over(order) > 2).cast("int"), F.lit(1))
+    rows = steps.withColumn("_opened", opened).withColumn("_run", F.sum("_opened").over(order))
+    found = rows.groupBy(*keys, "_run").agg(F.min(index).alias("start"), (F.max(index) + 1).alias("end"), F.min_by("now", index).alias("_from"), F.max_by("next", index).alias("_to"), F.max("step").alias("_step"))
+    return found.filter((F.col("end") - F.col("start") >= 2) | F.col("_step"))
+
+
+def _numbered(found: DataFrame, entity: list[str]) -> DataFrame:
+    number = F.row_number().over(Window.partitionBy(*entity).orderBy("start", "_rank"))
+    return found.withColumns({"motion": number.cast("long"), "dur": F.col("end") - F.col("start")})
+
+
 def motions(df: DataFrame, entity: list[str], index: str, channels: dict[str, tuple[str, float]]) -> DataFrame:
-    """Motion events of several channels {type: (value column, threshold)}.
+    """Motion events of several channels {type: (value column, threshold)}, in one pass over the rows.
 
     A motion spans a run of changing steps and ends one row after the run; its magnitude is
     the value there less the value at its start.  Motions are numbered per entity by start,
     then by the channels' order.
     """
-    order = _order(entity, [index])
-    found = None
-    for rank, (kind, (value, threshold)) in enumerate(channels.items()):
-        steps = df.withColumn("_next", F.lead(value).over(order)).filter(F.abs(F.col("_next") - F.col(value)) > threshold)
-        spans = runs(steps, entity, index, F.lit(True)).select(*entity, F.lit(kind).alias("type"), F.lit(rank).alias("_rank"), F.col("first").alias("start"), (F.col("last") + 1).alias("end"))
-        at = df.select(*entity, F.col(index).alias("_at"), F.col(value).alias("_value"))
-        begins = at.withColumnsRenamed({"_at": "start", "_value": "_from"})
-        ends = at.withColumnsRenamed({"_at": "end", "_value": "_to"})
-        spans = spans.join(begins, [*entity, "start"]).join(ends, [*entity, "end"]).withColumn("mag", F.col("_to") - F.col("_from")).drop("_from", "_to")
-        found = spans if found is None else found.unionByName(spans)
-    number = F.row_number().over(Window.partitionBy(*entity).orderBy("start", "_rank"))
-    return found.withColumn("motion", number.cast("long")).withColumn("dur", F.col("end") - F.col("start")).select(*entity, "motion", "type", "start", "end", "dur", "mag")
+    values = F.array(*[F.col(v).cast("double") for v, _ in channels.values()])
+    rows = df.select(*entity, F.col(index).alias("_at"), values.alias("_now")).withColumn("_next", F.lead("_now").over(_order(entity, ["_at"])))
+    options = F.array(*[F.struct(F.lit(kind).alias("type"), F.lit(i).alias("_rank"), F.col("_now")[i].alias("now"), F.col("_next")[i].alias("next"), F.lit(float(least)).alias("_least")) for i, (kind, (_, least)) in enumerate(channels.items())])
+    steps = rows.filter("_next is not null").select(*entity, "_at", F.explode(options).alias("_c")).select(*entity, "_at", "_c.*").filter(F.abs(F.col("next") - F.col("now")) > F.col("_least"))
+    found = _moving_spans(steps.withColumn("step", F.lit(False)), [*entity, "type", "_rank"], "_at").withColumn("mag", F.col("_to") - F.col("_from"))
+    return _numbered(found, entity).select(*entity, "motion", "type", "start", "end", "dur", "mag")
+
+
+def matrix_motions(df: DataFrame, entity: list[str], index: str, eps: dict[str, float] | None = None, step: dict[str, float] | None = None, extra: dict[str, str] | None = None) -> DataFrame:
+    """Motions of elements with columns x, y, sx, sy, rot and opacity, and extra ones {column: kind} if given.
+
+    Translation has a unit direction and its length as magnitude, scale the mean ratio of its
+    two factors, all else a difference.  A row with nulls is not seen, and nothing moves into
+    or out of it; a single changing row counts only where ``step`` calls its change a step.
+    Every entity has a row for each index from its first to its last.
+    """
+    least, jump = {**EPS, **(eps or {})}, step or {}
+    base = ["x", "y", "sx", "sy", "rot", "opacity"]
+    columns = [*base, *(extra or {})]
+    state = F.struct(*[F.col(c).cast("double").alias(c) for c in columns])
+    seen = F.when(F.greatest(*[F.col(c).isNull().cast("int") for c in base]) == 0, state)
+    rows = df.select(*entity, F.col(index).alias("_at"), seen.alias("now")).withColumn("next", F.lead("now").over(_order(entity, ["_at"])))
+    off = {c: F.col(f"next.{c}") - F.col(f"now.{c}") for c in columns}
+    signals = {"translation": ("translation", F.hypot(off["x"], off["y"])), "rotation": ("rotation", F.abs(off["rot"])), "scale": ("scale", F.abs(off["sx"]) + F.abs(off["sy"])), "opacity": ("opacity", F.abs(off["opacity"]))}
+    signals |= {c: (kind, F.abs(off[c])) for c, kind in (extra or {}).items()}
+    options = F.array(*[
+        F.struct(F.lit(kind).alias("type"), F.lit(name).alias("_channel"), F.lit(KINDS.index(kind)).alias("_rank"), (signal > least[kind]).alias("_moves"), (signal > jump.get(kind, float("inf"))).alias("step"))
+        for name, (kind, signal) in signals.items()
+    ])
+    steps = rows.filter("now is not null and next is not null").select(*entity, "_at", "now", "next", F.explode(options).alias("_c")).select(*entity, "_at", "now", "next", "_c.*").filter("_moves")
+    found = _moving_spans(steps, [*entity, "type", "_channel", "_rank"], "_at")
+    to, back = (lambda c: F.col(f"_to.{c}")), (lambda c: F.col(f"_from.{c}"))
+    dx, dy = to("x") - back("x"), to("y") - back("y")
+    length, moved = F.hypot(dx, dy), F.col("type") == "translation"
+    mag = F.when(moved, length).when(F.col("type") == "scale", 0.5 * (F.try_divide(to("sx"), back("sx")) + F.try_divide(to("sy"), back("sy"))))
+    for name in ("rot", "opacity", *(extra or {})):
+        mag = mag.when(F.col("_channel") == {"rot": "rotation"}.get(name, name), to(name) - back(name))
+    found = found.withColumns({"mag": mag, "dir_x": F.when(moved, F.try_divide(dx, length)), "dir_y": F.when(moved, F.try_divide(dy, length))})
+    number = F.row_number().over(Window.partitionBy(*entity).orderBy("start", "_rank", "_channel"))
+    return found.withColumns({"motion": number.cast("long"), "dur": F.col("end") - F.col("start")}).select(*entity, "motion", "type", "start", "end", "dur", "dir_x", "dir_y", "mag")
 
 
 def spikes(df: DataFrame, entity: list[str], index: str, change: str, floor: float, factor: float, near: int = 2, duplicate: float = 0.0) -> DataFrame:
@@ -110,17 +158,32 @@ def held(df: DataFrame, entity: list[str], position: str, value: str, name: str
 
 
 def filled(df: DataFrame, entity: list[str], position: str, value: str, name: str = "filled") -> DataFrame:
-    """Linear interpolation of inner nulls by position; nulls at the edges stay."""
-    past = _order(entity, [position]).rowsBetween(Window.unboundedPreceding, 0)
-    future = _order(entity, [position]).rowsBetween(0, Window.unboundedFollowing)
-    at = F.when(F.col(value).isNotNull(), F.col(position))
-    rows = df.withColumns({
-        "_v0": F.last(value, ignorenulls=True).over(past), "_p0": F.last(at, ignorenulls=True).over(past),
-        "_v1": F.first(value, ignorenulls=True).over(future), "_p1": F.first(at, ignorenulls=True).over(future),
-    })
-    share = (F.col(position) - F.col("_p0")) / (F.col("_p1") - F.col("_p0"))
-    line = F.when(F.col("_p1") == F.col("_p0"), F.col("_v0")).otherwise(F.col("_v0") + (F.col("_v1") - F.col("_v0")) * share)
-    return rows.withColumn(name, line).drop("_v0", "_p0", "_v1", "_p1")
+    """Linear interpolation of inner nulls by position; nulls at the edges stay.
+
+    Only rows with a value know the next one; each carries the line to it over the rows after.
+    """
+    order = _order(entity, [position])
+    known = df.filter(F.col(value).isNotNull())
+    ahead = F.struct(F.col(position).alias("p0"), F.col(value).alias("v0"), F.lead(position).over(order).alias("p1"), F.lead(value).over(order).alias("v1"))
+    lines = known.select(*entity, position, ahead.alias("_line"))
+    rows = df.join(lines, [*entity, position], "left").withColumn("_line", F.last("_line", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.col("_line")
+    line = F.when(F.col(value).isNotNull(), F.col(value)).otherwise(at["v0"] + (at["v1"] - at["v0"]) * ((F.col(position) - at["p0"]) / (at["p1"] - at["p0"])))
+    return rows.withColumn(name, line).drop("_line")
+
+
+def filled_dense(df: DataFrame, entity: list[str], position: str, value: str, name: str = "filled") -> DataFrame:
+    """Every integer position from an entity's first known value to its last, interpolated linearly.
+
+    Each known row makes the positions up to the next one, so nothing is joined and the only
+    window is over known rows.
+    """
+    known = df.filter(F.col(value).isNotNull()).select(*entity, F.col(position).alias("_p"), F.col(value).alias("_v"))
+    order = _order(entity, ["_p"])
+    known = known.withColumns({"_q": F.lead("_p").over(order), "_w": F.lead("_v").over(order)})
+    rows = known.withColumn(position, F.explode(F.sequence(F.col("_p"), F.coalesce(F.col("_q") - 1, F.col("_p")))))
+    line = F.when(F.col(position) == F.col("_p"), F.col("_v")).otherwise(F.col("_v") + (F.col("_w") - F.col("_v")) * ((F.col(position) - F.col("_p")) / (F.col("_q") - F.col("_p"))))
+    return rows.select(*entity, position, line.alias(name))
 
 
 def noise_bound(df: DataFrame, entity: list[str], order: list[str], value: str, least: int = 11) -> DataFrame:

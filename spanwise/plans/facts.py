@@ -21,8 +21,8 @@ def _constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH c AS (SELECT event_id, {HEAD_SQL} AS head FROM events), p(preset) AS (VALUES ('content_only'), ('motion_shape'), ('all'), ('none'))
-SELECT preset, head, count(*) AS n, CAST(sum(CASE WHEN preset = 'all' OR (preset = 'content_only' AND head IN ('left', 'right', 'top', 'bottom', 'intersect'))
-  OR (preset = 'motion_shape' AND head IN ('type', 'dir', 'mag', 'dur', 'before', 'after', 'while')) THEN 1 ELSE 0 END) AS BIGINT) AS kept
+SELECT preset, head, count(*) AS n, CAST(sum(CASE WHEN preset = 'all' OR (preset = 'content_only' AND head IN ('type', 'dir', 'mag', 'dur', 'before', 'after', 'while'))
+  OR (preset = 'motion_shape' AND head IN ('type', 'dir', 'before', 'after')) THEN 1 ELSE 0 END) AS BIGINT) AS kept
 FROM c, p GROUP BY preset, head
 """)
 def keep_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,31 +70,34 @@ def earliest_later(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.earliest_later(motions, ["scene"])
 
 
-@query(f"""
-WITH m AS (SELECT event_id AS id, event_id % 50 AS start, event_id % 50 + k % 20 AS z, k % 4 AS turn, k AS mag, value FROM (SELECT *, CAST(props->>'$.k' AS INTEGER) AS k FROM events)),
-q AS (SELECT a.id, b.id AS other, a.start, a.z, b.start AS start2, b.z AS z2, a.mag, a.turn FROM m a JOIN m b ON b.id = a.id + 7),
-r AS (SELECT id, 'before' AS name, z <= start2 AS holds FROM q UNION ALL SELECT id, 'after', z2 <= start FROM q
-      UNION ALL SELECT id, 'while', least(z, z2) - greatest(start, start2) >= 1 FROM q
-      UNION ALL SELECT id, 'mag', abs(mag - 30) <= greatest(3.0, 2.0) FROM q
-      UNION ALL SELECT id, 'dir', turn = 0 FROM q)
-SELECT name, count(*) AS n, CAST(sum(CASE WHEN holds THEN 1 ELSE 0 END) AS BIGINT) AS true_facts FROM r GROUP BY name
+@query("""
+WITH m AS (SELECT event_id AS id, event_id % 50 AS start, event_id % 50 + k % 20 AS z, k % 4 AS turn, k AS mag, k % 20 AS dur, CASE WHEN k % 3 = 0 THEN 'rotation' ELSE 'translation' END AS type,
+  CAST(k AS DOUBLE) AS x0, k + 10.0 AS x1, event_id % 40 + 0.0 AS y0, event_id % 40 + 12.5 AS y1 FROM (SELECT *, CAST(props->>'$.k' AS INTEGER) AS k FROM events)),
+q AS (SELECT a.*, b.start AS start2, b.z AS z2, b.x0 AS u0, b.x1 AS u1, b.y0 AS v0, b.y1 AS v1 FROM m a JOIN m b ON b.id = a.id + 7),
+r AS (SELECT id, unnest([{'n': 'before', 'h': z <= start2}, {'n': 'after', 'h': z2 <= start}, {'n': 'while', 'h': least(z, z2) - greatest(start, start2) >= 1},
+  {'n': 'mag', 'h': abs(mag - 30) <= greatest(0.10 * 30, 2.0)}, {'n': 'dir', 'h': turn = 0}, {'n': 'dur', 'h': abs(dur - 8) <= 2}, {'n': 'type', 'h': type = 'rotation'},
+  {'n': 'left', 'h': x1 <= u0 + 2.0}, {'n': 'right', 'h': x0 >= u1 - 2.0}, {'n': 'top', 'h': y1 <= v0 + 2.0}, {'n': 'bottom', 'h': y0 >= v1 - 2.0},
+  {'n': 'intersect', 'h': least(x1, u1) > greatest(x0, u0) AND least(y1, v1) > greatest(y0, v0)}]) AS f FROM q)
+SELECT f.n AS name, count(*) AS n, CAST(sum(CASE WHEN f.h THEN 1 ELSE 0 END) AS BIGINT) AS true_facts FROM r GROUP BY f.n
 """)
 def predicate_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = observations(spark, sf_dir).select("event_id", "k")
-    turn = F.col("k") % 4
+    turn, ident = F.col("k") % 4, F.col("event_id").cast("string")
     motions = rows.select(
-        F.col("event_id").cast("string").alias("id"), F.lit("translation").alias("type"), (F.col("event_id") % 50).alias("start"), (F.col("event_id") % 50 + F.col("k") % 20).alias("end"),
+        ident.alias("id"), F.when(F.col("k") % 3 == 0, "rotation").otherwise("translation").alias("type"), (F.col("event_id") % 50).alias("start"), (F.col("event_id") % 50 + F.col("k") % 20).alias("end"),
         F.when(turn == 0, 1.0).when(turn == 2, -1.0).otherwise(0.0).alias("dx"), F.when(turn == 1, 1.0).when(turn == 3, -1.0).otherwise(0.0).alias("dy"), F.col("k").cast("double").alias("mag"), (F.col("k") % 20).alias("dur"),
     )
+    low = F.col("event_id") % 40
+    boxes = rows.select(ident.alias("id"), F.lit(3).alias("frame"), F.col("k").cast("double").alias("x0"), (F.col("k") + 10.0).alias("x1"), low.cast("double").alias("y0"), (low + 12.5).alias("y1"))
     other = rows.select((F.col("event_id") - 7).alias("event_id"))
-    ident = F.col("event_id").cast("string")
+    pair = F.concat(F.lit("("), ident, F.lit(", "), (F.col("event_id") + 7).cast("string"), F.lit(")"))
+    # facts about boxes name their frame or mean the last one
     texts = F.array(
-        *[F.concat(F.lit(f"{n}("), ident, F.lit(", "), (F.col("event_id") + 7).cast("string"), F.lit(")")) for n in ("before", "after", "while")],
-        F.concat(F.lit("mag("), ident, F.lit(",30)")), F.concat(F.lit("dir("), ident, F.lit(",[1, 0])")),
+        *[F.concat(F.lit(n), pair) for n in ("before", "after", "while", "left", "top", "intersect")], *[F.concat(F.lit(n), pair, F.lit("@3")) for n in ("right", "bottom")],
+        *[F.concat(F.lit(f"{n}("), ident, F.lit(f"{value})")) for n, value in {"mag": ",30", "dur": ", 8", "dir": ",[1, 0]", "type": ",'rotation'"}.items()],
     )
     predicates = facts.parsed(rows.join(other, "event_id").select(F.explode(texts).alias("pred")))
-    boxes = spark.createDataFrame([], "id string, frame int, x0 double, y0 double, x1 double, y1 double")
-    held = facts.evaluated(predicates, motions, boxes, last_frame=0)
+    held = facts.evaluated(predicates, motions, boxes, last_frame=3)
     return held.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("holds").cast("long")).alias("true_facts"))
 
 

@@ -104,9 +104,11 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def object_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = seq.indexed(observations(spark, sf_dir), ["event_type"], ["ts", "event_id"])
-    seen = rows.select("event_type", F.floor(F.col("idx") / 4).alias("frame"), "event_id", F.col("value").alias("x"), F.col("k").cast("double").alias("y"), (F.col("value") + 1).alias("size"), F.pmod("user_id", F.lit(16)).alias("scene"))
-    return match.tracks(seen, ["event_type", "scene"], "frame", "event_id", "x", "y", "size", reach=60.0, most=1.5)
+    # a scene is a user's day, so that scenes stay small however many users and days there are
+    day = observations(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    rows = seq.indexed(day, ["user_id", "day"], ["ts", "event_id"])
+    seen = rows.select("user_id", "day", F.floor(F.col("idx") / 4).alias("frame"), "event_id", F.col("value").alias("x"), F.col("k").cast("double").alias("y"), (F.col("value") + 1).alias("size"))
+    return match.tracks(seen, ["user_id", "day"], "frame", "event_id", "x", "y", "size", reach=60.0, most=1.5)
 
 
 @query("""

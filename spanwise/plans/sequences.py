@@ -58,6 +58,44 @@ def motion_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("mag", F.round("mag", 6))
 
 
+@query(f"""
+WITH {CHANGED},
+m AS (SELECT user_id, idx, CASE WHEN k % 17 <> 0 THEN value END AS x, CAST(k AS DOUBLE) AS y, 1.0 + k % 4 AS sx, 2.0 AS sy, CAST(k % 90 AS DOUBLE) AS rot, (k % 5) / 10.0 AS opacity FROM o),
+n AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(sx) OVER w AS nsx, lead(rot) OVER w AS nrot, lead(opacity) OVER w AS nop FROM m WINDOW w AS (PARTITION BY user_id ORDER BY idx)),
+s AS (SELECT user_id, idx, unnest([{{'t': 'translation', 'r': 0, 's': sqrt((nx - x) ** 2 + (ny - y) ** 2), 'e': 60.0, 'j': 110.0}}, {{'t': 'rotation', 'r': 1, 's': abs(nrot - rot), 'e': 30.0, 'j': 85.0}},
+  {{'t': 'scale', 'r': 2, 's': abs(nsx - sx), 'e': 1.5, 'j': 2.5}}, {{'t': 'opacity', 'r': 3, 's': abs(nop - opacity), 'e': 0.25, 'j': 9.0}}]) AS c FROM n WHERE x IS NOT NULL AND nx IS NOT NULL),
+v AS (SELECT *, CASE WHEN idx - lag(idx) OVER (PARTITION BY user_id, c.r ORDER BY idx) <= 2 THEN 0 ELSE 1 END AS opened FROM s WHERE c.s > c.e),
+r AS (SELECT *, sum(opened) OVER (PARTITION BY user_id, c.r ORDER BY idx) AS run FROM v),
+e AS (SELECT user_id, c.t AS type, c.r AS rk, min(idx) AS a, max(idx) + 1 AS z FROM r GROUP BY user_id, c.t, c.r, run HAVING max(idx) - min(idx) >= 1 OR max(c.s - c.j) > 0),
+f AS (SELECT e.*, q.x - p.x AS dx, q.y - p.y AS dy, q.rot - p.rot AS dr, q.opacity - p.opacity AS dop, 0.5 * (q.sx / p.sx + q.sy / p.sy) AS ratio
+      FROM e JOIN m p ON p.user_id = e.user_id AND p.idx = a JOIN m q ON q.user_id = e.user_id AND q.idx = z)
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY a, rk) AS motion, type, a AS start, z AS "end", z - a AS dur,
+  round(CASE WHEN rk = 0 AND sqrt(dx * dx + dy * dy) > 0 THEN dx / sqrt(dx * dx + dy * dy) END, 6) + 0.0 AS dir_x, round(CASE WHEN rk = 0 AND sqrt(dx * dx + dy * dy) > 0 THEN dy / sqrt(dx * dx + dy * dy) END, 6) + 0.0 AS dir_y,
+  round(CASE rk WHEN 0 THEN sqrt(dx * dx + dy * dy) WHEN 1 THEN dr WHEN 2 THEN ratio ELSE dop END, 6) + 0.0 AS mag FROM f
+""")
+def matrix_motions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    rows = _changed(spark, sf_dir).select("user_id", "idx", F.when(k % 17 != 0, F.col("value")).alias("x"), k.alias("y"), (1 + k % 4).alias("sx"), F.lit(2.0).alias("sy"), (k % 90).alias("rot"), ((k % 5) / 10).alias("opacity"))
+    found = seq.matrix_motions(rows, ENTITY, "idx", eps={"translation": 60.0, "rotation": 30.0, "scale": 1.5, "opacity": 0.25}, step={"translation": 110.0, "rotation": 85.0, "scale": 2.5, "opacity": 9.0})
+    return found.withColumns({c: F.round(c, 6) + 0.0 for c in ("dir_x", "dir_y", "mag")})
+
+
+@query()
+def eased_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.curves import eased_keys as keys
+
+    rows = seq.indexed(observations(spark, sf_dir), ENTITY, ORDER)
+    return keys(rows, ENTITY, "idx", "value", F.lit(30.0)).withColumns({"v": F.round("v", 6), "error": F.round("error", 6)})
+
+
+@query()
+def property_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.curves import property_keys as keys
+
+    rows = seq.indexed(observations(spark, sf_dir), ENTITY, ORDER).select("user_id", "idx", F.col("value").alias("x"), F.col("k").alias("rot"), F.lit(1.0).alias("sx"), (F.col("k") / 100.0).alias("opacity"))
+    return keys(rows, ENTITY, "idx", ["x", "rot", "sx", "opacity"]).withColumns({"v": F.round("v", 6), "error": F.round("error", 6)})
+
+
 @query(f"""
 WITH {CHANGED},
 w AS (SELECT *, sum(change) OVER v - change AS s, count(*) OVER v - 1 AS c FROM o WHERE change > 0.5
@@ -121,10 +159,13 @@ g AS (SELECT user_id, unnest(range(a, z + 1)) AS hour FROM b),
 d AS (SELECT g.user_id, g.hour, h.value FROM g LEFT JOIN h ON h.user_id = g.user_id AND h.hour = g.hour)"""
 
 
-def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _hourly_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     hour = F.floor(F.col("ts").cast("timestamp").cast("double") / 3600)
-    means = observations(spark, sf_dir).groupBy("user_id", hour.alias("hour")).agg(F.avg("value").alias("value"))
-    return seq.dense(means, ENTITY, "hour")
+    return observations(spark, sf_dir).groupBy("user_id", hour.alias("hour")).agg(F.avg("value").alias("value"))
+
+
+def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seq.dense(_hourly_means(spark, sf_dir), ENTITY, "hour")
 
 
 @query(f"""
@@ -144,7 +185,7 @@ f AS (SELECT *, last_value(value IGNORE NULLS) OVER p AS v0, last_value(CASE WHE
 SELECT user_id, hour, round(CASE WHEN p1 = p0 THEN v0 ELSE v0 + (v1 - v0) * ((hour - p0) / (p1 - p0)) END, 6) AS filled FROM f
 """)
 def fill_gaps_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seq.filled(_hourly(spark, sf_dir), ENTITY, "hour", "value").select("user_id", "hour", F.round("filled", 6).alias("filled"))
+    return seq.filled_dense(_hourly_means(spark, sf_dir), ENTITY, "hour", "value").select("user_id", "hour", F.round("filled", 6).alias("filled"))
 
 
 @query(f"""

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,12 +16,28 @@ def test_predicates_of_two_elements(spark):
         "type(m1,'translation')": True, "dir(m1,[2, 0.1])": True, "dir(m2,[1,0])": False, "mag(m1,109)": True, "mag(m1,120)": False, "dur(m2,12)": True, "before(m9,m1)": False, "nothing(m1)": None,
     }
     rows = facts.parsed(spark.createDataFrame([(p,) for p in wanted], "pred string"))
-    assert {r.pred: r.holds for r in facts.evaluated(rows, motions, boxes, 59).collect()} == wanted
+    assert {r.pred: r.holds for r in facts.evaluated(rows, motions, boxes, 59, strict=False).collect()} == wanted
+    with pytest.raises(Exception, match="unknown predicate"):
+        facts.evaluated(rows, motions, boxes, 59).collect()
+
+
+def test_earliest_later_equals_all_pairs(spark):
+    rng = random.Random(2)
+    rows = [(i % 3, i, rng.choice("aab") if i % 3 else rng.choice("abc"), s := rng.randint(0, 12), s + rng.randint(0, 5)) for i in range(70)]
+    found = facts.earliest_later(spark.createDataFrame(rows, "scene long, id long, element string, start long, end long"), ["scene"]).collect()
+    want = set()
+    for scene, i, element, _, end in rows:
+        later = [(s, j) for c, j, e, s, _ in rows if c == scene and e != element and s >= end]
+        want |= {(scene, i, j) for s, j in later if s == min(later)[0]}
+    assert sorted((r.scene, r.id, r.later) for r in found) == sorted(want)
 
 
 def test_presets_and_carried_flags(spark):
     rows = spark.createDataFrame([("left(a,b)", False), ("mag(m,1.0)", True)], "pred string, keep boolean")
-    assert [r.keep for r in facts.with_preset(rows, "content_only").orderBy("pred").collect()] == [True, False]
+    assert [r.keep for r in facts.with_preset(rows, "content_only").orderBy("pred").collect()] == [False, True]
+    assert [r.keep for r in facts.with_preset(rows, "motion_shape").collect()] == [False, False]
+    with pytest.raises(ValueError, match="unknown keep preset"):
+        facts.with_preset(rows, "most")
     assert [r.keep for r in facts.with_preset(rows, "all").collect()] == [True, True]
     assert [r.keep for r in facts.with_preset(rows, "none").collect()] == [False, False]
     old = spark.createDataFrame([("left(a,b)", True)], "pred string, keep boolean")

@@ -24,6 +24,21 @@ def test_one_to_one_prefers_total_and_keeps_limit(spark):
     assert greedy == [(1, 0, 0)]
 
 
+def test_null_groups_are_one_group_and_groups_span_batches(spark):
+    rows = [(g, a, b, c) for g in (None, 5) for a, b, c in ((1, 1, 0.1), (1, 2, 0.2), (2, 1, 0.15))]
+    rows += [(7, a, b, abs(a - b) / 100) for a in range(20) for b in range(20)]
+    pairs = spark.createDataFrame(rows, "g long, a long, b long, c double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for choose, few in ((match.one_to_one, [(1, 2), (2, 1)]), (match.greedy_pairs, [(1, 1)])):
+            found = choose(pairs, ["g"], "a", "b", "c", 0.5).collect()
+            assert sorted((r.a, r.b) for r in found if r.g is None) == few == sorted((r.a, r.b) for r in found if r.g == 5)
+            assert sorted((r.a, r.b) for r in found if r.g == 7) == [(i, i) for i in range(20)]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_band_join_equals_range_condition(spark):
     rng = np.random.default_rng(3)
     left = [(int(k), i, int(t)) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 60), rng.integers(-50, 50, 60)))]

@@ -1,3 +1,4 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from spanwise.operators import sequence as seq
@@ -76,3 +77,34 @@ def test_evenly_includes_ends(spark):
 def test_settled_looks_ahead(spark):
     changes = spark.createDataFrame([("a", i, c) for i, c in enumerate([9.0, 9.0, 1.0, 1.0, 1.0])], "e string, i long, c double")
     assert [r["settled"] for r in seq.settled(changes, ["e"], "i", "c", quiet=5.0, within=4).orderBy("i").collect()] == [2, 2, 2, 3, 4]
+
+
+def test_eased_keys_draw_the_curve_within_bound():
+    from spanwise.operators import curves
+
+    rng = np.random.default_rng(5)
+    for turn in range(60):
+        n = int(rng.integers(1, 60))
+        v = np.concatenate([np.full(n, 3.0), 3 + 40 * curves.ease_at(np.arange(30) / 29, curves.EASES["out_cubic"]), np.full(n, 43.0)]) if turn % 2 else np.cumsum(rng.normal(size=n) * 3)
+        bound = float(rng.choice([0.5, 2.0, 8.0]))
+        at, value, ease, error = curves.keys_of(v, bound)
+        assert error <= bound + 1e-9 and at[0] == 0 and (len(at) == 1 or at[-1] == len(v) - 1)
+        for a, b, x, y, e in zip(at, at[1:], value, value[1:], ease):
+            assert np.abs(x + (y - x) * curves._shapes(b - a)[e] - v[a : b + 1]).max() <= bound + 1e-9
+    at, value, ease, error = curves.keys_of(3 + 40 * curves.ease_at(np.arange(30) / 29, curves.EASES["in_out_quad"]), 0.5)
+    assert (len(at), curves.NAMES[ease[0]]) == (2, "in_out_quad")
+    at, value, ease, error = curves.keys_of(np.concatenate([np.full(9, 3.0), 3 + 40 * curves.ease_at(np.arange(30) / 29, curves.EASES["out_cubic"]), np.full(9, 43.0)]), 0.5)
+    assert len(at) <= 9 and error <= 0.5
+    assert curves.keys_of(np.array([1.0, 1.2, 0.9, 1.1]), 0.5)[1].tolist() == [1.05]
+
+
+def test_property_keys_leave_defaults_out_and_draw_back(spark):
+    from spanwise.operators import curves
+
+    rows = [("a", i, 5.0 * i, 1.0, 0.5) for i in range(20)] + [("b", i, 0.5, 1.0, 1.0) for i in range(20)] + [("b", 20, None, None, None)]
+    df = spark.createDataFrame(rows, "e string, i long, x double, sx double, opacity double")
+    keys = curves.property_keys(df, ["e"], "i", ["x", "sx", "opacity"])
+    found = {(r.e, r.property, r.t, r.v) for r in keys.collect()}
+    assert found == {("a", "x", 0, 0.0), ("a", "x", 19, 95.0), ("a", "opacity", 0, 0.5)}
+    drawn = curves.key_errors(keys.filter("property = 'x'"), df.filter("e = 'a'"), ["e"], "i", "x").collect()
+    assert len(drawn) == 20 and all(abs(r.drawn - r.x) < 1e-9 for r in drawn)
