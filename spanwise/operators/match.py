@@ -92,7 +92,7 @@ def chosen_pairs(pairs: DataFrame, group: list[str], left: str, right: str, cost
         """Rows whose group is not that of the row before; nulls are one value."""
         keys, before = rows[group], rows[group].shift()
         same = (keys == before) | (keys.isna() & before.isna())
-        return np.flatnonzero(~same.fillna(False).all(axis=1).to_numpy())[1:]
+        return np.flatnonzero(~same.all(axis=1).to_numpy()[1:]) + 1
 
     def solve(parts: list[pd.DataFrame]) -> pd.DataFrame:
         rows = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0].reset_index(drop=True)
