@@ -182,13 +182,13 @@ def anchored(rounds: list[Symbols], first: np.ndarray, window: int, digest: Rang
     return name[i[at]], i[at], i[np.append(at[1:], len(i)) - 1]
 
 
-#: A row of windows as one number: first window start, further windows, and a flag.
+#: A row of windows as one number: first window start, further windows, and a flag of two bits.
 def pack_span(begin: np.ndarray, more: np.ndarray, flag: np.ndarray | int) -> np.ndarray:
-    return (begin.astype(np.int64) << 17) | (more.astype(np.int64) << 1) | flag
+    return (begin.astype(np.int64) << 18) | (more.astype(np.int64) << 2) | flag
 
 
 def unpack_span(span: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return span >> 17, (span >> 1) & 0xFFFF, span & 1
+    return span >> 18, (span >> 2) & 0xFFFF, span & 3
 
 
 ROWS = "name long, digest long, doc long, span long"

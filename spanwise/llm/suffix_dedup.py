@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import eight_bytes, hash_ranges, mix, pack_texts, read_table, released, signed, text_buffer, unpacked_slices
 from .recompression import pack_span, unpack_span
@@ -110,17 +110,23 @@ def _rows_of(width: int):
 
 
 def repeats_by_gram(rows: DataFrame) -> DataFrame:
-    """Per document the rows that repeat (flag 0), those whose suffixes must be sorted (flag 1), and those of hot grams."""
+    """Per document the rows that repeat (flag 0), those whose suffixes must be sorted (flag 1), and those of hot grams (flag 2).
+
+    All come in one list, so that one shuffle serves what follows for each of them.
+    """
     order = Window.partitionBy("name").orderBy("digest", "doc", "span")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     already = F.col("span").bitwiseAND(F.lit(1)) == 1
     judged = rows.withColumn("several", F.first("digest").over(whole) != F.last("digest").over(whole)).withColumn("owner", F.min("doc").over(Window.partitionBy("name", "digest")))
     repeat = already | (F.col("doc") > F.col("owner"))
     judged = judged.withColumn("shared", F.min("doc").over(whole) != F.max("doc").over(whole)).withColumn("n", F.count(F.when(~repeat, 1)).over(whole))
-    clean = F.col("span") - F.col("span").bitwiseAND(F.lit(1))
-    hot = ~repeat & (F.col("n") > HOT)
-    judged = judged.filter(already | (F.col("shared") & (repeat | F.col("several")))).select("doc", F.when(repeat, clean).when(~hot, clean + 1).alias("span"), F.when(hot, clean).alias("hot"))
-    return judged.groupBy("doc").agg(F.collect_list("span").alias("spans"), F.collect_list("hot").alias("hot"))
+    clean = F.col("span") - F.col("span").bitwiseAND(F.lit(3))
+    flag = F.when(repeat, 0).when(F.col("n") > HOT, 2).otherwise(1)
+    return judged.filter(already | (F.col("shared") & (repeat | F.col("several")))).select("doc", (clean + flag).alias("span")).groupBy("doc").agg(F.collect_list("span").alias("spans"))
+
+
+def _flagged(flag: int) -> Column:
+    return F.exists("spans", lambda s: s.bitwiseAND(F.lit(3)) == flag)
 
 
 def _strings_of(width: int):
@@ -131,9 +137,10 @@ def _strings_of(width: int):
         for batch in batches:
             for part in unpacked_slices(batch):
                 data, offsets = text_buffer(part["text"])
-                spans = part["hot"].combine_chunks()
-                begin, more, _ = unpack_span(spans.flatten().to_numpy())
+                spans = part["spans"].combine_chunks()
+                begin, more, flag = unpack_span(spans.flatten().to_numpy())
                 text = np.repeat(np.arange(part.num_rows), spans.value_lengths().fill_null(0).to_numpy())
+                begin, more, text = begin[flag == 2], more[flag == 2], text[flag == 2]
                 text = np.repeat(text, more + 1)
                 local = np.repeat(begin - (np.cumsum(more + 1) - more - 1), more + 1) + np.arange(int((more + 1).sum()))
                 at = offsets[text] + local
@@ -338,10 +345,10 @@ def remove_repeats(docs: DataFrame, width: int = 50, whole_characters: bool = Fa
     own = dealt.join(copies, "doc", "left").filter(~copy).drop("copied")
     rows = own.mapInArrow(_rows_of(width), "name long, digest long, doc long, span long")
     spans = repeats_by_gram(rows).hint("shuffle_hash")
-    to_sort = dealt.join(spans.filter(F.exists("spans", lambda s: s.bitwiseAND(F.lit(1)) == 1)), "doc")
+    to_sort = dealt.join(spans.filter(_flagged(1)), "doc")
     pieces = to_sort.mapInArrow(_bytes_of(width), "name long, doc long, start long, gram_at int, bytes binary")
     found = pieces.repartition("name").sortWithinPartitions("name").mapInArrow(_sort_suffixes(width), "doc long, span long")
-    strings = dealt.join(spans.filter(F.size("hot") > 0), "doc").mapInArrow(_strings_of(width), "one long, two long, doc long, span long")
+    strings = dealt.join(spans.filter(_flagged(2)), "doc").mapInArrow(_strings_of(width), "one long, two long, doc long, span long")
     found = found.unionByName(repeated_strings(strings))
     found = found.groupBy("doc").agg(F.collect_list("span").alias("sorted")).hint("shuffle_hash")
     joined = dealt.join(copies, "doc", "left").join(spans, "doc", "left").join(found, "doc", "left").withColumn("copy", copy)
