@@ -10,7 +10,7 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 
@@ -72,6 +72,14 @@ def word_prefix(read: Column, full: Column, fewest: int = 2) -> Column:
     return F.startswith(b, F.concat(a, F.lit(" "))) & (F.length(compact(full)) - F.length(compact(read)) >= fewest)
 
 
+def pages(rows: DataFrame, ident: str, text: str, size: int) -> DataFrame:
+    """Every page of size characters of each text: start, slice, and where the next one starts (null for the last)."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(size))
+    cut = rows.filter(F.col(text).isNotNull()).select(ident, text, F.explode(starts).alias("start"))
+    more = F.when(F.length(text) > F.col("start") + size, F.col("start") + size)
+    return cut.select(ident, "start", F.substring(F.col(text), F.col("start") + 1, F.lit(size)).alias("slice"), more.alias("next_start"))
+
+
 def scrub_paths(text: Column) -> Column:
     """Absolute and home paths to their last part; web addresses and dates stay."""
     return F.regexp_replace(text, r"(^|[\s\"'(=])(?:~|/[^\s/\"'()]+)(?:/[^\s/\"'()]+)*/([^\s/\"'()]+)", "$1$2")

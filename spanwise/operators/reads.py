@@ -13,7 +13,8 @@ CANDIDATES = 32
 def best_read(reads: DataFrame, entity: list[str], order: str, text: str, candidates: int = CANDIDATES) -> DataFrame:
     """The read that holds most of all reads, weighted by how often each was seen.
 
-    Candidates are the most common distinct reads, those seen twice if there are any; ties go
+    Candidates are the most common distinct reads (32 unless told otherwise, as the cost grows
+    with candidates times reads), those seen twice if there are any; ties go
     to the more frequent, then to the first seen, and of reads equal but for spacing the one
     with most words wins.
     """
@@ -22,7 +23,12 @@ def best_read(reads: DataFrame, entity: list[str], order: str, text: str, candid
     twice = F.max("n").over(Window.partitionBy(*entity)) >= 2
     listed = counts.withColumns({"_rank": rank, "_twice": twice}).filter((F.col("_rank") <= candidates) & (~F.col("_twice") | (F.col("n") >= 2)))
     listed = listed.select(*entity, F.col("read").alias("candidate"), F.col("n").alias("count"), F.col("seen").alias("first"))
-    held = listed.join(counts, entity).withColumn("_cover", F.col("n") * cover("read", "candidate"))
+    held = listed.join(counts, entity)
+    # one that is the other but for spacing is held whole, and needs no search
+    same = compact(F.col("read")) == compact(F.col("candidate"))
+    asked = held.filter(~same).select("read", "candidate").distinct()  # entities share many pairs
+    asked = asked.withColumn("_share", cover("read", "candidate"))
+    held = held.join(asked, ["read", "candidate"], "left").withColumn("_cover", F.col("n") * F.when(same, 1.0).otherwise(F.col("_share")))
     scores = held.groupBy(*entity, "candidate", "count", "first").agg(F.sum("_cover").alias("score"))
     order_ = Window.partitionBy(*entity).orderBy(F.desc("score"), F.desc("count"), "first")
     best = scores.withColumn("_best", F.first(compact(F.col("candidate"))).over(order_)).filter(compact(F.col("candidate")) == F.col("_best"))
@@ -39,3 +45,31 @@ def caret_marks(reads: DataFrame, entity: list[str], text: str, full: str) -> Da
     stem = [F.substring(x, F.lit(1), F.length(x) - 1) for x in (b, c)]
     rides = (F.length(b) >= 2) & (F.length(c) >= 2) & ends[0] & ends[1] & (F.length(c) < F.length(b)) & F.startswith(stem[0], stem[1]) & ~F.startswith(b, c)
     return reads.groupBy(*entity).agg(F.countDistinct(F.when(rides, c)).alias("carets"))
+
+
+def caret_dropped(reads: DataFrame, entity: list[str], text: str, full: str, fewest: int = 2) -> DataFrame:
+    """Per entity, how many reads show a caret and the full text, without its last character if that many show it."""
+    lines = reads.groupBy(*entity).agg(F.first(full).alias(full))
+    trimmed = F.rtrim(F.substring(F.rtrim(F.col(full)), F.lit(1), F.length(F.rtrim(F.col(full))) - 1))
+    return caret_marks(reads, entity, text, full).join(lines, entity).withColumn(full, F.when(F.col("carets") >= fewest, trimmed).otherwise(F.col(full)))
+
+
+def fragment_hits(items: DataFrame, docs: DataFrame, item: str, doc: str, text: str, size: int) -> DataFrame:
+    """Per item, the documents that hold any of its runs of ``size`` words, and those that hold all of them.
+
+    The runs of items are few: a document's run goes on only if its hash is one of theirs, so
+    the texts of runs are made and joined for likely hits alone.
+    """
+
+    def runs(rows: DataFrame, ident: str) -> DataFrame:
+        words = rows.select(ident, F.split(text, " ").alias("_w")).filter(F.size("_w") >= size)
+        return words.select(ident, "_w", F.explode(F.sequence(F.lit(1), F.size("_w") - size + 1)).alias("_i"))
+
+    key = F.xxhash64(*[F.element_at("_w", F.col("_i") + j) for j in range(size)])
+    piece = F.array_join(F.slice("_w", F.col("_i"), size), " ")
+    wanted = runs(items, item).select(item, key.alias("_key"), piece.alias("_piece")).distinct()
+    keys = wanted.select("_key").distinct()
+    likely = runs(docs, doc).withColumn("_key", key).join(keys, "_key", "left_semi").select(doc, "_key", piece.alias("_piece")).distinct()
+    hits = likely.join(wanted, ["_key", "_piece"]).groupBy(item, doc).agg(F.count(F.lit(1)).alias("_n"))
+    pieces = wanted.groupBy(item).agg(F.count(F.lit(1)).alias("_pieces"))
+    return hits.join(pieces, item).groupBy(item).agg(F.count(F.lit(1)).alias("documents"), F.sum((F.col("_n") == F.col("_pieces")).cast("long")).alias("wholly"))

@@ -120,7 +120,13 @@ def colour_lab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", "hex", *[F.round(v, 3).alias(n) for n, v in zip("lab", lab, strict=True)], F.round(geo.delta_e(lab, white), 3).alias("from_white"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT event_id, CAST(props->>'$.k' AS INTEGER) / 99.0::DOUBLE AS x FROM events),
+b(x, lo, hi, n) AS (SELECT DISTINCT x, 0.0::DOUBLE, 1.0::DOUBLE, 0 FROM e UNION ALL SELECT x, CASE WHEN low THEN t ELSE lo END, CASE WHEN low THEN hi ELSE t END, n + 1
+  FROM (SELECT *, (lo + hi) / 2 AS t, 3 * (1 - (lo + hi) / 2) ** 2 * ((lo + hi) / 2) * 0.42 + 3 * (1 - (lo + hi) / 2) * ((lo + hi) / 2) ** 2 * 0.58 + ((lo + hi) / 2) ** 3 < x AS low FROM b WHERE n < 40)),
+y AS (SELECT x, CASE WHEN x <= 0 THEN 0 WHEN x >= 1 THEN 1 ELSE 3 * (1 - (lo + hi) / 2) * ((lo + hi) / 2) ** 2 + ((lo + hi) / 2) ** 3 END AS y FROM b WHERE n = 40)
+SELECT event_id, round(y, 6) AS eased FROM e JOIN y ON y.x = e.x
+""")
 def eased_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = observations(spark, sf_dir).select("event_id", (F.col("k") / 99.0).alias("x"))
     return rows.select("event_id", F.round(geo.bezier_ease(F.col("x"), F.lit(0.42), F.lit(0.0), F.lit(0.58), F.lit(1.0)), 6).alias("eased"))

@@ -92,14 +92,41 @@ def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.join(right, "o").withColumn("cost", 1 - iou(F.col("box"), F.col("box2"))).select("o", "i", "j", "cost")
 
 
+HALVES = f"""
+{BOXES},
+q AS (SELECT x.o, x.i, y.i AS j, greatest(0, least(x.x1, y.x1) - greatest(x.x0, y.x0)) * greatest(0, least(x.y1, y.y1) - greatest(x.y0, y.y0)) AS shared, (x.x1 - x.x0) * (x.y1 - x.y0) AS s1, (y.x1 - y.x0) * (y.y1 - y.y0) AS s2
+      FROM b x JOIN b y ON y.o = x.o AND x.k = 1 AND y.k = 1 AND x.i % 2 = 0 AND y.i % 2 = 1),
+h AS (SELECT o, i, j, 1 - shared / (s1 + s2 - shared) AS cost FROM q)"""
+
+
+@query(f"""
+WITH RECURSIVE {HALVES}, n AS (SELECT o, i, row_number() OVER (PARTITION BY o ORDER BY i) AS n FROM (SELECT DISTINCT o, i FROM h)),
+m(o, n, used, saved) AS (SELECT DISTINCT o, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST(0 AS DOUBLE) FROM n
+  UNION ALL SELECT m.o, m.n + 1, CASE WHEN h.j IS NULL THEN used ELSE list_append(used, CAST(h.j AS BIGINT)) END, saved + CASE WHEN h.j IS NULL THEN 0 ELSE 0.9 - h.cost END
+  FROM m JOIN n ON n.o = m.o AND n.n = m.n + 1
+  JOIN (SELECT o, i, j, cost FROM h WHERE cost <= 0.9 UNION ALL SELECT DISTINCT o, i, NULL, NULL FROM h) h ON h.o = n.o AND h.i = n.i AND (h.j IS NULL OR NOT list_contains(m.used, CAST(h.j AS BIGINT))))
+SELECT o, round(max(saved), 6) + 0.0 AS saved FROM m GROUP BY o HAVING max(saved) > 0.000001
+""")
+def one_to_one_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the best one-to-one choice saves against leaving all alone: unlike the pairs, it is the same for all best choices."""
+    chosen = match.one_to_one(_halves(spark, sf_dir), ["o"], "i", "j", "cost", most=0.9)
+    return chosen.groupBy("o").agg((F.round(F.sum(0.9 - F.col("cost")), 6) + 0.0).alias("saved")).filter("saved > 0.000001")
+
+
 @query()
 def one_to_one_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.one_to_one(_halves(spark, sf_dir), ["o"], "i", "j", "cost", most=0.9)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {HALVES}, p AS (SELECT *, row_number() OVER (PARTITION BY o ORDER BY cost, i, j) AS n FROM h WHERE cost <= 0.9),
+g(o, n, lefts, rights, i, j, cost, took) AS (SELECT DISTINCT o, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), FALSE FROM p
+  UNION ALL SELECT o, n, CASE WHEN t THEN list_append(lefts, i) ELSE lefts END, CASE WHEN t THEN list_append(rights, j) ELSE rights END, i, j, cost, t
+  FROM (SELECT g.o, p.n, lefts, rights, CAST(p.i AS BIGINT) AS i, CAST(p.j AS BIGINT) AS j, p.cost, NOT (list_contains(lefts, CAST(p.i AS BIGINT)) OR list_contains(rights, CAST(p.j AS BIGINT))) AS t FROM g JOIN p ON p.o = g.o AND p.n = g.n + 1))
+SELECT o, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(cost, 6) AS cost FROM g WHERE took
+""")
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.greedy_pairs(_halves(spark, sf_dir), ["o"], "i", "j", "cost", most=0.9)
+    return match.greedy_pairs(_halves(spark, sf_dir), ["o"], "i", "j", "cost", most=0.9).withColumn("cost", F.round("cost", 6))
 
 
 @query()
@@ -181,7 +208,12 @@ def smallest_holders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return smallest_holder(boxes.filter("i <= 3").select("o", "p", "box"), boxes.filter("i > 3").select("o", F.col("p").alias("holder"), "box"), ["o"], "p", "holder")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {SPANS}, w AS (SELECT s.cust, s.id, a, z, o_totalprice AS w FROM s JOIN orders ON o_orderkey = s.id),
+l AS (SELECT x.id AS p, y.id AS q FROM w x JOIN w y ON y.cust = x.cust AND y.id <> x.id AND y.a - x.z BETWEEN 0 AND 30 AND least(x.w, y.w) / greatest(x.w, y.w) >= 0.5),
+e AS (SELECT p, q FROM l UNION SELECT q, p FROM l), r(node, reach) AS (SELECT DISTINCT p, p FROM e UNION SELECT r.node, e.q FROM r JOIN e ON e.p = r.reach)
+SELECT node, min(reach) AS component FROM r GROUP BY node
+""")
 def succession_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.tracks import successions
 
@@ -231,7 +263,18 @@ def relaxed_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relaxed_top(rows, ["o"], [F.col("l_quantity") >= 20, F.col("l_discount") <= 0.05], F.col("l_extendedprice"), ["p", "s"], 2).select("o", "p", "level", "rank")
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS idx FROM events),
+a AS (SELECT user_id, idx AS t FROM o WHERE event_type = 'signup'), b AS (SELECT user_id, idx AS f FROM o WHERE event_type = 'error'),
+p AS (SELECT a.user_id, t, f, row_number() OVER (PARTITION BY a.user_id ORDER BY abs(t - f), t, f) AS n FROM a JOIN b ON b.user_id = a.user_id AND abs(t - f) <= 1),
+g(user_id, n, lefts, rights) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM p
+  UNION ALL SELECT g.user_id, p.n, CASE WHEN list_contains(lefts, t) OR list_contains(rights, f) THEN lefts ELSE list_append(lefts, t) END,
+    CASE WHEN list_contains(lefts, t) OR list_contains(rights, f) THEN rights ELSE list_append(rights, f) END FROM g JOIN p ON p.user_id = g.user_id AND p.n = g.n + 1),
+h AS (SELECT user_id, CAST(max(len(lefts)) AS BIGINT) AS hits FROM g GROUP BY user_id),
+c AS (SELECT user_id, CAST(sum(w) AS BIGINT) AS wanted, CAST(sum(f) AS BIGINT) AS found FROM (SELECT user_id, 1 AS w, 0 AS f FROM a UNION ALL SELECT user_id, 0, 1 FROM b) GROUP BY user_id)
+SELECT user_id, coalesce(hits, 0) AS hits, CASE WHEN found > 0 THEN coalesce(hits, 0) / found::DOUBLE END AS precision, CASE WHEN wanted > 0 THEN coalesce(hits, 0) / wanted::DOUBLE END AS recall,
+  CASE WHEN wanted + found > 0 THEN 2 * coalesce(hits, 0) / (wanted + found)::DOUBLE END AS f1 FROM c LEFT JOIN h USING (user_id)
+""")
 def boundary_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.greedy import boundary_scores as scores
 

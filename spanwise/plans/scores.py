@@ -70,7 +70,12 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.paired_bootstrap(rows, "source", "difference", draws=2000, seed=0)
 
 
-@query()
+@query("""
+WITH RECURSIVE c(doc_id, s, i, x) AS (SELECT doc_id, CAST(doc_id AS VARCHAR), 0, CAST(4294967295 AS BIGINT) FROM documents
+  UNION ALL SELECT doc_id, s, i + 1, xor(y >> 1, CASE WHEN y & 1 = 1 THEN 3988292384 ELSE 0 END)
+  FROM (SELECT doc_id, s, i, CASE WHEN i % 8 = 0 THEN xor(x, CAST(ascii(s[i // 8 + 1]) AS BIGINT)) ELSE x END AS y FROM c WHERE i < 8 * length(s)))
+SELECT doc_id, xor(x, CAST(4294967295 AS BIGINT)) % 5 AS fold FROM c WHERE i = 8 * length(s)
+""")
 def hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5).alias("fold"))
 

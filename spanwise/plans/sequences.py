@@ -284,22 +284,41 @@ def merged_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("user_id", "idx", "x", "y")
 
 
-@query()
+@query("""
+WITH RECURSIVE c AS (SELECT p_partkey // 2000 AS scene, p_partkey % 50 AS x, p_partkey % 2000 // 50 AS y, p_size % 3 AS label FROM part),
+e AS (SELECT a.scene, a.x, a.y, b.x AS x2, b.y AS y2 FROM c a JOIN c b ON b.scene = a.scene AND b.label = a.label AND abs(b.x - a.x) <= 1 AND abs(b.y - a.y) <= 1 AND (a.x <> b.x OR a.y <> b.y)),
+r(scene, x, y, u, v) AS (SELECT scene, x, y, x, y FROM c UNION SELECT r.scene, r.x, r.y, e.x2, e.y2 FROM r JOIN e ON e.scene = r.scene AND e.x = r.u AND e.y = r.v),
+m AS (SELECT scene, x, y, min({'y': v, 'x': u}) AS head FROM r GROUP BY ALL)
+SELECT m.scene AS scene, head.y AS head_y, head.x AS head_x, label, count(*) AS area, min(m.x) AS x0, min(m.y) AS y0, max(m.x) + 1 AS x1, max(m.y) + 1 AS y1
+FROM m JOIN c ON c.scene = m.scene AND c.x = m.x AND c.y = m.y GROUP BY m.scene, head, label HAVING count(*) >= 3
+""")
 def label_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.tracks import regions
 
     cells = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 2000).alias("scene"), (F.col("p_partkey") % 50).alias("x"), F.floor(F.col("p_partkey") % 2000 / 50).alias("y"), (F.col("p_size") % 3).alias("label"))
-    return regions(cells, ["scene"], "x", "y", "label", least=3).select("region", "label", "area", "x0", "y0", "x1", "y1")
+    found = regions(cells, ["scene"], "x", "y", "label", least=3)
+    return found.select("region.scene", F.col("region.y").alias("head_y"), F.col("region.x").alias("head_x"), "label", "area", "x0", "y0", "x1", "y1")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {CHANGED}, c AS (SELECT user_id, idx, event_id FROM o WHERE change >= 40),
+n AS (SELECT c.user_id, c.idx, min(d.idx) AS next FROM c JOIN c d ON d.user_id = c.user_id AND d.idx >= c.idx + 6 GROUP BY 1, 2),
+r(user_id, idx, n) AS (SELECT user_id, min(idx), 1 FROM c GROUP BY user_id UNION ALL SELECT r.user_id, next, r.n + 1 FROM r JOIN n ON n.user_id = r.user_id AND n.idx = r.idx WHERE r.n < 24)
+SELECT r.user_id, r.idx, event_id FROM r JOIN c ON c.user_id = r.user_id AND c.idx = r.idx
+""")
 def spaced_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.greedy import spaced
 
     return spaced(_changed(spark, sf_dir).filter("change >= 40").select("user_id", "idx", "event_id"), ENTITY, "idx", gap=6, most=24)
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {CHANGED},
+f(user_id, idx, room, form) AS (SELECT DISTINCT user_id, CAST(-1 AS BIGINT), CAST(6000 AS BIGINT), CAST(NULL AS VARCHAR) FROM o
+  UNION ALL SELECT f.user_id, o.idx, room - CASE WHEN k * 10 <= room THEN k * 10 WHEN k <= room THEN k ELSE 0 END, CASE WHEN k * 10 <= room THEN 'full' WHEN k <= room THEN 'small' END
+  FROM f JOIN o ON o.user_id = f.user_id AND o.idx = f.idx + 1)
+SELECT user_id, idx, form FROM f WHERE idx >= 0
+""")
 def view_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.greedy import fit_in_budget
 

@@ -39,15 +39,15 @@ def path_scrub(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT item_id, array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ') AS piece FROM benchmark)
-SELECT item_id, count(*) AS documents FROM p JOIN documents d ON contains(' ' || d.text || ' ', ' ' || p.piece || ' ') GROUP BY item_id
+WITH b AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark), p AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 5], ' ') AS piece FROM (SELECT item_id, w, unnest(range(1, len(w) - 4)) AS i FROM b)),
+d AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), g AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 5], ' ') AS piece FROM (SELECT doc_id, w, unnest(range(1, len(w) - 4)) AS i FROM d)),
+h AS (SELECT item_id, doc_id, count(*) AS n FROM p JOIN g USING (piece) GROUP BY 1, 2), s AS (SELECT item_id, count(*) AS pieces FROM p GROUP BY 1)
+SELECT item_id, count(*) AS documents, CAST(sum(CASE WHEN n = pieces THEN 1 ELSE 0 END) AS BIGINT) AS wholly FROM h JOIN s USING (item_id) GROUP BY item_id
 """)
 def fragment_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("piece"))
-    words = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w")).filter(F.size("w") >= 6)
-    # the six-word runs of every document are the key of an equi-join, so no document meets every item
-    grams = words.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, 6), " "))).alias("piece"))
-    return grams.join(pieces, "piece").select("item_id", "doc_id").distinct().groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"))
+    from ..operators.reads import fragment_hits as hits
+
+    return hits(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), "item_id", "doc_id", "text", 6)
 
 
 @query("""
@@ -63,26 +63,25 @@ def jaccard_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("item_id").alias("a"), "b", F.round(share, 6).alias("jaccard"))
 
 
-def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First words of documents as reads of their source and language."""
-    w = Window.partitionBy("source", "lang").orderBy("doc_id")
-    rows = table(spark, sf_dir, "documents").withColumn("n", F.row_number().over(w))
-    return rows.select("source", "lang", "doc_id", F.substring(F.regexp_replace("text", r"\s+", " "), F.lit(1), F.lit(24)).alias("read"))
-
-
 @query()
 def best_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reads.best_read(_reads(spark, sf_dir), ["source", "lang"], "doc_id", "read").withColumn("score", F.round("score", 4))
+    """The names of a brand's parts of one size as reads of one name."""
+    return reads.best_read(table(spark, sf_dir, "part"), ["p_brand", "p_size"], "p_partkey", "p_name").withColumn("score", F.round("score", 4))
 
 
 @query("""
-WITH t AS (SELECT lang, lower(regexp_replace(left(text, 3 + CAST(doc_id % 9 AS INTEGER)), '\\s+', '', 'g')) AS c, 'thelineil' AS b FROM documents),
-r AS (SELECT lang, c, length(c) >= 2 AND contains('|li1!', right(c, 1)) AND length(c) < length(b) AND starts_with(left(b, length(b) - 1), left(c, length(c) - 1)) AND NOT starts_with(b, c) AS rides FROM t)
-SELECT lang, count(DISTINCT CASE WHEN rides THEN c END) AS carets FROM r GROUP BY lang
+WITH l AS (SELECT item_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS i, text FROM benchmark),
+t AS (SELECT item_id, text || ' il' AS b, array_to_string(string_split(text, ' ')[1:CAST(i AS INTEGER)], ' ') || CASE i % 3 WHEN 0 THEN 'l' WHEN 1 THEN ' |' ELSE '' END AS read FROM l),
+c AS (SELECT item_id, b, lower(regexp_replace(b, '\\s+', '', 'g')) AS f, lower(regexp_replace(read, '\\s+', '', 'g')) AS c FROM t),
+r AS (SELECT item_id, b, count(DISTINCT CASE WHEN length(c) >= 2 AND contains('|li1!', right(c, 1)) AND length(c) < length(f) AND starts_with(left(f, length(f) - 1), left(c, length(c) - 1)) AND NOT starts_with(f, c) THEN c END) AS carets FROM c GROUP BY 1, 2)
+SELECT item_id, carets, CASE WHEN carets >= 2 THEN rtrim(left(b, length(b) - 1)) ELSE b END AS line FROM r
 """)
 def caret_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("lang", F.substring("text", F.lit(1), (F.col("doc_id") % 9).cast("int") + 3).alias("read"), F.lit("the line il").alias("full"))
-    return reads.caret_marks(rows, ["lang"], "read", "full")
+    """Lines as they are typed, word by word, some with a caret at their end."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text", F.posexplode(F.split("text", " ")).alias("i", "word"))
+    mark = F.when((F.col("i") + 1) % 3 == 0, "l").when((F.col("i") + 1) % 3 == 1, " |").otherwise("")
+    rows = items.select("item_id", F.concat("text", F.lit(" il")).alias("full"), F.concat(F.array_join(F.slice(F.split("text", " "), F.lit(1), F.col("i") + 1), " "), mark).alias("read"))
+    return reads.caret_dropped(rows, ["item_id"], "read", "full").select("item_id", "carets", F.col("full").alias("line"))
 
 
 @query("""
@@ -94,13 +93,16 @@ def word_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", tx.word_prefix(F.col("head"), F.col("text")).alias("is_prefix"))
 
 
-@query("SELECT doc_id, substr(text, 101, 200) AS slice, CASE WHEN length(text) > 300 THEN 300 END AS next_start FROM documents")
+@query("""
+WITH p AS (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 200)) AS start FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(start AS INTEGER) AS start, substr(text, start + 1, 200) AS slice, CASE WHEN length(text) > start + 200 THEN CAST(start + 200 AS INTEGER) END AS next_start FROM p
+""")
 def page_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 101, 200).alias("slice"), F.when(F.length("text") > 300, 300).alias("next_start"))
+    return tx.pages(table(spark, sf_dir, "documents"), "doc_id", "text", 200)
 
 
 @query("""
-WITH t AS (SELECT source, lang, left(text, 3) AS r, doc_id, n_chars FROM documents), c AS (SELECT source, lang, r, count(*) AS n, min(doc_id) AS seen FROM t GROUP BY 1, 2, 3),
+WITH t AS (SELECT source, lang, string_split(text, chr(10))[1] AS r, doc_id, n_chars FROM documents), c AS (SELECT source, lang, r, count(*) AS n, min(doc_id) AS seen FROM t GROUP BY 1, 2, 3),
 m AS (SELECT source, lang, arg_max(r, (n, -seen)) AS mode, CAST(max(n) AS BIGINT) AS n, CAST(sum(n) AS BIGINT) AS rows FROM c GROUP BY 1, 2),
 k AS (SELECT source, lang, avg(CASE WHEN n_chars > 500 THEN 1.0 ELSE 0.5 END) AS confidence FROM t GROUP BY 1, 2)
 SELECT source, lang, mode, n, rows, rows >= 3 AND (length(regexp_replace(mode, '[^\\p{L}\\p{N}]', '', 'g')) >= 2 OR (length(regexp_replace(mode, '[^\\p{L}\\p{N}]', '', 'g')) = 1 AND confidence >= 0.9)) AS kept
@@ -109,7 +111,7 @@ FROM m JOIN k USING (source, lang)
 def kept_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.tracks import kept_texts as kept
 
-    rows = table(spark, sf_dir, "documents").select("source", "lang", "doc_id", F.substring("text", 1, 3).alias("r"), F.when(F.col("n_chars") > 500, 1.0).otherwise(0.5).alias("sure"))
+    rows = table(spark, sf_dir, "documents").select("source", "lang", "doc_id", F.substring_index("text", "\n", 1).alias("r"), F.when(F.col("n_chars") > 500, 1.0).otherwise(0.5).alias("sure"))
     return kept(rows, ["source", "lang"], "r", "doc_id", "sure").select("source", "lang", "mode", "n", "rows", "kept")
 
 
@@ -122,14 +124,21 @@ def library_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("tracks"), F.min("doc_id").alias("first"))
 
 
-@query()
+@query("""
+WITH RECURSIVE t AS (SELECT conv_id, turn, text, unnest(range(1, 5)) AS step FROM conversations WHERE text IS NOT NULL),
+r AS (SELECT conv_id, conv_id * 1000000 + turn * 10 + step AS id, lower(regexp_replace(left(text, (length(text) * step + 3) // 4), '\\s+', '', 'g')) AS c, turn * 100 + step * 5 AS a FROM t),
+l AS (SELECT x.id AS p, y.id AS q FROM r x JOIN r y ON y.conv_id = x.conv_id AND y.a - x.a - 3 BETWEEN 0 AND 3 AND length(y.c) > length(x.c) AND length(x.c) > 0 AND starts_with(y.c, x.c)),
+e AS (SELECT p, q FROM l UNION SELECT q, p FROM l), g(node, reach) AS (SELECT DISTINCT p, p FROM e UNION SELECT g.node, e.q FROM g JOIN e ON e.p = g.reach)
+SELECT node, min(reach) AS component FROM g GROUP BY node
+""")
 def reveal_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.tracks import reveals
 
-    turns = table(spark, sf_dir, "conversations").filter("turn < 3")
-    # a typed line: the first words of a turn, more of them at each step
+    # a typed line: the first characters of a turn, more of them at each step
     step = F.explode(F.sequence(F.lit(1), F.lit(4))).alias("step")
-    rows = turns.select("conv_id", "turn", "text", step).select("conv_id", (F.col("conv_id") * 100 + F.col("turn") * 10 + F.col("step")).alias("id"), F.substring("text", F.lit(1), F.col("step") * 6).alias("text"), (F.col("turn") * 100 + F.col("step") * 5).alias("first"))
+    turns = table(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", "turn", "text", step)
+    ident = F.col("conv_id") * 1000000 + F.col("turn") * 10 + F.col("step")
+    rows = turns.select("conv_id", ident.alias("id"), F.substring("text", F.lit(1), F.floor((F.length("text") * F.col("step") + 3) / 4).cast("int")).alias("text"), (F.col("turn") * 100 + F.col("step") * 5).alias("first"))
     return reveals(rows.withColumn("last", F.col("first") + 3), ["conv_id"], "id", "text", gap=3)
 
 
