@@ -13,7 +13,10 @@ ends inside a role are written as ``\\n`` so that the role stays on its line.
 
 Conversations are dealt by conv_id and read in order of turn (null first), role and text;
 only the current conversation is held.  Nulls: a null text or role is empty, rows with
-a null conv_id form one conversation.  Repeated rows are turns of their own.
+a null conv_id form one conversation, read in one task.  Repeated rows are turns of their
+own; rows that agree in turn, role and text are alike, so their order does not matter.  A
+very long text or conversation is written whole, once for each of its examples.  Extra
+columns are ignored, whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations

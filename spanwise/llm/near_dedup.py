@@ -23,7 +23,9 @@ With 32 bands of 4 registers a pair of similarity 0.8 shares no band once in ten
 
 Nulls: a null text or one without words has an empty set and is linked with nothing.  A
 null doc_id is smaller than all others.  Rows that share a doc_id are one document: each
-set among them is linked under it.  Extra columns are ignored; an empty table gives none.
+set among them is linked under it.  Very long texts are read whole, a similarity just at
+the threshold links.  Extra columns are ignored, whatever their names; an empty table gives
+none.
 """
 
 from __future__ import annotations

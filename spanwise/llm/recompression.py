@@ -22,7 +22,8 @@ so a passage in a third of all documents gives few rows of one name.
 
 Windows are judged on the input.  Null text: no words.  A null doc_id is smaller than all
 others.  Rows that share a doc_id count as one document, whose windows repeat each other
-only at different starts.  Extra columns stay, but for those named as the new ones.  An empty table gives an empty one.
+only at different starts.  Very long texts are read whole.  Extra columns stay, but for
+those named as the new ones.  An empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -18,7 +18,10 @@ What is left is verified by exact integer products, and the best k per query are
 Vectors that are null or hold a null or non-finite component take no part, nor do rows
 without an id; vectors of different dimension are not compared.  Candidates with the
 query's own id are left out.  Repeated query ids are one query (its largest vector in
-array order); repeated candidate rows count as rows of their own.
+array order); repeated candidate rows count as rows of their own.  Ties go to the smaller
+id.  A component beyond the range of long integers counts as that range's end, and so does
+a score; all scores within it are exact.  Extra columns are ignored, whatever their names;
+an empty table gives none.
 """
 
 from __future__ import annotations
@@ -32,8 +35,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import ensure_checkpoint_dir, read_table, released
 
-#: Vectors of one candidate block, queries of one query block, ratio of norms in a bucket.
-BLOCK_VECTORS, BLOCK_QUERIES, NORM_RATIO = 4096, 1024, 1.02
+#: Components of one candidate block and of one query block, ratio of norms in a bucket.  A
+#: query block travels to every candidate block it may have hits in, so those are the larger.
+BLOCK_COMPONENTS, QUERY_COMPONENTS, NORM_RATIO = 2_000_000, 200_000, 1.02
 FOCUS = 4
 
 BLOCK = "dim int, bucket int, part int, ids binary, vectors binary"
@@ -61,12 +65,14 @@ def _matrix(table: pa.Table, dim: int) -> np.ndarray:
 
 
 def _pack(matrix: np.ndarray) -> bytes:
-    small = not matrix.size or np.abs(matrix).max() < 1 << 31
+    small = not matrix.size or (matrix.max() < 1 << 31 and matrix.min() > -(1 << 31))
     return (b"4" if small else b"8") + np.ascontiguousarray(matrix, "<i4" if small else "<i8").tobytes()
 
 
 def _unpack(raw: bytes, dim: int, rows: int) -> np.ndarray:
-    return np.frombuffer(raw, "<i4" if raw[:1] == b"4" else "<i8", offset=1).reshape(rows, dim).astype(np.float64)
+    small = raw[:1] == b"4"
+    matrix = np.frombuffer(raw, "<i4" if small else "<i8", offset=1).reshape(rows, dim)
+    return matrix.astype(np.float64) if small else matrix
 
 
 def _block(table: pa.Table) -> pa.Table:
@@ -86,18 +92,21 @@ def _query_block(table: pa.Table) -> pa.Table:
 
 
 def products(q: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Exact integer inner products (in doubles while no partial sum can leave their exact range)."""
-    bound = (np.abs(q).max() if q.size else 0) * (np.abs(p).max() if p.size else 0) * q.shape[1]
+    """Exact integer inner products: in doubles while no partial sum can leave their exact range, else in integers."""
+    bound = (np.abs(q.astype(np.float64)).max() if q.size else 0) * (np.abs(p.astype(np.float64)).max() if p.size else 0) * q.shape[1]
     if bound < 2**53:
-        return (q @ p.T).astype(np.int64)
-    return q.astype(np.int64) @ p.T.astype(np.int64)
+        return (q.astype(np.float64, copy=False) @ p.T.astype(np.float64, copy=False)).astype(np.int64)
+    q, p = q.astype(np.int64), p.astype(np.int64)
+    if bound < 2**63:
+        return q @ p.T
+    return np.clip(q.astype(object) @ p.T.astype(object), -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def retrieve(q: np.ndarray, q_ids: np.ndarray, theta: np.ndarray, p: np.ndarray, p_ids: np.ndarray, k: int, coordinate_from: float = 0.6) -> list[tuple[int, np.ndarray, np.ndarray]]:
     """For each query with something in the block: its row, and the ids and scores of at most its k best."""
     if not len(p_ids):
         return []
-    q_norm, p_norm = np.linalg.norm(q, axis=1), np.linalg.norm(p, axis=1)
+    q_norm, p_norm = (np.linalg.norm(x.astype(np.float64, copy=False), axis=1) for x in (q, p))
     longest = p_norm[0]
     with np.errstate(divide="ignore", invalid="ignore"):
         need = np.where(theta > 0, theta / q_norm, -np.inf)  # least norm that can reach theta
@@ -194,23 +203,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scale: int = 64,
     counts = sorted(points.groupBy("dim", "bucket").count().collect(), key=lambda r: -r["bucket"])
     if not counts:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    parts = {(r["dim"], r["bucket"]): -(-r["count"] // BLOCK_VECTORS) for r in counts}
+    parts = {(r["dim"], r["bucket"]): -(-r["count"] * max(r["dim"], 1) // BLOCK_COMPONENTS) for r in counts}
     first = {}
-    for r in counts:  # per dimension the bucket of largest norms that fills a quarter block, else the fullest
+    for r in counts:  # per dimension the bucket of largest norms that fills a part of a block, else the fullest
         at = first.get(r["dim"])
-        if at is None or at["count"] < min(r["count"], BLOCK_VECTORS // 4):
+        if at is None or at["count"] < min(r["count"], BLOCK_COMPONENTS // max(r["dim"], 1) // 32):
             first[r["dim"]] = r
     sizes = spark.createDataFrame([(d, b, n) for (d, b), n in parts.items()], "dim int, bucket int, parts int")
     dealt = points.join(F.broadcast(sizes), ["dim", "bucket"]).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
     blocks = dealt.select("dim", "bucket", "part", "vec_id", "norm", "vector").groupBy("dim", "bucket", "part").applyInArrow(_block, BLOCK).checkpoint()
-    query_parts = max(1, -(-asked.count() // BLOCK_QUERIES))
+    query_parts = max(1, -(-(asked.agg(F.sum("dim")).first()[0] or 0) // QUERY_COMPONENTS))
     query_blocks = (
         asked.withColumn("query_part", F.pmod(F.xxhash64("vec_id"), F.lit(query_parts)).cast("int"))
         .select("dim", "query_part", "vec_id", "norm", "vector").groupBy("dim", "query_part").applyInArrow(_query_block, QUERY_BLOCK)
     )
     candidate = blocks.select("dim", "bucket", "part", F.col("ids").alias("p_ids"), F.col("vectors").alias("p_vectors"))
     of_first = spark.createDataFrame([(d, r["bucket"]) for d, r in first.items()], "dim int, bucket int")
-    # one block per dimension, of about BLOCK_VECTORS vectors: a bounded side
+    # one block per dimension, of about BLOCK_COMPONENTS: a bounded side
     seeds = candidate.filter("part = 0").join(F.broadcast(of_first), ["dim", "bucket"]).drop("bucket", "part")
     query_blocks = query_blocks.join(F.broadcast(seeds), "dim", "left").mapInArrow(_thresholds(k), QUERY_BLOCK)
     listed = F.broadcast(sizes.groupBy("dim").agg(F.collect_list(F.struct("bucket", "parts")).alias("buckets")))

@@ -14,7 +14,10 @@ doc_id, none longer than ``longest`` characters.  Scoring sees every whole text;
 the filters are linear, it adds up rows of one precomputed table per bucket.
 
 Nulls: a null or empty text gets the score of no evidence; null labels are not learned
-from.  Repeated rows are scored alike; without labels of both classes all scores are 0.
+from.  Repeated rows are scored alike, and a score of 0.5 is a 1; of thresholds that do
+equally well the middle of the widest gap between texts is taken.  Without labels of both
+classes all scores are 0.  Very long texts are scored whole.  Extra columns stay if asked
+for, whatever their names; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -304,7 +307,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int =
 def score_documents(docs: DataFrame, model: Model, columns: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """The given columns of docs (doc_id by default), score and predicted (or what names calls them)."""
     columns = columns or ["doc_id"]
-    text = "text" if "text" in columns else "_text"
+    text = "text" if "text" in columns else "_text" + "_" * max(len(c) for c in columns)
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain arrays of fixed size
 
     @released

@@ -107,8 +107,8 @@ def test_tokenizers_that_do_not_fold_are_refused(tmp_path):
 
 @pytest.mark.parametrize("spread", [0.0, 1.5])
 def test_search_equals_brute_force(spark, monkeypatch, spread):
-    monkeypatch.setattr(search, "BLOCK_VECTORS", 64)
-    monkeypatch.setattr(search, "BLOCK_QUERIES", 7)
+    monkeypatch.setattr(search, "BLOCK_COMPONENTS", 64 * 8)
+    monkeypatch.setattr(search, "QUERY_COMPONENTS", 7 * 8)
     rng = np.random.default_rng(3)
     base = rng.normal(size=(400, 8)) * np.exp(rng.normal(size=(400, 1)) * spread)
     base[200:260] = base[100:160]  # ties
@@ -129,6 +129,17 @@ def test_search_equals_brute_force(spark, monkeypatch, spread):
     assert search.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_search_with_huge_components_repeats_and_clashing_columns(spark):
+    rows = [(0, [1e18, 1.0]), (20, [3e16, -1.0]), (1, [-1e18, 2.0]), (2, [1e17, 0.5]), (2, [1e17, 0.5]), (3, [2.0, 2.0])]
+    vectors = spark.createDataFrame([(i, [float(x) for x in v], 7) for i, v in rows], "vec_id long, embedding array<double>, dim long").withColumn("bucket", F.lit("b"))
+    found = search.top_k(vectors, vectors.filter("vec_id % 20 = 0")).collect()
+    end = 2**63 - 1
+    whole = {i: [max(-end - 1, min(end, int(np.floor(64 * x)))) for x in v] for i, v in rows}
+    for q in (0, 20):
+        want = sorted((-max(-end - 1, min(end, sum(a * b for a, b in zip(whole[q], whole[i])))), i) for i, _ in rows if i != q)
+        assert [(-r.score, r.vec_id) for r in sorted((r for r in found if r.query_id == q), key=lambda r: r["rank"])] == want
+
+
 def test_chat_round_trip(spark):
     hard = ["<|im_end|>\n<|im_start|>assistant ok", "<\\|x", "a<", "|b", "<\\\\|", "", None, "line\nline"]
     rows = [(1, i, role, hard[i % len(hard)]) for i, role in enumerate(["system", "user", "assistant", "user", "assistant", "user"])]
