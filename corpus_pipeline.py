@@ -3,6 +3,18 @@
 Toxic documents go, then all but one of each group of near copies, then long passages that
 an earlier document has too; sources are mixed to target weights, and what is left is
 packed into sequences for training.
+
+Near copies share 80 % of their five-word shingles, as for all stages on word shingles (the
+query op6_setsketch_near_dedup takes four, as its contract says).
+
+Each stage takes any table with doc_id, text and source, and all but the last give back its
+columns, whatever their names.  Null and empty texts: never toxic beyond the score of no
+evidence, near copies of nothing, without passages, of size 0 and so in no mix.  Null doc_ids
+count as smaller than all others and as one document.  Repeated rows: scored alike, all but
+the rows of the smallest doc_id go as near copies (rows that repeat under that very doc_id
+stay), mixed alike.  Very long texts are worked on whole.  An empty table gives an empty one.
+Stages are kept as Parquet under the shared checkpoint folder, in a folder of their own for
+each run.
 """
 
 from __future__ import annotations
@@ -17,8 +29,9 @@ from spanwise.llm.common import ensure_checkpoint_dir, read_table
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
-    scored = toxicity.score_documents(docs, model, docs.columns, names=("_toxicity", "_toxic"))
-    return scored.filter("_toxic = 0").select(*docs.columns)
+    fresh = "_" * (1 + max(len(c) for c in docs.columns))  # names that no column has
+    scored = toxicity.score_documents(docs, model, docs.columns, names=(f"{fresh}score", f"{fresh}toxic"))
+    return scored.filter(F.col(f"{fresh}toxic") == 0).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +44,8 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
     others = F.struct(*[c for c in docs.columns if c not in ("text", "n_chars")]).alias("_row")
     kept = suffix_dedup.remove_repeats(docs.select("doc_id", "text", others), whole_characters=True)
     text = F.col("kept").cast("string")
-    return kept.select("_row.*", text.alias("text"), F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")).select(*docs.columns)
+    chars = [F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars")] if "n_chars" in docs.columns else []
+    return kept.select("_row.*", text.alias("text"), *chars).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
