@@ -24,8 +24,8 @@ sorted in portions of bounded size.
 
 Strings are judged on the input and never cross documents.  Null text: no bytes.  A null
 doc_id is smaller than all others.  Rows that share a doc_id are one document, which does
-not repeat itself.  Extra columns stay, but for those named as the new ones.  An empty
-table gives an empty one.
+not repeat itself.  Very long texts are read whole.  Extra columns stay, but for those
+named as the new ones.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
