@@ -84,9 +84,10 @@ def pack_texts(docs: DataFrame, text: str = "text") -> DataFrame:
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=6)
         for batch in batches:
             raw = batch.column(at).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
-            packed = [None if x is None else len(x).to_bytes(8, "little") + (pa.compress(x, codec="zstd", asbytes=True) if x else b"") for x in raw]
+            packed = [None if x is None else len(x).to_bytes(8, "little") + (codec.compress(x, asbytes=True) if x else b"") for x in raw]
             yield pa.RecordBatch.from_arrays([pa.array(packed, pa.binary()) if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
     return docs.mapInArrow(run, schema)

@@ -213,7 +213,7 @@ def _rows_of(window: int, turns: int):
                 name, stretch, doc, local, more = name[order], stretch[order], doc[order], local[order], (last - begin)[order]
                 again = np.zeros(len(name), bool)  # a repeat within this slice
                 again[1:] = (name[1:] == name[:-1]) & (stretch[1:] == stretch[:-1]) & ((doc[1:] != doc[:-1]) | (local[1:] != local[:-1]))
-                own = mix(doc.astype(np.uint64) * _RUN + local.astype(np.uint64))
+                own = mix(doc.astype(np.uint64) * _RUN + local.astype(np.uint64)) >> np.uint64(32)  # short, as nothing is compared under it
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.where(again, own, name))), pa.array(stretch), pa.array(doc), pa.array(pack_span(local, more, again.astype(np.int64)))], names=_ROWS)
 
     return run

@@ -102,7 +102,7 @@ def _rows_of(width: int):
                 lead[1:] = (name[1:] != name[:-1]) | (digest[1:] != digest[:-1])
                 owner = doc[np.flatnonzero(lead)][np.cumsum(lead) - 1] if len(name) else doc
                 again = doc > owner  # a repeat within this slice
-                own = mix(doc.astype(np.uint64) * _A + local.astype(np.uint64))
+                own = mix(doc.astype(np.uint64) * _A + local.astype(np.uint64)) >> np.uint64(32)  # short, as nothing is compared under it
                 digest[again] = 0  # known to repeat: nothing is compared with it
                 yield pa.RecordBatch.from_arrays([pa.array(signed(np.where(again, own, name))), pa.array(digest), pa.array(doc), pa.array(pack_span(local, more, again.astype(np.int64)))], names=_ROWS)
 
