@@ -102,3 +102,36 @@ def most_salient(elements: DataFrame, scene: list[str], is_text: Column, area: C
     """The first ``most`` elements of a scene: text first, then area times duration, start, id."""
     order = Window.partitionBy(*scene).orderBy(F.desc(is_text.cast("int")), F.desc(area * (F.col(end) - F.col(start) + 1)), start, ident) if scene else Window.orderBy(F.desc(is_text.cast("int")), F.desc(area * (F.col(end) - F.col(start) + 1)), start, ident)
     return elements.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= most)
+
+
+def extracted(motions: DataFrame, boxes: DataFrame, salient: DataFrame, scene: str) -> DataFrame:
+    """All facts of a scene as predicates: of every motion its kind, direction, size and length, and between salient elements order and place.
+
+    motions has (scene, id, element, type, start, end, dir_x, dir_y, mag, dur), boxes the last
+    frame's visible (scene, id, box), salient (scene, element), a bounded number in a scene.
+    """
+    fixed = lambda c, n: F.format_string(f"%.{n}f", F.col(c).cast("double"))
+    way = F.when((F.col("type") == "translation") & F.col("dir_x").isNotNull(), F.concat(F.lit("dir("), "id", F.lit(",["), fixed("dir_x", 2), F.lit(","), fixed("dir_y", 2), F.lit("])")))
+    own = F.array(F.concat(F.lit("type("), "id", F.lit(",'"), "type", F.lit("')")), way, F.concat(F.lit("mag("), "id", F.lit(","), fixed("mag", 1), F.lit(")")), F.concat(F.lit("dur("), "id", F.lit(","), F.col("dur").cast("string"), F.lit(")")))
+    single = motions.select(scene, F.explode(own).alias("pred")).filter("pred is not null")
+    key = motions.join(salient.select(scene, "element").distinct(), [scene, "element"], "left_semi")
+    named = lambda name, a, b: F.concat(F.lit(f"{name}("), a, F.lit(","), b, F.lit(")"))
+    before = earliest_later(key, [scene]).select(scene, named("before", F.col("id"), F.col("later")).alias("pred"))
+    other = key.select(scene, *[F.col(c).alias(f"_{c}") for c in ("id", "element", "start", "end")])
+    together = key.join(other, scene).filter((F.col("id") < F.col("_id")) & (F.col("element") != F.col("_element")))
+    overlap = temporal_relations(F.col("start"), F.col("end"), F.col("_start"), F.col("_end"))["while"]
+    during = together.filter(overlap).select(scene, named("while", F.col("id"), F.col("_id")).alias("pred"))
+    seen = boxes.join(salient.select(scene, F.col("element").alias("id")).distinct(), [scene, "id"], "left_semi")
+    pairs = seen.join(seen.select(scene, F.col("id").alias("_id"), F.col("box").alias("_box")), scene).filter(F.col("id") < F.col("_id"))
+    held = F.array(*[F.when(v, named(n, F.col("id"), F.col("_id"))) for n, v in spatial_relations(F.col("box"), F.col("_box"), PIXELS).items()])
+    placed = pairs.select(scene, F.explode(held).alias("pred")).filter("pred is not null")
+    return single.unionByName(before).unionByName(during).unionByName(placed)
+
+
+def motion_questions(motions: DataFrame, scene: str) -> DataFrame:
+    """Question rows with typed answers and tolerances about each motion: kind, start, length, and size."""
+    rows = F.array(*[
+        F.struct(F.lit(kind).alias("about"), F.lit(answer).alias("answer_type"), value.cast("string").alias("answer"), F.lit(slack).cast("double").alias("tolerance"))
+        for kind, answer, value, slack in (("type", "choice", F.col("type"), 0), ("start", "number", F.col("start"), DURATION), ("dur", "number", F.col("dur"), DURATION), ("mag", "number", F.round("mag", 1), MAG_LEAST))
+    ])
+    return motions.select(scene, "id", F.explode(rows).alias("_q")).select(scene, "id", "_q.*")

@@ -67,3 +67,21 @@ def boundary_scores(truth: DataFrame, found: DataFrame, keys: list[str], positio
     counts = a.groupBy(*keys).agg(F.count(F.lit(1)).alias("wanted")).join(b.groupBy(*keys).agg(F.count(F.lit(1)).alias("found")), keys, "full_outer").join(hits, keys, "left")
     h, w, f = (F.coalesce(c, F.lit(0)) for c in ("hits", "wanted", "found"))
     return counts.select(*keys, h.alias("hits"), F.try_divide(h, f).alias("precision"), F.try_divide(h, w).alias("recall"), F.try_divide(2 * h, w + f).alias("f1"))
+
+
+def scene_spans(rows: DataFrame, entity: list[str], index: str, cut: str, least: int) -> DataFrame:
+    """Scenes (scene, first, last) between cuts: a cut that would leave one of fewer than ``least`` rows on either side is no cut."""
+    schema = rows.select(*entity, F.lit(0).cast("long").alias("scene"), F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last")).schema
+    slim = rows.groupBy(*entity).agg((F.max(index) + 1).cast("long").alias("_n"), F.array_sort(F.collect_list(F.when(F.col(cut), F.col(index)))).alias("_cuts"))
+
+    def split(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for *key, n, cuts in part[[*entity, "_n", "_cuts"]].itertuples(index=False):
+            edges = [0]
+            for at in cuts:
+                if at - edges[-1] >= least and n - at >= least:
+                    edges.append(int(at))
+            out += [(*key, i + 1, a, z - 1) for i, (a, z) in enumerate(zip(edges, [*edges[1:], n], strict=True))]
+        return pd.DataFrame(out, columns=[*entity, "scene", "first", "last"])
+
+    return slim.mapInPandas(lambda parts: (split(p) for p in parts), schema)

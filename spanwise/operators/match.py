@@ -238,3 +238,39 @@ def tracks(observed: DataFrame, scene: list[str], frame: str, obs_id: str, x: st
         return rows[[*scene, frame, obs_id]].assign(track=label)
 
     return observed.select(*scene, F.col(frame).cast("long").alias(frame), F.col(obs_id).cast("long").alias(obs_id), x, y, size).groupBy(*scene).applyInPandas(link, schema)
+
+
+def frame_pairs(regions: DataFrame, keys: list[str], ident: str, frame: str, x: str, y: str, area: str, apart: int, gate: float) -> DataFrame:
+    """Candidate pairs of regions 1 to ``apart`` frames from each other, nearer than the gate or twice the root of the first's area."""
+    later = regions.select(*keys, F.col(ident).alias("other"), F.col(frame).alias("_frame"), F.col(x).alias("_x"), F.col(y).alias("_y"))
+    pairs = band_join(regions, later, keys, frame, "_frame", 1, apart)
+    off = F.hypot(F.col("_x") - F.col(x), F.col("_y") - F.col(y))
+    return pairs.withColumn("distance", off).filter(off <= F.greatest(F.lit(gate), 2 * F.sqrt(F.col(area)))).select(*keys, ident, "other", (F.col("_frame") - F.col(frame)).alias("apart"), "distance")
+
+
+def nearest_by(rows: DataFrame, others: DataFrame, keys: list[str], ident: str, other: str, distance: Column) -> DataFrame:
+    """The nearest of the others for each row among equal keys (ties to the smaller id), infinity where there is none."""
+    pairs = rows.join(others, keys, "left").withColumn("_d", F.coalesce(distance, F.lit(float("inf"))))
+    return pairs.groupBy(*keys, ident).agg(F.min(F.struct(F.col("_d").alias("distance"), F.col(other).alias("other"))).alias("_n")).select(*keys, ident, "_n.distance", "_n.other")
+
+
+def linked_across(left: DataFrame, right: DataFrame, keys: list[str], bits: int = 5, aspect: float = 0.1) -> DataFrame:
+    """One-to-one links of elements (id, text, hash, aspect) of neighbouring scenes.
+
+    Equal texts are at distance 0.  Elements without equal texts compare 64-bit hashes: at most
+    ``bits`` may differ, and aspects by a tenth.  Hashes that differ in at most ``bits`` places
+    agree in one of ``bits`` + 1 parts, so an equi-join on the parts finds them all.  Links are
+    taken by distance, then ids.
+    """
+    size = -(-64 // (bits + 1))
+    parts = F.explode(F.array(*[F.struct(F.lit(i).alias("n"), F.shiftrightunsigned("hash", i * size).bitwiseAND(F.lit((1 << size) - 1)).alias("part")) for i in range(bits + 1)])).alias("_p")
+    a = left.select(*keys, F.col("id").alias("a"), F.col("text").alias("_ta"), F.col("hash"), F.col("aspect").alias("_ra"))
+    b = right.select(*keys, F.col("id").alias("b"), F.col("text").alias("_tb"), F.col("hash").alias("_hb"), F.col("aspect").alias("_rb"))
+    texts = a.filter(F.col("_ta") != "").join(b, keys).filter(F.col("_ta") == F.col("_tb")).select(*keys, "a", "b", F.lit(0).alias("distance"), F.lit("text").alias("reason"))
+    split_a = a.filter("hash is not null").select("*", parts).select(*keys, "a", "_ta", F.col("hash").alias("_ha"), "_ra", "_p.*")
+    split_b = b.filter("_hb is not null").withColumnRenamed("_hb", "hash").select("*", parts).select(*keys, "b", "_tb", F.col("hash").alias("_hb"), "_rb", "_p.*")
+    off = F.bit_count(F.col("_ha").bitwiseXOR(F.col("_hb")))
+    near = split_a.join(split_b, [*keys, "n", "part"]).filter((off <= bits) & (F.abs(F.col("_ra") - F.col("_rb")) <= aspect * F.greatest("_ra", "_rb", F.lit(1e-6))))
+    near = near.filter(~((F.col("_ta") != "") & F.col("_ta").eqNullSafe(F.col("_tb")))).select(*keys, "a", "b", off.cast("int").alias("distance"), F.lit("hash").alias("reason")).distinct()
+    pairs = texts.unionByName(near)
+    return greedy_pairs(pairs, keys, "a", "b", "distance", float(bits)).withColumn("distance", F.col("distance").cast("int")).join(pairs, [*keys, "a", "b", "distance"])

@@ -82,3 +82,29 @@ def matrix_parts(a: Column, b: Column, c: Column, d: Column) -> dict[str, Column
     """Rotation in degrees, scales and shear of a 2 x 2 matrix (rows a b, c d)."""
     sx = F.sqrt(a * a + c * c)
     return {"rotation": F.degrees(F.atan2(c, a)), "sx": sx, "sy": (a * d - b * c) / sx, "shear": (a * b + c * d) / (sx * sx)}
+
+
+def mean_distance(a: DataFrame, b: DataFrame, pairs: DataFrame, entity: str, frame: str, axes: list[str], far: float = 1e9) -> DataFrame:
+    """Mean distance of each pair (a, b) of entities over their common frames; far where these are fewer than two."""
+    left = a.select(F.col(entity).alias("a"), frame, *[F.col(c).alias(f"_a_{c}") for c in axes])
+    right = b.select(F.col(entity).alias("b"), frame, *[F.col(c).alias(f"_b_{c}") for c in axes])
+    off = F.sqrt(sum(((F.col(f"_a_{c}") - F.col(f"_b_{c}")) * (F.col(f"_a_{c}") - F.col(f"_b_{c}")) for c in axes), F.lit(0.0)))
+    found = pairs.join(left, "a").join(right, ["b", frame]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("frames"), F.avg(off).alias("_mean"))
+    known = pairs.join(found, ["a", "b"], "left").withColumn("frames", F.coalesce("frames", F.lit(0)))
+    return known.select("a", "b", "frames", F.when(F.col("frames") >= 2, F.col("_mean")).otherwise(far).alias("distance"))
+
+
+def foreign_cover(boxes: DataFrame, others: DataFrame, keys: list[str], ident: str, other: str) -> DataFrame:
+    """Share of each box that boxes of other identity cover among equal keys, at most 1."""
+    from ..functions.geometry import box_area, box_overlap
+
+    pairs = boxes.join(others.withColumnRenamed("box", "_other"), keys, "left")
+    shared = F.when(F.col(other) != F.col(ident), box_overlap(F.col("box"), F.col("_other"))).otherwise(0.0)
+    sums = pairs.groupBy(*keys, ident).agg(F.sum(F.coalesce(shared, F.lit(0.0))).alias("_shared"), F.first(box_area(F.col("box"))).alias("_area"))
+    return sums.select(*keys, ident, F.when(F.col("_area") > 0, F.least(F.lit(1.0), F.col("_shared") / F.col("_area"))).otherwise(0.0).alias("cover"))
+
+
+def offsets(df: DataFrame, entity: list[str], frame: str, x: str, y: str, area: str) -> DataFrame:
+    """Each row's shift from its entity's row of largest area (the first of equals)."""
+    base = df.groupBy(*entity).agg(F.max_by(F.struct(F.col(x).alias("x"), F.col(y).alias("y")), F.struct(F.col(area), -F.col(frame))).alias("_base"))
+    return df.join(base, entity).select(*entity, frame, (F.col(x) - F.col("_base.x")).alias("dx"), (F.col(y) - F.col("_base.y")).alias("dy"))

@@ -156,3 +156,24 @@ def paired_bootstrap(differences: DataFrame, cluster: str, value: str, draws: in
     interval = means.agg(F.percentile("mean", F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
     centre = sums.agg((F.sum("total") / F.sum("n")).alias("mean"), F.count(F.lit(1)).alias("clusters"), F.sum("n").alias("n"))
     return centre.crossJoin(interval).select("mean", "low", "high", "clusters", "n")  # one row each
+
+
+def sample_excess(samples: DataFrame, value: str, op: str, limit: float, upper: float | None = None) -> DataFrame:
+    """Each sample with whether it passes, and by how much it misses its limit."""
+    v = F.col(value).cast("double")
+    return samples.withColumns({"passed": passes(v, op, F.lit(limit), upper), "excess": F.when(finite(v), excess(v, op, limit, upper))})
+
+
+def hit_summary(rows: DataFrame, by: list[str], hit: Column, error: Column, tolerance: float, seconds: str) -> DataFrame:
+    """Share of hits, share of errors within the tolerance (missing ones are not), and median seconds."""
+    return rows.groupBy(*by).agg(
+        F.avg(F.coalesce(hit, F.lit(False)).cast("double")).alias("hit_rate"), F.avg(F.coalesce(error <= tolerance, F.lit(False)).cast("double")).alias("within"),
+        F.median(seconds).alias("seconds"), F.count(F.lit(1)).alias("n"),
+    )
+
+
+def all_matched(targets: DataFrame, gold: DataFrame, keys: list[str], same: Column, holds: Column) -> DataFrame:
+    """Per keys, whether every target meets a gold row that is the same or holds its point; columns of gold are named apart."""
+    met = targets.join(gold, keys, "left").withColumn("_met", F.coalesce(same | holds, F.lit(False)))
+    each = met.groupBy(*keys, "target").agg(F.bool_or("_met").alias("_met"))
+    return each.groupBy(*keys).agg(F.bool_and("_met").alias("matched"), F.count(F.lit(1)).alias("targets"))

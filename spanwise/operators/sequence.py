@@ -213,13 +213,13 @@ def crossings(df: DataFrame, entity: list[str], position: str, value: str, level
     return rows.groupBy(*entity).agg(F.min(hit).alias("crossing"))
 
 
-def settled(df: DataFrame, entity: list[str], index: str, change: str, quiet: float, within: int) -> DataFrame:
-    """For each row the first index from it, at most within - 1 on, whose changes on both sides are quiet; else its own."""
+def settled(df: DataFrame, entity: list[str], index: str, change: str, quiet: float, within: int, step: int = 1) -> DataFrame:
+    """For each row the first index from it, at most within - 1 on (or back, for step -1), whose changes on both sides are quiet; else its own."""
     w = _order(entity, [index])
     calm = F.greatest(F.col(change), F.coalesce(F.lead(change).over(w), F.lit(float("inf")))) < quiet
     rows = df.withColumn("_calm", F.when(calm, F.col(index)))
-    ahead = w.rowsBetween(0, within - 1)
-    return rows.withColumn("settled", F.coalesce(F.first("_calm", ignorenulls=True).over(ahead), F.col(index))).drop("_calm")
+    found = F.first("_calm", ignorenulls=True).over(w.rowsBetween(0, within - 1)) if step > 0 else F.last("_calm", ignorenulls=True).over(w.rowsBetween(1 - within, 0))
+    return rows.withColumn("settled", F.coalesce(found, F.col(index))).drop("_calm")
 
 
 def first_of_run(df: DataFrame, entity: list[str], order: list[str], value: str) -> DataFrame:

@@ -80,3 +80,18 @@ def key_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     left, right = a.select(key).distinct(), b.select(key).distinct()
     missing = left.join(right, key, "left_anti").withColumn("side", F.lit("left"))
     return missing.unionByName(right.join(left, key, "left_anti").withColumn("side", F.lit("right")))
+
+
+def group_edits(edits: DataFrame, members: DataFrame) -> DataFrame:
+    """Edits (edit, element, kind, value) on a member of a group (group, element, rank, start) as edits of its members.
+
+    Text goes to the group's first member, colour to all, timing to all, later by as much as a
+    member starts after the edited one.  An edit of an element without a group stays as it is.
+    """
+    mine = members.select("element", F.col("group").alias("_group"), F.col("start").alias("_start"))
+    others = members.select(F.col("group").alias("_group"), F.col("element").alias("_member"), F.col("rank").alias("_rank"), F.col("start").alias("_begin"))
+    grouped = edits.join(mine, "element", "left").join(others, "_group", "left")
+    first = F.min("_rank").over(Window.partitionBy("edit"))
+    kept = grouped.withColumn("_first", first).filter(F.col("_group").isNull() | (F.col("kind") != "text") | (F.col("_rank") == F.col("_first")))
+    value = F.when(F.col("_group").isNotNull() & (F.col("kind") == "timing"), F.col("value") + F.col("_begin") - F.col("_start")).otherwise(F.col("value"))
+    return kept.select("edit", F.coalesce("_member", "element").alias("element"), "kind", value.alias("value"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geometry import box_area, box_overlap, iou
-from ..functions.text import compact
+from ..functions.text import compact, word_prefix
+from .checkpoints import ensure_checkpoint_dir
 from .graph import components
 from .match import band_join
 
@@ -105,7 +106,8 @@ def largest_window(costs: DataFrame, order: str, cost: str, budget: float) -> in
     before = by_block.select("_block", (F.sum("_sum").over(Window.orderBy("_block")) - F.col("_sum")).alias("_before"))
     inner = F.sum(cost).over(Window.partitionBy("_block").orderBy(order))
     running = costs.withColumn("_block", F.floor(F.col(order) / 4096)).withColumn("_run", inner).join(before, "_block").select(F.col(order).alias("_at"), (F.col("_run") + F.col("_before")).alias("_total"))
-    running = running.unionByName(costs.sparkSession.createDataFrame([(-1, 0.0)], "_at long, _total double"))
+    ensure_checkpoint_dir(costs.sparkSession)
+    running = running.unionByName(costs.sparkSession.createDataFrame([(-1, 0.0)], "_at long, _total double")).checkpoint()
     low, high = 0, count
     while low < high:
         size = (low + high + 1) // 2
@@ -113,3 +115,18 @@ def largest_window(costs: DataFrame, order: str, cost: str, budget: float) -> in
         worst = running.join(earlier, "_at").agg(F.max(F.col("_total") - F.col("_then"))).first()[0]
         low, high = (size, high) if worst is not None and worst <= budget else (low, size - 1)
     return low
+
+
+def split_swaps(reads: DataFrame, track: str, frame: str, text: str, full: str, seen: int, held: int) -> DataFrame:
+    """Reads with the piece of their track they belong to: 1 from where only first words are left of the text, else 0.
+
+    A track splits where its whole text was read in at least ``seen`` frames and, after the
+    last of these, only its first words in at least ``held`` frames.
+    """
+    order = Window.partitionBy(track)
+    whole = F.when(compact(F.col(text)) == compact(F.col(full)), F.col(frame))
+    rows = reads.withColumns({"_last": F.max(whole).over(order), "_seen": F.count(whole).over(order)})
+    short = F.when((F.col(frame) > F.col("_last")) & word_prefix(F.col(text), F.col(full)), F.col(frame))
+    rows = rows.withColumns({"_first": F.min(short).over(order), "_held": F.count(short).over(order)})
+    splits = (F.col("_seen") >= seen) & (F.col("_held") >= held)
+    return rows.withColumn("piece", F.coalesce(splits & (F.col(frame) >= F.col("_first")), F.lit(False)).cast("int")).drop("_last", "_seen", "_first", "_held")
