@@ -10,9 +10,9 @@ from .checkpoints import ensure_checkpoint_dir
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every linked node: the smallest node it reaches.
 
-    Each pass takes the smallest label next to a node, hooks labels to smaller ones and
-    follows hooks to their ends.  Sums are partial before the shuffle, so a node with very
-    many links is no hot spot; results are cut from their lineage by checkpoints.
+    Each pass takes the smallest label next to a node and hooks the node's label to it, two
+    hooks at a time.  Sums are partial before the shuffle, so a node with very many links is
+    no hot spot; results are cut from their lineage by checkpoints.
     """
     ensure_checkpoint_dir(links.sparkSession)
     one = links.select(F.col(a).alias("node"), F.col(b).alias("other"))
@@ -23,13 +23,9 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         hooks = labels.join(beside, "node").filter("beside < component").groupBy("component").agg(F.min("beside").alias("to")).checkpoint()
         if hooks.isEmpty():
             return labels
-        while True:
-            onward = hooks.select(F.col("component").alias("to"), F.col("to").alias("onward"))
-            hooks = hooks.join(onward, "to", "left").select("component", F.coalesce("onward", "to").alias("to"), F.col("onward").isNotNull().alias("moved")).checkpoint()
-            if hooks.filter("moved").isEmpty():
-                break
-            hooks = hooks.select("component", "to")
-        labels = labels.join(hooks.select("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component")).checkpoint()
+        onward = hooks.select(F.col("component").alias("to"), F.col("to").alias("onward"))  # always to a smaller label
+        further = hooks.join(onward, "to", "left").select("component", F.coalesce("onward", "to").alias("to"))
+        labels = labels.join(further, "component", "left").select("node", F.coalesce("to", "component").alias("component")).checkpoint()
 
 
 def cascade(edges: DataFrame, child: str, parent: str, failed: DataFrame, key: str, most_passes: int = 100) -> DataFrame:
@@ -42,5 +38,5 @@ def cascade(edges: DataFrame, child: str, parent: str, failed: DataFrame, key: s
         front = reached.join(found, "key", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if front.isEmpty():
             return found
-        found = found.unionByName(front).checkpoint()
+        found = found.unionByName(front)  # of checkpointed parts, one for each step
     raise RuntimeError(f"the dependencies are deeper than {most_passes}")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def as_doubles(v: Column) -> Column:
@@ -54,17 +57,39 @@ def nearest_centre(rows: DataFrame, vector: str, centres: Sequence[Sequence[floa
     return rows.withColumn("_near", F.array_min(F.array(*options))).withColumns({name: F.col("_near.centre"), "distance": F.col("_near.distance")}).drop("_near")
 
 
+def _blocks(rows: DataFrame, keep: list[str], vector: str, size: int = 1024) -> DataFrame:
+    """Rows in blocks: their columns as lists, and their centred unit vectors as one matrix of doubles; blocks have one dimension."""
+    schema = rows.select(F.lit(0).alias("dim"), *[F.array(c).alias(c) for c in keep]).schema.add("matrix", "binary")
+
+    def pack(part: pa.Table) -> pa.Table:
+        dim = part["_dim"][0].as_py()
+        matrix = part["_v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, dim)
+        matrix = matrix - matrix.mean(axis=1, keepdims=True)
+        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+        return pa.table({"dim": pa.array([dim], pa.int32()), **{c: pa.array([part[c].to_pylist()], pa.list_(part.schema.field(c).type)) for c in keep}, "matrix": pa.array([matrix.tobytes()], pa.binary())})
+
+    slim = rows.select(*keep, as_doubles(F.col(vector)).alias("_v")).filter(F.col("_v").isNotNull() & (F.size("_v") > 0) & ~F.exists("_v", lambda x: x.isNull())).withColumn("_dim", F.size("_v"))
+    count = max(1, -(-slim.count() // size))
+    return slim.withColumn("_block", F.pmod(F.xxhash64(*keep), F.lit(count))).groupBy("_dim", "_block").applyInArrow(pack, schema)
+
+
 def leaked(rows: DataFrame, held: DataFrame, group: str, ident: str, vector: str, least: float, hits: int) -> DataFrame:
     """Groups with at least ``hits`` vectors that correlate with a held-out vector.
 
-    Held-out vectors are compared in blocks: each row of one side meets each block of the
-    other once, by an equi-join on the block number.
+    Both sides go in blocks of a thousand vectors; each block meets each block of the other
+    side once, by an equi-join on the dimension, as one product of matrices.
     """
-    blocks = max(1, -(-held.count() // 1024))
-    unit = F.transform(centred(F.col(vector)), lambda x: x)
-    norm = F.sqrt(dot(F.col("_c"), F.col("_c")))
-    scaled = [df.withColumn("_c", unit).withColumn("_u", F.transform("_c", lambda x: F.try_divide(x, norm))).drop("_c") for df in (rows, held)]
-    packed = scaled[1].withColumn("_block", F.pmod(F.xxhash64(ident), F.lit(blocks))).groupBy("_block").agg(F.collect_list("_u").alias("_others"))
-    asked = scaled[0].withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    near = asked.join(packed, "_block").filter(F.exists("_others", lambda o: dot(F.col("_u"), o) >= least))
-    return near.select(group, ident).distinct().groupBy(group).agg(F.count(F.lit(1)).alias("near")).filter(F.col("near") >= hits)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dim, groups, idents, mine, others in zip(*(batch.column(c).to_pylist() for c in ("dim", group, ident, "matrix", "_others")), strict=True):
+                product = np.frombuffer(mine).reshape(-1, dim) @ np.frombuffer(others).reshape(-1, dim).T
+                for i in np.flatnonzero((product >= least).any(axis=1)).tolist():
+                    yield pa.RecordBatch.from_pylist([{group: groups[i], ident: idents[i]}], schema=kinds)
+
+    schema = rows.select(group, ident).schema
+    kinds = to_arrow_schema(schema)
+    asked = _blocks(rows, [group, ident], vector)
+    other = _blocks(held, [ident], vector).select("dim", F.col("matrix").alias("_others"))
+    found = asked.join(other, "dim").mapInArrow(near, schema)
+    return found.distinct().groupBy(group).agg(F.count(F.lit(1)).alias("near")).filter(F.col("near") >= hits)
