@@ -51,9 +51,9 @@ def nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), m AS (SELECT vec_id, label, v, list_avg(v) AS m FROM v),
 c AS (SELECT vec_id, label, list_transform(list_zip(v, list_resize([m], len(v), m)), lambda z: z[1] - z[2]) AS c FROM m),
 u AS (SELECT vec_id, label, c, sqrt(list_dot_product(c, c)) AS n FROM c),
-h AS (SELECT DISTINCT a.label, a.vec_id FROM u a JOIN u b ON a.vec_id % 10 <> 0 AND b.vec_id % 10 = 0 AND list_dot_product(a.c, b.c) / (a.n * b.n) >= 0.45)
+h AS (SELECT DISTINCT a.label, a.vec_id FROM u a JOIN u b ON a.vec_id % 10 <> 0 AND b.vec_id % 10 = 0 AND list_dot_product(a.c, b.c) / (a.n * b.n) >= 0.35)
 SELECT label, count(*) AS near FROM h GROUP BY label HAVING count(*) >= 3
 """)
 def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir)
-    return vec.leaked(rows.filter("vec_id % 10 <> 0"), rows.filter("vec_id % 10 = 0"), "label", "vec_id", "v", 0.45, 3)
+    return vec.leaked(rows.filter("vec_id % 10 <> 0"), rows.filter("vec_id % 10 = 0"), "label", "vec_id", "v", 0.35, 3)
