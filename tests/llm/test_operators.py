@@ -193,6 +193,24 @@ def _toy_labels(n):
     return rows
 
 
+def test_scores_are_those_of_the_network_by_hand():
+    rows = _toy_labels(300)
+    texts = [t for _, t, _ in rows[:40]] + ["", "one", "two words", "x " * 500]
+    model = toxicity.train(pa.chunked_array([pa.array([t for _, t, _ in rows])]), np.array([y for _, _, y in rows]))
+    tokens = toxicity.tokenise(*text_buffer(pa.chunked_array([pa.array(texts)])))
+    found = toxicity.score(model, tokens, model.responses())
+    langs = toxicity.languages(tokens)
+    for i in range(len(texts)):
+        buckets = tokens.buckets[tokens.first[i] : tokens.first[i + 1]]
+        vectors = [sum(model.embedding[b] for b in row) for row in buckets]
+        logit = model.out_bias
+        for k, w in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                outs = [sum(vectors[at + j] @ model.kernel[toxicity.SLOTS.index((w, j)), :, f] for j in range(w) if at + j < len(vectors)) for at in range(len(vectors))]
+                logit += model.out[k, f] * max(0.0, max(outs, default=0.0) + model.bias[k, f])
+        assert found[i] == pytest.approx(1 / (1 + np.exp(-(logit - model.shift[langs[i]]))), abs=1e-4)
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rows = _toy_labels(1500)
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(5000, None), (5001, "")], "doc_id long, text string").repartition(3)

@@ -4,6 +4,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_dedup import _brute_components
 
 import corpus_pipeline as pipeline
@@ -34,6 +35,7 @@ def _kept_text(rows, width):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_stages_do_what_brute_force_does(spark, tmp_path):
     given, docs = {}, spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.withColumns({c: F.lit("mine") for c in ("_toxicity", "_toxic", "component_id", "kept", "row", "copies", "size", "counts", "spans")})
     columns = docs.columns
     for name, stage in pipeline.STAGES[:-1]:
         given[name] = docs
@@ -54,6 +56,16 @@ def test_stages_do_what_brute_force_does(spark, tmp_path):
     taken = [i for i, _ in rows["packing"]]
     assert {i: taken.count(i) for i in copies} == copies
 
+    assert {r._toxic for r in docs.select("_toxic").collect()} == {"mine"}
     packed = pipeline.STAGES[-1][1](spark, docs, SF).toPandas()
     assert (packed.groupby("sequence_id")["length"].sum() <= 2048).all()
     assert sorted(packed[packed.piece == 0].doc_id) == sorted(taken)
+
+
+def test_stages_take_tables_without_rows_or_counts(spark):
+    some = spark.createDataFrame([(1, None, "a"), (2, "", None), (None, "one two", "a"), (2, "", None)], "doc_id long, text string, source string")
+    for docs in (some, some.limit(0)):
+        for _, stage in pipeline.STAGES[1:]:
+            docs = stage(spark, docs, SF)
+        assert docs.columns[:3] == ["doc_id", "piece", "start"]
+        docs.collect()

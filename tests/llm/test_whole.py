@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from spanwise.llm import recompression, search, suffix_dedup
+from spanwise.llm import near_dedup, recompression, search, suffix_dedup
 
 
 def test_stretches_that_agree_in_32_bits_of_digest_are_not_equal(spark):
@@ -35,7 +35,8 @@ def test_coordinate_pruning_keeps_vectors_near_a_dominant_coordinate():
 
 def test_no_gram_is_sorted_whole_however_many_stretches_it_has(spark, monkeypatch):
     rows = spark.range(10000).select(F.lit(7).cast("long").alias("name"), F.xxhash64("id").alias("digest"), F.col("id").alias("doc"), F.lit(0).cast("long").alias("span"))
-    flagged = suffix_dedup.repeats_by_gram(rows).agg(F.sum(F.size(F.filter("spans", lambda x: x.bitwiseAND(F.lit(1)) == 1))).alias("sorted"), F.sum(F.size("hot")).alias("hot")).first()
+    count = lambda flag: F.sum(F.size(F.filter("spans", lambda x: x.bitwiseAND(F.lit(3)) == flag)))
+    flagged = suffix_dedup.repeats_by_gram(rows).agg(count(1).alias("sorted"), count(2).alias("hot")).first()
     assert (flagged["sorted"], flagged["hot"]) == (0, 10000)
     monkeypatch.setattr(suffix_dedup, "HOT", 8)
     rng = random.Random(5)
@@ -51,3 +52,16 @@ def test_no_gram_is_sorted_whole_however_many_stretches_it_has(spark, monkeypatc
         want[ident] = "".join(c for c, g in zip(text, gone) if not g).encode()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     assert {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(docs).collect()} == want
+
+
+def test_a_very_long_document_is_worked_on_whole(spark):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(100_000)}" for _ in range(150_000)]
+    tail = " ".join(words[-30:])
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "start " + tail), (3, " ".join(words[:-1] + ["other"]))], "doc_id long, text string")
+    found = {r.doc_id: r.n_removed for r in recompression.remove_repeats(docs).collect()}
+    assert found == {1: 0, 2: 30, 3: 149_999}
+    kept = {r.doc_id: (r.n_removed, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert kept[1][0] == 0 and kept[2][1] == b"start" and kept[3][1] == b"other"
+    near = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(docs).collect()}
+    assert near[1][1] == near[3][1] == 1 and near[2] == (27, 2) and near[1][0] > 149_000
