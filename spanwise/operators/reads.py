@@ -73,3 +73,29 @@ def fragment_hits(items: DataFrame, docs: DataFrame, item: str, doc: str, text:
     hits = likely.join(wanted, ["_key", "_piece"]).groupBy(item, doc).agg(F.count(F.lit(1)).alias("_n"))
     pieces = wanted.groupBy(item).agg(F.count(F.lit(1)).alias("_pieces"))
     return hits.join(pieces, item).groupBy(item).agg(F.count(F.lit(1)).alias("documents"), F.sum((F.col("_n") == F.col("_pieces")).cast("long")).alias("wholly"))
+
+
+def reconciled(options: dict[str, Column]) -> tuple[Column, Column]:
+    """The first known of several readings, in order, and its name (the last one's, if none is known)."""
+    *first, last = options
+    name = F.lit(last)
+    for option in reversed(first):
+        name = F.when(options[option].isNotNull(), option).otherwise(name)
+    return F.coalesce(*options.values()), name
+
+
+def digits_agree(whole: Column, part: Column) -> Column:
+    """Whether the digits of one text stand in a row in those of the other."""
+    return F.contains(F.regexp_replace(whole, r"\D", ""), F.regexp_replace(part, r"\D", ""))
+
+
+def parsed_answer(answer: Column, label: str, choices: list[str], note: str, longest: int) -> tuple[Column, Column]:
+    """The label (one of the choices, else null) and the note, cut to a length, of the first JSON object in an answer."""
+    fields = F.from_json(F.regexp_extract(answer, r"\{.*\}", 0), f"struct<{label}:string,{note}:string>")
+    return F.when(fields[label].isin(*choices), fields[label]), F.substring(fields[note], 1, longest)
+
+
+def set_share(a: Column, b: Column) -> Column:
+    """Shared over joint members of two arrays of distinct values; 1 where both are empty."""
+    joint = F.size(F.array_union(a, b))
+    return F.when(joint == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / joint)

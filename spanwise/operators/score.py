@@ -177,3 +177,16 @@ def all_matched(targets: DataFrame, gold: DataFrame, keys: list[str], same: Colu
     met = targets.join(gold, keys, "left").withColumn("_met", F.coalesce(same | holds, F.lit(False)))
     each = met.groupBy(*keys, "target").agg(F.bool_or("_met").alias("_met"))
     return each.groupBy(*keys).agg(F.bool_and("_met").alias("matched"), F.count(F.lit(1)).alias("targets"))
+
+
+def masked_median(rows: DataFrame, by: list[str | Column], value: Column, seen: Column) -> DataFrame:
+    """Median of the values that are seen, rounded half up, and how many these are."""
+    open_ = F.when(seen, value)
+    return rows.groupBy(*by).agg(F.floor(F.median(open_) + 0.5).cast("double").alias("middle"), F.count(open_).alias("seen"))
+
+
+def accuracy_by(rows: DataFrame, levels: list[str], hit: Column) -> DataFrame:
+    """Mean and count at every level of the given columns, from all of them to none, in one pass; all for a level left out."""
+    sets = [levels[:n] for n in range(len(levels), -1, -1)]
+    found = rows.groupingSets(sets, *levels).agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("accuracy"))
+    return found.select(*[F.coalesce(c, F.lit("all")).alias(c) for c in levels], "n", "accuracy")

@@ -268,3 +268,26 @@ def keyed_curve(df: DataFrame, entity: list[str], position: str, value: str, bou
         return rows[keep]
 
     return schema.groupBy(*entity).applyInPandas(compress, schema.schema)
+
+
+def handles(keys: DataFrame, entity: list[str], position: str, value: str, fps: float, influence: float) -> DataFrame:
+    """Speed by second from each key to the next, and the handle's influence in percent; the last key has none."""
+    w = _order(entity, [position])
+    rows = keys.withColumns({"_p": F.lead(position).over(w), "_v": F.lead(value).over(w)}).filter(F.col("_v").isNotNull())
+    speed = (F.col("_v") - F.col(value)) / (F.col("_p") - F.col(position)) * fps
+    return rows.select(*entity, position, speed.alias("speed"), (F.lit(influence) * 100).alias("influence"))
+
+
+def merged_timeline(keys: DataFrame, entity: list[str], position: str, channels: dict[str, Column]) -> DataFrame:
+    """The union of the channels' key times with each channel's value there, held since its own last key; null: no key."""
+    rows = keys.withColumns({f"_{name}": value for name, value in channels.items()})
+    rows = rows.filter(F.coalesce(*[F.col(f"_{name}").cast("string") for name in channels]).isNotNull())
+    past = _order(entity, [position]).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select(*entity, position, *[F.last(f"_{name}", ignorenulls=True).over(past).alias(name) for name in channels])
+
+
+def trimmed_tail(rows: DataFrame, entity: list[str], index: str, value: str, share: float) -> DataFrame:
+    """Rows of an entity's first half, and later ones of at least a share of its largest value."""
+    whole = Window.partitionBy(*entity)
+    marked = rows.withColumns({"_top": F.max(value).over(whole), "_middle": F.percentile(index, 0.5).over(whole)})
+    return marked.filter((F.col(index) <= F.col("_middle")) | (F.col(value) >= share * F.col("_top"))).drop("_top", "_middle")

@@ -95,3 +95,59 @@ def group_edits(edits: DataFrame, members: DataFrame) -> DataFrame:
     kept = grouped.withColumn("_first", first).filter(F.col("_group").isNull() | (F.col("kind") != "text") | (F.col("_rank") == F.col("_first")))
     value = F.when(F.col("_group").isNotNull() & (F.col("kind") == "timing"), F.col("value") + F.col("_begin") - F.col("_start")).otherwise(F.col("value"))
     return kept.select("edit", F.coalesce("_member", "element").alias("element"), "kind", value.alias("value"))
+
+
+def clock(rows: DataFrame, at: str) -> DataFrame:
+    """The last time of all rows as one row, now."""
+    return rows.agg(F.max(at).alias("now"))
+
+
+def connected(beats: DataFrame, device: str, at: str, now: DataFrame, seconds: float = CONNECTED_SECONDS) -> DataFrame:
+    """Whether each device gave a sign within so many seconds before now (one row)."""
+    seen = beats.groupBy(device).agg(F.max(at).alias("_seen"))
+    return seen.crossJoin(F.broadcast(now)).select(device, (F.col("now") - F.col("_seen") <= seconds).alias("connected"))
+
+
+def live_codes(codes: DataFrame, owner: str, at: str, ident: str, now: DataFrame, seconds: float, most: int) -> DataFrame:
+    """Codes not older than so many seconds before now (one row), the newest ``most`` of each owner."""
+    live = codes.crossJoin(F.broadcast(now)).filter(F.col("now") - F.col(at) <= seconds)
+    newest = F.row_number().over(Window.partitionBy(owner).orderBy(F.desc(at), F.desc(ident)))
+    return live.withColumn("_n", newest).filter(F.col("_n") <= most).drop("_n", "now")
+
+
+def superseded(jobs: DataFrame, target: list[str], order: list[str], name: str = "state") -> DataFrame:
+    """Jobs with their state: only the newest of a target stays queued."""
+    newest = F.row_number().over(Window.partitionBy(*target).orderBy(*[F.desc(c) for c in order]))
+    return jobs.withColumn(name, F.when(newest == 1, "queued").otherwise("superseded"))
+
+
+def next_jobs(jobs: DataFrame, before: DataFrame, busy: DataFrame, device: str, job: str, done: str) -> DataFrame:
+    """Each free device's first job whose needed job (job, state), if there is one, is done."""
+    ready = jobs.join(before.select(job, F.col("state").alias("_before")), job, "left").filter(F.col("_before").isNull() | (F.col("_before") == done))
+    first = F.row_number().over(Window.partitionBy(device).orderBy(job))
+    return ready.join(busy.select(device).distinct(), device, "left_anti").withColumn("_n", first).filter("_n = 1").select(device, job)
+
+
+def quota_percent(used: Column, limit: Column) -> Column:
+    """Percent of a limit that is used, at most 100; all of a limit of 0."""
+    return F.when(limit != 0, F.least(F.lit(100), F.round(100 * used / F.nullif(limit, F.lit(0))))).otherwise(F.lit(100)).cast("long")
+
+
+def state_counts(rows: DataFrame, by: list[str], state: str, names: dict[str, str]) -> DataFrame:
+    """How many rows are in each state {state: column}, in one pass."""
+    return rows.groupBy(*by).agg(*[F.count_if(F.col(state) == value).alias(name) for value, name in names.items()])
+
+
+def remaining(used: Column, most: int) -> Column:
+    """What is left of a budget, never below 0."""
+    return F.greatest(F.lit(0), most - used)
+
+
+def clipped(frame: Column, first: int, last: int) -> Column:
+    return F.greatest(F.lit(first), F.least(frame, F.lit(last)))
+
+
+def seconds_left(stage: Column, seconds: dict[str, int]) -> Column:
+    """Seconds from a stage on by a table; 0 for a stage that it lacks."""
+    table = F.create_map(*[F.lit(x) for pair in seconds.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, stage), F.lit(0))

@@ -130,3 +130,21 @@ def split_swaps(reads: DataFrame, track: str, frame: str, text: str, full: str,
     rows = rows.withColumns({"_first": F.min(short).over(order), "_held": F.count(short).over(order)})
     splits = (F.col("_seen") >= seen) & (F.col("_held") >= held)
     return rows.withColumn("piece", F.coalesce(splits & (F.col(frame) >= F.col("_first")), F.lit(False)).cast("int")).drop("_last", "_seen", "_first", "_held")
+
+
+def joined_members(rows: DataFrame, group: list[str], member: str, order: str) -> DataFrame:
+    """A group's members as one line in order of their first row, and its row count."""
+    members = rows.groupBy(*group, member).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_seen"))
+    line = F.transform(F.array_sort(F.collect_list(F.struct("_seen", member))), lambda m: m[member])
+    return members.groupBy(*group).agg(F.array_join(line, " ").alias("line"), F.sum("_n").alias("n"))
+
+
+def overlay(parts: dict[str, DataFrame], every: DataFrame, keys: list[str], ident: str) -> DataFrame:
+    """Per key, what each named table holds there as ``name:id`` in order, how many, and whether any does."""
+    union = None
+    for name, part in parts.items():
+        rows = part.select(*keys, F.lit(name).alias("_source"), F.col(ident).alias("_id"))
+        union = rows if union is None else union.unionByName(rows)
+    objects = F.transform(F.array_sort(F.collect_list(F.struct("_source", "_id"))), lambda o: F.concat(o["_source"], F.lit(":"), o["_id"].cast("string")))
+    found = union.groupBy(*keys).agg(F.array_join(objects, ",").alias("objects"), F.count(F.lit(1)).alias("_n"))
+    return every.select(*keys).distinct().join(found, keys, "left").select(*keys, "objects", F.coalesce("_n", F.lit(0)).alias("n"), F.col("_n").isNotNull().alias("available"))

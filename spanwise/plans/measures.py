@@ -118,12 +118,10 @@ SELECT d.user_id, d.day, objects, coalesce(n, 0) AS n, n IS NOT NULL AS availabl
 """)
 def frame_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = observations(spark, sf_dir).withColumn("day", F.floor(F.col("ts").cast("timestamp").cast("double") / 86400))
-    parts = [rows.filter(F.col("event_type") == kind).select("user_id", "day", F.lit(kind).alias("source"), F.col("event_id").alias("id")) for kind in ("view", "click", "signup", "purchase")]
-    union = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    objects = F.transform(F.array_sort(F.collect_list(F.struct("source", "id"))), lambda o: F.concat(o["source"], F.lit(":"), o["id"].cast("string")))
-    found = union.groupBy("user_id", "day").agg(F.array_join(objects, ",").alias("objects"), F.count(F.lit(1)).alias("n"))
-    every = rows.select("user_id", "day").distinct()
-    return every.join(found, ["user_id", "day"], "left").select("user_id", "day", "objects", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNotNull().alias("available"))
+    from ..operators.tracks import overlay
+
+    parts = {kind: rows.filter(F.col("event_type") == kind) for kind in ("view", "click", "signup", "purchase")}
+    return overlay(parts, rows, ["user_id", "day"], "event_id")
 
 
 @query("""
@@ -133,7 +131,9 @@ SELECT doc_id, coalesce(given, joined, model) AS text, CASE WHEN given IS NOT NU
 """)
 def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.nullif("lang", F.lit("en")).alias("given"), F.when(F.col("n_chars") > 800, F.col("source")).alias("joined"))
+    from ..operators import reads
+
     ident = F.col("doc_id").cast("string")
-    digits = [F.regexp_replace(x, r"\D", "") for x in (F.concat(ident, F.lit("x"), ident), F.concat(F.lit("n"), ident))]
-    provenance = F.when(F.col("given").isNotNull(), "given").when(F.col("joined").isNotNull(), "joined").otherwise("model")
-    return rows.select("doc_id", F.coalesce("given", "joined", F.lit("unknown")).alias("text"), provenance.alias("provenance"), F.contains(*digits).alias("digits_agree"))
+    text, provenance = reads.reconciled({"given": F.col("given"), "joined": F.col("joined"), "model": F.lit("unknown")})
+    agree = reads.digits_agree(F.concat(ident, F.lit("x"), ident), F.concat(F.lit("n"), ident))
+    return rows.select("doc_id", text.alias("text"), provenance.alias("provenance"), agree.alias("digits_agree"))

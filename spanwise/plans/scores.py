@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import score
 from ..sources.tables import observations, table
@@ -120,9 +120,8 @@ SELECT event_type, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, floor(quanti
        count(*) FILTER (WHERE CAST(props->>'$.k' AS INTEGER) < 80) AS seen FROM events GROUP BY 1, 2
 """)
 def temporal_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    open_ = F.when(F.col("k") < 80, F.col("value"))
     day = F.floor(F.col("ts").cast("timestamp").cast("double") / 86400)
-    return observations(spark, sf_dir).groupBy("event_type", day.alias("day")).agg(F.floor(F.median(open_) + 0.5).cast("double").alias("middle"), F.count(open_).alias("seen"))
+    return score.masked_median(observations(spark, sf_dir), ["event_type", day.alias("day")], F.col("value"), F.col("k") < 80)
 
 
 @query("""
@@ -160,9 +159,7 @@ SELECT coalesce(source, 'all') AS source, coalesce(lang, 'all') AS lang, count(*
 FROM labels JOIN documents USING (doc_id) GROUP BY GROUPING SETS ((source, lang), (source), ())
 """)
 def pooled_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _labelled(spark, sf_dir)
-    sets = rows.groupingSets([["source", "lang"], ["source"], []], "source", "lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("quality"), 6).alias("accuracy"))
-    return sets.select(F.coalesce("source", F.lit("all")).alias("source"), F.coalesce("lang", F.lit("all")).alias("lang"), "n", "accuracy")
+    return score.accuracy_by(_labelled(spark, sf_dir), ["source", "lang"], F.col("quality")).withColumn("accuracy", F.round("accuracy", 6))
 
 
 @query("""
@@ -170,8 +167,9 @@ WITH m AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS seen FROM
 SELECT user_id, string_agg(event_type, ' ' ORDER BY seen) AS line, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY user_id
 """)
 def group_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members = observations(spark, sf_dir).groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("seen"))
-    return members.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seen", "event_type"))), lambda m: m["event_type"]), " ").alias("line"), F.sum("n").alias("n"))
+    from ..operators.tracks import joined_members
+
+    return joined_members(observations(spark, sf_dir), ["user_id"], "event_type", "event_id")
 
 
 @query("""
@@ -180,9 +178,7 @@ m AS (SELECT *, max(value) OVER (PARTITION BY user_id) AS top, quantile_cont(idx
 SELECT user_id, event_id FROM m WHERE idx <= middle OR value >= 0.6 * top
 """)
 def trimmed_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.sequence import indexed
+    from ..operators.sequence import indexed, trimmed_tail
 
     rows = indexed(observations(spark, sf_dir), ["user_id"], ["ts", "event_id"])
-    w = Window.partitionBy("user_id")
-    marked = rows.withColumns({"top": F.max("value").over(w), "middle": (F.max("idx").over(w)) / 2})
-    return marked.filter((F.col("idx") <= F.col("middle")) | (F.col("value") >= 0.6 * F.col("top"))).select("user_id", "event_id")
+    return trimmed_tail(rows, ["user_id"], "idx", "value", 0.6).select("user_id", "event_id")

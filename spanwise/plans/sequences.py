@@ -264,11 +264,8 @@ WITH {CHANGED}, n AS (SELECT user_id, idx, value, lead(idx) OVER w AS i2, lead(v
 SELECT user_id, idx, round((v2 - value) / (i2 - idx) * 30, 4) + 0.0 AS speed, CAST(round(0.42 * 100, 4) AS DOUBLE) AS influence FROM n WHERE v2 IS NOT NULL
 """)
 def key_handles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("idx")
-    rows = _changed(spark, sf_dir).filter("k % 4 = 0").withColumns({"i2": F.lead("idx").over(w), "v2": F.lead("value").over(w)}).filter("v2 is not null")
-    return rows.select("user_id", "idx", (F.round((F.col("v2") - F.col("value")) / (F.col("i2") - F.col("idx")) * 30, 4) + 0.0).alias("speed"), F.round(F.lit(0.42) * 100, 4).alias("influence"))
+    found = seq.handles(_changed(spark, sf_dir).filter("k % 4 = 0"), ENTITY, "idx", "value", fps=30, influence=0.42)
+    return found.withColumns({"speed": F.round("speed", 4) + 0.0, "influence": F.round("influence", 4)})
 
 
 @query(f"""
@@ -278,10 +275,8 @@ a AS (SELECT t.*, last_value(CASE WHEN k % 5 = 0 THEN value END IGNORE NULLS) OV
 SELECT user_id, idx, x, y FROM a
 """)
 def merged_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _changed(spark, sf_dir).filter("k % 5 = 0 or k % 7 = 0")
-    one = rows.withColumn("_x", F.when(F.col("k") % 5 == 0, F.col("value"))).withColumn("_y", F.when(F.col("k") % 7 == 0, F.col("value")))
-    both = seq.held(seq.held(one, ENTITY, "idx", "_x", "x"), ENTITY, "idx", "_y", "y")
-    return both.select("user_id", "idx", "x", "y")
+    channels = {"x": F.when(F.col("k") % 5 == 0, F.col("value")), "y": F.when(F.col("k") % 7 == 0, F.col("value"))}
+    return seq.merged_timeline(_changed(spark, sf_dir), ENTITY, "idx", channels)
 
 
 @query("""

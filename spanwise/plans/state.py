@@ -56,8 +56,7 @@ SELECT user_id, now - seen <= 40000 AS connected FROM l, n
 """)
 def connected_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = observations(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp").cast("double"))
-    now = rows.agg(F.max("at").alias("now"))
-    return rows.groupBy("user_id").agg(F.max("at").alias("seen")).crossJoin(F.broadcast(now)).select("user_id", (F.col("now") - F.col("seen") <= 40000).alias("connected"))  # one row
+    return state.connected(rows, "user_id", "at", state.clock(rows, "at"), 40000)
 
 
 @query("""
@@ -100,8 +99,7 @@ def quota_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     used = F.sum(F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).otherwise(0.0))
     found = rows.groupBy("n_name", "n_nationkey").agg(F.count(F.lit(1)).alias("members"), used.alias("used"))
-    percent = F.least(F.lit(100), F.round(100 * F.col("used") / F.nullif(F.col("n_nationkey") * 20000, F.lit(0))))
-    return found.select("n_name", "members", F.when(F.col("n_nationkey") != 0, percent).otherwise(F.lit(100)).cast("long").alias("percent"))
+    return found.select("n_name", "members", state.quota_percent(F.col("used"), F.col("n_nationkey") * 20000).alias("percent"))
 
 
 @query("SELECT n_regionkey AS role, count(*) AS members, min(n_nationkey) AS first_seen FROM nation GROUP BY n_regionkey")
@@ -114,8 +112,7 @@ SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'O') AS open, cou
 FROM orders GROUP BY o_orderpriority
 """)
 def queue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(*[F.count_if(F.col("o_orderstatus") == s).alias(n) for s, n in (("O", "open"), ("F", "finished"), ("P", "partial"))])
-    return counts
+    return state.state_counts(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_orderstatus", {"O": "open", "F": "finished", "P": "partial"})
 
 
 @query("""
@@ -138,13 +135,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY made DESC, even
 SELECT user_id, event_id FROM r WHERE n <= 5
 """)
 def pairing_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = observations(spark, sf_dir).withColumn("at", F.col("ts").cast("timestamp").cast("double"))
-    now = rows.agg(F.max("at").alias("now"))
-    live = rows.filter("event_type = 'signup'").crossJoin(F.broadcast(now)).filter(F.col("now") - F.col("at") <= 600000)  # one row
-    newest = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("at"), F.desc("event_id")))
-    return live.withColumn("n", newest).filter("n <= 5").select("user_id", "event_id")
+    codes = rows.filter("event_type = 'signup'")
+    return state.live_codes(codes, "user_id", "at", "event_id", state.clock(rows, "at"), 600000, 5).select("user_id", "event_id")
 
 
 @query("""
@@ -152,11 +145,9 @@ WITH q AS (SELECT user_id AS device, event_id AS job, CAST(props->>'$.k' AS INTE
 SELECT device, job, scene, CASE WHEN n = 1 THEN 'queued' ELSE 'superseded' END AS state FROM q
 """)
 def superseded_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = observations(spark, sf_dir).filter(F.col("event_type").isin("view", "click"))
-    newest = F.row_number().over(Window.partitionBy("user_id", F.col("k") % 9).orderBy(F.desc("ts"), F.desc("event_id")))
-    return rows.select(F.col("user_id").alias("device"), F.col("event_id").alias("job"), (F.col("k") % 9).alias("scene"), F.when(newest == 1, "queued").otherwise("superseded").alias("state"))
+    jobs = rows.select(F.col("user_id").alias("device"), F.col("event_id").alias("job"), (F.col("k") % 9).alias("scene"), "ts")
+    return state.superseded(jobs, ["device", "scene"], ["ts", "job"]).drop("ts")
 
 
 @query("""
@@ -166,14 +157,10 @@ b AS (SELECT DISTINCT user_id AS device FROM events WHERE event_type = 'error' A
 SELECT device, job FROM r WHERE n = 1 AND device NOT IN (SELECT device FROM b)
 """)
 def next_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     rows = observations(spark, sf_dir).select(F.col("event_id").alias("job"), F.col("user_id").alias("device"), "event_type")
-    needed = rows.select((F.col("job") + 3).alias("job"), F.col("event_type").alias("before"))
-    ready = rows.filter("event_type = 'view'").join(needed, "job", "left").filter("before is null or before = 'purchase'")
-    busy = rows.filter("event_type = 'error' and job % 11 = 0").select("device").distinct()
-    first = F.row_number().over(Window.partitionBy("device").orderBy("job"))
-    return ready.join(busy, "device", "left_anti").withColumn("n", first).filter("n = 1").select("device", "job")
+    needed = rows.select((F.col("job") + 3).alias("job"), F.col("event_type").alias("state"))
+    busy = rows.filter("event_type = 'error' and job % 11 = 0")
+    return state.next_jobs(rows.filter("event_type = 'view'"), needed, busy, "device", "job", done="purchase")
 
 
 @query("""
@@ -181,5 +168,5 @@ SELECT event_id, greatest(0, 4 - CAST(props->>'$.k' AS INTEGER) % 7) AS retries_
        CASE event_type WHEN 'view' THEN 600 WHEN 'click' THEN 420 WHEN 'signup' THEN 300 WHEN 'purchase' THEN 60 ELSE 0 END AS eta FROM events
 """)
 def job_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    eta = F.create_map(*[F.lit(x) for pair in (("view", 600), ("click", 420), ("signup", 300), ("purchase", 60)) for x in pair])
-    return observations(spark, sf_dir).select("event_id", F.greatest(F.lit(0), 4 - F.col("k") % 7).alias("retries_left"), F.greatest(F.lit(0), F.least("k", F.lit(80))).alias("first_frame"), F.coalesce(F.try_element_at(eta, F.col("event_type")), F.lit(0)).alias("eta"))
+    eta = state.seconds_left(F.col("event_type"), {"view": 600, "click": 420, "signup": 300, "purchase": 60})
+    return observations(spark, sf_dir).select("event_id", state.remaining(F.col("k") % 7, 4).alias("retries_left"), state.clipped(F.col("k"), 0, 80).alias("first_frame"), eta.alias("eta"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as tx
 from ..operators import reads
@@ -59,8 +59,7 @@ def jaccard_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = table(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.split(F.lower("text"), " ")).alias("t"))
     other = sets.select((F.col("item_id") - 1).alias("item_id"), F.col("item_id").alias("b"), F.col("t").alias("u"))
     both = sets.join(other, "item_id")
-    share = F.when(F.size(F.array_union("t", "u")) == 0, 1.0).otherwise(F.size(F.array_intersect("t", "u")) / F.size(F.array_union("t", "u")))
-    return both.select(F.col("item_id").alias("a"), "b", F.round(share, 6).alias("jaccard"))
+    return both.select(F.col("item_id").alias("a"), "b", F.round(reads.set_share(F.col("t"), F.col("u")), 6).alias("jaccard"))
 
 
 @query()
@@ -149,9 +148,8 @@ FROM (SELECT doc_id, json_extract_string(j, '$.label') AS label, json_extract_st
 """)
 def captions_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = F.concat(F.lit('Sure: {"label": "'), "lang", F.lit('", "note": "'), "source", F.lit('"} done'))
-    parsed = F.from_json(F.regexp_extract(answer, r"\{.*\}", 0), "struct<label:string,note:string>")
-    rows = table(spark, sf_dir, "documents").select("doc_id", parsed.alias("j"))
-    return rows.select("doc_id", F.when(F.col("j.label").isin("en", "de", "fr", "es"), F.col("j.label")).alias("label"), F.substring("j.note", 1, 120).alias("note"))
+    label, note = reads.parsed_answer(answer, "label", ["en", "de", "fr", "es"], "note", 120)
+    return table(spark, sf_dir, "documents").select("doc_id", label.alias("label"), note.alias("note"))
 
 
 @query("""SELECT event_id, '{"k": ' || CAST(props->>'$.k' AS INTEGER) || ', "in": [{"n": 1}]}' AS props FROM events""")
