@@ -145,7 +145,17 @@ def element_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("box", box).select("event_id", *[F.round(F.col(f"box.{c}"), 4).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
-@query()
+@query("""
+WITH RECURSIVE c AS (SELECT p_partkey % 40 AS scene, p_partkey AS id, (p_size * 5 + p_partkey % 7) % 256 AS r, (p_size * 11 + p_partkey % 7) % 256 AS g, (p_size * 3 + p_partkey % 7) % 256 AS b FROM part),
+n AS (SELECT scene, id, list_transform([r, g, b], lambda v: CASE WHEN v / 255.0 <= 0.04045 THEN v / 255.0 / 12.92 ELSE pow((v / 255.0 + 0.055) / 1.055, 2.4) END) AS q FROM c),
+x AS (SELECT scene, id, list_transform([(0.4124564 * q[1] + 0.3575761 * q[2] + 0.1804375 * q[3]) / 0.95047, 0.2126729 * q[1] + 0.7151522 * q[2] + 0.0721750 * q[3], (0.0193339 * q[1] + 0.1191920 * q[2] + 0.9503041 * q[3]) / 1.08883],
+  lambda v: CASE WHEN v > 216.0 / 24389 THEN pow(v, 1 / 3.0) ELSE (24389 / 27.0 * v + 16) / 116 END) AS f FROM n),
+p AS (SELECT scene, id, row_number() OVER (PARTITION BY scene ORDER BY id) AS n, 116 * f[2] - 16 AS l, 500 * (f[1] - f[2]) AS a, 200 * (f[2] - f[3]) AS b FROM x),
+m(scene, n, heads, id, near) AS (SELECT DISTINCT scene, CAST(0 AS BIGINT), CAST([] AS STRUCT(i BIGINT, l DOUBLE, a DOUBLE, b DOUBLE)[]), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM p
+  UNION ALL SELECT scene, n, CASE WHEN len(found) = 0 THEN list_append(heads, {'i': id, 'l': l, 'a': a, 'b': b}) ELSE heads END, id, coalesce(found[1].i, id)
+  FROM (SELECT p.*, heads, list_filter(heads, lambda h: sqrt((h.l - p.l) ** 2 + (h.a - p.a) ** 2 + (h.b - p.b) ** 2) <= 3.0) AS found FROM m JOIN p ON p.scene = m.scene AND p.n = m.n + 1))
+SELECT scene, id AS p_partkey, near AS representative FROM m WHERE id IS NOT NULL
+""")
 def merged_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.greedy import merged_points
 
