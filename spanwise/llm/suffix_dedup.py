@@ -81,7 +81,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.nda
     heads = (total - counts)[counts > 0]
     new[heads] = True
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
+    last = np.append(first[1:], len(at))[: len(first)] - 1
     text = np.searchsorted(total, first, side="right")
     return h[anchor[first]], at[first], at[last], text
 
