@@ -5,8 +5,8 @@ doc_id are removed.  Equal strings must meet in one task, so each string is deal
 anchor: of the byte grams inside it the one with the least hash, the first of equals.
 Neighbouring strings with one anchor make one row, about one row for sixteen bytes:
 
-1. a text that a smaller document has as a whole repeats from end to end and goes no
-   further; the rows of all others are dealt by the hash of their anchor.  A gram that only
+1. a text that a smaller document has as a whole (128 bits of its digest) repeats from end
+   to end and goes no further; the rows of all others are dealt by the hash of their anchor.  A gram that only
    one document has needs nothing more.  Rows of one gram whose whole stretch of bytes is
    equal (64 bits of digest besides the gram's own 64) are one string of the suffix array,
    owned by its smallest document; all others repeat it;
@@ -178,6 +178,8 @@ def _bytes_of(width: int):
                 found = h[grams] if len(at) else np.zeros((0, 1), np.uint64)
                 best = (found >> np.uint64(32)).argmin(axis=1)
                 name = found[np.arange(len(at)), best]
+                order = np.argsort(name, kind="stable")  # alike side by side, where the shuffle's compression sees them
+                text, begin, more, at, best, name = text[order], begin[order], more[order], at[order], best[order], name[order]
                 raw = data.tobytes()
                 pieces = [raw[a:b] for a, b in zip(at.tolist(), (at + more + width).tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(part["doc"].to_numpy()[text]), pa.array(begin, pa.int64()), pa.array(best, pa.int32()), pa.array(pieces, pa.binary())], names=["name", "doc", "start", "gram_at", "bytes"])
@@ -338,7 +340,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, whole_characters: bool = Fa
     """
     others = [c for c in docs.columns if c not in ("text", "kept", "n_bytes", "n_removed", "n_spans")]
     # the other columns travel as one, so that their names can't clash with those used here
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), "text", F.struct(*others).alias("row"), F.unhex(F.sha2("text", 256)).alias("whole"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), "text", F.struct(*others).alias("row"), F.substring(F.unhex(F.sha2("text", 256)), 1, 16).alias("whole"))
     dealt = pack_texts(keyed).repartition("doc")  # all its columns go everywhere, so that one shuffle serves all three uses
     copies = exact_copies(keyed, width).hint("shuffle_hash")
     copy = F.coalesce(F.array_contains("copied", F.col("whole")), F.lit(False))
