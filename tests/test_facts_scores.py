@@ -99,6 +99,26 @@ def test_components_and_cascade(spark):
     failed = spark.createDataFrame([(3,)], "k long")
     assert graph.cascade(links.filter("a < 40 and a <> b"), "b", "a", failed, "k").count() == 38
     assert graph.components(links.limit(0), "a", "b").count() == 0
+    assert {(r.node, r.component) for r in graph.components(spark.createDataFrame([("x", "y"), ("x", None), ("q", "q")], "a string, b string"), "a", "b").collect()} == {("x", "x"), ("y", "x"), ("q", "q")}
+
+
+@pytest.mark.parametrize("order", ["ordered", "reversed", "shuffled"])
+def test_components_of_long_chains(spark, order, monkeypatch):
+    nodes = {"ordered": list(range(1000)), "reversed": list(range(999, -1, -1)), "shuffled": random.Random(1).sample(range(1000), 1000)}[order]
+    links = spark.createDataFrame(list(zip(nodes, nodes[1:])), "a long, b long").repartition(12, "a")  # next to no two links in one batch
+    passes = []
+    monkeypatch.setattr(graph.Rounds, "keep", lambda self, t, name, keep=graph.Rounds.keep: passes.append(name) or keep(self, t, name))
+    got = graph.components(links, "a", "b")
+    assert {(r.component, r.n) for r in got.groupBy("component").agg(F.count("node").alias("n")).collect()} == {(0, 1000)}
+    assert passes.count("pass") <= 12
+    size = got._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert size.bit_length() < 64  # estimates do not grow from pass to pass
+
+
+def test_cascade_of_deep_and_branched_keys(spark):
+    deep = [(i + 1, i) for i in range(300)] + [(500, 300), (500, 2), (501, 500), (600, 601), (601, 600), (700, 701)]  # a second way, a circle, a way from nowhere
+    got = {r.key: r.depth for r in graph.cascade(spark.createDataFrame(deep, "c long, p long"), "c", "p", spark.createDataFrame([(0,), (9999,)], "k long"), "k").collect()}
+    assert got == {i: i for i in range(301)} | {500: 3, 501: 4, 9999: 0}
 
 
 def test_colour_and_boxes(spark):
