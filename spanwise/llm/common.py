@@ -8,9 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import re
 import sys
-import tempfile
 import types
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -20,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from ..operators.checkpoints import ensure_checkpoint_dir  # noqa: F401  for the operators here
+
 #: Bytes of text that one slice of an Arrow batch holds (a single longer text makes a slice of its own).
 SLICE_BYTES = 1_000_000
 
@@ -28,17 +28,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; set a local one only where none is named and all runs in one process (tests)."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spanwise-checkpoint-"))
-
-
 def worker_state() -> dict:
     """What a Python worker keeps between tasks (functions come with each task, so their globals don't last)."""
     module = sys.modules.setdefault("_spanwise_worker_state", types.ModuleType("_spanwise_worker_state"))

@@ -17,7 +17,8 @@ registers are equal about as often as the sets are similar.
    equal given both set sizes; what may reach the threshold within six deviations is
    confirmed on the full sets.  Members meet the first of their shingle before all others,
    so a cluster of copies joins in one pass over it.  Only links that join components come out;
-4. links are joined to components.
+4. links are joined to components by alternating stars, so a chain of versions, each near the
+   one before, takes passes that grow with the logarithm of its length.
 
 With 32 bands of 4 registers a pair of similarity 0.8 shares no band once in ten million.
 
@@ -37,6 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.graph import components
 from .common import ensure_checkpoint_dir, mix, read_table, released, signed, split_words, text_buffer, text_slices, word_hashes
 
 BANDS, ROWS = 32, 4
@@ -233,24 +235,6 @@ def _confirmed(size: int, percent: int):
     return run
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable over links (a, b); nodes brings labels to start from.
-
-    Each pass takes the smallest label next to a node and hooks the node's label to it, two
-    hooks at a time, so the passes grow with the logarithm of a component's width.
-    """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct().checkpoint()
-    labels = nodes.select("node", "component").checkpoint()
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        hooks = labels.join(near, "node").filter("near < component").groupBy("component").agg(F.min("near").alias("to")).checkpoint()
-        if hooks.isEmpty():
-            return labels
-        # a hook always points to a smaller label
-        further = hooks.join(hooks.select(F.col("component").alias("to"), F.col("to").alias("next")), "to", "left").select("component", F.coalesce("next", "to").alias("to"))
-        labels = labels.join(further, "component", "left").select("node", F.coalesce("to", "component").alias("component")).checkpoint()
-
-
 def _units(groups: DataFrame) -> DataFrame:
     """Groups (rep, group, n_shingles) as units of bounded size: the group itself, or pairs of its blocks."""
     blocks = groups.groupBy("group").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -272,8 +256,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     centres = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key"), "rep")).alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("c.rep").alias("centre"))
     shared = bands.join(centres, "key").checkpoint()
     stars = shared.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    members = shared.select(F.col("rep").alias("node")).distinct()
-    groups = components(members.withColumn("component", F.col("node")), stars).withColumnsRenamed({"node": "rep", "component": "group"})
+    groups = components(stars, "a", "b").withColumnsRenamed({"node": "rep", "component": "group"})
     groups = groups.join(classes.select("rep", "n_shingles"), "rep").checkpoint()
     # a group of very many blocks meets by band key instead: its keys are few to a text
     wide = groups.groupBy("group").agg(F.sum("n_shingles").alias("n")).filter(F.col("n") > MOST_BLOCKS * BLOCK_SHINGLES).select("group")
@@ -281,8 +264,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     dealt = _units(groups.join(wide, "group", "left_anti")).unionByName(_units(by_key))
     texts = keyed.filter("text is not null").join(dealt, keyed["doc"] == dealt["rep"]).select("group", "low", "high", "rep", "block", "text")
     links = texts.groupBy("group", "low", "high").applyInArrow(_confirmed(size, percent), "a long, b long").checkpoint()
-    linked = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-    labels = components(linked.withColumn("component", F.col("node")), links)
+    labels = components(links, "a", "b")
     of_class = classes.select(*set_key, "rep").join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*set_key, F.coalesce("component", "rep").alias("component_id"))
     found = sketches.select("doc", *set_key).join(of_class, set_key, "left").select("doc", "n_shingles", F.coalesce("component_id", "doc").alias("component_id"))
     null_id = F.lit(-(1 << 63))

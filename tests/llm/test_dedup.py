@@ -169,6 +169,15 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert got == _brute_components(list(enumerate(texts)), 4, 80)
 
 
+@pytest.mark.parametrize("order", ["ordered", "shuffled"])
+def test_near_duplicates_of_a_long_chain(spark, order):
+    words = [f"w{random.Random(i).randrange(10**9)}" for i in range(700)]
+    texts = [" ".join(words[i : i + 60]) for i in range(600)]  # each near the one before, far from most
+    ids = list(range(600)) if order == "ordered" else random.Random(2).sample(range(600), 600)
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    assert {r.component_id for r in near_dedup.near_duplicates(docs, size=4).select("component_id").distinct().collect()} == {0}
+
+
 def test_near_duplicates_edges(spark):
     docs = _table(spark, ["a b c d e", None])
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
