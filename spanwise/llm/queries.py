@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, html_text, mixing, near_dedup, packing, quality, recompression, search, suffix_dedup, toxicity
+from . import chat, fill_middle, html_text, mixing, near_dedup, packing, quality, recompression, repair, search, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_recompression_dedup": recompression.query,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_convolutional_toxicity": toxicity.query,
     "op9_minimum_cut_html": html_text.query,
     "op10_suffix_array_dedup": suffix_dedup.query,
+    "op12_checkpoint_fill_middle": fill_middle.query,
+    "op13_ranked_repair": repair.query,
 }
 
 ORACLE_SQL = {
@@ -24,4 +26,6 @@ ORACLE_SQL = {
     "op6_setsketch_near_dedup": near_dedup.ORACLE_SQL,
     "op7_pareto_mixing": mixing.ORACLE_SQL,
     "op10_suffix_array_dedup": suffix_dedup.ORACLE_SQL,
+    "op12_checkpoint_fill_middle": fill_middle.ORACLE_SQL,
+    "op13_ranked_repair": repair.ORACLE_SQL,
 }
