@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fill_middle, html_text, mixing, near_dedup, packing, quality, recompression, repair, search, suffix_dedup, toxicity
+from . import chat, fill_middle, forest, html_text, mixing, near_dedup, packing, quality, recompression, repair, search, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_recompression_dedup": recompression.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_convolutional_toxicity": toxicity.query,
     "op9_minimum_cut_html": html_text.query,
     "op10_suffix_array_dedup": suffix_dedup.query,
+    "op11_hash_prefix_forest": forest.query,
     "op12_checkpoint_fill_middle": fill_middle.query,
     "op13_ranked_repair": repair.query,
 }
