@@ -253,7 +253,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = sketches.filter("n_shingles > 0").groupBy(*set_key).agg(F.min("doc").alias("rep"), F.first("registers").alias("registers")).checkpoint()
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.expr("registers").substr(i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     bands = classes.select("rep", F.explode(band).alias("key"))
-    centres = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep", "key"), "rep")).alias("c"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("c.rep").alias("centre"))
+    # the smallest member: keys of one group mostly agree in it, so that a member has few links
+    centres = bands.groupBy("key").agg(F.min("rep").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "centre")
     shared = bands.join(centres, "key").checkpoint()
     stars = shared.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
     groups = components(stars, "a", "b").withColumnsRenamed({"node": "rep", "component": "group"})
