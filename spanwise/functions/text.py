@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import difflib
 import html.parser
+import itertools
 import json
 import re
 import unicodedata
+import urllib.parse
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -24,8 +27,22 @@ def plain_key(text: Column) -> Column:
     return F.lower(collapse(text))
 
 
+_BLANK = r"[\s\x1c-\x1f\x85\p{Z}]+"
+
+
+def _cased(text: Column) -> Column:
+    """Case folded: through capitals, so that one letter folds to several where it should.
+
+    The dotless i is its own fold, and a capital sigma is never a final one; a change of letters
+    between two changes of case also keeps the planner from taking the first for needless.
+    """
+    capitals = F.upper(F.translate(F.lower(text), "ı", "\ue000"))
+    return F.translate(F.lower(F.translate(capitals, "\ue000", "\ue001")), "ς\ue001", "σı")
+
+
 def compact(text: Column) -> Column:
-    return F.lower(F.regexp_replace(text, r"\s+", ""))
+    """Case folded, without white space."""
+    return _cased(F.regexp_replace(text, _BLANK, ""))
 
 
 @F.pandas_udf(StringType())
@@ -44,18 +61,31 @@ def _squeeze(s: str) -> str:
     return "".join(s.split()).casefold()
 
 
-def window_ratio(short: str, long: str) -> float:
-    """Best match of the shorter against windows of its length in the longer, white space and case aside."""
-    x, y = sorted((_squeeze(short), _squeeze(long)), key=len)
-    if not x:
+def window_ratio(one: str, other: str) -> float:
+    """Best match of the shorter text with windows of its length in the longer, white space and case aside.
+
+    Matching depends on the order of its two sides: the shorter text is always the first.  A
+    window is matched only if the letters it shares could beat the best so far.
+    """
+    short, long = sorted((_squeeze(one), _squeeze(other)), key=len)
+    size = len(short)
+    if not size:
         return 0.0
-    if x in y:
+    if size < 200 and short in long:  # from 200 characters on the matcher leaves out common ones
         return 1.0
-    matcher = difflib.SequenceMatcher(None, b=x)
-    best = 0.0
-    for at in range(len(y) - len(x) + 1):
-        matcher.set_seq1(y[at : at + len(x)])
-        if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
+    missing = Counter(short)  # letters of the short text less those of the window
+    missing.subtract(long[:size])
+    shared = size - sum(n for n in missing.values() if n > 0)
+    matcher, best = difflib.SequenceMatcher(None, short), 0.0
+    for at in range(len(long) - size + 1):
+        if at:
+            gone, come = long[at - 1], long[at + size - 1]
+            missing[gone] += 1
+            shared -= missing[gone] > 0
+            shared += missing[come] > 0
+            missing[come] -= 1
+        if shared > best * size:
+            matcher.set_seq2(long[at : at + size])
             best = max(best, matcher.ratio())
     return best
 
@@ -67,9 +97,15 @@ def cover(read: pd.Series, candidate: pd.Series) -> pd.Series:
 
 
 def word_prefix(read: Column, full: Column, fewest: int = 2) -> Column:
-    """Whether read is the first words of full and leaves at least so many characters out."""
-    a, b = collapse(read), collapse(full)
-    return F.startswith(b, F.concat(a, F.lit(" "))) & (F.length(compact(full)) - F.length(compact(read)) >= fewest)
+    """Whether read is some first words of full, case and spacing aside, and leaves at least so many characters out."""
+    short, words = compact(read), F.split(F.trim(_cased(F.regexp_replace(full, _BLANK, " "))), " ")
+    ends = F.aggregate(
+        F.transform(words, F.length),
+        F.struct(F.lit(0).alias("at"), F.length(short).alias("size"), F.lit(False).alias("met")),
+        lambda s, n: F.struct((s["at"] + n).alias("at"), s["size"].alias("size"), (s["met"] | (s["at"] + n == s["size"])).alias("met")),
+        lambda s: s["met"] & (s["size"] > 0) & (s["at"] - s["size"] >= fewest),
+    )
+    return ends & F.startswith(F.array_join(words, ""), short)
 
 
 def pages(rows: DataFrame, ident: str, text: str, size: int) -> DataFrame:
@@ -85,78 +121,81 @@ def scrub_paths(text: Column) -> Column:
     return F.regexp_replace(text, r"(^|[\s\"'(=])(?:~|/[^\s/\"'()]+)(?:/[^\s/\"'()]+)*/([^\s/\"'()]+)", "$1$2")
 
 
-def without_private(value: object, private: re.Pattern[str]) -> object:
-    """Nested values without the keys that match, at any depth."""
-    if isinstance(value, dict):
-        return {k: without_private(v, private) for k, v in value.items() if not private.search(k)}
-    if isinstance(value, list):
-        return [without_private(v, private) for v in value]
-    return value
-
-
 def redacted(pattern: str) -> Callable[[Column | str], Column]:
     """A column function: JSON texts without the keys that match, ignoring case; what is no JSON becomes null."""
     private = re.compile(pattern, re.IGNORECASE)
 
+    def shown(pairs: list[tuple[str, object]]) -> dict[str, object]:
+        """An object as it is read, from the innermost out, without private keys."""
+        return {k: v for k, v in pairs if not private.search(k)}
+
     def one(text: str | None) -> str | None:
         try:
-            return None if text is None else json.dumps(without_private(json.loads(text), private), ensure_ascii=False)
+            return None if text is None else json.dumps(json.loads(text, object_pairs_hook=shown), ensure_ascii=False)
         except ValueError:
             return None
 
     return F.pandas_udf(lambda texts: texts.map(one), StringType())
 
 
-class _PageText(html.parser.HTMLParser):
-    """Readable text of a page: headings marked, links kept, hidden parts left out."""
+# Elements whose content is not shown, and elements that begin and end lines.
+UNSEEN = frozenset("script style noscript svg template head title".split())
+LINES = frozenset("p div br li tr section article header footer pre blockquote table ul ol h1 h2 h3 h4 h5 h6".split())
 
-    hidden = frozenset(("script", "style", "head", "noscript", "template"))
-    breaks = frozenset("p div br li ul ol tr table section article header footer nav main aside blockquote pre h1 h2 h3 h4 h5 h6".split())
+
+class _Events(html.parser.HTMLParser):
+    """The page as a flat list of (kind, value): begin, end and text."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.out: list[str] = []
-        self.depth = 0
-        self.link: tuple[str, int] | None = None
+        self.events: list[tuple[str, str, str]] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.depth += tag in self.hidden
-        if self.depth:
-            return
-        if tag in self.breaks:
-            self.out.append("\n")
-        if re.fullmatch("h[1-6]", tag):
-            self.out.append("#" * int(tag[1]) + " ")
-        if tag == "a" and dict(attrs).get("href"):
-            self.link = (dict(attrs)["href"], len(self.out))
+        self.events.append(("begin", tag, dict(attrs).get("href") or ""))
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self.hidden:
-            self.depth = max(0, self.depth - 1)
-            return
-        if self.depth:
-            return
-        if tag == "a" and self.link:
-            address, at = self.link
-            label = " ".join("".join(self.out[at:]).split())
-            self.out[at:] = [f"[{label}]({address})" if label else ""]
-            self.link = None
-        if tag in self.breaks:
-            self.out.append("\n")
+        self.events.append(("end", tag, ""))
 
     def handle_data(self, data: str) -> None:
-        if not self.depth:
-            self.out.append(re.sub(r"\s+", " ", data))
+        self.events.append(("text", data, ""))
+
 
+def page_text(page: str | None, base: str = "") -> str:
+    """Readable text of a page: headings marked, web links kept with their text, unseen parts left out, at most one empty line in a row.
 
-def page_text(page: str | None) -> str:
-    parser = _PageText()
+    Links are found first, each with the place of its end, then everything is written in one pass.
+    """
+    parser = _Events()
     parser.feed(page or "")
     parser.close()
-    lines = (" ".join(line.split()) for line in "".join(parser.out).split("\n"))
-    return re.sub(r"\n{3,}", "\n\n", "\n".join(line for line in lines if line))
+    opened, target, begins = [], {}, {}
+    for i, (kind, tag, href) in enumerate(parser.events):
+        if tag == "a" and kind == "begin":
+            opened.append((i, href))
+        elif tag == "a" and kind == "end" and opened:
+            begin, href = opened.pop()
+            address = urllib.parse.urljoin(base, href) if href else ""
+            if re.match("https?://", address):
+                target[i], begins[begin] = address, i
+    unseen, buffers = 0, [[]]
+    for i, (kind, tag, _) in enumerate(parser.events):
+        if kind == "text":
+            if not unseen:
+                buffers[-1].append(tag)
+        elif tag in UNSEEN:
+            unseen = max(0, unseen + (1 if kind == "begin" else -1))
+        elif i in begins:
+            buffers.append([])
+        elif i in target:
+            inner = "".join(buffers.pop())
+            label = " ".join(inner.split())
+            buffers[-1].append(f"[{label}]({target[i]})" if label else inner)
+        elif tag in LINES:
+            buffers[-1].append("\n" + ("#" * int(tag[1]) + " " if kind == "begin" and tag[0] == "h" and tag[1:].isdigit() else ""))
+    lines = "\n".join(" ".join(line.split()) for line in "".join(itertools.chain(*buffers)).splitlines())
+    return re.sub(r"\n{3,}", "\n\n", lines).strip()
 
 
 @F.pandas_udf(StringType())
-def readable(page: pd.Series) -> pd.Series:
-    return page.map(page_text)
+def readable(page: pd.Series, base: pd.Series) -> pd.Series:
+    return pd.Series([page_text(p, b or "") for p, b in zip(page, base, strict=True)], dtype="object")

@@ -31,18 +31,17 @@ NAMES = ("linear", *EASES)
 KEYS = "t long, v double, ease string, error double"
 
 
-def ease_at(x: np.ndarray, ease: tuple[float, float, float, float]) -> np.ndarray:
-    """y of an easing at each x, by halving the parameter's interval."""
+@lru_cache(maxsize=len(EASES))
+def _drawn(ease: tuple[float, float, float, float], points: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    """x and y along an easing's curve, x ascending."""
+    s = np.linspace(0.0, 1.0, points + 1)
+    x, y = ((3 * a * (1 - s) + 3 * b * s) * s * (1 - s) + s**3 for a, b in ((ease[0], ease[2]), (ease[1], ease[3])))
+    return x, y
 
-    def cubic(s: np.ndarray, a: float, b: float) -> np.ndarray:
-        return 3 * (1 - s) ** 2 * s * a + 3 * (1 - s) * s**2 * b + s**3
 
-    low, high = np.zeros_like(x), np.ones_like(x)
-    for _ in range(40):
-        middle = (low + high) / 2
-        short = cubic(middle, ease[0], ease[2]) < x
-        low, high = np.where(short, middle, low), np.where(short, high, middle)
-    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, cubic((low + high) / 2, ease[1], ease[3])))
+def ease_at(x: np.ndarray, ease: tuple[float, float, float, float]) -> np.ndarray:
+    """y of an easing at each x, between densely drawn points."""
+    return np.interp(x, *_drawn(tuple(ease)))
 
 
 @lru_cache(maxsize=256)
@@ -52,56 +51,113 @@ def _shapes(steps: int) -> np.ndarray:
     return np.stack([u, *(ease_at(u, e) for e in EASES.values())])
 
 
-def _off(v: np.ndarray, a: int, b: int, first: float, last: float, ease: int) -> np.ndarray:
-    return np.abs(first + (last - first) * _shapes(b - a)[ease] - v[a : b + 1])
+def _draw(a: int, b: int, first: float, last: float, ease: int) -> np.ndarray:
+    return first + (last - first) * _shapes(b - a)[ease]
 
 
 def eased_pieces(v: np.ndarray, bound: float) -> list[tuple[int, int, int]]:
-    """Pieces (first, last, ease): each with the easing that fits it best, split at its worst inner row until within bound."""
-    done, open_ = [], [(0, len(v) - 1)]
+    """Pieces (first, last, ease) that together cover the curve, all open pieces halved in rounds until they fit.
+
+    A piece is drawn by the easing with the smallest largest error, the straight line among
+    equals; one that misses its rows by more than the bound is cut where it misses most.
+    """
+    done: list[tuple[int, int, int]] = []
+    open_ = [(0, len(v) - 1)]
     while open_:
-        a, b = open_.pop()
-        off = np.abs(v[a] + (v[b] - v[a]) * _shapes(b - a) - v[a : b + 1])
-        errors = off.max(axis=1)
-        ease = 0
-        for i in range(1, len(errors)):  # an easing must be better, not just as good
-            if errors[i] < errors[ease] - 1e-9:
-                ease = i
-        if errors[ease] <= bound or b - a < 2:
-            done.append((a, b, ease))
-        else:
-            cut = a + 1 + int(off[ease, 1:-1].argmax())
-            open_ += [(cut, b), (a, cut)]
+        cut: list[tuple[int, int]] = []
+        for a, b in open_:
+            error = np.abs(v[a] + (v[b] - v[a]) * _shapes(b - a) - v[a : b + 1])
+            worst = error.max(axis=1)
+            ease = 0 if worst[0] <= worst.min() + 1e-9 else int(worst.argmin())
+            if worst[ease] <= bound or b - a < 2:
+                done.append((a, b, ease))
+            else:
+                at = a + 1 + int(error[ease, 1:-1].argmax())
+                cut += [(a, at), (at, b)]
+        open_ = cut
     return sorted(done)
 
 
+def _levels(v: np.ndarray, at: np.ndarray, bound: float) -> list[tuple[int, int, float]]:
+    """Stretches of pieces (first key, last key, level) whose rows all lie within bound of one level, as long as they can be.
+
+    Rows fit a level if their range is at most twice the bound; the level is their median where
+    that fits, else the middle of the range.  Stretches share no key, so each has one level.
+    """
+    found, i = [], 0
+    low, high = np.minimum.reduceat(v, at[:-1]), np.maximum.reduceat(v, at[:-1])  # rows of each piece but its last
+    while i + 1 < len(at):
+        k, least, most = i, np.inf, -np.inf
+        while k + 1 < len(at):
+            down, up = min(least, low[k], v[at[k + 1]]), max(most, high[k], v[at[k + 1]])
+            if up - down > 2 * bound:
+                break
+            k, least, most = k + 1, down, up
+        if k == i:
+            i += 1
+            continue
+        rows = v[at[i] : at[k] + 1]
+        level = float(np.median(rows))
+        found.append((i, k, level if max(most - level, level - least) <= bound else float((most + least) / 2)))
+        i = k + 1
+    return found
+
+
 def keys_of(v: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, list[int], float]:
     """Rows, values and easings of a curve's keys, and the largest deviation of what they draw.
 
-    A piece whose rows all lie within bound of their median becomes a hold at the median, as
-    long as its neighbours then stay within bound too.  Keys inside a hold go, and a curve of
-    one value is one key.
+    Of the stretches that could be held at one level, those are held that leave fewest keys
+    while every piece beside them still stays within bound (or within what it missed before):
+    a choice over all stretches at once, by least keys up to each of them, held or not.
     """
     if len(v) == 1:
-        return np.zeros(1, int), v.copy(), [0], 0.0
+        return np.zeros(1, int), v.astype(float), [0], 0.0
     pieces = eased_pieces(v, bound)
-    at = np.array([a for a, _, _ in pieces] + [len(v) - 1])
-    value, ease = v[at].astype(float), [e for _, _, e in pieces] + [0]
-    last = len(pieces) - 1
-    for i, (a, b, _) in enumerate(pieces):
-        flat = float(np.median(v[a : b + 1]))
-        fits = np.abs(v[a : b + 1] - flat).max() <= bound
-        fits = fits and (i == 0 or _off(v, at[i - 1], a, value[i - 1], flat, ease[i - 1]).max() <= bound)
-        if fits and (i == last or _off(v, b, at[i + 2], flat, value[i + 2], ease[i + 1]).max() <= bound):
-            value[i] = value[i + 1] = flat
-            ease[i] = 0
-    inner = np.zeros(len(at), bool)
-    inner[1:-1] = (value[:-2] == value[1:-1]) & (value[1:-1] == value[2:])
-    at, value, ease = at[~inner], value[~inner], [e for e, gone in zip(ease, inner, strict=True) if not gone]
-    ease = [0 if i + 1 < len(value) and value[i] == value[i + 1] else e for i, e in enumerate(ease)]
-    if (value == value[0]).all():
+    at, ease = np.array([a for a, _, _ in pieces] + [len(v) - 1]), [e for _, _, e in pieces]
+    levels = _levels(v, at, bound)
+
+    def fits(piece: int, first: float | None, last: float | None) -> bool:
+        a, b = at[piece], at[piece + 1]
+        raw = np.abs(_draw(a, b, v[a], v[b], ease[piece]) - v[a : b + 1]).max()
+        return bool(np.abs(_draw(a, b, v[a] if first is None else first, v[b] if last is None else last, ease[piece]) - v[a : b + 1]).max() <= max(bound, raw))
+
+    # for each stretch left raw (0) or held (1): keys saved so far, and the state of the stretch before
+    ways: list[list[tuple[int, int] | None]] = []
+    for n, (i, k, level) in enumerate(levels):
+        row: list[tuple[int, int] | None] = []
+        for held in (0, 1):
+            options = []
+            for before in (0, 1) if n else (0,):
+                past = ways[-1][before] if n else (0, 0)
+                if past is None:
+                    continue
+                earlier, joined = (levels[n - 1][2] if n and before else None), n and levels[n - 1][1] + 1 == i
+                mine = level if held else None
+                if i and joined and (held or before) and not fits(i - 1, earlier, mine):
+                    continue  # one piece lies between the two stretches
+                if i and not joined and held and not fits(i - 1, None, mine):
+                    continue
+                options.append((past[0] + (k - i - 1 if held else 0), held, before))
+            after = levels[n + 1][0] if n + 1 < len(levels) else None
+            if held and k < len(pieces) and after != k + 1 and not fits(k, level, None):
+                options = []
+            best = max(options, default=None)
+            row.append(None if best is None else (best[0], best[2]))
+        ways.append(row)
+    held = [False] * len(levels)
+    state = max((s for s in (0, 1) if ways and ways[-1][s] is not None), key=lambda s: (ways[-1][s][0], s), default=0)
+    for n in range(len(levels) - 1, -1, -1):
+        held[n], state = bool(state), ways[n][state][1]
+    value, keep = v[at].astype(float), np.ones(len(at), bool)
+    for (i, k, level), yes in zip(levels, held, strict=True):
+        if yes:
+            value[i : k + 1] = level
+            keep[i + 1 : k] = False
+    at, value, ease = at[keep], value[keep], [*np.array([*ease, 0])[keep].tolist()]
+    ease = [0 if i + 1 >= len(value) or value[i] == value[i + 1] else e for i, e in enumerate(ease)]
+    if len(at) == 2 and value[0] == value[1]:
         return at[:1], value[:1], [0], float(np.abs(v - value[0]).max())
-    return at, value, ease, max(float(_off(v, a, b, x, y, e).max()) for a, b, x, y, e in zip(at, at[1:], value, value[1:], ease, strict=False))
+    return at, value, ease, max(float(np.abs(_draw(a, b, x, y, e) - v[a : b + 1]).max()) for a, b, x, y, e in zip(at, at[1:], value, value[1:], ease, strict=False))
 
 
 def eased_keys(rows: DataFrame, entity: list[str], position: str, value: str, bound: str | Column) -> DataFrame:
@@ -123,16 +179,43 @@ def eased_keys(rows: DataFrame, entity: list[str], position: str, value: str, bo
     return slim.groupBy(*entity).applyInPandas(compress, schema)
 
 
-def property_keys(rows: DataFrame, entity: list[str], position: str, properties: list[str]) -> DataFrame:
-    """Keys of each property that leaves its default by more than its tolerance, which measurement noise may widen."""
-    long = rows.select(*entity, F.col(position).alias("t"), F.explode(F.map_from_arrays(F.array(*[F.lit(p) for p in properties]), F.array(*[F.col(p).cast("double") for p in properties]))).alias("property", "v"))
+def _long(rows: DataFrame, entity: list[str], position: str, properties: list[str], extent: dict[str, str]) -> tuple[DataFrame, Column]:
+    """Rows by property, and each one's tolerance: a scale may move an edge of the canonical extent by half the place's tolerance."""
+    pairs = F.map_from_arrays(F.array(*[F.lit(p) for p in properties]), F.array(*[F.col(p).cast("double") for p in properties]))
+    sizes = F.map_from_arrays(F.array(*[F.lit(p) for p in properties]), F.array(*[(F.col(extent[p]) if p in extent else F.lit(None)).cast("double") for p in properties]))
+    long = rows.select(*entity, F.col(position).cast("long").alias("t"), sizes.alias("_sizes"), F.explode(pairs).alias("property", "v")).withColumn("_size", F.col("_sizes")[F.col("property")]).drop("_sizes")
+    fixed = F.create_map(*[F.lit(x) for pair in TOLERANCE.items() for x in pair])[F.col("property")]
+    return long, F.greatest(fixed, F.when(F.col("_size").isNotNull(), TOLERANCE["x"] / F.greatest(F.col("_size"), F.lit(1.0))))
+
+
+def property_keys(rows: DataFrame, entity: list[str], position: str, properties: list[str], extent: dict[str, str] | None = None) -> DataFrame:
+    """Keys of each property that leaves its default by more than its tolerance, which measurement noise may widen.
+
+    extent names the columns of an element's own width and height by scale (sx, sy).
+    """
     by = [*entity, "property"]
-    fixed = [F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[F.col("property")] for table in (TOLERANCE, DEFAULT)]
+    long, tolerance = _long(rows, entity, position, properties, extent or {})
+    default = F.create_map(*[F.lit(x) for pair in DEFAULT.items() for x in pair])[F.col("property")]
     noise = noise_bound(long, by, ["t"], "v").select(*by, F.coalesce("bound", F.lit(0.0)).alias("_noise"))
-    bounds = long.filter("v is not null").groupBy(*by).agg(F.max(F.abs(F.col("v") - fixed[1])).alias("_away")).join(noise, by).withColumn("_bound", F.greatest(fixed[0], "_noise"))
+    bounds = long.filter("v is not null").groupBy(*by).agg(F.max(F.abs(F.col("v") - default)).alias("_away"), F.max(tolerance).alias("_fixed")).join(noise, by).withColumn("_bound", F.greatest("_fixed", "_noise"))
     return eased_keys(long.join(bounds.filter("_away > _bound").select(*by, "_bound"), by), by, "t", "v", "_bound")
 
 
+def fit_errors(keys: DataFrame, rows: DataFrame, entity: list[str], position: str, properties: list[str], extent: dict[str, str] | None = None) -> DataFrame:
+    """Per entity: the largest error of its place, and the longest run of positions at which some property misses its tolerance."""
+    by = [*entity, "property"]
+    long, tolerance = _long(rows, entity, position, properties, extent or {})
+    noise = noise_bound(long, by, ["t"], "v").select(*by, F.coalesce("bound", F.lit(0.0)).alias("_noise"))
+    met = long.filter("v is not null").join(noise, by).withColumn("_bound", F.greatest(tolerance, "_noise"))
+    drawn = key_errors(keys, met, by, "t", "v").withColumnRenamed("drawn", "_drawn").filter("_drawn is not null")
+    off = met.join(drawn.select(*by, "t", "_drawn"), [*by, "t"]).withColumn("_off", F.abs(F.col("v") - F.col("_drawn")))
+    # errors at the bound itself are no misses: what is drawn carries a rounding of its own
+    at = off.groupBy(*entity, "t").agg(F.max((F.col("_off") > F.col("_bound") + 1e-6).cast("int")).alias("_missed"), F.max(F.when(F.col("property").isin("x", "y"), F.col("_off"))).alias("_place"))
+    turn = F.row_number().over(Window.partitionBy(*entity).orderBy("t")) - F.row_number().over(Window.partitionBy(*entity, "_missed").orderBy("t"))
+    runs = at.withColumn("_run", turn).groupBy(*entity, "_missed", "_run").agg(F.count(F.lit(1)).alias("_n"), F.max("_place").alias("_place"))
+    return runs.groupBy(*entity).agg(F.coalesce(F.max("_place"), F.lit(0.0)).alias("place_error"), F.coalesce(F.max(F.when(F.col("_missed") == 1, F.col("_n"))), F.lit(0)).cast("long").alias("longest_miss"))
+
+
 def key_errors(keys: DataFrame, rows: DataFrame, entity: list[str], position: str, value: str) -> DataFrame:
     """What the keys draw at each position (position, value, drawn): the piece by the last key at or before, eased."""
     order = Window.partitionBy(*entity).orderBy("t")

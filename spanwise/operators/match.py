@@ -80,13 +80,11 @@ def assignment(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def chosen_pairs(pairs: DataFrame, group: list[str], left: str, right: str, cost: str, choose: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """The rows of pairs that ``choose(left, right, cost)`` marks in each group.
+def whole_groups(batches: Iterator[pd.DataFrame], group: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """Batches whose rows come sorted by group as frames of whole groups, and where each group begins and the last ends.
 
-    A partition holds many small groups, which come sorted; the arrays of one group at a time
-    go to ``choose`` without a call of Spark for each.
+    So a task works through many small groups without a call of Spark for each.
     """
-    schema = pairs.select(*group, left, right, F.col(cost).cast("double").alias(cost)).schema
 
     def edges(rows: pd.DataFrame) -> np.ndarray:
         """Rows whose group is not that of the row before; nulls are one value."""
@@ -94,29 +92,34 @@ def chosen_pairs(pairs: DataFrame, group: list[str], left: str, right: str, cost
         same = (keys == before) | (keys.isna() & before.isna())
         return np.flatnonzero(~same.all(axis=1).to_numpy()[1:]) + 1
 
-    def solve(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    def ready(parts: list[pd.DataFrame]) -> tuple[pd.DataFrame, np.ndarray]:
         rows = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0].reset_index(drop=True)
-        a, b, c = rows[left].to_numpy(), rows[right].to_numpy(), rows[cost].to_numpy()
-        keep, cuts = np.zeros(len(rows), bool), edges(rows)
-        for begin, end in zip([0, *cuts], [*cuts, len(rows)], strict=True):
-            keep[begin:end] = choose(a[begin:end], b[begin:end], c[begin:end])
-        return rows[keep]
+        return rows, np.concatenate([[0], edges(rows), [len(rows)]]).astype(np.int64)
+
+    held: list[pd.DataFrame] = []  # of a group that may go on in the next batch
+    for batch in batches:
+        if not len(batch):
+            continue
+        if held and len(edges(pd.concat([held[-1].tail(1), batch.head(1)], ignore_index=True))):
+            yield ready(held)
+            held = []
+        cuts = edges(batch)
+        if len(cuts):
+            yield ready([*held, batch.iloc[: cuts[-1]]])
+            held = []
+        held.append(batch.iloc[cuts[-1] if len(cuts) else 0 :])
+    if held:
+        yield ready(held)
+
+
+def chosen_pairs(pairs: DataFrame, group: list[str], left: str, right: str, cost: str, choose: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows of pairs that ``choose(left, right, cost)`` marks in each group."""
+    schema = pairs.select(*group, left, right, F.col(cost).cast("double").alias(cost)).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []  # of a group that may go on in the next batch
-        for batch in batches:
-            if not len(batch):
-                continue
-            if held and len(edges(pd.concat([held[-1].tail(1), batch.head(1)], ignore_index=True))):
-                yield solve(held)
-                held = []
-            cuts = edges(batch)
-            if len(cuts):
-                yield solve([*held, batch.iloc[: cuts[-1]]])
-                held = []
-            held.append(batch.iloc[cuts[-1] if len(cuts) else 0 :])
-        if held:
-            yield solve(held)
+        for rows, cuts in whole_groups(batches, group):
+            a, b, c = rows[left].to_numpy(), rows[right].to_numpy(), rows[cost].to_numpy()
+            yield rows[np.concatenate([choose(a[i:j], b[i:j], c[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)])]
 
     return pairs.select(*schema.names).repartition(*group).sortWithinPartitions(*group, left, right).mapInPandas(run, schema)
 
@@ -199,45 +202,67 @@ def monotone_pairs(rows: DataFrame, candidates: list[str], group: list[str], ord
     return rows.select(*group, *order, text).groupBy(*group).applyInPandas(follow, schema)
 
 
-def tracks(observed: DataFrame, scene: list[str], frame: str, obs_id: str, x: str, y: str, size: str, reach: float, most: float, idle: int = 2) -> DataFrame:
+def _least_total(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of a one-to-one choice of least total cost that leaves no side's smaller number alone."""
+    if cost.shape[0] > cost.shape[1]:
+        columns, rows = _least_total(cost.T)
+        return rows, columns
+    if min(cost.shape) == 1:
+        return np.zeros(1, np.int64), np.array([cost[0].argmin()])
+    return np.arange(len(cost)), assignment(cost)
+
+
+def _linked(frames: np.ndarray, place: np.ndarray, area: np.ndarray, colour: np.ndarray, reach: float, most: float, idle: int, smallest: float) -> np.ndarray:
+    """Track of each row of one scene, whose rows come by frame (-1: none)."""
+    label = np.full(len(frames), -1)
+    history: list[tuple[int, int]] = []  # the last row of each track, and the one before it
+    live: list[int] = []
+    edges = [*np.flatnonzero(np.diff(frames, prepend=frames[0] - 1)).tolist(), len(frames)]
+    for begin, end in zip(edges, edges[1:], strict=False):
+        f = frames[begin]
+        live = [t for t in live if f - frames[history[t][0]] <= idle]
+        if live:
+            last, before = np.array([history[t] for t in live]).T
+            span = np.maximum(frames[last] - frames[before], 1)
+            ahead = place[last] + (place[last] - place[before]) * ((f - frames[last]) / span)[:, None]
+            cost = np.sqrt(((ahead[:, None] - place[None, begin:end]) ** 2).sum(axis=2)) / reach + np.abs(np.log(area[last][:, None] / area[None, begin:end]))
+            cost += np.sqrt(((colour[last][:, None] - colour[None, begin:end]) ** 2).sum(axis=2))
+            for a, b in zip(*_least_total(cost), strict=True):
+                if cost[a, b] <= most:
+                    label[begin + b] = live[a]
+                    history[live[a]] = (int(begin + b), history[live[a]][0])
+        enough = smallest * area[begin:end].max()
+        for i in range(begin, end):
+            if label[i] < 0 and area[i] >= enough:
+                label[i] = len(history)
+                live.append(len(history))
+                history.append((i, i))
+    return label
+
+
+def tracks(observed: DataFrame, scene: list[str], frame: str, obs_id: str, x: str, y: str, size: str, reach: float, most: float, idle: int = 2, smallest: float = 0.25, colour: list[str] | None = None, colour_reach: float = 60.0) -> DataFrame:
     """Link observations of successive frames to tracks by one-to-one assignment.
 
-    Each frame's observations are matched to the tracks seen at most ``idle`` frames before, by
-    distance to the track's extrapolated place over ``reach`` plus the log ratio of sizes; a
-    match may cost at most ``most``, and what is left starts a track.  A scene is sequential
-    and is one unit of work; scenes run in parallel.
+    Each frame's observations are matched to the tracks seen at most ``idle`` frames before:
+    of all one-to-one choices the one of least total cost, where a pair costs the distance to
+    the track's extrapolated place over ``reach``, the log ratio of sizes and the distance of
+    colours over ``colour_reach``; pairs of more than ``most`` are then undone.  What is left
+    starts a track, but not if it is smaller than a share ``smallest`` of the frame's largest
+    (its track is null).  A scene is sequential; a task works through many scenes.
     """
-    schema = observed.select(*scene, F.col(frame).cast("long").alias(frame), F.col(obs_id).cast("long").alias(obs_id)).schema.add("track", "long")
-
-    def link(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([frame, obs_id], ignore_index=True)
-        place, area = rows[[x, y]].to_numpy(np.float64), np.maximum(rows[size].to_numpy(np.float64), 1e-9)
-        label = np.full(len(rows), -1)
-        history: list[tuple[int, int]] = []  # the last row of each track, and the one before it
-        live: list[int] = []
-        frames = rows[frame].to_numpy()
-        edges = np.flatnonzero(np.diff(frames, prepend=frames[0] - 1)) if len(rows) else np.zeros(0, np.int64)
-        for begin, end in zip(edges, np.append(edges[1:], len(rows)), strict=False):
-            f, index = frames[begin], np.arange(begin, end)
-            live = [t for t in live if f - frames[history[t][0]] <= idle + 1]
-            if live:
-                last, before = np.array([history[t] for t in live]).T
-                span = np.maximum(frames[last] - frames[before], 1)
-                ahead = place[last] + (place[last] - place[before]) * ((f - frames[last]) / span)[:, None]
-                far = np.linalg.norm(ahead[:, None] - place[index][None], axis=2) / reach
-                cost = far + np.abs(np.log(area[last][:, None] / area[index][None]))
-                a, b = np.nonzero(cost <= most)
-                for i in np.flatnonzero(assigned(a, b, cost[a, b], most)):
-                    t, c = live[a[i]], int(index[b[i]])
-                    label[c] = t
-                    history[t] = (c, history[t][0])
-            for i in index[label[index] < 0]:
-                label[i] = len(history)
-                live.append(len(history))
-                history.append((int(i), int(i)))
-        return rows[[*scene, frame, obs_id]].assign(track=label)
+    given = [F.col(c).cast("double").alias(f"_{n}") for n, c in (("x", x), ("y", y), ("size", size), *((f"c{i}", c) for i, c in enumerate(colour or [])))]
+    slim = observed.select(*scene, F.col(frame).cast("long").alias(frame), F.col(obs_id).cast("long").alias(obs_id), *given)
+    schema = slim.select(*scene, frame, obs_id).schema.add("track", "long")
+    shades = [f"_c{i}" for i in range(len(colour or []))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows, cuts in whole_groups(batches, scene):
+            frames, place, area = rows[frame].to_numpy(), rows[["_x", "_y"]].to_numpy(np.float64), np.maximum(rows["_size"].to_numpy(np.float64), 1.0)
+            hue = rows[shades].to_numpy(np.float64).reshape(len(rows), len(shades)) / colour_reach
+            label = np.concatenate([_linked(frames[i:j], place[i:j], area[i:j], hue[i:j], reach, most, idle, smallest) for i, j in zip(cuts, cuts[1:], strict=False)])
+            yield rows[[*scene, frame, obs_id]].assign(track=pd.array(label, "Int64")).assign(track=lambda r: r["track"].mask(r["track"] < 0))
 
-    return observed.select(*scene, F.col(frame).cast("long").alias(frame), F.col(obs_id).cast("long").alias(obs_id), x, y, size).groupBy(*scene).applyInPandas(link, schema)
+    return slim.repartition(*scene).sortWithinPartitions(*scene, frame, obs_id).mapInPandas(run, schema)
 
 
 def frame_pairs(regions: DataFrame, keys: list[str], ident: str, frame: str, x: str, y: str, area: str, apart: int, gate: float) -> DataFrame:

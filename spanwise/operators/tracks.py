@@ -9,6 +9,7 @@ from ..functions.text import compact, word_prefix
 from .checkpoints import ensure_checkpoint_dir
 from .graph import components
 from .match import band_join
+from .reads import best_read
 
 
 def modal(rows: DataFrame, entity: list[str], value: str, order: str) -> DataFrame:
@@ -132,6 +133,13 @@ def split_swaps(reads: DataFrame, track: str, frame: str, text: str, full: str,
     return rows.withColumn("piece", F.coalesce(splits & (F.col(frame) >= F.col("_first")), F.lit(False)).cast("int")).drop("_last", "_seen", "_first", "_held")
 
 
+def piece_texts(split: DataFrame, track: str, frame: str, text: str, full: str) -> DataFrame:
+    """(track, piece, text): the first piece keeps the track's text, what remains gets the best of its own reads."""
+    first = split.filter("piece = 0").groupBy(track).agg(F.first(full).alias("text")).select(track, F.lit(0).alias("piece"), "text")
+    rest = best_read(split.filter("piece = 1"), [track], frame, text).select(track, F.lit(1).alias("piece"), F.col("read").alias("text"))
+    return first.unionByName(rest)
+
+
 def joined_members(rows: DataFrame, group: list[str], member: str, order: str) -> DataFrame:
     """A group's members as one line in order of their first row, and its row count."""
     members = rows.groupBy(*group, member).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_seen"))

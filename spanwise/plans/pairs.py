@@ -76,16 +76,16 @@ def manifest_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH b AS (SELECT item_id, text, string_split(text, ' ') AS w FROM benchmark),
-r AS (SELECT item_id, f, text, CASE WHEN f < 4 + item_id % 4 THEN text WHEN f < 20 + item_id % 30 THEN array_to_string(w[1:len(w) - 1], ' ') ELSE text || 'x' END AS read FROM b, range(60) t(f)),
+r AS (SELECT item_id, f, text, CASE WHEN f < 4 + item_id % 4 THEN text WHEN f < 20 + item_id % 30 THEN CASE WHEN f % 2 = 0 THEN array_to_string(w[1:len(w) - 1], ' ') ELSE upper(array_to_string(w[1:len(w) - 1], '')) END ELSE text || 'x' END AS read FROM b, range(60) t(f)),
 x AS (SELECT *, max(f) FILTER (WHERE read = text) OVER (PARTITION BY item_id) AS last, count(*) FILTER (WHERE read = text) OVER (PARTITION BY item_id) AS seen FROM r),
-s AS (SELECT *, f > last AND starts_with(text, read || ' ') AND length(replace(text, ' ', '')) - length(replace(read, ' ', '')) >= 2 AS short FROM x),
+s AS (SELECT *, f > last AND length(replace(text, ' ', '')) - length(replace(read, ' ', '')) >= 2 AND len(list_filter(range(1, len(string_split(text, ' '))), lambda k: lower(array_to_string(string_split(text, ' ')[1:k], '')) = lower(replace(read, ' ', '')))) > 0 AS short FROM x),
 y AS (SELECT *, min(f) FILTER (WHERE short) OVER (PARTITION BY item_id) AS first, count(*) FILTER (WHERE short) OVER (PARTITION BY item_id) AS held FROM s)
 SELECT item_id, CASE WHEN seen >= 5 AND held >= 15 AND f >= first THEN 1 ELSE 0 END AS piece, count(*) AS reads, min(f) AS first FROM y GROUP BY 1, 2
 """)
 def split_swaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.split("text", " ")
     rows = table(spark, sf_dir, "benchmark").select("item_id", "text", F.array_join(F.slice(words, F.lit(1), F.size(words) - 1), " ").alias("head"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(59).cast("long"))).alias("f"))
-    read = F.when(F.col("f") < 4 + F.col("item_id") % 4, F.col("text")).when(F.col("f") < 20 + F.col("item_id") % 30, F.col("head")).otherwise(F.concat("text", F.lit("x")))
+    read = F.when(F.col("f") < 4 + F.col("item_id") % 4, F.col("text")).when(F.col("f") < 20 + F.col("item_id") % 30, F.when(F.col("f") % 2 == 0, F.col("head")).otherwise(F.upper(F.replace("head", F.lit(" "), F.lit(""))))).otherwise(F.concat("text", F.lit("x")))
     found = tracks.split_swaps(rows.withColumn("read", read), "item_id", "f", "read", "text", seen=5, held=15)
     return found.groupBy("item_id", "piece").agg(F.count(F.lit(1)).alias("reads"), F.min("f").alias("first"))
 

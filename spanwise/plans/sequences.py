@@ -88,12 +88,26 @@ def eased_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys(rows, ENTITY, "idx", "value", F.lit(30.0)).withColumns({"v": F.round("v", 6), "error": F.round("error", 6)})
 
 
+def _properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = seq.indexed(observations(spark, sf_dir), ENTITY, ORDER)
+    return rows.select("user_id", "idx", F.col("value").alias("x"), F.col("k").alias("rot"), (1 + F.col("k") / 1000.0).alias("sx"), (F.col("k") / 100.0).alias("opacity"), (F.col("user_id") % 200 + 1).alias("width"))
+
+
 @query()
 def property_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.curves import property_keys as keys
 
-    rows = seq.indexed(observations(spark, sf_dir), ENTITY, ORDER).select("user_id", "idx", F.col("value").alias("x"), F.col("k").alias("rot"), F.lit(1.0).alias("sx"), (F.col("k") / 100.0).alias("opacity"))
-    return keys(rows, ENTITY, "idx", ["x", "rot", "sx", "opacity"]).withColumns({"v": F.round("v", 6), "error": F.round("error", 6)})
+    found = keys(_properties(spark, sf_dir), ENTITY, "idx", ["x", "rot", "sx", "opacity"], {"sx": "width"})
+    return found.withColumns({"v": F.round("v", 6), "error": F.round("error", 6)})
+
+
+@query()
+def fit_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import curves
+
+    rows, names = _properties(spark, sf_dir), ["x", "rot", "sx", "opacity"]
+    found = curves.fit_errors(curves.property_keys(rows, ENTITY, "idx", names, {"sx": "width"}), rows, ENTITY, "idx", names, {"sx": "width"})
+    return found.withColumn("place_error", F.round("place_error", 4))
 
 
 @query(f"""

@@ -27,7 +27,7 @@ def text_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", tx.readable("html").alias("text"))
+    return table(spark, sf_dir, "pages").select("page_id", tx.readable("html", "url").alias("text"))
 
 
 @query("""
@@ -68,6 +68,14 @@ def best_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.best_read(table(spark, sf_dir, "part"), ["p_brand", "p_size"], "p_partkey", "p_name").withColumn("score", F.round("score", 4))
 
 
+@query()
+def best_word_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents in one language that begin with the same eight letters, as reads of one word."""
+    words = table(spark, sf_dir, "documents").select("lang", "doc_id", F.posexplode(F.split("text", r"\s+")).alias("n", "read")).filter("length(read) >= 8")
+    seen = words.withColumns({"head": F.lower(F.left("read", F.lit(8))), "at": F.struct("doc_id", "n")})
+    return reads.best_read(seen, ["lang", "head"], "at", "read").withColumn("score", F.round("score", 4))
+
+
 @query("""
 WITH l AS (SELECT item_id, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS i, text FROM benchmark),
 t AS (SELECT item_id, text || ' il' AS b, array_to_string(string_split(text, ' ')[1:CAST(i AS INTEGER)], ' ') || CASE i % 3 WHEN 0 THEN 'l' WHEN 1 THEN ' |' ELSE '' END AS read FROM l),
@@ -84,12 +92,17 @@ def caret_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS body FROM documents), p AS (SELECT doc_id, body, array_to_string(list_slice(string_split(body, ' '), 1, 3), ' ') AS head FROM t)
-SELECT doc_id, starts_with(body, head || ' ') AND length(replace(body, ' ', '')) - length(replace(head, ' ', '')) >= 2 AS is_prefix FROM p
+WITH t AS (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents),
+r AS (SELECT doc_id, w, CASE doc_id % 4 WHEN 0 THEN array_to_string(w[1:3], ' ') WHEN 1 THEN upper(array_to_string(w[1:3], '  ')) WHEN 2 THEN array_to_string(w[1:3], '') ELSE left(array_to_string(w[1:3], ' '), length(array_to_string(w[1:3], ' ')) - 1) END AS read FROM t),
+c AS (SELECT doc_id, w, replace(lower(replace(read, ' ', '')), 'ß', 'ss') AS c, replace(lower(array_to_string(w, '')), 'ß', 'ss') AS f FROM r)
+SELECT doc_id, length(f) - length(c) >= 2 AND len(list_filter(range(1, least(len(w), length(c) + 1)), lambda k: replace(lower(array_to_string(w[1:k], '')), 'ß', 'ss') = c)) > 0 AS is_prefix FROM c
 """)
 def word_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.array_join(F.slice(F.split(tx.collapse(F.col("text")), " "), 1, 3), " ").alias("head"))
-    return rows.select("doc_id", tx.word_prefix(F.col("head"), F.col("text")).alias("is_prefix"))
+    """First three words of documents as they are, in capitals, run together, and cut inside of the third."""
+    words = F.split(F.trim(tx.collapse(F.col("text"))), " ")
+    first = F.array_join(F.slice(words, 1, 3), " ")
+    read = F.when(F.col("doc_id") % 4 == 0, first).when(F.col("doc_id") % 4 == 1, F.upper(F.array_join(F.slice(words, 1, 3), "  "))).when(F.col("doc_id") % 4 == 2, F.array_join(F.slice(words, 1, 3), "")).otherwise(F.left(first, F.length(first) - 1))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.word_prefix(read, F.col("text")).alias("is_prefix"))
 
 
 @query("""

@@ -63,6 +63,54 @@ def test_tracks_follow_and_start(spark):
     assert len({found[o] for o in (0, 2, 4, 6)}) == 1 and len({found[o] for o in (1, 3, 5, 7)}) == 1 and found[0] != found[1]
 
 
+def _plain_tracks(rows, reach, most, idle):
+    """Frame by frame, trying all one-to-one choices."""
+    history, label = [], {}
+    for f in sorted({r[0] for r in rows}):
+        now = sorted(r for r in rows if r[0] == f)
+        live = [t for t in range(len(history)) if f - history[t][-1][0] <= idle]
+
+        def cost(t, r):
+            last, before = history[t][-1], history[t][-2] if len(history[t]) > 1 else None
+            at = [last[i] + ((last[i] - before[i]) / (last[0] - before[0]) * (f - last[0]) if before else 0) for i in (2, 3)]
+            return np.hypot(at[0] - r[2], at[1] - r[3]) / reach + abs(np.log(r[4] / last[4]))
+
+        few, many = (live, now) if len(live) <= len(now) else (now, live)
+        best = min(([sum(cost(*((a, b) if few is live else (b, a))) for a, b in zip(few, p)), p] for p in itertools.permutations(many, len(few))), key=lambda x: x[0], default=[0, ()])
+        met = {}
+        for a, b in zip(few, best[1]):
+            t, r = (a, b) if few is live else (b, a)
+            if cost(t, r) <= most:
+                met[r[1]] = t
+        for r in now:
+            if r[1] in met:
+                history[met[r[1]]].append(r)
+                label[r[1]] = met[r[1]]
+            elif 4 * r[4] >= max(x[4] for x in now):
+                label[r[1]] = len(history)
+                history.append([r])
+            else:
+                label[r[1]] = None
+    return label
+
+
+def test_tracks_equal_trying_all_choices(spark):
+    rng = np.random.default_rng(9)
+    scenes = {}
+    for s in range(30):
+        rows, n = [], 0
+        for f in range(6):
+            for _ in range(rng.integers(0, 4)):
+                rows.append((f, n, float(rng.uniform(0, 60)), float(rng.uniform(0, 60)), float(rng.uniform(1, 9))))
+                n += 1
+        scenes[s] = rows
+    seen = spark.createDataFrame([(s, *r) for s, rows in scenes.items() for r in rows], "s long, f long, o long, x double, y double, a double")
+    got = {}
+    for r in match.tracks(seen, ["s"], "f", "o", "x", "y", "a", reach=40.0, most=1.2).collect():
+        got.setdefault(r.s, {})[r.o] = r.track
+    assert got == {s: _plain_tracks(rows, 40.0, 1.2, 2) for s, rows in scenes.items() if rows}
+
+
 def test_monotone_pairs_never_go_back(spark):
     rows = spark.createDataFrame([("s", 0, "one"), ("s", 1, "two"), ("s", 2, "one"), ("s", 3, "tree")], "s string, i long, text string")
     found = match.monotone_pairs(rows, ["one", "two", "three"], ["s"], ["i"], "text", lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)), 0.6)

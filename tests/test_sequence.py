@@ -96,6 +96,14 @@ def test_eased_keys_draw_the_curve_within_bound():
     at, value, ease, error = curves.keys_of(np.concatenate([np.full(9, 3.0), 3 + 40 * curves.ease_at(np.arange(30) / 29, curves.EASES["out_cubic"]), np.full(9, 43.0)]), 0.5)
     assert len(at) <= 9 and error <= 0.5
     assert curves.keys_of(np.array([1.0, 1.2, 0.9, 1.1]), 0.5)[1].tolist() == [1.05]
+    steps = np.concatenate([np.full(20, 5.0), np.full(20, 50.0), np.full(20, 5.0)]) + rng.normal(size=60) * 0.1
+    at, value, ease, error = curves.keys_of(steps, 1.0)
+    assert len(at) == 6 and value[0] == value[1] and value[2] == value[3] and value[4] == value[5]  # noise on a hold is no motion
+    x = np.linspace(0, 1, 101)
+    for e in curves.EASES.values():  # on the curve that the control points draw
+        s = np.linspace(0, 1, 51)
+        along = [3 * (1 - s) ** 2 * s * a + 3 * (1 - s) * s**2 * b + s**3 for a, b in ((e[0], e[2]), (e[1], e[3]))]
+        assert np.abs(curves.ease_at(along[0], e) - along[1]).max() < 1e-6 and np.all(np.isfinite(curves.ease_at(x, e)))
 
 
 def test_property_keys_leave_defaults_out_and_draw_back(spark):
@@ -108,3 +116,17 @@ def test_property_keys_leave_defaults_out_and_draw_back(spark):
     assert found == {("a", "x", 0, 0.0), ("a", "x", 19, 95.0), ("a", "opacity", 0, 0.5)}
     drawn = curves.key_errors(keys.filter("property = 'x'"), df.filter("e = 'a'"), ["e"], "i", "x").collect()
     assert len(drawn) == 20 and all(abs(r.drawn - r.x) < 1e-9 for r in drawn)
+
+
+def test_small_elements_get_wider_scales_and_misses_are_counted(spark):
+    from spanwise.operators import curves
+
+    rows = [(e, i, 1.0 + 0.04 * (i == 5), w, 3.0 * i) for e, w in (("small", 10.0), ("large", 400.0)) for i in range(9)]
+    df = spark.createDataFrame(rows, "e string, i long, sx double, w double, x double")
+    keys = curves.property_keys(df, ["e"], "i", ["sx", "x"], {"sx": "w"})
+    assert {r.e for r in keys.filter("property = 'sx'").collect()} == {"large"}  # 2 / 10 of an edge's place is more than 0.04
+    exact = {r.e: (r.place_error, r.longest_miss) for r in curves.fit_errors(keys, df, ["e"], "i", ["sx", "x"], {"sx": "w"}).collect()}
+    assert exact == {"small": (0.0, 0), "large": (0.0, 0)}
+    rough = spark.createDataFrame([("large", "x", 0, 0.0, "linear", 0.0), ("large", "x", 8, 0.0, "linear", 0.0)], "e string, property string, t long, v double, ease string, error double")
+    missed = curves.fit_errors(rough, df, ["e"], "i", ["x"]).collect()
+    assert [(r.e, r.place_error, r.longest_miss) for r in missed] == [("large", 24.0, 8)]
