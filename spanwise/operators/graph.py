@@ -10,21 +10,36 @@ from pyspark.sql import DataFrame, Observation, functions as F
 from .checkpoints import Rounds
 
 
+#: Links that a task joins to stars before the first pass.
+LINKS = 200_000
+
+
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of one batch as stars: what they connect, linked to the least node of it."""
-    for batch in batches:
-        root: dict = {}
+    """Links of a task as stars, so many at a time: what they connect, linked to the least node of it."""
+    root: dict = {}
+    held, kind = 0, None
 
-        def find(x: object, root: dict = root) -> object:
-            while root.setdefault(x, x) != x:
-                root[x] = x = root[root[x]]
-            return x
+    def find(x: object) -> object:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
 
+    def stars() -> pa.RecordBatch:
+        nodes = list(root)
+        return pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([find(x) for x in nodes], kind)], names=["high", "low"])
+
+    for batch in batches:
+        kind = batch.schema.field(0).type
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
-        nodes = list(root)
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, batch.schema.field(0).type), pa.array([find(x) for x in nodes], batch.schema.field(0).type)], names=["high", "low"])
+        held += batch.num_rows
+        if held >= LINKS:
+            yield stars()
+            root.clear()
+            held = 0
+    if root:
+        yield stars()
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -56,7 +71,10 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     rounds = Rounds(links.sparkSession)
     kind = links.schema[a].dataType
     known = links.select(F.col(a).alias("high"), F.col(b).cast(kind).alias("low")).filter("high is not null and low is not null")
-    given = rounds.keep(known.mapInArrow(_stars, known.schema).distinct(), "given")  # nodes are linked to themselves as well
+    raw = rounds.keep(known, "links")
+    tasks = max(1, raw.count() // LINKS)
+    given = rounds.keep(raw.coalesce(tasks).mapInArrow(_stars, known.schema).distinct(), "given")  # nodes are linked to themselves as well
+    rounds.drop(raw)
     now = given.filter("high <> low")
     while True:
         seen, starred = Observation(), _large_star(now).groupBy("high", "low").agg(F.max("moved").alias("moved"))
@@ -64,7 +82,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         before, now = now, rounds.keep(done.select("high", "low"), "pass")
         if not seen.get["moved"]:
             break
-        if rounds.number > 2:
+        if rounds.number > 3:
             rounds.drop(before)
     nodes = given.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("least"))
     return nodes.join(now, F.col("node") == F.col("high"), "left").select("node", F.coalesce("low", "least").alias("component"))
