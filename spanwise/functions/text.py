@@ -90,6 +90,11 @@ def window_ratio(one: str, other: str) -> float:
     return best
 
 
+@F.pandas_udf(DoubleType())
+def best_window(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([0.0 if x is None or y is None else window_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 @F.pandas_udf(DoubleType())
 def cover(read: pd.Series, candidate: pd.Series) -> pd.Series:
     """How much of a read a candidate holds: the best window match, less for a candidate shorter than the read."""
