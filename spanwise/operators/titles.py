@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import box_area, overlap
 from ..functions.text import best_window
+from .checkpoints import Rounds
 from .graph import components
 from .grid import grid_join
 from .reads import digits_agree
@@ -52,23 +53,26 @@ def _speed(n: Column, k: Column, anchor: tuple[str, str]) -> Column:
     return F.when(n > 1, median_of(F.transform(F.sequence(k, n - 1), step))).otherwise(0.0)
 
 
-def same_title(pieces: DataFrame, boxes: DataFrame, scene: list[str], fps: float, steps: bool = True, lines: DataFrame | None = None) -> DataFrame:
-    """(scene, p, q, texts): pairs p < q of described pieces of one title, and how many of the two have a text (1 or 2).
-
-    Candidates come from a grid over height, turn and brightness at once.  Then two pieces are
-    one title side by side (concurrent, near, moving together: over ``STEP_S`` by any edge, or
-    by frame and centre where ``steps`` is False) or in succession (the later one starts in the
-    earlier one's last box and repeats part of its text).  A piece without text must be a glyph
-    beside a text.  With lines (scene, line), both texts must be read in one of them.
-    """
+def candidates(pieces: DataFrame, scene: list[str]) -> DataFrame:
+    """Pairs p < q of described pieces that height, turn, colour and cuts allow to be one title, from a grid over several of these at once."""
     left, right = (pieces.select(*scene, *[F.col(c).alias(f"{side}_{c}") for c in pieces.columns if c not in scene]) for side in "pq")
     near = grid_join(left, right, scene, [("p_logh", "q_logh", math.log(LINE_RATIO) + 1e-9), ("p_rot", "q_rot", TURN), ("p_l", "q_l", COLOUR)]).filter("p_id < q_id")
     colour = F.sqrt(sum(((F.col(f"p_{c}") - F.col(f"q_{c}")) ** 2 for c in "lab"), F.lit(0.0)))
     tall, low = F.greatest("p_h", "q_h"), F.least("p_h", "q_h")
     texts = (F.coalesce(F.col("p_text"), F.lit("")) != "").cast("int") + (F.coalesce(F.col("q_text"), F.lit("")) != "").cast("int")
     cut = F.coalesce(F.col("p_cut") == F.col("q_cut"), F.lit(False))
-    near = near.filter((tall <= LINE_RATIO * low) & (colour <= COLOUR) & ~cut & (texts > 0)).withColumns({"_h": tall, "texts": texts})
+    return near.filter((tall <= LINE_RATIO * low) & (colour <= COLOUR) & ~cut & (texts > 0)).withColumns({"_h": tall, "texts": texts})
+
 
+def same_title(near: DataFrame, boxes: DataFrame, scene: list[str], fps: float, steps: bool = True, lines: DataFrame | None = None) -> DataFrame:
+    """(scene, p, q, texts): the candidate pairs that are of one title, and how many of the two have a text (1 or 2).
+
+    Two pieces are one title side by side (concurrent, near, moving together: over ``STEP_S`` by
+    any edge, or by frame and centre where ``steps`` is False) or in succession (the later one
+    starts in the earlier one's last box and repeats part of its text).  A piece without text
+    must be a glyph beside a text.  With lines (scene, line), both texts must be read in one of
+    them, in scenes that have any.
+    """
     # what both show in common frames, in order
     frames = [boxes.select(*scene, "frame", F.col("id").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in BOX]) for side in "pq"]
     common = near.select(*scene, "p_id", "q_id").join(frames[0], [*scene, "p_id"]).join(frames[1], [*scene, "q_id", "frame"])
@@ -126,11 +130,13 @@ def merge_plan(fragments: DataFrame, boxes: DataFrame, scene: list[str], fps: fl
     Pieces that the stricter test (frame by frame, by centres) joins too are merged; a title of
     several such parts is bound around them.  A group or part without a text is left alone.
     """
-    pieces = described(fragments, boxes, scene)
-    wide = grouped(pieces, same_title(pieces, boxes, scene, fps, True, lines), scene)
-    narrow = same_title(pieces, boxes, scene, fps, False, lines)
-    ends = [wide.select(F.col("id").alias(c), F.col("group").alias(f"_{c}")) for c in "pq"]
-    inside = narrow.join(ends[0], "p").join(ends[1], "q").filter("_p = _q").select(*scene, "p", "q", "texts")
+    rounds = Rounds(fragments.sparkSession)
+    boxes = rounds.keep(boxes.select(*scene, "id", "frame", *BOX), "boxes")
+    pieces = rounds.keep(described(fragments, boxes, scene), "pieces")
+    near = rounds.keep(candidates(pieces, scene), "near")
+    wide = rounds.keep(grouped(pieces, same_title(near, boxes, scene, fps, True, lines), scene), "wide")
+    ends = [wide.select(F.col("id").alias(f"{c}_id"), F.col("group").alias(f"_{c}")) for c in "pq"]
+    inside = same_title(near.join(ends[0], "p_id").join(ends[1], "q_id").filter("_p = _q").drop("_p", "_q"), boxes, scene, fps, False, lines)
     parts = grouped(pieces, inside, scene).select("id", F.col("group").alias("part"))
     named = wide.join(parts, "id").join(pieces.select("id", (F.coalesce(F.col("text"), F.lit("")) != "").cast("int").alias("_text")), "id")
     of_group = named.groupBy("group").agg(F.count(F.lit(1)).alias("_n"), F.max("_text").alias("_texts"), F.count_distinct("part").alias("_parts"))

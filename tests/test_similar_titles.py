@@ -147,7 +147,7 @@ def test_titles_equal_the_plain_test(spark, steps):
     rows = spark.createDataFrame([("s", i, t, h, r, *lab, c) for i, (t, h, r, lab, c) in pieces], "scene string, id long, text string, h double, rot double, l double, a double, b double, cut long")
     seen = spark.createDataFrame([("s", i, f, *map(float, q)) for i, x in boxes.items() for f, q in x.items()], "scene string, id long, frame long, x0 double, y0 double, x1 double, y1 double")
     described = titles.described(rows, seen, ["scene"])
-    links = titles.same_title(described, seen, ["scene"], 10.0, steps)
+    links = titles.same_title(titles.candidates(described, ["scene"]), seen, ["scene"], 10.0, steps)
     got = sorted((r.p, r.q) for r in links.collect())
     want = sorted((a[0], b[0]) for n, a in enumerate(pieces) for b in pieces[n + 1 :] if _same(a, b, boxes, 10.0, steps))
     assert got == want and len(want) > 20
