@@ -13,8 +13,8 @@ evidence, near copies of nothing, without passages, of size 0 and so in no mix.
 count as smaller than all others and as one document.  Repeated rows: scored alike, all but
 the rows of the smallest doc_id go as near copies (rows that repeat under that very doc_id
 stay), mixed alike.  Very long texts are worked on whole.  An empty table gives an empty one.
-Stages are kept as Parquet under the shared checkpoint folder, in a folder of their own for
-each run.
+Stages are written as Parquet under the shared checkpoint folder, in a folder of their own
+for each run; a stage's table goes once the next stage has written its own.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spanwise.llm import mixing, near_dedup, packing, suffix_dedup, toxicity
 from spanwise.llm.common import ensure_checkpoint_dir, read_table
+from spanwise.operators.checkpoints import remove
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,8 +74,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4().hex}"
-    docs = read_table(spark, sf_dir, "documents")
+    docs, earlier = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if earlier:  # what the next stage has taken over is no longer needed
+            remove(spark, f"{folder}/{earlier}")
+        earlier = name
     return docs

@@ -378,7 +378,8 @@ def main_text(page: str | None) -> str:
 
 
 def extract(pages: DataFrame, html_column: str = "html", columns: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """The given columns, text and n_chars of each page."""
+    """The given columns, text and n_chars of each page (columns of these two names are replaced)."""
+    columns = tuple(c for c in columns if c not in ("text", "n_chars"))
 
     @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,7 +389,7 @@ def extract(pages: DataFrame, html_column: str = "html", columns: tuple[str, ...
                 texts = [main_text(x) for x in part.columns[-1].to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in part.columns[:-1]), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names[:-1], "text", "n_chars"])
 
-    page = "_html" + "_" * max((len(c) for c in columns), default=0)  # a name that no column has
+    page = "_html" + "_" * max((len(c) for c in pages.columns), default=0)  # a name that no column has
     rows = pages.select(*columns, F.col(html_column).cast("string").alias(page))
     return rows.mapInArrow(run, rows.select(*columns).schema.add("text", "string").add("n_chars", "long"))
 

@@ -189,21 +189,26 @@ def judge(docs: DataFrame, references: DataFrame | None = None, columns: list[st
                 reference = part["counts"].combine_chunks().flatten().to_numpy().reshape(part.num_rows, -1).astype(np.float64)
                 char_distance = jensen_shannon(chars, reference[:, : len(CLASSES)])
                 word_distance = jensen_shannon(words, reference[:, len(CLASSES) :])
+                known = part["known"].combine_chunks().to_numpy(zero_copy_only=False)
                 failed = (base["n_words"] < BASE_WORDS) | (100 * base["n_repeat_words"] > BASE_REPEATED * base["n_words"])
                 far = ((chars.sum(axis=1) >= LEAST_CHARS) & (char_distance > MOST_CHAR_DISTANCE)) | ((base["n_words"] >= LEAST_WORDS) & (word_distance > MOST_WORD_DISTANCE))
+                far &= known
                 yield pa.RecordBatch.from_arrays(
-                    [part["row"].combine_chunks(), *(pa.array(base[k].astype(np.int64)) for k in BASE), pa.array(failed), pa.array(~failed & ~far), pa.array(char_distance), pa.array(word_distance)],
+                    [part["row"].combine_chunks(), *(pa.array(base[k].astype(np.int64)) for k in BASE), pa.array(failed), pa.array(~failed & ~far), pa.array(char_distance, mask=~known), pa.array(word_distance, mask=~known)],
                     names=["row", *BASE, *JUDGED],
                 )
 
     # the given columns travel as one, so that their names can't clash with those used here
-    rows = docs.select(F.struct(*columns).alias("row"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text").join(references, "lang")
+    rows = docs.select(F.struct(*columns).alias("row"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text").join(references, "lang", "left")
+    # a language that given references lack: no distances, judged by the base rule alone
+    width = len(CLASSES) + len(set(COMMON_WORDS)) + 1
+    rows = rows.withColumns({"known": F.col("counts").isNotNull(), "counts": F.coalesce("counts", F.array_repeat(F.lit(0).cast("long"), width))})
     schema = rows.select("row").schema
     for name in BASE:
         schema = schema.add(name, "long")
     for name, kind in zip(JUDGED, ("boolean", "boolean", "double", "double"), strict=True):
         schema = schema.add(name, kind)
-    return rows.select("row", "text", "counts").mapInArrow(run, schema).select("row.*", *BASE, *JUDGED)
+    return rows.select("row", "text", "counts", "known").mapInArrow(run, schema).select("row.*", *BASE, *JUDGED)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

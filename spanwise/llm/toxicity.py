@@ -10,14 +10,15 @@ language is guessed from a text's own function words; a score is shifted so that
 language's threshold is 0.5.  Labels, lang, source and doc_id are never inputs of a score.
 
 Training takes at most ``sample`` labelled texts of each class, chosen by a hash of
-doc_id, none longer than ``longest`` characters.  Scoring sees every whole text; since
+doc_id, none longer than ``longest`` characters and ``characters`` in all; of rows that
+share an id one text (the least) is learned from.  Scoring sees every whole text; since
 the filters are linear, it adds up rows of one precomputed table per bucket.
 
 Nulls: a null or empty text gets the score of no evidence; null labels are not learned
 from.  Repeated rows are scored alike, and a score of 0.5 is a 1; of thresholds that do
 equally well the middle of the widest gap between texts is taken.  Without labels of both
 classes all scores are 0.  Very long texts are scored whole.  Extra columns stay if asked
-for, whatever their names; an empty table gives none.
+for, but those named like the results, which replace them; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .common import eight_bytes, hash_ranges, mix, read_table, released, text_buffer, text_slices
 
@@ -35,8 +36,8 @@ BUCKETS, DIM, FILTERS, WIDTHS = 1 << 16, 12, 8, (1, 2, 3)
 #: Bytes of the word beginnings that are features of longer words.
 BEGINNINGS = (4, 5, 6, 7)
 FEATURES = 1 + len(BEGINNINGS)
-#: Bounds of the training sample: texts of each class, characters of a text.
-SAMPLE, LONGEST = 3000, 200_000
+#: Bounds of the training sample: texts of each class, characters of a text and of all.
+SAMPLE, LONGEST, CHARACTERS = 3000, 200_000, 150_000_000
 #: How many clean texts there are to a toxic one: what a false alarm costs, against a miss.
 COMMON_CLEAN = 4
 #: Bytes of text scored at a time: their filter outputs take some two hundred times as many.
@@ -293,20 +294,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int = LONGEST, characters: int = CHARACTERS) -> Model:
     """Train on a bounded sample of the labelled documents that are not held out."""
     usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64(F.lit(7), F.col("doc_id"))
     chosen = [usable.filter(F.col("toxic") == y).orderBy(order, "doc_id").limit(sample) for y in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most two samples of ids
-    rows = docs.filter(F.length("text") <= longest).join(chosen, "doc_id").select("doc_id", "text", "toxic").toArrow()
+    # one text of each id, however many rows share it, and no more characters than a driver can take
+    one = docs.filter(F.length("text") <= longest).join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
+    upto = F.sum(F.length("text").cast("long")).over(Window.orderBy(order, "doc_id"))  # of at most two samples
+    rows = one.withColumn("_upto", upto).filter(F.col("_upto") <= characters).select("doc_id", "text", "toxic").toArrow()
     rows = rows.sort_by("doc_id") if rows.num_rows else rows
     return train(rows["text"], rows["toxic"].to_numpy().astype(np.int64))
 
 
 def score_documents(docs: DataFrame, model: Model, columns: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """The given columns of docs (doc_id by default), score and predicted (or what names calls them)."""
-    columns = columns or ["doc_id"]
+    columns = [c for c in columns or ["doc_id"] if c not in names]  # what is scored here replaces columns of that name
     text = "text" if "text" in columns else "_text" + "_" * max(len(c) for c in columns)
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))  # plain arrays of fixed size
 

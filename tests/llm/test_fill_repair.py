@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from spanwise.llm import fill_middle, repair
+from spanwise.llm import fill_middle, html_text, quality, repair, toxicity
 
 
 def _pieces(output, form):
@@ -134,3 +134,31 @@ def test_repair_of_a_long_conversation(spark):
     assert row.cost == cost and row.audit == "".join(codes) + "I" * more
     letters = "".join(r.role[0] for r in repaired.orderBy("position").select("role").collect())
     assert re.fullmatch("(ua)+", letters)
+
+
+def test_columns_of_the_results_names_are_replaced(spark):
+    pages = spark.createDataFrame([(1, "<p>Some words in a paragraph of the page, enough of them.</p>", "old", 5, "x")], "page_id long, html string, text string, n_chars long, _html string")
+    row = html_text.extract(pages, columns=("page_id", "text", "n_chars", "_html")).first()
+    assert (row.page_id, row._html) == (1, "x") and row.text != "old" and row.n_chars == len(row.text)
+    docs = spark.createDataFrame([(i, "bad words" if i % 2 else "good words", 9.0, "p") for i in range(40)], "doc_id long, text string, score double, predicted string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    rows = toxicity.score_documents(docs, model, docs.columns).collect()
+    assert len(rows) == 40 and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in rows)
+
+
+def test_fit_takes_one_row_of_each_id_and_bounds_characters(spark):
+    docs = spark.createDataFrame([(i, ("awful " if i % 2 else "lovely ") * 30) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    repeated = docs.unionByName(docs.filter("doc_id = 1").crossJoin(spark.range(500)).select("doc_id", "text"))
+    one, many = (toxicity.score_documents(docs, toxicity.fit(d, labels)).orderBy("doc_id").collect() for d in (docs, repeated))
+    assert one == many
+    assert not toxicity.fit(docs, labels, characters=10).trained
+
+
+def test_languages_without_a_reference_are_judged_by_the_base_rule(spark):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat and saw the other cat there", "en"), (2, "yksi kaksi kolme nelja viisi kuusi seitseman kahdeksan yhdeksan kymmenen", "fi"), (3, "one two", "fi")], "doc_id long, text string, lang string")
+    references = quality.language_references(docs).filter("lang = 'en'")
+    rows = {r.doc_id: r for r in quality.judge(docs, references).collect()}
+    assert set(rows) == {1, 2, 3} and rows[2].kept and rows[2].char_distance is None and rows[2].word_distance is None
+    assert not rows[3].kept and rows[1].char_distance is not None
