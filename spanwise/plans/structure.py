@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import choose, cluster, grid, similar, titles
+from ..operators import choose, cluster, grid, similar, stages, titles
 from ..sources.tables import observations, table
 from .joins import HALVES, _halves
 from .registry import query
@@ -104,3 +104,27 @@ def title_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = lines.select((F.col("doc_id") * 1_000_000 + F.col("n")).alias("line_id"), F.col("line").alias("text"), F.col("n_chars").alias("span"))
     found = similar.title_integrity(shown, table(spark, sf_dir, "benchmark"), "line_id", "item_id", "text", "span")
     return found.withColumn("fragment_ids", F.array_join(F.transform("fragment_ids", lambda x: x.cast("string")), ","))
+
+
+def _counted(rows: DataFrame, least: float) -> DataFrame:
+    return rows.filter(F.col("value") >= least).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("most"))
+
+
+def _lifted(rows: DataFrame, by: float) -> DataFrame:
+    return rows.withColumn("most", F.round(F.col("most") * by, 4))
+
+
+@query("""
+WITH k AS (SELECT user_id, count(*) AS n, round(max(value) * 1.5, 4) AS most FROM events WHERE value >= 20 GROUP BY 1),
+f AS (SELECT user_id, arg_max(CAST(props->>'$.k' AS BIGINT), (ts, event_id)) AS n FROM events WHERE event_type = 'signup' GROUP BY 1)
+SELECT k.user_id, CASE WHEN f.user_id IS NULL THEN k.n ELSE f.n END AS n, k.most FROM k LEFT JOIN f ON f.user_id = k.user_id
+""")
+def rerun_with_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two kept stages, the second run again with another parameter, then each user's last sign-up as a correction of the count."""
+    rows, store = observations(spark, sf_dir), stages.Store(spark)
+    work = lambda by: [("counted", _counted, {"least": 20.0}), ("lifted", _lifted, {"by": by})]
+    key = stages.content_key(rows)
+    stages.run(store, rows, work(1.0), key)
+    found, _ = stages.run(store, rows, work(1.5), key)
+    fixes = rows.filter("event_type = 'signup'").select("user_id", F.lit("n").alias("column"), F.col("k").cast("string").alias("value"), "ts", "event_id")
+    return stages.corrected(found, fixes, ["user_id"], ["n"], ["ts", "event_id"])
