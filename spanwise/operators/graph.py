@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, functions as F
+from pyspark.sql.types import StructType
 
 from .checkpoints import Rounds
 
@@ -73,7 +74,12 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     known = links.select(F.col(a).alias("high"), F.col(b).cast(kind).alias("low")).filter("high is not null and low is not null")
     raw = rounds.keep(known, "links")
     tasks = max(1, raw.count() // LINKS)
-    given = rounds.keep(raw.coalesce(tasks).mapInArrow(_stars, known.schema).distinct(), "given")  # nodes are linked to themselves as well
+    if isinstance(kind, StructType):  # keys of several columns have no order in Python: as they are
+        ends = F.explode(F.array(F.struct(F.greatest("high", "low").alias("high"), F.least("high", "low").alias("low")), F.struct("high", F.col("high").alias("low")), F.struct(F.col("low").alias("high"), "low")))
+        stars = raw.select(ends.alias("e")).select("e.high", "e.low")
+    else:
+        stars = raw.coalesce(tasks).mapInArrow(_stars, known.schema)
+    given = rounds.keep(stars.distinct(), "given")  # nodes are linked to themselves as well
     rounds.drop(raw)
     now = given.filter("high <> low")
     while True:
