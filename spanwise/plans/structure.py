@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators import choose, cluster, grid, similar, stages, titles
+from ..operators import choose, cluster, grid, similar, stages, titles, train, vectors
 from ..sources.tables import observations, table
 from .joins import HALVES, _halves
 from .registry import query
@@ -128,3 +128,12 @@ def rerun_with_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = stages.run(store, rows, work(1.5), key)
     fixes = rows.filter("event_type = 'signup'").select("user_id", F.lit("n").alias("column"), F.col("k").cast("string").alias("value"), "ts", "event_id")
     return stages.corrected(found, fixes, ["user_id"], ["n"], ["ts", "event_id"])
+
+
+@query()
+def trained_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A network that learns which vectors have an even label, and what it says of each."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", (F.col("label") % 2 == 0).cast("int").alias("even"))
+    mean, deviation, layers, _ = train.fit_network(rows, "vec_id", "embedding", "even", hidden=(8,), epochs=15, rate=0.02)
+    score = vectors.network_score(vectors.as_doubles(F.col("embedding")), mean, deviation, layers)
+    return rows.select("vec_id", "even", F.round(score, 4).alias("p"))
