@@ -94,8 +94,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     return nodes.join(now, F.col("node") == F.col("high"), "left").select("node", F.coalesce("low", "least").alias("component"))
 
 
-def _chains(edges: DataFrame, failed: DataFrame, rounds: Rounds) -> DataFrame:
-    """Edges (child, parent, hops), each child with one parent led on to the end of its chain by doubling.
+def _chains(edges: DataFrame, failed: DataFrame, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
+    """Edges (child, parent, hops) of children with one parent, led on to the end of their chains by doubling, and all other edges.
 
     A chain ends at a failed key or at a key with no or several parents.
     """
@@ -114,7 +114,7 @@ def _chains(edges: DataFrame, failed: DataFrame, rounds: Rounds) -> DataFrame:
             rounds.drop(before)
         open_ = left
     branched = edges.join(kept.select("child"), "child", "left_anti").withColumn("hops", F.lit(1).cast("long"))
-    return now.unionByName(branched)
+    return now, branched
 
 
 def cascade(edges: DataFrame, child: str, parent: str, failed: DataFrame, key: str) -> DataFrame:
@@ -128,13 +128,15 @@ def cascade(edges: DataFrame, child: str, parent: str, failed: DataFrame, key: s
     ends = edges.select(F.col(child).alias("child"), F.col(parent).alias("parent")).filter("child is not null and parent is not null and child <> parent")
     ends = rounds.keep(ends.distinct(), "edges")
     found = rounds.keep(failed.select(F.col(key).alias("key"), F.lit(0).cast("long").alias("depth")).distinct(), "found")
-    onward = rounds.keep(_chains(ends, found.select("key"), rounds), "onward")
+    chains, branched = _chains(ends, found.select("key"), rounds)
+    branched = rounds.keep(branched, "branched")
+    onward, forked = chains.unionByName(branched), not branched.isEmpty()
     while True:
         seen = Observation()
         reached = onward.join(found.withColumnRenamed("key", "parent"), "parent").groupBy(F.col("child").alias("key")).agg(F.min(F.col("depth") + F.col("hops")).alias("by"))
         better = (F.col("depth").isNull() | (F.col("by") < F.col("depth"))).cast("int")
         step = found.join(reached, "key", "full").select("key", F.least("depth", "by").alias("depth"), F.coalesce(better, F.lit(0)).alias("better")).observe(seen, F.sum("better").alias("better"))
         before, found = found, rounds.keep(step.select("key", "depth"), "found")
-        if not seen.get["better"]:
+        if not forked or not seen.get["better"]:  # without forks every chain ends at a failed key or nowhere
             return found.select("key", F.col("depth").cast("int").alias("depth"))
         rounds.drop(before)
