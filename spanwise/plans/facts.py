@@ -44,15 +44,14 @@ def carry_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT p_partkey, rank FROM (
-  SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_name LIKE '%ring%' THEN 1 ELSE 0 END DESC, p_retailprice * (p_size + 10 - p_size + 1) DESC, p_size, p_partkey) AS rank FROM part)
+SELECT p_brand, p_partkey, rank FROM (
+  SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_name LIKE '%ring%' THEN 1 ELSE 0 END DESC, p_retailprice * (p_size % 7 + 1) DESC, p_size, p_partkey) AS rank FROM part)
 WHERE rank <= 24
 """)
 def salient_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").withColumns({"first": F.col("p_size"), "last": F.col("p_size") + 10})
-    # the limit comes first, so that only 24 rows are numbered in one place
-    top = parts.orderBy(F.desc(F.col("p_name").contains("ring").cast("int")), F.desc(F.col("p_retailprice") * 11), "p_size", "p_partkey").limit(24)
-    return facts.most_salient(top, [], F.col("p_name").contains("ring"), F.col("p_retailprice"), "first", "last", "p_partkey", 24).select("p_partkey", "rank")
+    """The 24 most salient parts of each brand."""
+    parts = table(spark, sf_dir, "part").withColumns({"first": F.col("p_size"), "last": F.col("p_size") + F.col("p_size") % 7})
+    return facts.most_salient(parts, ["p_brand"], F.col("p_name").contains("ring"), F.col("p_retailprice"), "first", "last", "p_partkey", 24).select("p_brand", "p_partkey", "rank")
 
 
 @query(f"""

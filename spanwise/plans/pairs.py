@@ -210,7 +210,7 @@ def scene_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 FACTS = """
 m AS (SELECT o_custkey AS scene, 'm' || l_orderkey || '_' || l_linenumber AS id, 'e' || l_partkey % 5 AS element, CASE WHEN l_linenumber % 2 = 0 THEN 'rotation' ELSE 'translation' END AS type,
         CAST(l_quantity AS INTEGER) AS start, CAST(l_quantity AS INTEGER) + 1 + l_partkey % 4 AS z, CASE WHEN l_linenumber % 2 = 1 THEN 0.6 END AS dx, CASE WHEN l_linenumber % 2 = 1 THEN -0.8 END AS dy, l_suppkey % 20 + 0.5 AS mag
-      FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_linenumber <= 3),
+      FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 u AS (SELECT scene, id, min(element) AS element, min(type) AS type, min(start) AS start, max(z) AS z, min(dx) AS dx, min(dy) AS dy, min(mag) AS mag FROM m GROUP BY scene, id),
 k AS (SELECT * FROM u WHERE element <> 'e4'), b AS (SELECT DISTINCT scene, element AS id, substr(element, 2)::INTEGER * 8 AS x FROM k)"""
 
@@ -235,8 +235,8 @@ def extracted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _line_motions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A motion for each of an order's first lines, in its customer's scene."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 3").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    """A motion for each of an order's lines, in its customer's scene."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
     odd = F.col("l_linenumber") % 2 == 1
     rows = lines.select(
         F.col("o_custkey").alias("scene"), F.concat(F.lit("m"), "l_orderkey", F.lit("_"), "l_linenumber").alias("id"), F.concat(F.lit("e"), F.col("l_partkey") % 5).alias("element"), F.when(odd, "translation").otherwise("rotation").alias("type"),
