@@ -8,7 +8,7 @@ Neighbouring strings with one anchor make one row, about one row for sixteen byt
 1. a text that a smaller document has as a whole (128 bits of its digest) repeats from end
    to end and goes no further; the rows of all others are dealt by the hash of their anchor.  A gram that only
    one document has needs nothing more.  Rows of one gram whose whole stretch of bytes is
-   equal (64 bits of digest besides the gram's own 64) are one string of the suffix array,
+   equal (56 bits of digest besides the gram's own 64) are one string of the suffix array,
    owned by its smallest document; all others repeat it;
 2. where several stretches share a gram, and go on alike for half a string's rest on one
    side of it, their suffixes are sorted by linear grouping (``suffix_groups``), the
@@ -45,7 +45,8 @@ GRAM, PORTION = 20, 1_500_000
 #: Most stretches of one gram whose suffixes are sorted, in one task.
 HOT = 4096
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_ROWS = ["name", "digest", "doc", "span"]
+#: The digest's empty low byte follows the empty high bytes of most doc ids, where the shuffle's compression sees them as one run.
+_ROWS = ["name", "doc", "digest", "span"]
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -94,7 +95,7 @@ def _rows_of(width: int):
                 data, offsets = text_buffer(part["text"])
                 name, begin, last, text = stretches(data, offsets, width)
                 doc = part["doc"].to_numpy()[text]
-                digest = signed(hash_ranges(data, begin, last + width, 3))
+                digest = signed(hash_ranges(data, begin, last + width, 3) & np.uint64(~0xFF & 0xFFFFFFFFFFFFFFFF))
                 local, more = begin - offsets[text], last - begin
                 order = np.lexsort((doc, digest, name))
                 name, digest, doc, local, more = name[order], digest[order], doc[order], local[order], more[order]
@@ -104,7 +105,7 @@ def _rows_of(width: int):
                 again = doc > owner  # a repeat within this slice
                 own = mix(doc.astype(np.uint64) * _A + local.astype(np.uint64)) >> np.uint64(32)  # short, as nothing is compared under it
                 digest[again] = 0  # known to repeat: nothing is compared with it
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.where(again, own, name))), pa.array(digest), pa.array(doc), pa.array(pack_span(local, more, again.astype(np.int64)))], names=_ROWS)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.where(again, own, name))), pa.array(doc), pa.array(digest), pa.array(pack_span(local, more, again.astype(np.int64)))], names=_ROWS)
 
     return run
 
@@ -345,7 +346,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, whole_characters: bool = Fa
     copies = exact_copies(keyed, width).hint("shuffle_hash")
     copy = F.coalesce(F.array_contains("copied", F.col("whole")), F.lit(False))
     own = dealt.join(copies, "doc", "left").filter(~copy).drop("copied")
-    rows = own.mapInArrow(_rows_of(width), "name long, digest long, doc long, span long")
+    rows = own.mapInArrow(_rows_of(width), "name long, doc long, digest long, span long")
     spans = repeats_by_gram(rows).hint("shuffle_hash")
     to_sort = dealt.join(spans.filter(_flagged(1)), "doc")
     pieces = to_sort.mapInArrow(_bytes_of(width), "name long, doc long, start long, gram_at int, bytes binary")
