@@ -3,27 +3,56 @@
 from __future__ import annotations
 
 import difflib
+import math
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import BooleanType, DoubleType
 
 from ..functions.text import folded
+from .checkpoints import Rounds
 
 #: Two texts of at least this ratio are one; a shorter text of at least this share in a row is a piece.
 SAME, PIECE = 0.9, 0.9
-#: Letters of a run; shorter texts meet by single letters.
-RUN, SHORT = 3, 8
+#: Letters of a run.
+RUN = 3
 MIDDLE = 8
 
 
+@lru_cache(maxsize=1024)
+def _places(text: str) -> dict[str, int]:
+    """Where each letter stands in a text, as bits."""
+    found: dict[str, int] = {}
+    for i, c in enumerate(text):
+        found[c] = found.get(c, 0) | 1 << i
+    return found
+
+
+def _in_order(x: str, y: str, least: int) -> bool:
+    """Whether two texts have ``least`` letters in common in one order: as many as matching blocks hold, or more.
+
+    The lengths of common subsequences by bits, a letter of x at a time (Hyyrö, "Bit-parallel
+    LCS-length computation revisited", 2004); it ends once too many letters are left out.
+    """
+    places, every = _places(y), (1 << len(y)) - 1
+    row, spare = every, len(x) - least
+    for i, c in enumerate(x, 1):
+        here = row & places.get(c, 0)
+        row = ((row + here) | (row - here)) & every
+        if not i % 16 and i - (len(y) - row.bit_count()) > spare:
+            return False
+    return len(y) - row.bit_count() >= least
+
+
 @F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of matching characters, or 0 where that is surely below the bound."""
 
     def one(x: str, y: str) -> float:
-        matcher = difflib.SequenceMatcher(None, x, y, autojunk=False)
-        return matcher.ratio() if matcher.real_quick_ratio() >= SAME and matcher.quick_ratio() >= SAME else 0.0
+        if not _in_order(x, y, math.ceil((len(x) + len(y)) * (SAME / 2) - 1e-9)):
+            return 0.0
+        return difflib.SequenceMatcher(None, x, y, autojunk=False).ratio()
 
     return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
@@ -39,44 +68,35 @@ def _holds(piece: pd.Series, whole: pd.Series) -> pd.Series:
     return pd.Series([one(p, w) for p, w in zip(piece, whole, strict=True)], dtype="bool")
 
 
-def _runs(rows: DataFrame, ident: str, text: str, size: int) -> DataFrame:
-    """A text's runs of so many letters, each with its number among equal ones of the text, and how many a partner must share.
-
-    Of two texts with ratio r or more, the shorter has at least r / (2 - r) of the longer's
-    length, so at most a share 1 - r / (2 - r) of a text's letters go unmatched, and each
-    of these spoils at most ``size`` runs.
-    """
+def _grams(text: Column) -> Column:
+    """The distinct runs of a text, as hashes; none of a text shorter than a run."""
     n = F.length(text)
-    spoilt = F.floor(n * (1 - SAME / (2 - SAME)) + 1e-9) * size
-    runs = rows.select(ident, n.alias("_len"), (n - size + 1 - spoilt).alias("_least"), F.explode(F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(F.col(text), i, F.lit(size)))).alias("_run"))
-    counted = runs.groupBy(ident, "_len", "_least", "_run").agg(F.count(F.lit(1)).alias("_n"))
-    return counted.select(ident, "_len", "_least", F.lit(size).alias("_size"), "_run", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_nth"))
+    return F.when(n >= RUN, F.array_distinct(F.transform(F.sequence(F.lit(1), n - RUN + 1), lambda i: F.xxhash64(F.substring(text, i, F.lit(RUN)))))).otherwise(F.array().cast("array<long>"))
 
 
 def similar(left: DataFrame, right: DataFrame, left_id: str, right_id: str, text: str) -> DataFrame:
     """(left_id, right_id, ratio) of all pairs of texts with a ratio of at least ``SAME``.
 
-    Each text is dealt by its rarest runs, as many as it takes that any partner shares one of
-    them; pairs that meet are checked for length, then matched.
+    Different texts meet by their lengths, which differ by a bounded share.  With m letters
+    matched, a text of n letters keeps all runs but ``RUN`` for each of its other letters and
+    ``RUN`` - 1 for each other letter of its partner; pairs that share fewer runs are left out
+    before any ratio is worked out.
     """
-    sides = []
-    for rows, ident in ((left, left_id), (right, right_id)):
-        known = rows.select(F.col(ident).alias("_id"), F.col(text).alias("_text")).filter("_text <> ''")
-        long, short = known.filter(F.length("_text") >= SHORT), known.filter(F.length("_text") < SHORT * (2 - SAME) / SAME + 1)
-        sides.append((known, _runs(long, "_id", "_text", RUN).unionByName(_runs(short, "_id", "_text", 1))))
-    key = ["_size", "_run", "_nth"]
-    common = sides[0][1].unionByName(sides[1][1]).groupBy(*key).agg(F.count(F.lit(1)).alias("_held"))
-    dealt = []
-    for _, runs in sides:
-        by_text = Window.partitionBy("_id", "_size")
-        rank = F.row_number().over(by_text.orderBy("_held", "_run", "_nth"))
-        enough = F.count(F.lit(1)).over(by_text) - F.greatest(F.col("_least"), F.lit(1)) + 1
-        dealt.append(runs.join(common, key).withColumns({"_rank": rank, "_deal": enough}).filter("_rank <= _deal").select("_id", "_len", *key))
-    a, b = dealt[0].withColumnsRenamed({"_id": "_a", "_len": "_la"}), dealt[1].withColumnsRenamed({"_id": "_b", "_len": "_lb"})
-    fits = 2 * F.least("_la", "_lb") >= SAME * (F.col("_la") + F.col("_lb"))
-    pairs = a.join(b, key).filter(fits).select("_a", "_b").distinct()
-    met = pairs.join(sides[0][0].withColumnsRenamed({"_id": "_a", "_text": "_ta"}), "_a").join(sides[1][0].withColumnsRenamed({"_id": "_b", "_text": "_tb"}), "_b")
-    return met.select(F.col("_a").alias(left_id), F.col("_b").alias(right_id), _ratio("_ta", "_tb").alias("ratio")).filter(F.col("ratio") >= SAME)
+    most = SAME / (2 - SAME)
+    left_ids, right_ids = (rows.select(F.col(ident).alias(ident), F.col(text).alias(name)).filter(F.col(name) != "") for rows, ident, name in ((left, left_id, "_ta"), (right, right_id, "_tb")))
+    given = right_ids.select("_tb").distinct().withColumn("_lb", F.length("_tb"))
+    fits = F.sequence(F.ceil(F.col("_lb") * most - 1e-9).cast("int"), F.floor(F.col("_lb") / most + 1e-9).cast("int"))
+    lengths = given.select(F.explode(fits).alias("_la")).distinct()
+    asked = left_ids.select("_ta").distinct().withColumn("_la", F.length("_ta")).join(lengths, "_la", "left_semi")
+    place = [F.floor(F.log(F.col(c).cast("double")) / (math.log(1 / most) + 1e-9)) for c in ("_la", "_lb")]
+    a = asked.select("_ta", "_la", place[0].alias("_cell"), _grams(F.col("_ta")).alias("_ga"))
+    b = given.select("_tb", "_lb", F.explode(F.array(*[place[1] + i for i in (-1, 0, 1)])).alias("_cell"), _grams(F.col("_tb")).alias("_gb"))
+    both = F.col("_la") + F.col("_lb")
+    matched = F.ceil(both * (SAME / 2) - 1e-9)
+    least = F.greatest(*[F.size(g) - RUN * (F.col(n) - matched) - (RUN - 1) * (F.col(o) - matched) for g, n, o in (("_ga", "_la", "_lb"), ("_gb", "_lb", "_la"))])
+    near = a.join(b, "_cell").filter(2 * F.least("_la", "_lb") >= SAME * both - 1e-9).filter(F.size(F.array_intersect("_ga", "_gb")) >= least)
+    alike = near.select("_ta", "_tb", _ratio("_ta", "_tb").alias("ratio")).filter(F.col("ratio") >= SAME)
+    return alike.join(left_ids, "_ta").join(right_ids, "_tb").select(left_id, right_id, "ratio")
 
 
 def _middle(text: Column) -> tuple[Column, Column]:
@@ -102,9 +122,10 @@ def title_integrity(elements: DataFrame, titles: DataFrame, ident: str, title: s
 
     Texts are compared in compatibility form, case folded, white space collapsed.
     """
-    shown = elements.select(ident, span, folded(text).alias("_t")).filter("_t <> ''")
+    rounds = Rounds(elements.sparkSession)
+    shown = rounds.keep(elements.select(ident, span, folded(text).alias("_t")).filter("_t <> ''"), "shown")
     gold = titles.select(title, folded(text).alias("_t"))
-    alike = similar(shown, gold, ident, title, "_t").join(shown.select(ident, span), ident)
+    alike = rounds.keep(similar(shown, gold, ident, title, "_t").join(shown.select(ident, span), ident), "alike")
     best = F.max(F.struct(span, "ratio", (-F.col(ident)).alias("_less"))).alias("_best")
     whole = alike.groupBy(title).agg(best, (F.count(F.lit(1)) - 1).alias("duplicates"))
     parts = pieces(shown, gold, ident, title, "_t").join(alike.select(ident, title), [ident, title], "left_anti")
