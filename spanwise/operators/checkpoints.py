@@ -27,6 +27,15 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def shuffled(table: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input: never broadcast.
+
+    Files of small integers are far smaller than their rows, and what an explode makes is not
+    in Spark's estimate at all, so it would send such a side through the driver.
+    """
+    return table.hint("merge")
+
+
 class Rounds:
     """Tables of an iteration, each written to the shared folder and read back.
 

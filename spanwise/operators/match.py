@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .checkpoints import shuffled
+
 
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, low: float, high: float) -> DataFrame:
     """Pairs with equal keys and low <= right_at - left_at <= high, both sides' columns kept (rows once each)."""
@@ -291,11 +293,11 @@ def linked_across(left: DataFrame, right: DataFrame, keys: list[str], bits: int
     parts = F.explode(F.array(*[F.struct(F.lit(i).alias("n"), F.shiftrightunsigned("hash", i * size).bitwiseAND(F.lit((1 << size) - 1)).alias("part")) for i in range(bits + 1)])).alias("_p")
     a = left.select(*keys, F.col("id").alias("a"), F.col("text").alias("_ta"), F.col("hash"), F.col("aspect").alias("_ra"))
     b = right.select(*keys, F.col("id").alias("b"), F.col("text").alias("_tb"), F.col("hash").alias("_hb"), F.col("aspect").alias("_rb"))
-    texts = a.filter(F.col("_ta") != "").join(b, keys).filter(F.col("_ta") == F.col("_tb")).select(*keys, "a", "b", F.lit(0).alias("distance"), F.lit("text").alias("reason"))
+    texts = a.filter(F.col("_ta") != "").join(shuffled(b), keys).filter(F.col("_ta") == F.col("_tb")).select(*keys, "a", "b", F.lit(0).alias("distance"), F.lit("text").alias("reason"))
     split_a = a.filter("hash is not null").select("*", parts).select(*keys, "a", "_ta", F.col("hash").alias("_ha"), "_ra", "_p.*")
     split_b = b.filter("_hb is not null").withColumnRenamed("_hb", "hash").select("*", parts).select(*keys, "b", "_tb", F.col("hash").alias("_hb"), "_rb", "_p.*")
     off = F.bit_count(F.col("_ha").bitwiseXOR(F.col("_hb")))
-    near = split_a.join(split_b, [*keys, "n", "part"]).filter((off <= bits) & (F.abs(F.col("_ra") - F.col("_rb")) <= aspect * F.greatest("_ra", "_rb", F.lit(1e-6))))
+    near = split_a.join(shuffled(split_b), [*keys, "n", "part"]).filter((off <= bits) & (F.abs(F.col("_ra") - F.col("_rb")) <= aspect * F.greatest("_ra", "_rb", F.lit(1e-6))))
     near = near.filter(~((F.col("_ta") != "") & F.col("_ta").eqNullSafe(F.col("_tb")))).select(*keys, "a", "b", off.cast("int").alias("distance"), F.lit("hash").alias("reason")).distinct()
     pairs = texts.unionByName(near)
-    return greedy_pairs(pairs, keys, "a", "b", "distance", float(bits)).withColumn("distance", F.col("distance").cast("int")).join(pairs, [*keys, "a", "b", "distance"])
+    return greedy_pairs(pairs, keys, "a", "b", "distance", float(bits)).withColumn("distance", F.col("distance").cast("int")).join(shuffled(pairs), [*keys, "a", "b", "distance"])

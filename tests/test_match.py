@@ -115,3 +115,10 @@ def test_monotone_pairs_never_go_back(spark):
     rows = spark.createDataFrame([("s", 0, "one"), ("s", 1, "two"), ("s", 2, "one"), ("s", 3, "tree")], "s string, i long, text string")
     found = match.monotone_pairs(rows, ["one", "two", "three"], ["s"], ["i"], "text", lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)), 0.6)
     assert [r["copy"] for r in found.orderBy("i").collect()] == ["one", "two", None, "three"]
+
+
+def test_links_across_scenes_send_no_side_through_the_driver(spark):
+    rows = spark.createDataFrame([(i // 5, i, "t" if i % 3 else "", i * 77, 1.0) for i in range(20)], "scene long, id long, text string, hash long, aspect double")
+    found = match.linked_across(rows, rows.selectExpr("scene - 1 AS scene", "id", "text", "hash", "aspect"), ["scene"])
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() > 0
