@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, functions as F
 from pyspark.sql.types import StructType
 
-from .checkpoints import Rounds
+from .checkpoints import Rounds, shuffled
 
 
 #: Links that a task joins to stars before the first pass.
@@ -47,13 +47,13 @@ def _large_star(links: DataFrame) -> DataFrame:
     """Every neighbour above a node (and it itself) is linked to the least of the node's neighbourhood."""
     ends = F.explode(F.array(F.struct(F.col("high").alias("node"), F.col("low").alias("other")), F.struct(F.col("low").alias("node"), F.col("high").alias("other"))))
     both = links.select(ends.alias("e")).select("e.node", "e.other")
-    least = both.groupBy("node").agg(F.min("other").alias("least")).select(F.col("node").alias("at"), F.least("node", "least").alias("least"))
+    least = shuffled(both.groupBy("node").agg(F.min("other").alias("least")).select(F.col("node").alias("at"), F.least("node", "least").alias("least")))
     return both.filter("other > node").join(least, F.col("node") == F.col("at")).select(F.col("other").alias("high"), F.col("least").alias("low"), (F.col("least") < F.col("node")).cast("int").alias("moved"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """A node and all its lower neighbours are linked to the least of them."""
-    least = links.groupBy("high").agg(F.min("low").alias("least")).withColumnRenamed("high", "at")
+    least = shuffled(links.groupBy("high").agg(F.min("low").alias("least")).withColumnRenamed("high", "at"))
     met = links.join(least, F.col("high") == F.col("at"))
     below = met.filter("low > least").select(F.col("low").alias("high"), F.col("least").alias("low"), F.lit(1).alias("moved"))
     return met.filter("low = least").select("high", "low", "moved").unionByName(below)
@@ -91,7 +91,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         if rounds.number > 3:
             rounds.drop(before)
     nodes = given.groupBy(F.col("high").alias("node")).agg(F.min("low").alias("least"))
-    return nodes.join(now, F.col("node") == F.col("high"), "left").select("node", F.coalesce("low", "least").alias("component"))
+    return nodes.join(shuffled(now), F.col("node") == F.col("high"), "left").select("node", F.coalesce("low", "least").alias("component"))
 
 
 def _chains(edges: DataFrame, failed: DataFrame, rounds: Rounds) -> tuple[DataFrame, DataFrame]:

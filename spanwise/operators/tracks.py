@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geometry import box_area, box_overlap, iou
 from ..functions.text import compact, word_prefix
-from .checkpoints import ensure_checkpoint_dir
+from .checkpoints import ensure_checkpoint_dir, shuffled
 from .graph import components
 from .match import band_join
 from .reads import best_read
@@ -80,8 +80,8 @@ def regions(cells: DataFrame, scene: list[str], x: str, y: str, label: str, leas
     nodes = cells.select(*scene, F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y"), F.col(label).alias("label"), key.alias("cell"))
     steps = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 1), (0, 1), (1, 1))])).alias("_step")
     reach = nodes.select(*scene, "label", "x", "y", F.col("cell").alias("a"), steps).select(*scene, "label", "a", (F.col("x") + F.col("_step.dx")).alias("x"), (F.col("y") + F.col("_step.dy")).alias("y"))
-    links = reach.join(nodes.select(*scene, "label", "x", "y", F.col("cell").alias("b")), [*scene, "label", "x", "y"]).select("a", "b")
-    joined = nodes.join(components(links, "a", "b"), F.col("cell") == F.col("node"), "left").withColumn("region", F.coalesce("component", "cell"))
+    links = reach.join(shuffled(nodes.select(*scene, "label", "x", "y", F.col("cell").alias("b"))), [*scene, "label", "x", "y"]).select("a", "b")
+    joined = nodes.join(shuffled(components(links, "a", "b")), F.col("cell") == F.col("node"), "left").withColumn("region", F.coalesce("component", "cell"))
     found = joined.groupBy("region", "label").agg(F.count(F.lit(1)).alias("area"), F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
     return found.filter(F.col("area") >= least)
 

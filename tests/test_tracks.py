@@ -61,3 +61,12 @@ def test_best_of_both_and_largest_window(spark):
 def test_synthetic_scenes_repeat(spark):
     a, b = (synthetic.moving_boxes(spark, 3, 2, 3, 4).orderBy("scene", "element", "frame").collect() for _ in range(2))
     assert a == b and len(a) == 24 and all(abs(r.x - r.seen_x) <= 0.5 for r in a)
+
+
+def test_regions_send_no_side_through_the_driver(spark):
+    from spanwise.operators import tracks
+
+    cells = spark.createDataFrame([(0, x, y, (x + y) // 3 % 2) for x in range(6) for y in range(6)], "scene long, x long, y long, label long")
+    found = tracks.regions(cells, ["scene"], "x", "y", "label", 1)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.selectExpr("sum(area)").first()[0] == 36
