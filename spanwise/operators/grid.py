@@ -6,9 +6,26 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .checkpoints import Rounds
 
+#: Rows of a key that are compared with each other as they are, without a grid.
+FEW = 64
+
 
 def grid_join(left: DataFrame, right: DataFrame, keys: list[str], bands: list[tuple[str, str, float]]) -> DataFrame:
-    """Pairs with equal keys whose attributes differ by at most a width each: bands of (left column, right column, width)."""
+    """Pairs with equal keys whose attributes differ by at most a width each: bands of (left column, right column, width).
+
+    A key with few rows on the right meets whole, so that the grid's copies of a row (three for
+    each band) are made for large keys alone.
+    """
+    if keys:
+        large = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all")).filter(F.col("_all") > FEW).select(*keys)
+        few = left.join(large, keys, "left_anti").join(right, keys)
+        for a, b, width in bands:
+            few = few.filter(F.abs(F.col(a) - F.col(b)) <= width)
+        return few.unionByName(_by_cells(left.join(large, keys, "left_semi"), right, keys, bands))
+    return _by_cells(left, right, keys, bands)
+
+
+def _by_cells(left: DataFrame, right: DataFrame, keys: list[str], bands: list[tuple[str, str, float]]) -> DataFrame:
     dealt, other = left, right
     for i, (a, b, width) in enumerate(bands):
         at = F.floor(F.col(a) / width)

@@ -32,6 +32,13 @@ def _box(prefix: str = "") -> Column:
 
 def described(fragments: DataFrame, boxes: DataFrame, scene: list[str]) -> DataFrame:
     """Fragments (scene, id, text, h, rot, l, a, b, cut) with span, median place and size, and first and last box."""
+    if "boxes" in boxes.columns:  # an array of (frame, x0, y0, x1, y1) a piece
+        at = boxes.select(*scene, "id", F.array_sort("boxes").alias("boxes"))
+        mid = {"cy": lambda b: (b["y0"] + b["y1"]) / 2, "w": lambda b: b["x1"] - b["x0"], "bh": lambda b: b["y1"] - b["y0"]}
+        ends = [F.struct(*[F.element_at("boxes", i)[c].alias(c) for c in BOX]).alias(n) for i, n in ((1, "first_box"), (-1, "last_box"))]
+        frames = [F.element_at("boxes", i)["frame"].alias(n) for i, n in ((1, "first"), (-1, "last"))]
+        sizes = at.filter(F.size("boxes") > 0).select("*", *frames, F.size("boxes").cast("long").alias("n"), *[median_of(F.transform("boxes", f)).alias(n) for n, f in mid.items()], *ends)
+        return fragments.join(sizes, [*scene, "id"]).withColumn("logh", F.log("h"))
     sizes = boxes.groupBy(*scene, "id").agg(
         F.min("frame").alias("first"), F.max("frame").alias("last"), F.count(F.lit(1)).alias("n"), F.median((F.col("y0") + F.col("y1")) / 2).alias("cy"),
         F.median(F.col("x1") - F.col("x0")).alias("w"), F.median(F.col("y1") - F.col("y0")).alias("bh"), F.min_by(_box(), "frame").alias("first_box"), F.max_by(_box(), "frame").alias("last_box"),
@@ -64,20 +71,29 @@ def candidates(pieces: DataFrame, scene: list[str]) -> DataFrame:
     return near.filter((tall <= LINE_RATIO * low) & (colour <= COLOUR) & ~cut & (texts > 0)).withColumns({"_h": tall, "texts": texts})
 
 
-def same_title(near: DataFrame, boxes: DataFrame, scene: list[str], fps: float, steps: bool = True, lines: DataFrame | None = None) -> DataFrame:
+def in_common(p: Column, q: Column) -> Column:
+    """The boxes of both in common frames, in order, from each one's array of (frame, box); null where there are none."""
+    of = lambda c, side: [c[n].alias(f"{side}_{n}") for n in BOX]
+    both = F.flatten(F.transform(p, lambda b: F.transform(F.filter(q, lambda c: c["frame"] == b["frame"]), lambda c: F.struct(b["frame"].alias("frame"), *of(b, "p"), *of(c, "q")))))
+    return F.when(F.size(both) > 0, both)
+
+
+def same_title(near: DataFrame, boxes: DataFrame | None, scene: list[str], fps: float, steps: bool = True, lines: DataFrame | None = None) -> DataFrame:
     """(scene, p, q, texts): the candidate pairs that are of one title, and how many of the two have a text (1 or 2).
 
     Two pieces are one title side by side (concurrent, near, moving together: over ``STEP_S`` by
     any edge, or by frame and centre where ``steps`` is False) or in succession (the later one
     starts in the earlier one's last box and repeats part of its text).  A piece without text
-    must be a glyph beside a text.  With lines (scene, line), both texts must be read in one of
+    must be a glyph beside a text.  Without boxes, the pairs hold what both show (_both), as
+    ``in_common`` gives it.  With lines (scene, line), both texts must be read in one of
     them, in scenes that have any.
     """
     # what both show in common frames, in order
-    frames = [boxes.select(*scene, "frame", F.col("id").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in BOX]) for side in "pq"]
-    common = near.select(*scene, "p_id", "q_id").join(frames[0], [*scene, "p_id"]).join(frames[1], [*scene, "q_id", "frame"])
-    both = F.array_sort(F.collect_list(F.struct("frame", *[f"{side}_{c}" for side in "pq" for c in BOX])))
-    near = near.join(common.groupBy(*scene, "p_id", "q_id").agg(both.alias("_both")), [*scene, "p_id", "q_id"], "left")
+    if boxes is not None:
+        frames = [boxes.select(*scene, "frame", F.col("id").alias(f"{side}_id"), *[F.col(c).alias(f"{side}_{c}") for c in BOX]) for side in "pq"]
+        common = near.select(*scene, "p_id", "q_id").join(frames[0], [*scene, "p_id"]).join(frames[1], [*scene, "q_id", "frame"])
+        both = F.array_sort(F.collect_list(F.struct("frame", *[f"{side}_{c}" for side in "pq" for c in BOX])))
+        near = near.join(common.groupBy(*scene, "p_id", "q_id").agg(both.alias("_both")), [*scene, "p_id", "q_id"], "left")
     n = F.coalesce(F.size("_both"), F.lit(0))
     n = F.when(F.col("_both").isNull(), 0).otherwise(n)
     middle = median_of(F.transform("_both", lambda c: F.abs(c["p_y0"] + c["p_y1"] - c["q_y0"] - c["q_y1"]) / 2))
@@ -129,11 +145,17 @@ def merge_plan(fragments: DataFrame, boxes: DataFrame, scene: list[str], fps: fl
 
     Pieces that the stricter test (frame by frame, by centres) joins too are merged; a title of
     several such parts is bound around them.  A group or part without a text is left alone.
+    boxes is (scene, id, frame, x0, y0, x1, y1), or (scene, id, boxes) with each piece's in an array.
     """
     rounds = Rounds(fragments.sparkSession)
-    boxes = rounds.keep(boxes.select(*scene, "id", "frame", *BOX), "boxes")
+    packed = "boxes" in boxes.columns  # few boxes a piece, in one row: no table of boxes is written or joined by frame
+    if not packed:
+        boxes = rounds.keep(boxes.select(*scene, "id", "frame", *BOX), "boxes")
     pieces = rounds.keep(described(fragments, boxes, scene), "pieces")
-    near = rounds.keep(candidates(pieces, scene), "near")
+    near = candidates(pieces, scene)
+    if packed:
+        near, boxes = near.withColumn("_both", in_common(F.col("p_boxes"), F.col("q_boxes"))).drop("p_boxes", "q_boxes"), None
+    near = rounds.keep(near, "near")
     wide = rounds.keep(grouped(pieces, same_title(near, boxes, scene, fps, True, lines), scene), "wide")
     ends = [wide.select(F.col("id").alias(f"{c}_id"), F.col("group").alias(f"_{c}")) for c in "pq"]
     inside = same_title(near.join(ends[0], "p_id").join(ends[1], "q_id").filter("_p = _q").drop("_p", "_q"), boxes, scene, fps, False, lines)

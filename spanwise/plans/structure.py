@@ -91,9 +91,13 @@ def title_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     letter = F.chr(F.lit(65) + F.col("p") % 3)
     rows = lines.select("*", F.when(F.col("p") % 4 == 0, "").otherwise(F.repeat(letter, F.lit(4))).alias("text"), (10.0 + F.col("q") % 8).alias("h"), F.when(F.col("s") % 10 == 0, 1).alias("cut"), F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
-    shift = F.col("i") * 18.0 + (F.col("frame") - F.col("start")) * (F.col("p") % 2) * 3
-    wider = F.when(F.col("p") % 5 == 0, 5).otherwise(0) * (F.col("frame") - F.col("start"))
-    shown = rows.withColumn("frame", F.explode(F.sequence("start", "end"))).select("scene", "id", "frame", shift.alias("x0"), ((F.col("s") % 3) * 4.0).alias("y0"), (shift + wider + 12 + F.col("q") % 10).alias("x1"), ((F.col("s") % 3) * 4.0 + F.col("h")).alias("y1"))
+    def box(frame):
+        shift = F.col("i") * 18.0 + (frame - F.col("start")) * (F.col("p") % 2) * 3
+        wider = F.when(F.col("p") % 5 == 0, 5).otherwise(0) * (frame - F.col("start"))
+        low = (F.col("s") % 3) * 4.0
+        return F.struct(frame.alias("frame"), shift.alias("x0"), low.alias("y0"), (shift + wider + 12 + F.col("q") % 10).alias("x1"), (low + F.col("h")).alias("y1"))
+
+    shown = rows.select("scene", "id", F.transform(F.sequence("start", "end"), box).alias("boxes"))
     return titles.merge_plan(rows.select("scene", "id", "text", "h", "rot", "l", "a", "b", "cut"), shown, ["scene"], 20.0)
 
 
