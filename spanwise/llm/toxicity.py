@@ -78,7 +78,7 @@ def tokenise(data: np.ndarray, offsets: np.ndarray) -> Tokens:
         start, end = np.sort(np.concatenate([start, cut[over]])), np.sort(np.concatenate([end, cut[over]]))
     words = hash_ranges(data, start, end)
     view, length = eight_bytes(data), end - start
-    buckets = np.empty((len(start), FEATURES), np.int32)
+    buckets = np.empty((len(start), FEATURES), np.uint16)  # as many as BUCKETS
     buckets[:, 0] = np.maximum(words >> np.uint64(48), np.uint64(1))
     for column, n in enumerate(BEGINNINGS, 1):
         head = view[start] & np.uint64((1 << 8 * n) - 1)
@@ -168,14 +168,11 @@ def train(texts: pa.ChunkedArray, labels: np.ndarray, epochs: int = 6, batch: in
     counts = np.diff(tokens.first)
     held = rng.random(len(labels)) < 0.2
     learn = np.flatnonzero(~held)
-    text = np.repeat(np.arange(len(labels)), counts)
     share = np.zeros((2, BUCKETS), np.int64)
-    for column in range(FEATURES):
-        seen = np.unique(text * BUCKETS + tokens.buckets[:, column])
-        seen = seen[~held[seen // BUCKETS]]
-        np.add.at(share, (labels[seen // BUCKETS], seen % BUCKETS), 1)
-        del seen
-    del text
+    for i in learn:  # a text at a time, so that nothing is as long as all texts
+        part = tokens.buckets[tokens.first[i] : tokens.first[i + 1]]
+        for column in range(FEATURES):
+            share[labels[i], np.unique(part[:, column])] += 1
     n = [max(1, int((labels[learn] == y).sum())) for y in (0, 1)]
     frequent = share[0] + share[1] >= 3
     frequent[0] = False
@@ -254,7 +251,8 @@ def train(texts: pa.ChunkedArray, labels: np.ndarray, epochs: int = 6, batch: in
 
 def _calibrate(model: Model, tokens: Tokens, labels: np.ndarray, held: np.ndarray) -> None:
     """Choose each language's threshold for the fewest errors at common rates; few texts take the common one."""
-    logits = np.concatenate([_forward(model, part, model.responses()) for part in _parts(tokens)])
+    table = model.responses()
+    logits = np.concatenate([_forward(model, part, table) for part in _parts(tokens, 100)])
     lang = languages(tokens)
 
     def best(rows: np.ndarray) -> float:

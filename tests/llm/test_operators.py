@@ -375,3 +375,14 @@ def test_distance_bounds():
     counts = np.array([[5, 0], [0, 5], [1, 1], [0, 0]])
     found = quality.jensen_shannon(counts, np.array([[5.0, 0.0]] * 4))
     assert found[0] == 0 and found[1] == 1 and 0 < found[2] < 1 and found[3] == 0
+
+
+def test_training_holds_two_bytes_for_each_bucket_of_a_token():
+    import numpy as np
+
+    from spanwise.llm import toxicity
+
+    data = np.frombuffer(b"some longer words, and short ones", np.uint8)
+    tokens = toxicity.tokenise(data, np.array([0, 17, len(data)]))
+    assert tokens.buckets.itemsize == 2 and toxicity.BUCKETS <= 1 << 16
+    assert tokens.buckets.shape == (6, toxicity.FEATURES) and (tokens.buckets[:, 0] > 0).all()
