@@ -34,3 +34,15 @@ def test_network_learns_and_agrees_over_reruns(spark, batch):
     assert sum((r.p >= 0.5) == bool(r.y) for r in scored) > 370 and all(math.isfinite(r.p) for r in scored)
     with pytest.raises(ValueError):
         train.fit_network(rows.limit(0), "id", "v", "y")
+
+
+def test_a_step_is_one_job_on_its_minibatch_alone(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(i, v.tolist(), int(v[0] > 0)) for i, v in enumerate(rng.normal(size=(400, 2)))], "id long, v array<double>, y int").repartition(3)
+    spark.sparkContext.setJobGroup("steps of training", "")
+    losses = train.fit_network(rows, "id", "v", "y", hidden=(4,), epochs=5, batch=50)[3]
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("steps of training")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) <= 5 * 8 + 20
+    monkeypatch.setattr(train, "COMPONENTS", 30)  # a minibatch in several blocks
+    assert train.fit_network(rows, "id", "v", "y", hidden=(4,), epochs=5, batch=50)[3] == pytest.approx(losses)
