@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.geometry import spatial_relations
+from .checkpoints import shuffled
 from .match import nearest_earlier
 
 # Tolerances of predicates.
 PIXELS, COSINE, MAG_SHARE, MAG_LEAST, DURATION = 2.0, 0.9, 0.1, 2.0, 2
 
+# Predicates of two motions, and of two boxes.
+TIME, SPACE = ("before", "after", "while"), ("left", "right", "top", "bottom", "intersect")
+
 # Which predicate heads each preset keeps.
 PRESETS = {
     "content_only": ("type", "dir", "mag", "dur", "before", "after", "while"),
@@ -38,32 +42,40 @@ def parsed(predicates: DataFrame, column: str = "pred") -> DataFrame:
 def evaluated(predicates: DataFrame, motions: DataFrame, boxes: DataFrame, last_frame: int, strict: bool = True) -> DataFrame:
     """Truth of parsed predicates about motions (id, type, start, end, dx, dy, mag, dur) and boxes (id, frame, x0..y1).
 
-    A predicate about something unknown is false.  One with an unknown name (as bad syntax
-    gives) is an error, or null where not strict.
+    A predicate is joined only with what it speaks of: one motion, two motions or two boxes.  One
+    about something unknown is false.  An unknown name (as bad syntax gives) is an error, or null where not strict.
     """
     args = F.col("args")
-    rows = predicates.withColumns({"a": F.element_at(args, 1), "b": F.try_element_at(args, F.lit(2)), "_frame": F.coalesce("frame", F.lit(last_frame))})
-    first = motions.select(*[F.col(c).alias(f"{c}_1") for c in ("id", "type", "start", "end", "dx", "dy", "mag", "dur")])
-    second = motions.select(*[F.col(c).alias(f"{c}_2") for c in ("id", "start", "end")])
-    rows = rows.join(first, F.col("a") == F.col("id_1"), "left").join(second, F.col("b") == F.col("id_2"), "left")
-    for side in ("a", "b"):
-        box = boxes.select(F.col("id").alias(f"_{side}"), F.col("frame").alias(f"_f{side}"), F.struct("x0", "y0", "x1", "y1").alias(f"box_{side}"))
-        rows = rows.join(box, (F.col(side) == F.col(f"_{side}")) & (F.col("_frame") == F.col(f"_f{side}")), "left").drop(f"_{side}", f"_f{side}")
-    wanted = F.transform(F.split(F.regexp_replace("b", r"[\[\]\s]", ""), ","), lambda v: v.try_cast("double"))
+    rows = predicates.withColumns({"_a": F.element_at(args, 1), "_b": F.try_element_at(args, F.lit(2))})
+    known = lambda *names: F.coalesce(F.col("name").isin(*names), F.lit(False))
+
+    # of motions: one that a predicate names
+    own = rows.filter(~known(*TIME, *SPACE)).join(shuffled(motions.select(F.col("id").alias("_a"), *[F.col(c).alias(f"_{c}") for c in ("type", "dx", "dy", "mag", "dur")])), "_a", "left")
+    wanted = F.transform(F.split(F.regexp_replace("_b", r"[\[\]\s]", ""), ","), lambda v: v.try_cast("double"))
     wx, wy = F.try_element_at(wanted, F.lit(1)), F.try_element_at(wanted, F.lit(2))
-    along = F.try_divide(F.col("dx_1") * wx + F.col("dy_1") * wy, F.sqrt(wx * wx + wy * wy))
-    number = F.col("b").try_cast("double")
-    time = temporal_relations(F.col("start_1"), F.col("end_1"), F.col("start_2"), F.col("end_2"))
-    space = spatial_relations(F.col("box_a"), F.col("box_b"), PIXELS)
-    truth = F.when(F.col("name") == "type", F.col("type_1") == F.col("b"))
+    along = F.try_divide(F.col("_dx") * wx + F.col("_dy") * wy, F.sqrt(wx * wx + wy * wy))
+    number = F.col("_b").try_cast("double")
+    truth = F.when(F.col("name") == "type", F.col("_type") == F.col("_b"))
     truth = truth.when(F.col("name") == "dir", along >= COSINE)
-    truth = truth.when(F.col("name") == "mag", F.abs(F.col("mag_1") - number) <= F.greatest(MAG_SHARE * F.abs(number), F.lit(MAG_LEAST)))
-    truth = truth.when(F.col("name") == "dur", F.abs(F.col("dur_1") - number) <= DURATION)
-    for name, value in {**time, **space}.items():
-        truth = truth.when(F.col("name") == name, value)
-    known = F.col("name").isin("type", "dir", "mag", "dur", *time, *space)
+    truth = truth.when(F.col("name") == "mag", F.abs(F.col("_mag") - number) <= F.greatest(MAG_SHARE * F.abs(number), F.lit(MAG_LEAST)))
+    truth = truth.when(F.col("name") == "dur", F.abs(F.col("_dur") - number) <= DURATION)
     other = F.raise_error(F.concat(F.lit("unknown predicate: "), F.coalesce("name", F.lit("")))).cast("boolean") if strict else F.lit(None).cast("boolean")
-    return rows.withColumn("holds", F.when(known, F.coalesce(truth, F.lit(False))).otherwise(other)).select(*predicates.columns, "holds")
+    out = own.withColumn("holds", F.when(known("type", "dir", "mag", "dur"), F.coalesce(truth, F.lit(False))).otherwise(other)).select(*predicates.columns, "holds")
+
+    def of_two(part: DataFrame, found: DataFrame, by: list[str], truths: dict[str, Column]) -> DataFrame:
+        """Predicates of two things by their keys (the second's are named with a 2)."""
+        for side, end in (("_a", ""), ("_b", "2")):
+            part = part.join(shuffled(found.select(F.col("id").alias(side), *by, *[F.col(c).alias(c + end) for c in found.columns if c not in ("id", *by)])), [side, *by], "left")
+        truth = F.lit(None).cast("boolean")
+        for name, value in truths.items():
+            truth = F.when(F.col("name") == name, value).otherwise(truth)
+        return part.withColumn("holds", F.coalesce(truth, F.lit(False))).select(*predicates.columns, "holds")
+
+    spans = motions.select("id", F.col("start").alias("_start"), F.col("end").alias("_end"))
+    out = out.unionByName(of_two(rows.filter(known(*TIME)), spans, [], temporal_relations(F.col("_start"), F.col("_end"), F.col("_start2"), F.col("_end2"))))
+    shown = boxes.select("id", F.col("frame").alias("_frame"), F.struct("x0", "y0", "x1", "y1").alias("_box"))
+    placed = rows.filter(known(*SPACE)).withColumn("_frame", F.coalesce("frame", F.lit(last_frame)))
+    return out.unionByName(of_two(placed, shown, ["_frame"], spatial_relations(F.col("_box"), F.col("_box2"), PIXELS)))
 
 
 def earliest_later(motions: DataFrame, scene: list[str]) -> DataFrame:
