@@ -9,6 +9,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of a table that one task of ``spread`` gets on average.
+ROWS = 1 << 18
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder that the session names; set a local one only where none is named and all runs in one process (tests)."""
     context = spark.sparkContext
@@ -36,6 +40,15 @@ def shuffled(table: DataFrame) -> DataFrame:
     return table.hint("merge")
 
 
+def spread(table: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to as many tasks as their number asks for, ROWS on average.
+
+    What follows by these keys needs no further shuffle, and its tasks grow in number and not in
+    size.  Made for tables as they are read, which Parquet counts without reading them.
+    """
+    return table.repartition(max(1, -(-table.count() // ROWS)), *keys)
+
+
 class Rounds:
     """Tables of an iteration, each written to the shared folder and read back.
 

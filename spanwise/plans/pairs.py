@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import facts, greedy, match, measures, score, sequence as seq, state, tracks
+from ..operators.checkpoints import spread
 from ..sources.documents import verify_manifest
 from ..sources.tables import observations, table
 from .registry import query
@@ -120,7 +121,8 @@ p AS (SELECT x.o, x.i, sum(CASE WHEN y.i <> x.i THEN greatest(0, least(x.q, y.q
 SELECT o, i, round(least(1.0, s / a), 6) AS cover FROM p
 """)
 def foreign_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("i")).agg(F.max("l_quantity").alias("q"))
+    # an order's lines stay in one task from here on
+    lines = spread(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("i"), F.col("l_quantity").alias("q")), "o").groupBy("o", "i").agg(F.max("q").alias("q"))
 
     def box(start, end):
         return F.struct(start.cast("double").alias("x0"), F.lit(0.0).alias("y0"), end.cast("double").alias("x1"), F.lit(4.0).alias("y1")).alias("box")

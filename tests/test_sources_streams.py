@@ -1,8 +1,10 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
-from spanwise.operators import catalogue
+from spanwise.operators import catalogue, checkpoints
+from spanwise.plans import QUERIES
 from spanwise.sources import documents as docs
 from spanwise.streaming import states
 
@@ -100,3 +102,20 @@ def test_stream_of_silence_and_sessions(spark, tmp_path):
     spans = states.sessions(beats, "device", "at", "60 seconds", "0 seconds")
     rows = _collect(spans, "spans", "append", tmp_path / "two", spark)
     assert ("a", 1) in {(r.device, r.n) for r in rows} and ("b", 2) in {(r.device, r.n) for r in rows}
+
+
+def test_spread_tables_have_tasks_by_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(checkpoints, "ROWS", 10)
+    rows = spark.range(95).withColumn("o", F.col("id") % 40)
+    spread = checkpoints.spread(rows, "o")
+    assert spread.rdd.getNumPartitions() == 10 and spread.count() == 95
+    assert checkpoints.spread(rows.limit(0), "o").rdd.getNumPartitions() == 1
+    again = spread.groupBy("o", "id").count().join(spread.groupBy("o").count().withColumnRenamed("count", "n").hint("merge"), "o")
+    assert again._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(o") == 2  # each side's own, none after it
+
+
+@pytest.mark.parametrize("name", ["foreign_cover"])
+def test_lines_are_spread_once_by_their_number(spark, monkeypatch, name):
+    monkeypatch.setattr(checkpoints, "ROWS", 1000)
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_NUM") == 2
