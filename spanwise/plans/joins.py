@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.geometry import containment, iou
 from ..operators import facts, match, sequence as seq
+from ..operators.checkpoints import spread
 from ..sources.tables import observations, table
 from .registry import query
 
@@ -242,7 +243,7 @@ FROM e LEFT JOIN p ON p.o = e.o AND p.i = e.i
 def verified_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.tracks import verified
 
-    want = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("i")).agg(F.max("l_quantity").alias("q"))
+    want = spread(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("i"), F.col("l_quantity").alias("q")), "o", "i").groupBy("o", "i").agg(F.max("q").alias("q"))
 
     def boxed(shift):
         return F.struct(*[(F.col("q") + (shift if c == "x1" else F.lit(0.0))).alias(c) for c in ("x0", "y0", "x1", "y1")]).alias("box")

@@ -114,7 +114,7 @@ def test_spread_tables_have_tasks_by_their_rows(spark, monkeypatch):
     assert again._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(o") == 2  # each side's own, none after it
 
 
-@pytest.mark.parametrize("name", ["foreign_cover"])
+@pytest.mark.parametrize("name", ["foreign_cover", "verified_boxes"])
 def test_lines_are_spread_once_by_their_number(spark, monkeypatch, name):
     monkeypatch.setattr(checkpoints, "ROWS", 1000)
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
