@@ -126,15 +126,17 @@ def extracted(motions: DataFrame, boxes: DataFrame, salient: DataFrame, scene: s
     way = F.when((F.col("type") == "translation") & F.col("dir_x").isNotNull(), F.concat(F.lit("dir("), "id", F.lit(",["), fixed("dir_x", 2), F.lit(","), fixed("dir_y", 2), F.lit("])")))
     own = F.array(F.concat(F.lit("type("), "id", F.lit(",'"), "type", F.lit("')")), way, F.concat(F.lit("mag("), "id", F.lit(","), fixed("mag", 1), F.lit(")")), F.concat(F.lit("dur("), "id", F.lit(","), F.col("dur").cast("string"), F.lit(")")))
     single = motions.select(scene, F.explode(own).alias("pred")).filter("pred is not null")
-    key = motions.join(salient.select(scene, "element").distinct(), [scene, "element"], "left_semi")
+    # all meet by the scene alone, so rows are dealt once
+    chosen = shuffled(salient.groupBy(scene).agg(F.collect_set("element").alias("_chosen")))
+    key = motions.select(scene, "id", "element", "start", "end").join(chosen, scene).filter(F.array_contains("_chosen", F.col("element"))).drop("_chosen")
     named = lambda name, a, b: F.concat(F.lit(f"{name}("), a, F.lit(","), b, F.lit(")"))
     before = earliest_later(key, [scene]).select(scene, named("before", F.col("id"), F.col("later")).alias("pred"))
     other = key.select(scene, *[F.col(c).alias(f"_{c}") for c in ("id", "element", "start", "end")])
-    together = key.join(other, scene).filter((F.col("id") < F.col("_id")) & (F.col("element") != F.col("_element")))
+    together = key.join(shuffled(other), scene).filter((F.col("id") < F.col("_id")) & (F.col("element") != F.col("_element")))
     overlap = temporal_relations(F.col("start"), F.col("end"), F.col("_start"), F.col("_end"))["while"]
     during = together.filter(overlap).select(scene, named("while", F.col("id"), F.col("_id")).alias("pred"))
-    seen = boxes.join(salient.select(scene, F.col("element").alias("id")).distinct(), [scene, "id"], "left_semi")
-    pairs = seen.join(seen.select(scene, F.col("id").alias("_id"), F.col("box").alias("_box")), scene).filter(F.col("id") < F.col("_id"))
+    seen = boxes.select(scene, "id", "box").join(chosen, scene).filter(F.array_contains("_chosen", F.col("id"))).drop("_chosen")
+    pairs = seen.join(shuffled(seen.select(scene, F.col("id").alias("_id"), F.col("box").alias("_box"))), scene).filter(F.col("id") < F.col("_id"))
     held = F.array(*[F.when(v, named(n, F.col("id"), F.col("_id"))) for n, v in spatial_relations(F.col("box"), F.col("_box"), PIXELS).items()])
     placed = pairs.select(scene, F.explode(held).alias("pred")).filter("pred is not null")
     return single.unionByName(before).unionByName(during).unionByName(placed)

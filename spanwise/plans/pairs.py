@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import facts, greedy, match, measures, score, sequence as seq, state, tracks
-from ..operators.checkpoints import spread
+from ..operators.checkpoints import Rounds, spread
 from ..sources.documents import verify_manifest
 from ..sources.tables import observations, table
 from .registry import query
@@ -229,7 +229,7 @@ p AS (SELECT scene, 'type(' || id || ',''' || type || ''')' AS pred FROM u UNION
 SELECT scene, pred FROM p WHERE pred IS NOT NULL
 """)
 def extracted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    motions = _line_motions(spark, sf_dir)
+    motions = Rounds(spark).keep(_line_motions(spark, sf_dir), "motions")  # several kinds of facts read them
     salient = motions.filter("element <> 'e4'").select("scene", "element").distinct()
     x = F.substring("element", 2, 9).cast("double") * 8
     boxes = salient.select("scene", F.col("element").alias("id"), F.struct(x.alias("x0"), F.lit(0.0).alias("y0"), (x + 7).alias("x1"), F.lit(9.0).alias("y1")).alias("box"))
