@@ -11,7 +11,8 @@ language's threshold is 0.5.  Labels, lang, source and doc_id are never inputs o
 
 Training takes at most ``sample`` labelled texts of each class, chosen by a hash of
 doc_id, none longer than ``longest`` characters and ``characters`` in all; of rows that
-share an id one text (the least) is learned from.  Scoring sees every whole text; since
+share an id one text (the least) is learned from.  One task trains on that sample, and the
+driver gets the model alone.  Scoring sees every whole text; since
 the filters are linear, it adds up rows of one precomputed table per bucket.
 
 Nulls: a null or empty text gets the score of no evidence; null labels are not learned
@@ -23,7 +24,8 @@ for, but those named like the results, which replace them; an empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -106,10 +108,14 @@ def languages(tokens: Tokens) -> np.ndarray:
     return np.where(counts.max(axis=1, initial=0) > 0, counts.argmax(axis=1), n) if len(counts) else np.zeros(0, np.int64)
 
 
-def _joined(parts: list[Tokens]) -> Tokens:
-    ends = np.cumsum([0] + [len(p.words) for p in parts])
-    first = [p.first[:-1] + e for p, e in zip(parts, ends, strict=False)]
-    return Tokens(np.concatenate([p.buckets for p in parts]), np.concatenate([p.words for p in parts]), np.concatenate([*first, ends[-1:]]))
+def _joined(parts: Iterable[Tokens]) -> tuple[Tokens, np.ndarray]:
+    """Tokens of all parts without their words, which only each text's language is taken from."""
+    buckets, counts, langs = [np.zeros((0, FEATURES), np.uint16)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for part in parts:
+        buckets.append(part.buckets)
+        counts.append(np.diff(part.first))
+        langs.append(languages(part))
+    return Tokens(np.concatenate(buckets), np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(np.concatenate(counts))])), np.concatenate(langs)
 
 
 @dataclass
@@ -156,15 +162,23 @@ def _forward(model: Model, tokens: Tokens, table: np.ndarray) -> np.ndarray:
     return (pooled(response, tokens.first, model.bias) * model.out).sum(axis=(1, 2)) + model.out_bias
 
 
-def train(texts: pa.ChunkedArray, labels: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.02, seed: int = 1) -> Model:
-    """Fit on whole texts by minibatch Adam; a fifth of them calibrates the thresholds."""
+def train(texts: pa.ChunkedArray, labels: np.ndarray) -> Model:
+    return learned((tokenise(*text_buffer(part["text"])) for part in text_slices(pa.table({"text": texts}))), labels)
+
+
+def learned(parts: Iterable[Tokens], labels: np.ndarray | list[int], epochs: int = 6, batch: int = 64, rate: float = 0.02, seed: int = 1) -> Model:
+    """Fit on whole texts by minibatch Adam; a fifth of them calibrates the thresholds.
+
+    Labels may be a list that grows while the parts are read.
+    """
+    tokens, lang = _joined(parts)
+    labels = np.asarray(labels, np.int64)
     rng = np.random.default_rng(seed)
     shape = (len(SLOTS), DIM, FILTERS)
     model = Model(np.zeros((BUCKETS, DIM)), rng.normal(0, 0.3, shape), np.zeros((len(WIDTHS), FILTERS)), rng.normal(0, 0.3, (len(WIDTHS), FILTERS)), 0.0)
     if not len(labels) or labels.min() == labels.max():
         model.out_bias, model.trained = -20.0, False
         return model
-    tokens = _joined([tokenise(*text_buffer(part["text"])) for part in text_slices(pa.table({"text": texts}))])
     counts = np.diff(tokens.first)
     held = rng.random(len(labels)) < 0.2
     learn = np.flatnonzero(~held)
@@ -194,7 +208,9 @@ def train(texts: pa.ChunkedArray, labels: np.ndarray, epochs: int = 6, batch: in
             size = counts[ids]
             first = np.concatenate([[0], np.cumsum(size)])
             buckets = tokens.buckets[rows]
-            vector = model.embedding[buckets].sum(axis=1)
+            vector = model.embedding[buckets[:, 0]]
+            for column in range(1, FEATURES):
+                vector += model.embedding[buckets[:, column]]
             response = np.einsum("td,sdf->tsf", vector, model.kernel, optimize=True)
             grads = {k: np.zeros_like(v) for k, v in params.items()}
             feature = np.zeros((len(ids), len(WIDTHS), FILTERS))
@@ -245,15 +261,14 @@ def train(texts: pa.ChunkedArray, labels: np.ndarray, epochs: int = 6, batch: in
                     keep = frequent[b]
                     np.add.at(squares, b[keep], (c[keep] ** 2).mean(axis=1))
                     np.add.at(model.embedding, b[keep], -0.05 * c[keep] / np.sqrt(squares[b[keep]])[:, None])
-    _calibrate(model, tokens, labels, held if 0 < labels[held].sum() < held.sum() else np.ones(len(labels), bool))
+    _calibrate(model, tokens, lang, labels, held if 0 < labels[held].sum() < held.sum() else np.ones(len(labels), bool))
     return model
 
 
-def _calibrate(model: Model, tokens: Tokens, labels: np.ndarray, held: np.ndarray) -> None:
+def _calibrate(model: Model, tokens: Tokens, lang: np.ndarray, labels: np.ndarray, held: np.ndarray) -> None:
     """Choose each language's threshold for the fewest errors at common rates; few texts take the common one."""
     table = model.responses()
     logits = np.concatenate([_forward(model, part, table) for part in _parts(tokens, 100)])
-    lang = languages(tokens)
 
     def best(rows: np.ndarray) -> float:
         x, y = logits[rows], labels[rows]
@@ -301,9 +316,23 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, longest: int =
     # one text of each id, however many rows share it, and no more characters than a driver can take
     one = docs.filter(F.length("text") <= longest).join(chosen, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
     upto = F.sum(F.length("text").cast("long")).over(Window.orderBy(order, "doc_id"))  # of at most two samples
-    rows = one.withColumn("_upto", upto).filter(F.col("_upto") <= characters).select("doc_id", "text", "toxic").toArrow()
-    rows = rows.sort_by("doc_id") if rows.num_rows else rows
-    return train(rows["text"], rows["toxic"].to_numpy().astype(np.int64))
+    rows = one.withColumn("_upto", upto).filter(F.col("_upto") <= characters).sortWithinPartitions("doc_id").select("text", "toxic")
+    models = rows.mapInArrow(_fitted, "model binary").collect()  # the window has brought the sample to one task
+    return Model(**pickle.loads(models[0]["model"])) if models else learned([], [])
+
+
+@released
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model that is learned from all rows of a task."""
+    labels: list[int] = []
+
+    def parts() -> Iterator[Tokens]:  # a text goes once its tokens are known
+        for batch in batches:
+            labels.extend(batch.column("toxic").to_pylist())
+            for part in text_slices(batch.select(["text"])):
+                yield tokenise(*text_buffer(part["text"]))
+
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(vars(learned(parts(), labels)))], pa.binary())], names=["model"])
 
 
 def score_documents(docs: DataFrame, model: Model, columns: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:

@@ -226,6 +226,25 @@ def test_toxicity_learns_and_holds_out(spark):
     assert {r.score for r in toxicity.score_documents(docs, unlabelled).collect()} == {0.0}
 
 
+def test_toxicity_is_trained_by_a_task(spark, monkeypatch):
+    import os
+
+    rows = _toy_labels(300)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    driver, tokenise = os.getpid(), toxicity.tokenise
+
+    def elsewhere(data, offsets):
+        assert os.getpid() != driver, "the driver holds no texts"
+        return tokenise(data, offsets)
+
+    chosen = [(t, y) for i, t, y in sorted(rows) if zlib.crc32(str(i).encode()) % 5]
+    here = toxicity.train(pa.chunked_array([pa.array([t for t, _ in chosen])]), np.array([y for _, y in chosen]))
+    monkeypatch.setattr(toxicity, "tokenise", elsewhere)
+    model = toxicity.fit(docs, labels)
+    assert model.trained and np.allclose(model.embedding, here.embedding) and np.allclose(model.shift, here.shift)
+
+
 def test_tokens_never_span_texts():
     data, offsets = text_buffer(pa.chunked_array([pa.array(["ab", "cd", "", "É e", "f"])]))
     tokens = toxicity.tokenise(data, offsets)
