@@ -6,10 +6,13 @@ channels run in parallel.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .sequence import noise_bound
@@ -28,6 +31,8 @@ EASES = {
 TOLERANCE = {"x": 2.0, "y": 2.0, "sx": 0.01, "sy": 0.01, "rot": 1.0, "skx": 1.0, "sky": 1.0, "opacity": 0.02, "reveal": 0.01, "rx": 1.0, "ry": 1.0}
 DEFAULT = {"x": 0.0, "y": 0.0, "sx": 1.0, "sy": 1.0, "rot": 0.0, "skx": 0.0, "sky": 0.0, "opacity": 1.0, "reveal": 1.0, "rx": 0.0, "ry": 0.0}
 NAMES = ("linear", *EASES)
+#: Errors of pieces that are worked out at once (a longer piece alone).
+ELEMENTS = 1 << 20
 KEYS = "t long, v double, ease string, error double"
 
 
@@ -55,41 +60,55 @@ def _draw(a: int, b: int, first: float, last: float, ease: int) -> np.ndarray:
     return first + (last - first) * _shapes(b - a)[ease]
 
 
-def eased_pieces(v: np.ndarray, bound: float) -> list[tuple[int, int, int]]:
-    """Pieces (first, last, ease) that together cover the curve, all open pieces halved in rounds until they fit.
+def eased_pieces(v: np.ndarray, first: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last row, easing and error of the pieces that together cover each curve, in order.
 
-    A piece is drawn by the easing with the smallest largest error, the straight line among
-    equals; one that misses its rows by more than the bound is cut where it misses most.
+    ``first`` has where each curve begins in v, and the end of all; a curve of one row is one
+    piece.  All open pieces of all curves are halved in rounds until they fit, those of one
+    length at once.  A piece is drawn by the easing with the smallest largest error, the
+    straight line among equals; one that misses its rows by more than the curve's bound is cut
+    where it misses most.
     """
-    done: list[tuple[int, int, int]] = []
-    open_ = [(0, len(v) - 1)]
-    while open_:
-        cut: list[tuple[int, int]] = []
-        for a, b in open_:
-            error = np.abs(v[a] + (v[b] - v[a]) * _shapes(b - a) - v[a : b + 1])
-            worst = error.max(axis=1)
-            ease = 0 if worst[0] <= worst.min() + 1e-9 else int(worst.argmin())
-            if worst[ease] <= bound or b - a < 2:
-                done.append((a, b, ease))
-            else:
-                at = a + 1 + int(error[ease, 1:-1].argmax())
-                cut += [(a, at), (at, b)]
-        open_ = cut
-    return sorted(done)
-
-
-def _levels(v: np.ndarray, at: np.ndarray, bound: float) -> list[tuple[int, int, float]]:
+    done: list[tuple[np.ndarray, ...]] = []
+    a, b, most = first[:-1], first[1:] - 1, bound
+    while len(a):
+        cut: list[tuple[np.ndarray, ...]] = []
+        order = np.argsort(b - a, kind="stable")
+        a, b, most = a[order], b[order], most[order]
+        begins = np.concatenate([[0], np.flatnonzero(np.diff(b - a)) + 1, [len(a)]])
+        for g, h in zip(begins, begins[1:], strict=False):
+            steps = int(b[g] - a[g])
+            shapes, at_once = _shapes(steps), max(1, ELEMENTS // (8 * (steps + 1)))
+            for i in range(g, h, at_once):
+                x, y, limit = (part[i : min(i + at_once, h)] for part in (a, b, most))
+                error = np.abs(v[x][:, None, None] + (v[y] - v[x])[:, None, None] * shapes - v[x[:, None] + np.arange(steps + 1)][:, None])
+                worst = error.max(axis=2)
+                ease = np.where(worst[:, 0] <= worst.min(axis=1) + 1e-9, 0, worst.argmin(axis=1))
+                miss = worst[np.arange(len(x)), ease]
+                fits = (miss <= limit) | (steps < 2)
+                done.append((x[fits], y[fits], ease[fits], miss[fits]))
+                if not fits.all():
+                    x, y, limit = x[~fits], y[~fits], limit[~fits]
+                    at = x + 1 + error[~fits, ease[~fits], 1:-1].argmax(axis=1)
+                    cut += [(x, at, limit), (at, y, limit)]
+        a, b, most = (np.concatenate(part) for part in zip(*cut, strict=True)) if cut else (np.zeros(0, np.int64),) * 3
+    a, b, ease, miss = (np.concatenate(part) for part in zip(*done, strict=True)) if done else (np.zeros(0, np.int64),) * 4
+    order = np.argsort(a, kind="stable")
+    return a[order], b[order], ease[order], miss[order]
+
+
+def _levels(v: np.ndarray, at: np.ndarray, low: list[float], high: list[float], bound: float) -> list[tuple[int, int, float]]:
     """Stretches of pieces (first key, last key, level) whose rows all lie within bound of one level, as long as they can be.
 
     Rows fit a level if their range is at most twice the bound; the level is their median where
     that fits, else the middle of the range.  Stretches share no key, so each has one level.
+    ``low`` and ``high`` are those of each piece's rows.
     """
     found, i = [], 0
-    low, high = np.minimum.reduceat(v, at[:-1]), np.maximum.reduceat(v, at[:-1])  # rows of each piece but its last
     while i + 1 < len(at):
         k, least, most = i, np.inf, -np.inf
         while k + 1 < len(at):
-            down, up = min(least, low[k], v[at[k + 1]]), max(most, high[k], v[at[k + 1]])
+            down, up = min(least, low[k]), max(most, high[k])
             if up - down > 2 * bound:
                 break
             k, least, most = k + 1, down, up
@@ -104,6 +123,22 @@ def _levels(v: np.ndarray, at: np.ndarray, bound: float) -> list[tuple[int, int,
 
 
 def keys_of(v: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, list[int], float]:
+    """Rows, values and easings of one curve's keys, and the largest deviation of what they draw."""
+    return next(keys_of_all(v, np.array([0, len(v)]), np.array([bound])))
+
+
+def keys_of_all(v: np.ndarray, first: np.ndarray, bound: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[int], float]]:
+    """What ``keys_of`` gives, for each of the curves that begin at ``first``, none of them empty."""
+    a, b, ease, miss = eased_pieces(v, first, bound)
+    low, high = (f(f.reduceat(v, a), v[b]) for f in (np.minimum, np.maximum)) if len(a) else (v, v)
+    of = np.searchsorted(a, first)
+    low, high, ease, miss = low.tolist(), high.tolist(), ease.tolist(), miss.tolist()
+    for n, limit in enumerate(bound.tolist()):
+        own = slice(of[n], of[n + 1])
+        yield _keys(v[first[n] : first[n + 1]], np.append(a[own], first[n + 1] - 1) - first[n], ease[own], miss[own], low[own], high[own], limit)
+
+
+def _keys(v: np.ndarray, at: np.ndarray, ease: list[int], miss: list[float], low: list[float], high: list[float], bound: float) -> tuple[np.ndarray, np.ndarray, list[int], float]:
     """Rows, values and easings of a curve's keys, and the largest deviation of what they draw.
 
     Of the stretches that could be held at one level, those are held that leave fewest keys
@@ -112,14 +147,14 @@ def keys_of(v: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, list[i
     """
     if len(v) == 1:
         return np.zeros(1, int), v.astype(float), [0], 0.0
-    pieces = eased_pieces(v, bound)
-    at, ease = np.array([a for a, _, _ in pieces] + [len(v) - 1]), [e for _, _, e in pieces]
-    levels = _levels(v, at, bound)
+    levels = _levels(v, at, low, high, bound)
+    if not levels and (len(at) > 2 or v[0] != v[-1]):  # all pieces stay as they are
+        value = v[at].astype(float)
+        return at, value, [*(0 if x == y else e for e, x, y in zip(ease, value.tolist(), value[1:].tolist(), strict=False)), 0], max(miss)
 
     def fits(piece: int, first: float | None, last: float | None) -> bool:
         a, b = at[piece], at[piece + 1]
-        raw = np.abs(_draw(a, b, v[a], v[b], ease[piece]) - v[a : b + 1]).max()
-        return bool(np.abs(_draw(a, b, v[a] if first is None else first, v[b] if last is None else last, ease[piece]) - v[a : b + 1]).max() <= max(bound, raw))
+        return bool(np.abs(_draw(a, b, v[a] if first is None else first, v[b] if last is None else last, ease[piece]) - v[a : b + 1]).max() <= max(bound, miss[piece]))
 
     # for each stretch left raw (0) or held (1): keys saved so far, and the state of the stretch before
     ways: list[list[tuple[int, int] | None]] = []
@@ -139,7 +174,7 @@ def keys_of(v: np.ndarray, bound: float) -> tuple[np.ndarray, np.ndarray, list[i
                     continue
                 options.append((past[0] + (k - i - 1 if held else 0), held, before))
             after = levels[n + 1][0] if n + 1 < len(levels) else None
-            if held and k < len(pieces) and after != k + 1 and not fits(k, level, None):
+            if held and k < len(ease) and after != k + 1 and not fits(k, level, None):
                 options = []
             best = max(options, default=None)
             row.append(None if best is None else (best[0], best[2]))
@@ -167,16 +202,29 @@ def eased_keys(rows: DataFrame, entity: list[str], position: str, value: str, bo
     """
     bound = F.col(bound) if isinstance(bound, str) else bound
     slim = rows.select(*entity, F.col(position).cast("long").alias("t"), F.col(value).cast("double").alias("v"), bound.cast("double").alias("_bound")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    schema = slim.select(*entity).schema
-
-    def compress(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("t", ignore_index=True)
-        at, v, ease, error = keys_of(part["v"].to_numpy(), float(part["_bound"].max()))
-        return part.loc[at, [*entity, "t"]].assign(v=v, ease=[NAMES[e] for e in ease], error=error)
-
+    # tasks of a number of their own: the work is in the curves, which are small in bytes
+    session = rows.sparkSession
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    curves = slim.repartition(tasks, *entity).groupBy(*entity).agg(F.sort_array(F.collect_list(F.struct("t", "v"))).alias("_rows"), F.max("_bound").alias("_bound"))
+    curves = curves.select(*entity, F.col("_rows.t").alias("_t"), F.col("_rows.v").alias("_v"), "_bound")
+    schema = curves.select(*entity).schema
     for name, kind in (part.split() for part in KEYS.split(", ")):
         schema = schema.add(name, kind)
-    return slim.groupBy(*entity).applyInPandas(compress, schema)
+
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t, v = (batch.column(name).flatten().to_numpy() for name in ("_t", "_v"))
+            first = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(batch.column("_v")).to_numpy().astype(np.int64))])
+            at, values, eases, errors = zip(*keys_of_all(v, first, batch.column("_bound").to_numpy()), strict=True)
+            size = np.array([len(x) for x in at])
+            of = np.repeat(np.arange(len(size)), size)
+            kept = [batch.column(name).take(pa.array(of)) for name in entity]
+            found = [pa.array(t[np.concatenate(at) + first[of]]), pa.array(np.concatenate(values)), pa.array([NAMES[e] for e in itertools.chain.from_iterable(eases)]), pa.array(np.repeat(np.array(errors), size))]
+            yield pa.RecordBatch.from_arrays([*kept, *found], names=schema.names)
+
+    return curves.mapInArrow(compress, schema)
 
 
 def _long(rows: DataFrame, entity: list[str], position: str, properties: list[str], extent: dict[str, str]) -> tuple[DataFrame, Column]:

@@ -118,6 +118,23 @@ def test_property_keys_leave_defaults_out_and_draw_back(spark):
     assert len(drawn) == 20 and all(abs(r.drawn - r.x) < 1e-9 for r in drawn)
 
 
+def test_curves_of_a_batch_are_compressed_at_once(spark, monkeypatch):
+    from spanwise.operators import curves
+
+    rng = np.random.default_rng(5)
+    parts = [np.cumsum(rng.normal(size=n)) if n % 3 else np.repeat(rng.normal(size=n // 3), 3) for n in [1, 2, 3, *rng.integers(1, 60, 40)]]
+    first, bound = np.concatenate([[0], np.cumsum([len(p) for p in parts])]), rng.uniform(0.1, 3, len(parts))
+    alone = [curves.keys_of(p, b) for p, b in zip(parts, bound)]
+    monkeypatch.setattr(curves, "ELEMENTS", 500)  # pieces of one length come in several turns
+    for one, many in zip(alone, curves.keys_of_all(np.concatenate(parts), first, bound), strict=True):
+        assert all(np.array_equal(x, y) for x, y in zip(one, many, strict=True))
+    df = spark.createDataFrame([(e, i, float(v), float(bound[e])) for e, p in enumerate(parts) for i, v in enumerate(p)], "e long, i long, v double, b double").coalesce(1)
+    keys = curves.eased_keys(df, ["e"], "i", "v", "b")
+    assert keys.rdd.getNumPartitions() == 4  # few bytes, much work: not joined to one task
+    want = {(e, int(t), float(v), curves.NAMES[s], error) for e, (at, values, eases, error) in enumerate(alone) for t, v, s in zip(at, values, eases)}
+    assert {tuple(r) for r in keys.collect()} == want
+
+
 def test_small_elements_get_wider_scales_and_misses_are_counted(spark):
     from spanwise.operators import curves
 
