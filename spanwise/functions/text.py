@@ -61,6 +61,31 @@ def _squeeze(s: str) -> str:
     return "".join(s.split()).casefold()
 
 
+#: Up to so many characters blocks are sought as parts of a text, which takes longer than the matcher on long ones.
+SHORT = 32
+#: So few windows are all matched, which takes less than counting their letters.
+FEW = 6
+
+
+def matched(a: str, b: str) -> int:
+    """Characters in matching blocks of two short texts, as the matcher of difflib chooses them: the longest, of these the first in a, then in b, and so on at both sides of it."""
+    found, open_ = 0, [(a, b)]
+    while open_:
+        a, b = open_.pop()
+        n, i, j = min(len(a), len(b)), 0, -1
+        while n and (j := b.find(a[i : i + n])) < 0:
+            i += 1
+            if i + n > len(a):
+                n, i = n - 1, 0
+        if n:
+            found += n
+            if i and j:
+                open_.append((a[:i], b[:j]))
+            if i + n < len(a) and j + n < len(b):
+                open_.append((a[i + n :], b[j + n :]))
+    return found
+
+
 def window_ratio(one: str, other: str) -> float:
     """Best match of the shorter text with windows of its length in the longer, white space and case aside.
 
@@ -73,10 +98,12 @@ def window_ratio(one: str, other: str) -> float:
         return 0.0
     if size < 200 and short in long:  # from 200 characters on the matcher leaves out common ones
         return 1.0
+    if size <= SHORT and len(long) - size < FEW:
+        return max([matched(short, long[at : at + size]) for at in range(len(long) - size + 1)]) / size
     missing = Counter(short)  # letters of the short text less those of the window
     missing.subtract(long[:size])
     shared = size - sum(n for n in missing.values() if n > 0)
-    matcher, best = difflib.SequenceMatcher(None, short), 0.0
+    matcher, best = None if size <= SHORT else difflib.SequenceMatcher(None, short), 0.0
     for at in range(len(long) - size + 1):
         if at:
             gone, come = long[at - 1], long[at + size - 1]
@@ -85,6 +112,9 @@ def window_ratio(one: str, other: str) -> float:
             shared += missing[come] > 0
             missing[come] -= 1
         if shared > best * size:
+            if matcher is None:
+                best = max(best, matched(short, long[at : at + size]) / size)
+                continue
             matcher.set_seq2(long[at : at + size])
             best = max(best, matcher.ratio())
     return best
