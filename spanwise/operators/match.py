@@ -276,9 +276,13 @@ def frame_pairs(regions: DataFrame, keys: list[str], ident: str, frame: str, x:
 
 
 def nearest_by(rows: DataFrame, others: DataFrame, keys: list[str], ident: str, other: str, distance: Column) -> DataFrame:
-    """The nearest of the others for each row among equal keys (ties to the smaller id), infinity where there is none."""
-    pairs = rows.join(others, keys, "left").withColumn("_d", F.coalesce(distance, F.lit(float("inf"))))
-    return pairs.groupBy(*keys, ident).agg(F.min(F.struct(F.col("_d").alias("distance"), F.col(other).alias("other"))).alias("_n")).select(*keys, ident, "_n.distance", "_n.other")
+    """The nearest of the others for each row among equal keys (ties to the smaller id), infinity where there is none.
+
+    A distance that is not known comes after all that are, infinite ones and NaN included.
+    """
+    pairs = rows.join(others, keys, "left").withColumn("_d", distance)
+    nearest = F.min(F.struct(F.col("_d").isNull().alias("_unknown"), F.col("_d").alias("distance"), F.col(other).alias("other"))).alias("_n")
+    return pairs.groupBy(*keys, ident).agg(nearest).select(*keys, ident, F.coalesce("_n.distance", F.lit(float("inf"))).alias("distance"), "_n.other")
 
 
 def linked_across(left: DataFrame, right: DataFrame, keys: list[str], bits: int = 5, aspect: float = 0.1) -> DataFrame:

@@ -2,6 +2,7 @@ import itertools
 
 import numpy as np
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from spanwise.operators import match
 
@@ -122,3 +123,11 @@ def test_links_across_scenes_send_no_side_through_the_driver(spark):
     found = match.linked_across(rows, rows.selectExpr("scene - 1 AS scene", "id", "text", "hash", "aspect"), ["scene"])
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() > 0
+
+
+def test_an_unknown_distance_comes_after_infinite_ones_and_nan(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = spark.createDataFrame([(1, 2, 0.0), (2, 2, inf), (3, 2, nan), (4, 2, None), (5, 2, 1.0), (None, 2, 1.0)], "o long, i long, q double")
+    others = spark.createDataFrame([(1, 1, None), (1, 3, 7.0), (1, 5, 7.0), (2, 1, None), (2, 3, 5.0), (3, 1, None), (3, 3, 5.0), (4, 3, 1.0), (4, 1, 1.0), (None, 1, 1.0)], "o long, other long, r double")
+    found = match.nearest_by(rows, others, ["o"], "i", "other", F.abs(F.col("r") - F.col("q"))).collect()
+    assert {r.o: (repr(r.distance), r.other) for r in found} == {1: ("7.0", 3), 2: ("inf", 3), 3: ("nan", 3), 4: ("inf", 1), 5: ("inf", None), None: ("inf", None)}
