@@ -57,7 +57,8 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def _squeeze(s: str) -> str:
+def squeezed(s: str) -> str:
+    """Case folded, without white space."""
     return "".join(s.split()).casefold()
 
 
@@ -87,12 +88,17 @@ def matched(a: str, b: str) -> int:
 
 
 def window_ratio(one: str, other: str) -> float:
-    """Best match of the shorter text with windows of its length in the longer, white space and case aside.
+    """Best match of the shorter text with windows of its length in the longer, white space and case aside."""
+    return best_of_windows(squeezed(one), squeezed(other))
+
+
+def best_of_windows(one: str, other: str) -> float:
+    """Best match of the shorter text with windows of its length in the longer.
 
     Matching depends on the order of its two sides: the shorter text is always the first.  A
     window is matched only if the letters it shares could beat the best so far.
     """
-    short, long = sorted((_squeeze(one), _squeeze(other)), key=len)
+    short, long = sorted((one, other), key=len)
     size = len(short)
     if not size:
         return 0.0
@@ -125,12 +131,6 @@ def best_window(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([0.0 if x is None or y is None else window_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf(DoubleType())
-def cover(read: pd.Series, candidate: pd.Series) -> pd.Series:
-    """How much of a read a candidate holds: the best window match, less for a candidate shorter than the read."""
-    return pd.Series([window_ratio(r, c) * min(1.0, len(_squeeze(c)) / max(1, len(_squeeze(r)))) for r, c in zip(read, candidate, strict=True)], dtype="float64")
-
-
 def word_prefix(read: Column, full: Column, fewest: int = 2) -> Column:
     """Whether read is some first words of full, case and spacing aside, and leaves at least so many characters out."""
     short, words = compact(read), F.split(F.trim(_cased(F.regexp_replace(full, _BLANK, " "))), " ")

@@ -2,38 +2,147 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import math
+import zlib
+from collections.abc import Iterator
 
-from ..functions.text import compact, cover
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-#: Most common reads of an entity that are candidates for its consensus.
-CANDIDATES = 32
+from ..functions.text import best_of_windows, compact, squeezed
 
+#: An entity of more distinct reads is searched in parts, by several tasks; every part sees all its reads.
+BLOCK = 2048
+#: Up to so many pairs of a read and a candidate all are matched, which takes less than bounds.
+FEW = 48
+#: Letters are counted in so many classes at most.
+CLASSES = 64
 
-def best_read(reads: DataFrame, entity: list[str], order: str, text: str, candidates: int = CANDIDATES) -> DataFrame:
+
+def _bounds(forms: list[str], each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each letter stands in each text, and how much each text holds of all at most, a letter of text j worth each[j].
+
+    Matching blocks hold no more of a letter than the poorer of two texts, so the sum over all
+    texts goes letter by letter and by counts, without pairs.
+    """
+    letters, of = np.unique(np.frombuffer("".join(forms).encode("utf-32-le"), np.uint32), return_inverse=True)
+    classes = min(len(letters), CLASSES)
+    owner = np.repeat(np.arange(len(forms)), [len(f) for f in forms])
+    held = np.bincount(owner * classes + of % max(1, classes), minlength=len(forms) * classes).reshape(len(forms), classes)
+    most, top = np.zeros(len(forms)), int(held.max(initial=0)) + 1
+    for column in held.T:
+        at_least = np.bincount(column, weights=each, minlength=top)[::-1].cumsum()[::-1]
+        most += np.concatenate([[0.0], at_least[1:].cumsum()])[column]
+    return held, most + [0.0 if f else e for f, e in zip(forms, each, strict=True)]  # an empty text holds itself
+
+
+def _widest(forms: list[str], weights: list[int], asked: list[int]) -> tuple[int, float]:
+    """Which of the asked texts holds most of all texts by their weights, the first of equals, and how much.
+
+    A text holds a matched letter's share of another for each letter of the best window match.
+    The texts that could hold most come first; a text is given up as soon as the bounds of what
+    is not matched yet leave it behind the best one, so that the result is that of all pairs.
+    Sums are of whole numbers over one denominator: what is equal is a tie.
+    """
+    sizes = [max(1, len(f)) for f in forms]
+    whole = math.lcm(*set(sizes))
+    worth = [w * (whole // n) for w, n in zip(weights, sizes, strict=True)]
+    known: dict[tuple[int, int], int] = {}
+
+    def met(j: int, f: int) -> int:
+        """Letters of text j in text f, which are those of f in j unless they are equally long."""
+        if j == f:
+            return sizes[f]
+        key = (f, j) if len(forms[j]) != len(forms[f]) and f < j else (j, f)
+        if key not in known:
+            known[key] = round(best_of_windows(forms[j], forms[f]) * min(len(forms[j]), len(forms[f])))
+        return known[key]
+
+    every = range(len(forms))
+    if len(forms) * len(asked) <= FEW:
+        best, first = max((sum(worth[j] * met(j, f) for j in every), -n) for n, f in enumerate(asked))
+        return asked[-first], best / whole
+    each = np.array([w / n for w, n in zip(weights, sizes, strict=True)])
+    held, most = _bounds(forms, each)
+    best, found, slack = -1, len(asked), 0.0
+    for n in np.argsort(-most[asked], kind="stable").tolist():
+        f = asked[n]
+        if most[f] < slack:
+            break
+        bound = np.minimum(held, held[f]).sum(axis=1) * each
+        bound[f] = sizes[f] * each[f]
+        left, total = float(bound.sum()), 0
+        for j in np.argsort(-bound, kind="stable").tolist():
+            letters = met(j, f)
+            total += worth[j] * letters
+            left += letters * each[j] - bound[j]
+            if left < slack:
+                break
+        else:
+            if (total, -n) > (best, -found):
+                best, found = total, n
+                slack = best / whole * (1 - 1e-9) - 1e-9
+    return asked[found], best / whole
+
+
+def _consensus(reads: list[str], counts: list[int], part: int, parts: int) -> tuple[int, float, int] | None:
+    """Of one entity's distinct reads, most common first: place of the best one, its score, and the place where its text stands first."""
+    if len(reads) == 1:
+        return 0, float(counts[0]), 0
+    texts = [squeezed(r) for r in reads]
+    weights: dict[str, int] = {}
+    for t, n in zip(texts, counts, strict=True):
+        weights[t] = weights.get(t, 0) + n
+    places = [i for i, n in enumerate(counts) if n >= 2 or counts[0] < 2]
+    if parts > 1:
+        places = [i for i in places if zlib.crc32(texts[i].encode()) % parts == part]
+    if not places:
+        return None
+    at = {t: i for i, t in enumerate(weights)}
+    asked = list(dict.fromkeys(at[texts[i]] for i in places))
+    best, score = _widest(list(at), list(weights.values()), asked)
+    alike = [i for i in places if at[texts[i]] == best]
+    return max(alike, key=lambda i: (len(reads[i].split()), -i)), score, alike[0]
+
+
+def best_read(reads: DataFrame, entity: list[str], order: str, text: str) -> DataFrame:
     """The read that holds most of all reads, weighted by how often each was seen.
 
-    Candidates are the most common distinct reads (32 unless told otherwise, as the cost grows
-    with candidates times reads), those seen twice if there are any; ties go
+    Candidates are all distinct reads, or those seen twice if there are any; ties go
     to the more frequent, then to the first seen, and of reads equal but for spacing the one
-    with most words wins.
+    with most words wins.  White space and case aside, equal reads meet as one.  A task holds
+    the distinct reads of one entity; large entities' candidates are dealt to several tasks.
     """
-    counts = reads.groupBy(*entity, F.col(text).alias("read")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("seen"))
-    rank = F.row_number().over(Window.partitionBy(*entity).orderBy(F.desc("n"), "seen"))
-    twice = F.max("n").over(Window.partitionBy(*entity)) >= 2
-    listed = counts.withColumns({"_rank": rank, "_twice": twice}).filter((F.col("_rank") <= candidates) & (~F.col("_twice") | (F.col("n") >= 2)))
-    listed = listed.select(*entity, F.col("read").alias("candidate"), F.col("n").alias("count"), F.col("seen").alias("first"))
-    held = listed.join(counts, entity)
-    # one that is the other but for spacing is held whole, and needs no search
-    same = compact(F.col("read")) == compact(F.col("candidate"))
-    asked = held.filter(~same).select("read", "candidate").distinct()  # entities share many pairs
-    asked = asked.withColumn("_share", cover("read", "candidate"))
-    held = held.join(asked, ["read", "candidate"], "left").withColumn("_cover", F.col("n") * F.when(same, 1.0).otherwise(F.col("_share")))
-    scores = held.groupBy(*entity, "candidate", "count", "first").agg(F.sum("_cover").alias("score"))
-    order_ = Window.partitionBy(*entity).orderBy(F.desc("score"), F.desc("count"), "first")
-    best = scores.withColumn("_best", F.first(compact(F.col("candidate"))).over(order_)).filter(compact(F.col("candidate")) == F.col("_best"))
-    spaced = Window.partitionBy(*entity).orderBy(F.desc(F.size(F.split(F.trim("candidate"), r"\s+"))), F.desc("score"), F.desc("count"), "first")
-    return best.withColumn("_n", F.row_number().over(spaced)).filter("_n = 1").select(*entity, F.col("candidate").alias("read"), "count", "score")
+    counts = reads.filter(F.col(text).isNotNull()).groupBy(*entity, F.col(text).alias("read")).agg(F.count(F.lit(1)).alias("count"), F.min(order).alias("_seen"))
+    parts = F.ceil(F.count(F.lit(1)).over(Window.partitionBy(*entity)) / BLOCK).cast("int")
+    dealt = counts.withColumn("_parts", parts).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).repartition(*entity, "_part")
+    rank = F.row_number().over(Window.partitionBy(*entity, "_part").orderBy(F.desc("count"), "_seen"))
+    ranked = dealt.withColumn("_rank", rank).select(*entity, "read", "count", "_part", "_parts", "_rank").sortWithinPartitions(*entity, "_part", "_rank")
+    schema = StructType([*ranked.select(*entity, "read", "count").schema, StructField("score", DoubleType()), StructField("_first", LongType())])
+    kept = schema.names[:-2]
+
+    def chosen(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        texts, seen, part, of = (rows[c].to_pylist() for c in ("read", "count", "_part", "_parts"))
+        cuts = [*np.flatnonzero(rows["_rank"].to_numpy() == 1).tolist(), len(texts)]
+        found = [(i, best) for i, j in zip(cuts, cuts[1:], strict=False) if (best := _consensus(texts[i:j], seen[i:j], part[i], of[i]))]
+        out = rows.select(kept).take(pa.array([i + b[0] for i, b in found], pa.int64()))
+        yield from out.append_column("score", pa.array([b[1] for _, b in found], pa.float64())).append_column("_first", pa.array([b[2] for _, b in found], pa.int64())).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of an entity that may go on in the next batch
+        for batch in batches:
+            begins = np.flatnonzero(batch.column("_rank").to_numpy() == 1)
+            if len(begins):
+                yield from chosen(pa.Table.from_batches([*held, batch.slice(0, int(begins[-1]))]))
+                held = []
+            held.append(batch.slice(int(begins[-1]) if len(begins) else 0))
+        if held:
+            yield from chosen(pa.Table.from_batches(held))
+
+    one = ranked.mapInArrow(run, schema).groupBy(*entity).agg(F.max(F.struct("score", (-F.col("_first")).alias("_less"), "read", "count")).alias("_best"))
+    return one.select(*entity, "_best.read", "_best.count", "_best.score")
 
 
 def caret_marks(reads: DataFrame, entity: list[str], text: str, full: str) -> DataFrame:
