@@ -40,13 +40,13 @@ def shuffled(table: DataFrame) -> DataFrame:
     return table.hint("merge")
 
 
-def spread(table: DataFrame, *keys: str) -> DataFrame:
-    """Rows dealt by keys to as many tasks as their number asks for, ROWS on average.
+def spread(table: DataFrame, *keys: str, rows: int = ROWS) -> DataFrame:
+    """Rows dealt by keys to as many tasks as their number asks for, ROWS on average unless told otherwise.
 
     What follows by these keys needs no further shuffle, and its tasks grow in number and not in
     size.  Made for tables as they are read, which Parquet counts without reading them.
     """
-    return table.repartition(max(1, -(-table.count() // ROWS)), *keys)
+    return table.repartition(max(1, -(-table.count() // rows)), *keys)
 
 
 class Rounds:

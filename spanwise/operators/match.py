@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .checkpoints import shuffled
@@ -114,6 +115,21 @@ def whole_groups(batches: Iterator[pd.DataFrame], group: list[str]) -> Iterator[
         yield ready(held)
 
 
+def whole_entities(batches: Iterator[pa.RecordBatch], rank: str = "_rank") -> Iterator[pa.Table]:
+    """Batches whose rows come by entity and count from 1 in each, as tables of whole entities."""
+    held: list[pa.RecordBatch] = []  # of an entity that may go on in the next batch
+    for batch in batches:
+        begins = np.flatnonzero(batch.column(rank).to_numpy() == 1)
+        if len(begins):
+            rows = pa.Table.from_batches([*held, batch.slice(0, int(begins[-1]))])
+            if len(rows):
+                yield rows
+            held = []
+        held.append(batch.slice(int(begins[-1]) if len(begins) else 0))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def chosen_pairs(pairs: DataFrame, group: list[str], left: str, right: str, cost: str, choose: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """The rows of pairs that ``choose(left, right, cost)`` marks in each group."""
     schema = pairs.select(*group, left, right, F.col(cost).cast("double").alias(cost)).schema

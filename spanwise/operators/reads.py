@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.text import best_of_windows, compact, squeezed
+from .match import whole_entities
 
 #: An entity of more distinct reads is searched in parts, by several tasks; every part sees all its reads.
 BLOCK = 2048
@@ -131,15 +132,8 @@ def best_read(reads: DataFrame, entity: list[str], order: str, text: str) -> Dat
         yield from out.append_column("score", pa.array([b[1] for _, b in found], pa.float64())).append_column("_first", pa.array([b[2] for _, b in found], pa.int64())).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # of an entity that may go on in the next batch
-        for batch in batches:
-            begins = np.flatnonzero(batch.column("_rank").to_numpy() == 1)
-            if len(begins):
-                yield from chosen(pa.Table.from_batches([*held, batch.slice(0, int(begins[-1]))]))
-                held = []
-            held.append(batch.slice(int(begins[-1]) if len(begins) else 0))
-        if held:
-            yield from chosen(pa.Table.from_batches(held))
+        for rows in whole_entities(batches):
+            yield from chosen(rows)
 
     one = ranked.mapInArrow(run, schema).groupBy(*entity).agg(F.max(F.struct("score", (-F.col("_first")).alias("_less"), "read", "count")).alias("_best"))
     return one.select(*entity, "_best.read", "_best.count", "_best.score")

@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
+from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions.geometry import box_area, overlap
-from ..functions.text import best_window
+from ..functions.text import best_window, window_ratio
 from .checkpoints import Rounds
 from .graph import components
-from .grid import grid_join
+from .grid import FEW, grid_join
+from .match import whole_entities
 from .reads import digits_agree
 
 # Height ratio, row offset and gap in line heights, colour distance, onset (s), motion (px a frame), succession (s),
@@ -140,13 +148,182 @@ def grouped(pieces: DataFrame, links: DataFrame, scene: list[str]) -> DataFrame:
     return whole.filter("_text").unionByName(bare).select(*scene, "id", "group")
 
 
-def merge_plan(fragments: DataFrame, boxes: DataFrame, scene: list[str], fps: float, lines: DataFrame | None = None) -> DataFrame:
+def _few(sizes: np.ndarray) -> Iterator[np.ndarray]:
+    """Positions of equal sizes above 0, so that what belongs to them stacks to one matrix."""
+    for n in np.unique(sizes[sizes > 0]).tolist():
+        yield np.flatnonzero(sizes == n)
+
+
+def _middle(values: np.ndarray) -> np.ndarray:
+    """The median of each row: the mean of the two middle values where their number is even."""
+    ordered, n = np.sort(values, axis=1), values.shape[1]
+    return (ordered[:, (n - 1) // 2] + ordered[:, n // 2]) / 2
+
+
+@lru_cache(maxsize=65536)
+def _repeats(a: str, b: str) -> bool:
+    """Whether one of two texts repeats part of the other, and its digits."""
+    digits = [re.sub(r"[^0-9]", "", t) for t in (a, b)]
+    return (digits[0] in digits[1] or digits[1] in digits[0]) and window_ratio(a, b) >= SUBSTRING
+
+
+def _titles(pieces: dict[str, np.ndarray], texts: list[str], text: np.ndarray, frames: np.ndarray, corners: np.ndarray, sizes: np.ndarray, last: np.ndarray, fps: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For the wide and the strict test of ``same_title``, which pieces are of one title: pairs of places.
+
+    Pieces come by scene and id; last is where a piece's scene ends, corners are boxes by piece and frame.
+    """
+    every = np.arange(len(sizes))
+    begin = np.concatenate([[0], sizes.cumsum()])[:-1]
+    cy, w, bh = np.zeros((3, len(sizes)))
+    for at in _few(sizes):
+        x0, y0, x1, y1 = corners[:, begin[at][:, None] + np.arange(sizes[at[0]])]
+        cy[at], w[at], bh[at] = _middle((y0 + y1) / 2), _middle(x1 - x0), _middle(y1 - y0)
+    first, final = frames[begin], frames[begin + sizes - 1]
+    # candidates
+    later = last - every - 1
+    p = np.repeat(every, later)
+    q = p + 1 + np.arange(len(p)) - np.repeat(later.cumsum() - later, later)
+    h, bare = pieces["h"], text < 0
+    tall, low = np.maximum(h[p], h[q]), np.minimum(h[p], h[q])
+    colour = np.sqrt(sum((pieces[c][p] - pieces[c][q]) ** 2 for c in "lab"))
+    cut = (pieces["cut"][p] >= 0) & (pieces["cut"][p] == pieces["cut"][q])
+    fits = (low > 0) & (tall <= LINE_RATIO * low) & (np.abs(pieces["rot"][p] - pieces["rot"][q]) <= TURN) & (colour <= COLOUR) & ~cut & ~(bare[p] & bare[q])
+    p, q, tall = p[fits], q[fits], tall[fits]
+    # what both show in common frames, in order
+    _, moment = np.unique(frames, return_inverse=True)
+    moments = int(moment.max(initial=0)) + 1
+    place = np.repeat(every, sizes) * moments + moment
+    pair = np.repeat(np.arange(len(p)), sizes[p])
+    mine = np.arange(len(pair)) - np.repeat(sizes[p].cumsum() - sizes[p] - begin[p], sizes[p])
+    wanted = q[pair] * moments + moment[mine]
+    theirs = np.minimum(np.searchsorted(place, wanted), max(0, len(place) - 1))
+    met = place[theirs] == wanted
+    pair, mine, theirs = pair[met], mine[met], theirs[met]
+    n = np.bincount(pair, minlength=len(p))
+    at_pair = np.concatenate([[0], n.cumsum()])[:-1]
+    off, gap, speeds = np.abs(cy[p] - cy[q]), np.full(len(p), np.inf), np.zeros((2, len(p)))
+    for at in _few(n):
+        count = int(n[at[0]])
+        both = at_pair[at][:, None] + np.arange(count)
+        (px0, py0, px1, py1), (qx0, qy0, qx1, qy1) = corners[:, mine[both]], corners[:, theirs[both]]
+        down = (py0 + py1 - qy0 - qy1) / 2
+        off[at], gap[at] = _middle(np.abs(down)), _middle(np.maximum(px0, qx0) - np.minimum(px1, qx1))
+        if count > 1:
+            ways = [(px0 + px0 - qx0 - qx0) / 2, (px1 + px1 - qx1 - qx1) / 2, (px0 + px1 - qx0 - qx1) / 2]
+            for i, (k, edges) in enumerate(((max(1, min(round(STEP_S * fps), count - 1)), ways), (1, ways[2:]))):
+                speeds[i, at] = np.min([_middle(np.hypot((x[:, k:] - x[:, :-k]) / k, (down[:, k:] - down[:, :-k]) / k)) for x in edges], axis=0)
+    fits = off <= LINE_DY * tall
+    for s, ref in ((p, q), (q, p)):  # a glyph, mostly concurrent with its text
+        fits &= ~bare[s] | ((bh[s] <= GLYPH[0] * h[ref]) & (w[s] <= GLYPH[1] * h[ref]) & (n >= CONCURRENT * sizes[s]))
+    beside = fits & (n > 0) & (gap <= GAP_H * tall) & (np.abs(first[p] - first[q]) / fps <= ONSET_S)
+    earlier = final[p] <= first[q]
+    e, l = np.where(earlier, p, q), np.where(earlier, q, p)  # noqa: E741
+    e_box, l_box = corners[:, begin[e] + sizes[e] - 1], corners[:, begin[l]]
+    area = [np.maximum(0.0, b[2] - b[0]) * np.maximum(0.0, b[3] - b[1]) for b in (e_box, l_box)]
+    shared = np.prod([np.maximum(0.0, np.minimum(e_box[i + 2], l_box[i + 2]) - np.maximum(e_box[i], l_box[i])) for i in (0, 1)], axis=0)
+    small, wait = np.minimum(*area), first[l] - final[e]
+    after = fits & ~bare[p] & ~bare[q] & (wait >= 0) & (wait / fps <= SUCCESSION_S) & (shared > 0) & (shared >= CONTAIN * small)
+    at = np.flatnonzero(after)
+    after[at] = [_repeats(texts[i], texts[j]) for i, j in zip(text[p[at]].tolist(), text[q[at]].tolist(), strict=True)]
+    found = [(beside & (speed <= MOTION)) | after for speed in speeds]
+    return [(p[f], q[f]) for f in found]
+
+
+def _grouped(links: tuple[np.ndarray, np.ndarray], bare: np.ndarray) -> np.ndarray:
+    """``grouped`` by places: of each piece, the place of the smallest text of its group, or its own."""
+    p, q = links
+    texts = ~bare[p] & ~bare[q]
+    group = np.arange(len(bare))
+    while True:
+        least = np.minimum(group[p[texts]], group[q[texts]])
+        before = group.copy()
+        for ends in (p[texts], q[texts]):
+            np.minimum.at(group, ends, least)
+        group = group[group]
+        if (group == before).all():
+            break
+    low, high = np.full(len(bare), len(bare)), np.full(len(bare), -1)
+    for s, t in ((p[~texts], q[~texts]), (q[~texts], p[~texts])):
+        s, t = s[bare[s]], t[bare[s]]
+        np.minimum.at(low, s, group[t])
+        np.maximum.at(high, s, group[t])
+    return np.where(bare & (low == high), low, group)
+
+
+def _plan(rows: pa.Table, scene: np.ndarray, fps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Group and part of each piece of whole scenes, which come in order of their numbers, as places, and whether it is merged and bound."""
+    n = len(rows)
+    boxes = rows["boxes"].combine_chunks()
+    sizes, shown = boxes.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), boxes.flatten()
+    frames, corners = shown.field("frame").to_numpy(zero_copy_only=False), np.array([shown.field(c).to_numpy(zero_copy_only=False) for c in BOX], np.float64)
+    order = np.lexsort((frames, np.repeat(np.arange(n), sizes)))
+    frames, corners = frames[order], corners[:, order]
+
+    def codes(column: str) -> tuple[np.ndarray, list]:
+        """Values as numbers, null as -1."""
+        known = rows[column].combine_chunks().dictionary_encode()
+        return known.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), known.dictionary.to_pylist()
+
+    text, texts = codes("text")
+    text = np.where(np.isin(text, [i for i, t in enumerate(texts) if t == ""]), -1, text)
+    pieces = {c: rows[c].to_numpy().astype(np.float64) for c in ("h", "rot", "l", "a", "b")} | {"cut": codes("cut")[0]}
+    wide, strict = _titles(pieces, texts, text, frames, corners, sizes, np.searchsorted(scene, scene, side="right"), fps)
+    bare = text < 0
+    group = _grouped(wide, bare)
+    inside = group[strict[0]] == group[strict[1]]
+    part = _grouped((strict[0][inside], strict[1][inside]), bare)
+    members, of_part = np.bincount(group, minlength=n), np.bincount(part, minlength=n)
+    told, part_told = (np.bincount(x, weights=~bare, minlength=n) > 0 for x in (group, part))
+    parts = np.bincount(np.unique(group * n + part) // n, minlength=n)
+    title = (members > 1) & told
+    return group, part, title[group] & (of_part > 1)[part] & part_told[part], (title & (parts > 1))[group]
+
+
+def _planned(pieces: DataFrame, scene: list[str], fps: float) -> DataFrame:
+    """``merge_plan`` of scenes of few pieces, which hold their boxes: a task works through many scenes at once, pair by pair inside of each."""
+    columns = ["id", "text", "h", "rot", "l", "a", "b", "cut", "boxes"]
+    rank = F.row_number().over(Window.partitionBy(*scene).orderBy("id"))
+    rows = pieces.select(*scene, *columns).withColumn("_rank", rank).sortWithinPartitions(*scene, "id")
+    own = rows.schema["id"]
+    schema = StructType([*(rows.schema[c] for c in (*scene, "id")), StructField("group", own.dataType), StructField("part", own.dataType), StructField("merged", BooleanType()), StructField("bound", BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_entities(batches):
+            shown = pa.compute.fill_null(pa.compute.list_value_length(table["boxes"]), 0).to_numpy() > 0
+            at = (table["_rank"].to_numpy() == 1).cumsum()[shown]
+            table = table.filter(pa.array(shown))
+            group, part, merged, bound = _plan(table, at, fps)
+            ids = table["id"].combine_chunks()
+            out = table.select([*scene, "id"])
+            for name, values in (("group", ids.take(pa.array(group))), ("part", ids.take(pa.array(part))), ("merged", pa.array(merged)), ("bound", pa.array(bound))):
+                out = out.append_column(name, values)
+            yield from out.combine_chunks().to_batches()
+
+    return rows.mapInArrow(run, schema)
+
+
+def merge_plan(fragments: DataFrame, boxes: DataFrame | None, scene: list[str], fps: float, lines: DataFrame | None = None) -> DataFrame:
     """(scene, id, group, part, merged, bound): each piece's title, the part of it that is merged, and whether the title is bound.
 
     Pieces that the stricter test (frame by frame, by centres) joins too are merged; a title of
     several such parts is bound around them.  A group or part without a text is left alone.
-    boxes is (scene, id, frame, x0, y0, x1, y1), or (scene, id, boxes) with each piece's in an array.
+    boxes is (scene, id, frame, x0, y0, x1, y1), or (scene, id, boxes) with each piece's in an
+    array; it is None where the fragments have such arrays, one box a frame.  Then a scene of at
+    most ``FEW`` pieces is planned in one task, without joins (unless lines are given).
     """
+    if boxes is not None:
+        return _joined_plan(fragments, boxes, scene, fps, lines)
+    rounds = Rounds(fragments.sparkSession)
+    large = rounds.keep(fragments.groupBy(*scene).agg(F.count(F.lit(1)).alias("_all")).filter(F.col("_all") > (0 if lines is not None else FEW)).select(*scene), "large")
+    if large.isEmpty():
+        return _planned(fragments, scene, fps)
+    many = rounds.keep(fragments.join(large, scene, "left_semi"), "many")
+    joined = _joined_plan(many.drop("boxes"), many.select(*scene, "id", "boxes"), scene, fps, lines)
+    return _planned(fragments.join(large, scene, "left_anti"), scene, fps).unionByName(joined)
+
+
+def _joined_plan(fragments: DataFrame, boxes: DataFrame, scene: list[str], fps: float, lines: DataFrame | None) -> DataFrame:
+    """``merge_plan`` by joins, for scenes of any size."""
     rounds = Rounds(fragments.sparkSession)
     packed = "boxes" in boxes.columns  # few boxes a piece, in one row: no table of boxes is written or joined by frame
     if not packed:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import choose, cluster, grid, similar, stages, titles, train, vectors
+from ..operators.checkpoints import spread
 from ..sources.tables import observations, table
 from .joins import HALVES, _halves
 from .registry import query
@@ -85,8 +86,10 @@ SELECT scene, id, named.grp AS "group", named.part, gs.n > 1 AND gs.x <> '' AND
 def title_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's lines as pieces of titles: shown some frames from their day on, some moving, some without text."""
     day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("long") % 12
-    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("scene"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(
-        F.first("l_linenumber").alias("i"), F.min(day).alias("start"), F.max(day + 3 + F.col("l_partkey") % 9).alias("end"), F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s"),
+    read = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scene"), "l_linenumber", day.alias("day"), "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax")
+    # an order's lines stay in one task from here on
+    lines = spread(read, "scene", rows=1 << 16).groupBy("scene", (F.col("scene") * 10 + F.col("l_linenumber")).alias("id")).agg(
+        F.first("l_linenumber").alias("i"), F.min("day").alias("start"), F.max(F.col("day") + 3 + F.col("l_partkey") % 9).alias("end"), F.max("l_partkey").alias("p"), F.max("l_suppkey").alias("s"),
         F.max("l_quantity").cast("long").alias("q"), (F.max("l_discount") * 100.0).cast("double").alias("rot"), (50 + F.max("l_tax") * 200.0).cast("double").alias("l"),
     )
     letter = F.chr(F.lit(65) + F.col("p") % 3)
@@ -97,8 +100,8 @@ def title_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
         low = (F.col("s") % 3) * 4.0
         return F.struct(frame.alias("frame"), shift.alias("x0"), low.alias("y0"), (shift + wider + 12 + F.col("q") % 10).alias("x1"), (low + F.col("h")).alias("y1"))
 
-    shown = rows.select("scene", "id", F.transform(F.sequence("start", "end"), box).alias("boxes"))
-    return titles.merge_plan(rows.select("scene", "id", "text", "h", "rot", "l", "a", "b", "cut"), shown, ["scene"], 20.0)
+    shown = F.transform(F.sequence("start", "end"), box).alias("boxes")
+    return titles.merge_plan(rows.select("scene", "id", "text", "h", "rot", "l", "a", "b", "cut", shown), None, ["scene"], 20.0)
 
 
 @query()
