@@ -45,10 +45,15 @@ def compact(text: Column) -> Column:
     return _cased(F.regexp_replace(text, _BLANK, ""))
 
 
+def fold(s: str) -> str:
+    """Compatibility form, case folded, white space collapsed."""
+    return " ".join(unicodedata.normalize("NFKC", s).casefold().split())
+
+
 @F.pandas_udf(StringType())
 def folded(text: pd.Series) -> pd.Series:
     """Compatibility form, case folded, white space collapsed."""
-    return text.map(lambda s: None if s is None else " ".join(unicodedata.normalize("NFKC", s).casefold().split()))
+    return text.map(lambda s: None if s is None else fold(s))
 
 
 @F.pandas_udf(DoubleType())
